@@ -34,7 +34,13 @@ def register(name: str, sql: str | None = None):
 
 
 def r4(c: str):
-    return F.round(F.col(c), 4).alias(c)
+    """Round to 4 places as ``round(x * 1e4) / 1e4`` -- the same double arithmetic
+    the oracle engine uses, so identical doubles round identically."""
+    return round4(F.col(c)).alias(c)
+
+
+def round4(col):
+    return F.round(col * F.lit(10000.0), 0) / F.lit(10000.0)
 
 
 def out(df: DataFrame, panel: Panel, cols, ints=()) -> DataFrame:
@@ -49,11 +55,13 @@ def opanel(spark: SparkSession, d: str, seg_steps: int | None = None):
 # --------------------------------------------------------------------------- oracle building blocks
 
 _PRIO_SQL = ",\n    ".join(
-    f"avg(CASE WHEN o.o_orderpriority = '{p}' THEN o.o_totalprice END) AS {c}" for p, c in zip(PRIORITIES, PRIORITY_COLS)
+    f"CAST(sum(CASE WHEN o.o_orderpriority = '{p}' THEN CAST(o.o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE)"
+    f" / nullif(count(CASE WHEN o.o_orderpriority = '{p}' THEN 1 END), 0) AS {c}"
+    for p, c in zip(PRIORITIES, PRIORITY_COLS)
 )
 OW_CTE = f"""ow AS (
   SELECT n.n_name, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS wk,
-    count(*) AS cnt, avg(o.o_totalprice) AS avg_price,
+    count(*) AS cnt, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_price,
     {_PRIO_SQL}
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -178,14 +186,14 @@ _EWM4_COLS = ["cnt", "avg_price"]
 
 
 @register(
-    "q_ewm4",
-    f"WITH {PANEL_CTE}, e AS ({_ewm_sql('panel', {c: c for c in _EWM4_COLS}, 4, 'n_name', 'wk')}) "
+    "q_ewm5",
+    f"WITH {PANEL_CTE}, e AS ({_ewm_sql('panel', {c: c for c in _EWM4_COLS}, 5, 'n_name', 'wk')}) "
     f"SELECT n_name, wk, {_sel(_EWM4_COLS)} FROM e",
 )
-def q_ewm4(spark, d):
-    """W3, span 4, straight over the gaps (weights decay by step distance)."""
+def q_ewm5(spark, d):
+    """W3, span 5 (the prediction-smoothing span), straight over the gaps."""
     df, p = opanel(spark, d)
-    return out(smooth.ewm(df, p, _EWM4_COLS, 4), p, _EWM4_COLS)
+    return out(smooth.ewm(df, p, _EWM4_COLS, 5), p, _EWM4_COLS)
 
 
 @register(
@@ -212,6 +220,8 @@ def _zscore_sql(cols):
 
 
 _ST, _Z = _zscore_sql(_Z_COLS)
+_STATS_COLS = ["cnt", "avg_price", "p2"]
+_ST2, _ = _zscore_sql(_STATS_COLS)
 
 
 @register(
@@ -228,15 +238,15 @@ def q_zscore(spark, d):
 
 @register(
     "q_scaler_stats",
-    f"WITH {PANEL_CTE}, s AS (SELECT n_name, {_ST} FROM panel GROUP BY 1) "
+    f"WITH {PANEL_CTE}, s AS (SELECT n_name, {_ST2} FROM panel GROUP BY 1) "
     + "SELECT n_name, col AS \"column\", round(mean, 4) AS mean, round(std, 4) AS std FROM ("
-    + " UNION ALL ".join(f"SELECT n_name, '{c}' AS col, m_{c} AS mean, s_{c} AS std FROM s" for c in _Z_COLS)
+    + " UNION ALL ".join(f"SELECT n_name, '{c}' AS col, m_{c} AS mean, s_{c} AS std FROM s" for c in _STATS_COLS)
     + ")",
 )
 def q_scaler_stats(spark, d):
     """AG1: the stored scaler table (series, column, mean, std)."""
     df, p = opanel(spark, d)
-    st = scale.fit_scaler(df, p, _Z_COLS)
+    st = scale.fit_scaler(df, p, _STATS_COLS)
     return st.select("n_name", "column", r4("mean"), r4("std"))
 
 
@@ -318,3 +328,339 @@ FROM g""",
 def q_score(spark, d):
     """AG2 PR17: MAE, MSE, R2, hand R2 and residual per nation and model."""
     return score.score(naive_predictions(spark, d), by=("n_name", "model"))
+
+
+# --------------------------------------------------------------------------- step 1: expressions, lags, calendar
+
+_FILLED = f"""{PANEL_CTE},
+fp AS (SELECT n_name, wk, t, {_ffill_sql(MEASURES)} FROM panel)"""
+
+
+def filled_panel(spark, d, seg_steps=None):
+    df, p = opanel(spark, d, seg_steps)
+    return clean.ffill(df, p, MEASURES), p
+
+
+@register(
+    "q_flag",
+    f"""WITH {PANEL_CTE}, e AS ({_ewm_sql('panel', {'e1': 'p1', 'e2': 'p2', 'e3': 'p3'}, 4, 'n_name', 'wk')})
+SELECT n_name, wk, coalesce(CAST(e1 < 250000 AS INTEGER), 0) AS p1_flag,
+  coalesce(CAST(e2 < 250000 AS INTEGER), 0) AS p2_flag, coalesce(CAST(e3 < 250000 AS INTEGER), 0) AS p3_flag FROM e""",
+)
+def q_flag(spark, d):
+    """PR6: EWM(4) below a threshold as a 0/1 flag (NULL mean -> 0)."""
+    df, p = opanel(spark, d)
+    f = smooth.threshold_flag(df.select(*p.keys, p.ts, p.t, p.seg, "p1", "p2", "p3"), p, ["p1", "p2", "p3"], 4, 250000.0)
+    return f.select(*p.keys, p.ts, "p1_flag", "p2_flag", "p3_flag")
+
+
+@register(
+    "q_replace_clamp",
+    f"""WITH {PANEL_CTE}
+SELECT n_name, wk, CASE WHEN cnt = 1 THEN 0 ELSE cnt END AS cnt_r,
+  round(CASE WHEN avg_price > 400000 THEN 0 ELSE avg_price END, 4) AS price_z,
+  CAST(trunc((avg_price - 250000) / 1000) AS INTEGER) AS price_k FROM panel""",
+)
+def q_replace_clamp(spark, d):
+    """PR5 exact replacement, PR13 zero above a limit, PR12 truncation toward zero."""
+    df, p = opanel(spark, d)
+    r = clean.replace_values(df, {"cnt": {1: 0}})
+    return r.select(
+        *p.keys,
+        p.ts,
+        F.col("cnt").alias("cnt_r"),
+        round4(clean.zero_above("avg_price", 400000)).alias("price_z"),
+        clean.to_int((F.col("avg_price") - 250000) / 1000).alias("price_k"),
+    )
+
+
+_COMP_SPEC = (
+    features.Composite("price_level", ("p1", "p2", "p3"), 5),
+    features.Composite("price_aligned", ("avg_price", "p1", "p2"), 5, shifted=("p1", "p2"), align_from="p1", align_to="avg_price"),
+    features.Composite("volume", ("cnt",), 8),
+    features.Composite("price_low", ("p3", "p4", "p5"), 5),
+)
+
+
+@register(
+    "q_composite",
+    f"""WITH {_FILLED},
+dl AS (SELECT n_name, avg(p1) - avg(avg_price) AS delta FROM fp GROUP BY 1),
+rm AS (SELECT fp.n_name, fp.wk, fp.t, (p1 + p2 + p3) / 3.0 AS price_level,
+  (avg_price + (p1 - dl.delta) + (p2 - dl.delta)) / 3.0 AS price_aligned, cnt AS volume,
+  (p3 + p4 + p5) / 3.0 AS price_low FROM fp JOIN dl ON fp.n_name = dl.n_name),
+e4 AS ({_ewm_sql('rm', {'price_level': 'price_level', 'price_aligned': 'price_aligned', 'price_low': 'price_low'}, 5, 'n_name', 'wk')}),
+e8 AS ({_ewm_sql('rm', {'volume': 'volume'}, 8, 'n_name', 'wk')})
+SELECT e4.n_name, e4.wk, round(price_level, 4) AS price_level, round(price_aligned, 4) AS price_aligned,
+  round(volume, 4) AS volume, round(price_low, 4) AS price_low
+FROM e4 JOIN e8 ON e4.n_name = e8.n_name AND e4.t = e8.t""",
+)
+def q_composite(spark, d):
+    """E2 PR7 PR8 W3: row means of sensor groups, offset alignment, EWM 5 / 8."""
+    df, p = filled_panel(spark, d)
+    c = features.composites(df, p, _COMP_SPEC)
+    return out(c, p, [x.name for x in _COMP_SPEC])
+
+
+_LAG_COLS = ["cnt", "avg_price"]
+_LAG_NAMES = [f"{c}_{j}_week_back" for j in range(1, 4) for c in _LAG_COLS]
+
+
+@register(
+    "q_lags",
+    f"""WITH {_FILLED},
+lg AS (SELECT n_name, wk, t, cnt, avg_price, {', '.join(f'lag({c}, {j}) OVER (PARTITION BY n_name ORDER BY t) AS {c}_{j}_week_back' for j in range(1, 4) for c in _LAG_COLS)} FROM fp),
+bf AS (SELECT n_name, wk, cnt, avg_price, {_bfill_sql(_LAG_NAMES)} FROM lg)
+SELECT n_name, wk, cnt, round(avg_price, 4) AS avg_price, {_sel(_LAG_NAMES)} FROM bf""",
+)
+def q_lags(spark, d):
+    """W4 + W2: lags 1..3 of the filled target and price, back-filled."""
+    df, p = filled_panel(spark, d)
+    df = df.select(*p.keys, p.ts, p.t, p.seg, "cnt", "avg_price")
+    lg = features.lags(df, p, _LAG_COLS, 3)
+    lg = clean.bfill(lg, p, _LAG_NAMES)
+    return out(lg, p, ["cnt", "avg_price", *_LAG_NAMES], ints=("cnt",))
+
+
+@register(
+    "q_diff",
+    f"""WITH {_FILLED},
+df AS (SELECT n_name, wk, t, cnt - lag(cnt, 2) OVER w AS cnt, avg_price - lag(avg_price, 2) OVER w AS avg_price
+  FROM fp WINDOW w AS (PARTITION BY n_name ORDER BY t)),
+bf AS (SELECT n_name, wk, {_bfill_sql(['cnt', 'avg_price'])} FROM df)
+SELECT n_name, wk, cnt, round(avg_price, 4) AS avg_price FROM bf""",
+)
+def q_diff(spark, d):
+    """W5 + W2: 2-step differences, back-filled."""
+    df, p = filled_panel(spark, d)
+    df = df.select(*p.keys, p.ts, p.t, p.seg, "cnt", "avg_price")
+    dd = clean.bfill(features.diff(df, p, ["cnt", "avg_price"], 2), p, ["cnt", "avg_price"])
+    return out(dd, p, ["cnt", "avg_price"], ints=("cnt",))
+
+
+@register(
+    "q_undiff",
+    f"""WITH {_FILLED},
+v AS (SELECT n_name, wk, t, CAST(coalesce(cnt, 0) AS DOUBLE) AS v,
+  row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM fp),
+s AS (SELECT *, n - ceil(0.2 * n) AS ntr FROM v),
+dd AS (SELECT *, v - lag(v, 3) OVER (PARTITION BY n_name ORDER BY t) AS d FROM s),
+te AS (SELECT *, (pos - ntr) % 3 AS cls FROM dd WHERE pos >= ntr),
+base AS (SELECT n_name, pos - (ntr - 3) AS cls, v AS b FROM s WHERE pos >= ntr - 3 AND pos < ntr)
+SELECT te.n_name, te.wk, round(base.b + sum(te.d) OVER (PARTITION BY te.n_name, te.cls ORDER BY te.t), 4) AS v
+FROM te JOIN base ON te.n_name = base.n_name AND te.cls = base.cls""",
+)
+def q_undiff(spark, d):
+    """W5 + W6: 3-step differences of the last 20% rebuilt into levels from the history."""
+    df, p = filled_panel(spark, d)
+    v = df.select(*p.keys, p.ts, p.t, p.seg, F.coalesce(F.col("cnt"), F.lit(0)).cast("double").alias("v"))
+    from panelcast.operators import windows
+
+    sp = windows.chrono_split(v, p, 0.2)
+    dd = features.diff(sp, p, ["v"], 3)
+    hist = sp.filter(F.col("split") == "train").drop("split")
+    test = dd.filter(F.col("split") == "test").drop("split")
+    rebuilt = features.undiff(test, p, hist, "v", k=3)
+    return out(rebuilt, p, ["v"])
+
+
+@register(
+    "q_calendar",
+    f"""WITH {PANEL_CTE}
+SELECT n_name, wk, year(wk) AS year, month(wk) AS month,
+  row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS weeks FROM panel""",
+)
+def q_calendar(spark, d):
+    """PR10 PR11: year, month and the 0-based row index of each series."""
+    df, p = opanel(spark, d)
+    c = features.calendar(df.select(*p.keys, p.ts, p.t, p.seg), p)
+    return c.select(*p.keys, p.ts, F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month"), "weeks")
+
+
+@register(
+    "q_trim_leading",
+    f"""WITH {PANEL_CTE}
+SELECT n_name, wk, cnt FROM panel
+QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t) > CASE WHEN n_name = 'NATION_1' THEN 77 ELSE 4 END""",
+)
+def q_trim_leading(spark, d):
+    """PR2: drop the first rows of each series (77 for one named series, 4 for the rest)."""
+    df, p = opanel(spark, d)
+    from collections import defaultdict
+
+    n = defaultdict(lambda: 4)
+    n["NATION_1"] = 77
+    keep = clean.drop_leading(df, p, {k: n[k] for k in [f"NATION_{i}" for i in range(25)]})
+    return keep.select(*p.keys, p.ts, "cnt")
+
+
+@register(
+    "q_last_rows",
+    f"""WITH {PANEL_CTE}
+SELECT n_name, wk, cnt, round(avg_price, 4) AS avg_price FROM panel
+QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t DESC) <= 8""",
+)
+def q_last_rows(spark, d):
+    """The last 8 weeks of every series."""
+    df, p = opanel(spark, d)
+    return out(clean.last_rows(df, p, 8), p, ["cnt", "avg_price"], ints=("cnt",))
+
+
+# --------------------------------------------------------------------------- step 2: windows, splits, diagnostics
+
+_SEQ_N = 4
+
+
+def _seq_text_spark(col):
+    return F.concat_ws(
+        ";", F.transform(col, lambda r: F.concat_ws(",", F.transform(r, lambda v: F.coalesce(F.format_string("%.4f", round4(v)), F.lit("null")))))
+    )
+
+
+_SEQ_SQL = f"""{_FILLED},
+lst AS (SELECT n_name, wk, t, CAST(cnt AS DOUBLE) AS y,
+  list([CAST(cnt AS DOUBLE), avg_price, p1]) OVER (PARTITION BY n_name ORDER BY t ROWS BETWEEN {_SEQ_N - 1} PRECEDING AND CURRENT ROW) AS x
+  FROM fp),
+txt AS (SELECT n_name, wk, y, x, list_transform(x, lambda r: array_to_string(list_transform(r, lambda v: coalesce(printf('%.4f', round(v, 4)), 'null')), ',')) AS rows_txt FROM lst WHERE len(x) = {_SEQ_N})"""
+
+
+@register("q_sequences", f"WITH {_SEQ_SQL} SELECT n_name, wk, y, array_to_string(rows_txt, ';') AS x FROM txt")
+def q_sequences(spark, d):
+    """4-step windows of (cnt, avg_price, p1), label = cnt of the last row; arrays hashed as text."""
+    from panelcast.operators import windows
+
+    df, p = filled_panel(spark, d)
+    s = windows.sequences(df, p, ["cnt", "avg_price", "p1"], "cnt", _SEQ_N)
+    return s.select(*p.keys, p.ts, "y", _seq_text_spark(F.col("x")).alias("x"))
+
+
+@register(
+    "q_sequences2",
+    f"WITH {_SEQ_SQL} SELECT n_name, wk, y, array_to_string(rows_txt[1:{_SEQ_N // 2}], ';') || '|' || array_to_string(rows_txt[{_SEQ_N // 2 + 1}:{_SEQ_N}], ';') AS x FROM txt",
+)
+def q_sequences2(spark, d):
+    """The same windows reshaped to two halves; halves joined by '|'."""
+    from panelcast.operators import windows
+
+    df, p = filled_panel(spark, d)
+    s = windows.split_halves(windows.sequences(df, p, ["cnt", "avg_price", "p1"], "cnt", _SEQ_N), "x", _SEQ_N)
+    return s.select(*p.keys, p.ts, "y", F.concat_ws("|", F.transform("x", _seq_text_spark)).alias("x"))
+
+
+_POS_SQL = f"""{PANEL_CTE},
+ps AS (SELECT n_name, wk, t, cnt, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos,
+  count(*) OVER (PARTITION BY n_name) AS n FROM panel)"""
+
+
+@register(
+    "q_split",
+    f"WITH {_POS_SQL} SELECT n_name, wk, CASE WHEN pos >= n - ceil(0.22 * n) THEN 'test' ELSE 'train' END AS split FROM ps",
+)
+def q_split(spark, d):
+    """Chronological split, the last ceil(0.22 n) rows are test."""
+    from panelcast.operators import windows
+
+    df, p = opanel(spark, d)
+    return windows.chrono_split(df, p, 0.22).select(*p.keys, p.ts, "split")
+
+
+@register(
+    "q_tail_split",
+    f"WITH {_POS_SQL} SELECT n_name, wk, CASE WHEN pos < floor(n * 0.9) THEN 'train' ELSE 'validation' END AS split FROM ps",
+)
+def q_tail_split(spark, d):
+    """First floor(0.9 n) rows train, the rest validation."""
+    from panelcast.operators import windows
+
+    df, p = opanel(spark, d)
+    return windows.tail_validation(df, p, 0.9).select(*p.keys, p.ts, "split")
+
+
+@register(
+    "q_frames",
+    f"""WITH {_POS_SQL},
+fs AS (SELECT *, floor(n * 0.2) AS size FROM ps),
+fr AS (SELECT *, round_even(n / size, 0) AS nfr, floor(pos / size) AS f FROM fs),
+fa AS (SELECT *, CASE WHEN f < nfr THEN CAST(f AS BIGINT) END AS frame FROM fr),
+fb AS (SELECT *, least(size, n - frame * size) AS flen FROM fa)
+SELECT n_name, wk, frame,
+  CASE WHEN frame IS NULL THEN 'remainder' WHEN pos - frame * size >= flen - ceil(flen * 0.3) THEN 'test' ELSE 'train' END AS part
+FROM fb""",
+)
+def q_frames(spark, d):
+    """Walk-forward frames of floor(0.2 n) rows, 70/30 inside each, true remainder flagged."""
+    from panelcast.operators import windows
+
+    df, p = opanel(spark, d)
+    return windows.frames(df, p, 0.2, 0.3).select(*p.keys, p.ts, "frame", "part")
+
+
+_ACF_L = 30
+
+
+@register(
+    "q_acf",
+    f"""WITH {_FILLED},
+m AS (SELECT n_name, avg(avg_price) AS mu FROM fp GROUP BY 1),
+c AS (SELECT fp.n_name, fp.t, fp.avg_price - m.mu AS x FROM fp JOIN m ON fp.n_name = m.n_name),
+pr AS (SELECT a.n_name, a.t - b.t AS lag, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.n_name = b.n_name AND a.t - b.t BETWEEN 0 AND {_ACF_L}
+  WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT n_name, s AS s0 FROM pr WHERE lag = 0)
+SELECT pr.n_name, 'avg_price' AS "column", CAST(pr.lag AS INTEGER) AS lag, round(pr.s / z.s0, 4) AS acf FROM pr JOIN z ON pr.n_name = z.n_name""",
+)
+def q_acf(spark, d):
+    """Autocorrelation of the filled price, lags 0..30."""
+    from panelcast.operators import stats
+
+    df, p = filled_panel(spark, d)
+    a = stats.acf(df, p, ["avg_price"], _ACF_L)
+    return a.select(*p.keys, "column", "lag", r4("acf"))
+
+
+@register("q_pacf")
+def q_pacf(spark, d):
+    """Partial autocorrelation by Durbin-Levinson (checked against numpy in tests)."""
+    from panelcast.operators import stats
+
+    df, p = filled_panel(spark, d)
+    a = stats.pacf(stats.acf(df, p, ["avg_price", "cnt"], _ACF_L), p)
+    return a.select(*p.keys, "column", "lag", r4("pacf"))
+
+
+@register(
+    "q_hist",
+    f"""WITH {PANEL_CTE},
+mm AS (SELECT n_name, CASE WHEN max(avg_price) > min(avg_price) THEN min(avg_price) ELSE min(avg_price) - 0.5 END AS lo,
+  CASE WHEN max(avg_price) > min(avg_price) THEN max(avg_price) ELSE max(avg_price) + 0.5 END AS hi FROM panel GROUP BY 1),
+b AS (SELECT p.n_name, CAST(least(24, floor((p.avg_price - mm.lo) / (mm.hi - mm.lo) * 25)) AS INTEGER) AS bin, count(*) AS cnt
+  FROM panel p JOIN mm ON p.n_name = mm.n_name WHERE p.avg_price IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT n_name, lo, hi, CAST(unnest(generate_series(0, 24)) AS INTEGER) AS bin FROM mm)
+SELECT g.n_name, g.bin, round(g.lo + (g.hi - g.lo) / 25 * g.bin, 4) AS lo, round(g.lo + (g.hi - g.lo) / 25 * (g.bin + 1), 4) AS hi,
+  coalesce(b.cnt, 0) AS count FROM g LEFT JOIN b ON g.n_name = b.n_name AND g.bin = b.bin""",
+)
+def q_hist(spark, d):
+    """AG4: 25-bin histogram of the weekly average price per nation."""
+    from panelcast.operators import stats
+
+    df, p = opanel(spark, d)
+    h = stats.histogram(df, p, "avg_price", 25)
+    return h.select(*p.keys, "bin", r4("lo"), r4("hi"), "count")
+
+
+@register(
+    "q_dw",
+    f"""WITH {_NAIVE_SQL},
+r AS (SELECT p.n_name, p.model, t, y - y_pred AS e FROM pred p JOIN panel ON p.n_name = panel.n_name AND p.wk = panel.wk),
+l AS (SELECT *, lag(e, 1) OVER (PARTITION BY n_name, model ORDER BY t) AS pe FROM r)
+SELECT n_name, model, round(sum((e - pe) * (e - pe)) / sum(e * e), 4) AS dw FROM l GROUP BY 1, 2""",
+)
+def q_dw(spark, d):
+    """AG9 T4: Durbin-Watson of each simple predictor's residuals per nation."""
+    from panelcast.operators import stats
+    from panelcast.plans.panel import step_of, seg_of
+
+    pr = naive_predictions(spark, d)
+    p = Panel(keys=("n_name",), ts="wk")
+    pr = pr.withColumn(p.t, step_of("wk", "week")).withColumn(p.seg, seg_of(p.t, p.seg_steps))
+    pr = pr.withColumn("e", F.col("y") - F.col("y_pred"))
+    return stats.durbin_watson(pr, p, "e", by=["model"]).select("n_name", "model", r4("dw"))
