@@ -664,3 +664,194 @@ def q_dw(spark, d):
     pr = pr.withColumn(p.t, step_of("wk", "week")).withColumn(p.seg, seg_of(p.t, p.seg_steps))
     pr = pr.withColumn("e", F.col("y") - F.col("y_pred"))
     return stats.durbin_watson(pr, p, "e", by=["model"]).select("n_name", "model", r4("dw"))
+
+
+# --------------------------------------------------------------------------- step 5-7: prediction tables and forecast outputs
+
+
+@register(
+    "q_ensemble",
+    f"""WITH {_NAIVE_SQL},
+ens AS (SELECT n_name, wk, y, model, y_pred FROM pred
+  UNION ALL SELECT n_name, wk, first(y), 'Ensamble', avg(y_pred) FROM pred GROUP BY n_name, wk)
+SELECT n_name, wk, model, round(y_pred, 4) AS y_pred FROM ens""",
+)
+def q_ensemble(spark, d):
+    """AG10 M16: the long prediction matrix plus its row mean as model 'Ensamble'."""
+    from panelcast.operators import predict
+
+    pr = predict.ensemble(naive_predictions(spark, d), by=["n_name", "wk"], keep=["y"])
+    return pr.select("n_name", "wk", "model", r4("y_pred"))
+
+
+_RUN_SPANS = (5, 8, 11)
+
+
+def _runs(spark, d):
+    """Three forecast runs (EWM of the filled count with spans 5, 8, 11, one week back)."""
+    df, p = filled_panel(spark, d)
+    base = df.select(*p.keys, p.ts, p.t, p.seg, "cnt")
+    parts = []
+    for k, s in enumerate(_RUN_SPANS):
+        e = smooth.ewm(base, p, {"cnt": "_e"}, s)
+        e = features.lags(e, p, ["_e"], 1, fmt="{col}_l{j}")
+        parts.append(e.select(*p.keys, p.ts, F.lit(k).alias("run_id"), F.col("_e_l1").alias("total_cases")))
+    out_df = parts[0]
+    for x in parts[1:]:
+        out_df = out_df.unionByName(x)
+    return out_df
+
+
+def _runs_sql():
+    ctes = []
+    for k, s in enumerate(_RUN_SPANS):
+        ctes.append(f"e{k} AS ({_ewm_sql('fp', {'e': 'cnt'}, s, 'n_name', 'wk')})")
+    union = " UNION ALL ".join(
+        f"SELECT n_name, wk, {k} AS run_id, lag(e, 1) OVER (PARTITION BY n_name ORDER BY t) AS total_cases FROM e{k}"
+        for k in range(len(_RUN_SPANS))
+    )
+    return f"{_FILLED}, {', '.join(ctes)}, runs AS ({union})"
+
+
+@register(
+    "q_run_average",
+    f"""WITH {_runs_sql()}
+SELECT n_name, wk, CAST(trunc(avg(total_cases)) AS INTEGER) AS total_cases, count(DISTINCT run_id) AS runs
+FROM runs GROUP BY 1, 2""",
+)
+def q_run_average(spark, d):
+    """AG7 J4: three runs stacked long with run_id, averaged per week and truncated."""
+    from panelcast.operators import forecast
+
+    return forecast.average_runs(_runs(spark, d), ["n_name", "wk"])
+
+
+@register(
+    "q_best",
+    f"""WITH {_runs_sql()},
+sc AS (SELECT r.n_name, r.run_id, avg(abs(f.cnt - r.total_cases)) AS mae FROM runs r JOIN fp f ON r.n_name = f.n_name AND r.wk = f.wk
+  WHERE r.total_cases IS NOT NULL AND f.cnt IS NOT NULL GROUP BY 1, 2)
+SELECT n_name, first(run_id ORDER BY mae, run_id) AS best_run_id, round(min(mae), 4) AS best_mae FROM sc GROUP BY 1""",
+)
+def q_best(spark, d):
+    """AG8: per nation, the run (smoothing span) with the least MAE; ties to the smaller id."""
+    df, p = filled_panel(spark, d)
+    runs = _runs(spark, d)
+    j = runs.join(df.select("n_name", "wk", F.col("cnt").alias("y")), ["n_name", "wk"]).filter(F.col("total_cases").isNotNull() & F.col("y").isNotNull())
+    sc = j.groupBy("n_name", "run_id").agg(F.avg(F.abs(F.col("y") - F.col("total_cases"))).alias("mae"))
+    b = score.best_candidate(sc, ["n_name"], "run_id", "mae")
+    return b.select("n_name", "best_run_id", r4("best_mae"))
+
+
+@register(
+    "q_compare",
+    f"""WITH {_NAIVE_SQL},
+a AS (SELECT n_name, wk, y_pred AS a FROM pred WHERE model = 'naive'),
+b AS (SELECT n_name, wk, y_pred AS b FROM pred WHERE model = 'mean4')
+SELECT coalesce(a.n_name, b.n_name) AS n_name, coalesce(a.wk, b.wk) AS wk, round(a, 4) AS a, round(b, 4) AS b, round(b - a, 4) AS delta
+FROM a FULL JOIN b ON a.n_name = b.n_name AND a.wk = b.wk""",
+)
+def q_compare(spark, d):
+    """Two forecasts side by side with their difference."""
+    from panelcast.operators import forecast
+
+    pr = naive_predictions(spark, d)
+    a = pr.filter(F.col("model") == "naive")
+    b = pr.filter(F.col("model") == "mean4")
+    c = forecast.compare(a, b, ["n_name", "wk"], "y_pred")
+    return c.select("n_name", "wk", r4("a"), r4("b"), r4("delta"))
+
+
+@register(
+    "q_blend",
+    f"""WITH {_NAIVE_SQL},
+w AS (SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 1.0 WHEN n_nationkey % 3 = 1 THEN 0.0 END AS weight FROM nation),
+a AS (SELECT n_name, wk, y_pred AS a FROM pred WHERE model = 'naive'),
+b AS (SELECT n_name, wk, y_pred AS b FROM pred WHERE model = 'ewm4')
+SELECT a.n_name, a.wk, CAST(trunc(coalesce(w.weight, 0.5) * a + (1 - coalesce(w.weight, 0.5)) * b) AS INTEGER) AS y_pred
+FROM a JOIN b ON a.n_name = b.n_name AND a.wk = b.wk LEFT JOIN w ON a.n_name = w.n_name""",
+)
+def q_blend(spark, d):
+    """Per-nation blend weights (1 = first source, 0 = second, else half/half), int result."""
+    from panelcast.operators import forecast
+    from panelcast.sources.tables import read_table
+
+    pr = naive_predictions(spark, d)
+    nat = read_table(spark, d, "nation", "n_nationkey", "n_name")
+    k = F.col("n_nationkey") % 3
+    weights = nat.select("n_name", F.when(k == 0, F.lit(1.0)).when(k == 1, F.lit(0.0)).alias("weight"))
+    a = pr.filter(F.col("model") == "naive")
+    b = pr.filter(F.col("model") == "ewm4")
+    return forecast.blend(a, b, ["n_name", "wk"], "y_pred", weights=weights, weight_key=["n_name"])
+
+
+@register(
+    "q_attach",
+    f"""WITH {_POS_SQL},
+tmpl AS (SELECT n_name, isoyear(wk) AS year, weekofyear(wk) AS weekofyear, wk, pos FROM ps WHERE pos >= n - ceil(0.2 * n)),
+{_NAIVE_SQL.split(',', 1)[0][:0]}pr AS (SELECT n_name, wk, avg(cnt) OVER (PARTITION BY n_name ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS y_pred
+  FROM ps),
+j AS (SELECT t.n_name, t.year, t.weekofyear, t.pos, pr.y_pred FROM tmpl t LEFT JOIN pr ON t.n_name = pr.n_name AND t.wk = pr.wk)
+SELECT n_name, year, weekofyear, pos, CAST(trunc(y_pred) AS INTEGER) AS total_cases FROM j""",
+)
+def q_attach(spark, d):
+    """J2 SO1 SO3: forecasts joined into a template (last 20% of each series) by key,
+    truncated to int, template ordinal kept for an ordered write."""
+    from panelcast.operators import forecast, windows
+
+    df, p = opanel(spark, d)
+    pos = with_position(df, p)
+    tmpl = pos.filter(F.col("_pos") >= F.col("_n") - F.ceil(F.col("_n") * 0.2)).select(
+        "n_name",
+        F.extract(F.lit("YEAROFWEEK"), F.col("wk")).cast("bigint").alias("year"),
+        F.weekofyear("wk").cast("bigint").alias("weekofyear"),
+        "wk",
+        F.col("_pos").alias("pos"),
+        F.lit(0).alias("total_cases"),
+    )
+    lg = features.lags(df.select(*p.keys, p.ts, p.t, p.seg, "cnt"), p, ["cnt"], 4, fmt="{col}_l{j}")
+    # mean of the non-null values among the last four weeks
+    vals = [F.col(f"cnt_l{j}") for j in range(1, 5)]
+    n_ok = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
+    tot = sum((F.coalesce(v, F.lit(0)) for v in vals), F.lit(0))
+    pr = lg.select("n_name", "wk", F.when(n_ok > 0, tot / n_ok).alias("y_pred"))
+    j = forecast.attach(tmpl, pr, ["n_name", "wk"], order="pos")
+    return j.select("n_name", "year", "weekofyear", "pos", "total_cases")
+
+
+@register(
+    "q_minshift",
+    f"""WITH {_NAIVE_SQL},
+m AS (SELECT n_name, min(y_pred) AS mn FROM pred WHERE model = 'ewm4' GROUP BY 1)
+SELECT p.n_name, p.wk, round(p.y_pred - m.mn, 4) AS y_pred FROM pred p JOIN m ON p.n_name = m.n_name WHERE p.model = 'ewm4'""",
+)
+def q_minshift(spark, d):
+    """PR14: shift each nation's forecast so its minimum is 0."""
+    from panelcast.plans.panel import seg_of, step_of
+
+    pr = naive_predictions(spark, d).filter(F.col("model") == "ewm4")
+    p = Panel(keys=("n_name",), ts="wk")
+    pr = pr.withColumn(p.t, step_of("wk", "week")).withColumn(p.seg, seg_of(p.t, p.seg_steps))
+    sh = clean.shift_to_zero_min(pr, p, ["y_pred"])
+    return sh.select("n_name", "wk", r4("y_pred"))
+
+
+@register(
+    "q_debias",
+    f"""WITH {_NAIVE_SQL},
+pe AS (SELECT * FROM pred WHERE model = 'mean4'),
+mp AS (SELECT n_name, avg(y_pred) AS mp FROM pe GROUP BY 1),
+mr AS (SELECT n_name, avg(cnt) AS mr FROM panel GROUP BY 1),
+adj AS (SELECT pe.n_name, pe.wk, pe.y_pred + (mr.mr - mp.mp) AS y FROM pe JOIN mp ON pe.n_name = mp.n_name JOIN mr ON pe.n_name = mr.n_name),
+mn AS (SELECT n_name, min(y) AS mn FROM adj GROUP BY 1)
+SELECT adj.n_name, adj.wk, round(adj.y - mn.mn, 4) AS y_pred FROM adj JOIN mn ON adj.n_name = mn.n_name""",
+)
+def q_debias(spark, d):
+    """PR15: move each forecast to the history's mean, then shift to a zero minimum."""
+    from panelcast.plans.panel import seg_of, step_of
+
+    df, p = opanel(spark, d)
+    pr = naive_predictions(spark, d).filter(F.col("model") == "mean4")
+    pr = pr.withColumn(p.t, step_of("wk", "week")).withColumn(p.seg, seg_of(p.t, p.seg_steps))
+    db = clean.debias(pr, p, "y_pred", df, "cnt")
+    return db.select("n_name", "wk", r4("y_pred"))

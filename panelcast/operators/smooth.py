@@ -73,15 +73,20 @@ def ewm(
     d = df.withColumn("_blk", blk).withColumn("_a", t - F.col("_blk") * B)
     srcs = list(mapping)
 
-    # 1. running sums inside each block (one window spec, one sort)
-    w = Window.partitionBy(*panel.part, "_blk").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = F.pow(F.lit(r), -F.col("_a"))
+    # 1. running sums inside each block (one window spec, one sort).  Powers are
+    #    taken relative to the block's first observation, so that one has weight
+    #    exactly 1 and a lone observation comes back unchanged.
+    wp = Window.partitionBy(*panel.part, "_blk")
+    w = wp.orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = [F.min(F.when(F.col(s).isNotNull(), F.col("_a"))).over(wp).alias(f"_a0{i}") for i, s in enumerate(srcs)]
+    d0 = d.select("*", *first)
     local_cols = []
     for i, s in enumerate(srcs):
         v = F.col(s)
+        up = F.pow(F.lit(r), F.col(f"_a0{i}") - F.col("_a"))
         local_cols.append(F.sum(F.when(v.isNotNull(), up * v)).over(w).alias(f"_sv{i}"))
         local_cols.append(F.sum(F.when(v.isNotNull(), up)).over(w).alias(f"_sw{i}"))
-    local = d.select("*", *local_cols)
+    local = d0.select("*", *local_cols)
 
     # 2. one summary row per block: sums decayed to the block's last step
     down = F.pow(F.lit(r), F.lit(B - 1) - F.col("_a"))
@@ -137,9 +142,9 @@ def ewm(
         *panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(wb).alias(f"_in{i}") for i in range(len(srcs))]
     )
     out = local.join(inc, [*panel.keys, panel.seg, "_blk"], "left")
-    ra = F.pow(F.lit(r), F.col("_a"))
     res = {}
     for i, (s, o) in enumerate(mapping.items()):
+        ra = F.pow(F.lit(r), F.col("_a") - F.coalesce(F.col(f"_a0{i}"), F.col("_a")))
         st_in = F.col(f"_in{i}")
         gap = t - (st_in["b"] * B + (B - 1))
         dec = F.coalesce(F.exp(gap * F.lit(lnr) + st_in["lw"]), F.lit(0.0))
