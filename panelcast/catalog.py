@@ -855,3 +855,67 @@ def q_debias(spark, d):
     pr = pr.withColumn(p.t, step_of("wk", "week")).withColumn(p.seg, seg_of(p.t, p.seg_steps))
     db = clean.debias(pr, p, "y_pred", df, "cnt")
     return db.select("n_name", "wk", r4("y_pred"))
+
+
+# --------------------------------------------------------------------------- step 3-4: per-series linear models
+
+
+def scaled_panel(spark, d):
+    """Filled panel with cnt / avg_price / p1 z-scored per nation (the reference's normalise step)."""
+    df, p = filled_panel(spark, d)
+    z, st = scale.fit_transform(df.select(*p.keys, p.ts, p.t, p.seg, "cnt", "avg_price", "p1"), p, ["cnt", "avg_price", "p1"])
+    return z, p, st
+
+
+_SCALED_SQL = f"""{_FILLED},
+zs AS (SELECT n_name, avg(cnt) AS mc, stddev_pop(cnt) AS sc, avg(avg_price) AS mp, stddev_pop(avg_price) AS sp,
+  avg(p1) AS m1, stddev_pop(p1) AS s1 FROM fp GROUP BY 1),
+zp AS (SELECT fp.n_name, fp.wk, fp.t,
+  (cnt - mc) / CASE WHEN sc IS NULL OR sc = 0 THEN 1 ELSE sc END AS cnt,
+  (avg_price - mp) / CASE WHEN sp IS NULL OR sp = 0 THEN 1 ELSE sp END AS avg_price,
+  (p1 - m1) / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1 ELSE s1 END AS p1
+  FROM fp JOIN zs ON fp.n_name = zs.n_name),
+mom AS (SELECT n_name, count(*) AS n, avg(avg_price) AS mx, avg(cnt) AS my,
+  covar_pop(cnt, avg_price) * count(*) AS sxy, var_pop(avg_price) * count(*) AS sxx
+  FROM zp WHERE cnt IS NOT NULL AND avg_price IS NOT NULL GROUP BY 1)"""
+
+
+def _one_reg_sql(slope_expr: str) -> str:
+    return f"""WITH {_SCALED_SQL},
+w AS (SELECT n_name, mx, my, {slope_expr} AS w FROM mom)
+SELECT n_name, round(my - w * mx, 4) AS intercept, round(w, 4) AS slope FROM w"""
+
+
+def _linear_query(method, alpha=1.0, l1_ratio=0.5):
+    def q(spark, d):
+        from panelcast.models import linear
+
+        z, p, _ = scaled_panel(spark, d)
+        c = linear.fit(z, p, ["avg_price"], "cnt", method=method, alpha=alpha, l1_ratio=l1_ratio)
+        return c.select("n_name", round4(F.col("intercept")).alias("intercept"), round4(F.col("coef")[0]).alias("slope"))
+
+    q.__doc__ = f"M1 {method}: per-nation fit of the scaled target on the scaled price from cross-products."
+    return q
+
+
+register("q_ols1", _one_reg_sql("sxy / sxx"))(_linear_query("ols"))
+register("q_ridge", _one_reg_sql("sxy / (sxx + 1.0)"))(_linear_query("ridge", 1.0))
+register("q_lasso", _one_reg_sql("sign(sxy) * greatest(abs(sxy) - n * 0.1, 0) / sxx"))(_linear_query("lasso", 0.1))
+register("q_enet", _one_reg_sql("sign(sxy) * greatest(abs(sxy) - n * 0.1 * 0.5, 0) / (sxx + n * 0.1 * 0.5)"))(_linear_query("enet", 0.1, 0.5))
+
+
+@register(
+    "q_ols_predict",
+    f"""WITH {_SCALED_SQL},
+w AS (SELECT n_name, mx, my, sxy / sxx AS w FROM mom)
+SELECT zp.n_name, zp.wk, round(zp.cnt, 4) AS y, round((w.my - w.w * w.mx) + w.w * zp.avg_price, 4) AS y_pred
+FROM zp JOIN w ON zp.n_name = w.n_name""",
+)
+def q_ols_predict(spark, d):
+    """M1a + predict: fitted values of the per-nation OLS, computed JVM-side from the coefficient table."""
+    from panelcast.models import linear
+
+    z, p, _ = scaled_panel(spark, d)
+    c = linear.fit(z, p, ["avg_price"], "cnt")
+    pr = linear.predict(z, p, c, ["avg_price"])
+    return pr.select("n_name", "wk", r4("cnt").alias("y"), r4("y_pred"))
