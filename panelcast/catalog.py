@@ -919,3 +919,251 @@ def q_ols_predict(spark, d):
     c = linear.fit(z, p, ["avg_price"], "cnt")
     pr = linear.predict(z, p, c, ["avg_price"])
     return pr.select("n_name", "wk", r4("cnt").alias("y"), r4("y_pred"))
+
+
+@register(
+    "q_var1",
+    f"""WITH {_SCALED_SQL},
+l AS (SELECT n_name, cnt, lag(cnt, 1) OVER (PARTITION BY n_name ORDER BY t) AS c1 FROM zp)
+SELECT n_name, 'cnt' AS equation, round(regr_intercept(cnt, c1), 4) AS intercept, round(regr_slope(cnt, c1), 4) AS slope FROM l GROUP BY 1""",
+)
+def q_var1(spark, d):
+    """M6 with one variable: AR(1) with a constant per nation on the scaled target."""
+    from panelcast.models import var
+
+    z, p, _ = scaled_panel(spark, d)
+    c = var.fit(z, p, ["cnt"], 1)
+    return c.select("n_name", "equation", round4(F.col("intercept")).alias("intercept"), round4(F.col("coef")[0]).alias("slope"))
+
+
+def _train_test(spark, d, frac=0.22):
+    from panelcast.operators import windows
+
+    z, p, st = scaled_panel(spark, d)
+    sp = windows.chrono_split(z, p, frac)
+    return sp.filter(F.col("split") == "train").drop("split"), sp.filter(F.col("split") == "test").drop("split"), p, st
+
+
+@register("q_var_order")
+def q_var_order(spark, d):
+    """M7: AIC/BIC/FPE/HQIC of VAR(p), p = 0..7, of (cnt, avg_price, p1) per nation."""
+    from panelcast.models import var
+
+    z, p, _ = scaled_panel(spark, d)
+    return var.order_table(z.na.drop(), p, ["cnt", "avg_price", "p1"], 8)
+
+
+@register("q_varx")
+def q_varx(spark, d):
+    """M8 + M6 forecast: VARX(1) of (cnt, avg_price) with p1 as exogenous, forecast over the test weeks."""
+    from panelcast.models import var
+
+    tr, te, p, _ = _train_test(spark, d)
+    tr = tr.na.drop()
+    return var.forecast(tr, te.na.fill(0.0), p, ["cnt", "avg_price"], 1, exog=["p1"])
+
+
+@register("q_var_sbs")
+def q_var_sbs(spark, d):
+    """M9 SO2: step-by-step VAR(3) forecast of the target with a refit after every step."""
+    from panelcast.models import var
+
+    tr, te, p, _ = _train_test(spark, d)
+    return var.step_by_step(tr.na.drop(), te.na.fill(0.0), p, ["avg_price", "p1", "cnt"], "cnt", 3)
+
+
+@register("q_var_dw")
+def q_var_dw(spark, d):
+    """AG9 T4: Durbin-Watson of each VAR(2) equation's residuals per nation."""
+    from panelcast.models import var
+    from panelcast.operators import stats
+
+    z, p, _ = scaled_panel(spark, d)
+    z = z.na.drop()
+    c = var.fit(z, p, ["cnt", "avg_price"], 2)
+    r = var.residuals(z, p, c, ["cnt", "avg_price"], 2)
+    dw = stats.durbin_watson(r, p, "resid", by=["equation"])
+    return dw.select("n_name", "equation", F.bround("dw", 2).alias("dw"))
+
+
+@register(
+    "q_diffreg",
+    f"""WITH {_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT *, pos >= n - ceil(0.22 * n) AS is_test FROM pz),
+dd AS (SELECT n_name, cnt - lag(cnt) OVER w AS dy, avg_price - lag(avg_price) OVER w AS dx FROM spl WHERE NOT is_test WINDOW w AS (PARTITION BY n_name ORDER BY t)),
+b AS (SELECT n_name, sum(dx * dy) / sum(dx * dx) AS beta FROM dd WHERE dx IS NOT NULL AND dy IS NOT NULL GROUP BY 1),
+la AS (SELECT n_name, cnt AS yT, avg_price AS xT FROM spl WHERE NOT is_test QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t DESC) = 1)
+SELECT spl.n_name, spl.wk, round(la.yT + (spl.avg_price - la.xT) * b.beta, 4) AS y_pred
+FROM spl JOIN b ON spl.n_name = b.n_name JOIN la ON spl.n_name = la.n_name WHERE spl.is_test""",
+)
+def q_diffreg(spark, d):
+    """First-difference regression on the scaled price; forecast y_T + (x - x_T) beta."""
+    from panelcast.models import seasonal
+
+    tr, te, p, _ = _train_test(spark, d)
+    c = seasonal.diffreg_fit(tr, p, ["avg_price"], "cnt")
+    fc = seasonal.diffreg_forecast(tr, te, p, ["avg_price"], "cnt", c)
+    return fc.select("n_name", "wk", r4("y_pred"))
+
+
+@register("q_arsearch")
+def q_arsearch(spark, d):
+    """Seasonal (52-week) difference, AR order by AIC (p <= 10) with the price as regressor, forecast."""
+    from panelcast.models import seasonal
+
+    tr, te, p, _ = _train_test(spark, d)
+    return seasonal.seasonal_ar_search(tr.na.drop(), te.na.fill(0.0), p, "cnt", ["avg_price"], m=52, max_p=10)
+
+
+@register("q_additive")
+def q_additive(spark, d):
+    """Trend + changepoint hinges + yearly Fourier + price regressor; components and recombination."""
+    from panelcast.models import additive
+
+    tr, te, p, _ = _train_test(spark, d)
+    fc = additive.fit_predict(tr.na.drop(), te, p, "cnt", ["avg_price"])
+    return fc.select("n_name", "wk", "trend", "yearly", "extra_regressors", "yhat", additive.recombine(fc).alias("recombined"))
+
+
+@register("q_negbin")
+def q_negbin(spark, d):
+    """M4 M5: negative binomial IRLS per nation on the raw weekly count, dispersion chosen by test MAE."""
+    from panelcast.models import negbin
+    from panelcast.operators import windows
+
+    df, p = filled_panel(spark, d)
+    df = scale.transform(df, p, scale.fit_scaler(df, p, ["avg_price"]), ["avg_price"]).na.drop(subset=["cnt", "avg_price"])
+    sp = windows.chrono_split(df, p, 0.22)
+    tr, te = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    return negbin.search(tr, te, p, ["avg_price"], "cnt")
+
+
+def _ml_frame(spark, d):
+    tr, te, p, st = _train_test(spark, d)
+    feats = ["avg_price", "p1", "cnt_l1", "cnt_l2"]
+
+    def prep(x):
+        return features.lags(x, p, ["cnt"], 2, fmt="{col}_l{j}").na.drop(subset=[*feats, "cnt"])
+
+    return prep(tr), prep(te), p, feats
+
+
+def _pooled_query(name, override=None):
+    def q(spark, d):
+        from panelcast.models import ml
+
+        tr, te, p, feats = _ml_frame(spark, d)
+        est = override() if override else ml.preset(name, tr.count())
+        m = ml.Pooled(est, feats, "cnt", series_col="n_name").fit(tr)
+        return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
+
+    q.__doc__ = f"M2/M1: pooled {name} on lagged, scaled features; predictions on the test weeks."
+    return q
+
+
+def _forest():
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return RandomForestRegressor(numTrees=100, maxDepth=12, seed=42)
+
+
+def _gbt():
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(maxIter=60, stepSize=0.1, maxDepth=3, seed=42)
+
+
+def _bag():
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return RandomForestRegressor(numTrees=60, bootstrap=False, subsamplingRate=0.9, featureSubsetStrategy="0.7", maxDepth=12, seed=42)
+
+
+register("q_tree")(_pooled_query("DecisionTreeRegressor"))
+register("q_forest")(_pooled_query("RandomForestRegressor", _forest))
+register("q_gbt")(_pooled_query("GradientBoostingRegressor", _gbt))
+register("q_bag")(_pooled_query("BaggingRegressor", _bag))
+register("q_huber")(_pooled_query("HuberRegressor"))
+register("q_sgd")(_pooled_query("SGDRegressor"))
+
+
+@register("q_ada")
+def q_ada(spark, d):
+    """M2f: AdaBoost.R2 (7 rounds, exponential loss, rate 0.01) of weighted depth-3 trees."""
+    from panelcast.models import ml
+
+    tr, te, p, feats = _ml_frame(spark, d)
+    m = ml.AdaBoostR2(feats, "cnt", series_col="n_name").fit(tr)
+    return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
+
+
+@register("q_matrix")
+def q_matrix(spark, d):
+    """M14 M16 AG10 AG2: registry fit of linear + pooled models, long prediction matrix with
+    the ensemble, scored per model."""
+    from panelcast.models import registry
+
+    tr, te, p, feats = _ml_frame(spark, d)
+    fitted = registry.fit_models(tr, p, ["LinearRegression", "ridge", "LassoLars", "ElasticNet", "DecisionTreeRegressor"], feats, "cnt")
+    pm = registry.prediction_matrix(fitted, te, keep=["n_name", "wk", "cnt"])
+    return score.score(pm.withColumnRenamed("cnt", "y"), by=("model",))
+
+
+@register("q_gridsearch")
+def q_gridsearch(spark, d):
+    """3 contiguous folds, ridge alpha grid, mean validation R^2 per nation, best flagged."""
+    from panelcast.models import search
+
+    z, p, _ = scaled_panel(spark, d)
+    z = features.lags(z, p, ["cnt"], 1, fmt="{col}_l{j}").na.drop()
+    return search.grid_linear(z, p, ["avg_price", "cnt_l1"], "cnt", "ridge", [0.1, 1.0, 10.0, 100.0])
+
+
+@register("q_walkforward")
+def q_walkforward(spark, d):
+    """Walk-forward frames (20 %), per-frame OLS, EWM(5) smoothing, un-scaled, mean MAE per nation."""
+    from panelcast.operators import predict
+
+    z, p, st = scaled_panel(spark, d)
+    z = features.lags(z, p, ["cnt"], 1, fmt="{col}_l{j}").na.drop()
+    _, mean = predict.walk_forward(z, p, ["avg_price", "cnt_l1"], "cnt", stats=st)
+    return mean
+
+
+@register("q_granger")
+def q_granger(spark, d):
+    """T1 AG5 AG6: Granger chi-square tests up to lag 12, min p per pair, as a matrix."""
+    from panelcast.operators import stats
+
+    z, p, _ = scaled_panel(spark, d)
+    cols = ["cnt", "avg_price", "p1"]
+    tests = stats.granger(z.na.drop(), p, cols, 12)
+    return stats.granger_matrix(stats.granger_min_p(tests, p), p, cols)
+
+
+@register("q_adf")
+def q_adf(spark, d):
+    """Augmented Dickey-Fuller per nation and column, lag by AIC."""
+    from panelcast.operators import stats
+
+    z, p, _ = scaled_panel(spark, d)
+    return stats.adf(z.na.drop(), p, ["cnt", "avg_price", "p1"])
+
+
+@register("q_johansen")
+def q_johansen(spark, d):
+    """Johansen trace test (no deterministic terms, 5 lagged differences)."""
+    from panelcast.operators import stats
+
+    z, p, _ = scaled_panel(spark, d)
+    return stats.johansen(z.na.drop(), p, ["cnt", "avg_price", "p1"], 5)
+
+
+@register("q_profile")
+def q_profile(spark, d):
+    """T5: histogram, ACF and PACF of each column as one long table."""
+    from panelcast.operators import stats
+
+    df, p = filled_panel(spark, d)
+    return stats.profile(df, p, ["cnt", "avg_price"], 30, 25)

@@ -39,3 +39,51 @@ def matrix(fitted: dict, df: DataFrame, by: Sequence[str], y_pred: str = "y_pred
 def version_average(pred: DataFrame, by: Sequence[str], version: str = "version", y_pred: str = "y_pred") -> DataFrame:
     """Average the predictions of several saved versions of a model."""
     return pred.groupBy(*by).agg(F.avg(y_pred).alias(y_pred), F.count(version).alias("versions"))
+
+
+def walk_forward(
+    df,
+    panel,
+    xcols,
+    y,
+    method: str = "ols",
+    frame_frac: float = 0.2,
+    test_frac: float = 0.3,
+    expanding: bool = False,
+    span: float = 5,
+    stats=None,
+    alpha: float = 1.0,
+):
+    """Walk-forward training with per-frame fits (W11), predictions smoothed
+    with EWM(span) inside each frame's validation rows, optionally un-scaled with
+    scaler statistics, scored per frame (AG2) and averaged (AG3).
+
+    ``expanding`` trains frame f on the training rows of frames <= f (Spark
+    estimators do not resume), else on frame f alone.  Returns (scores, mean).
+    """
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from panelcast.models import linear
+    from panelcast.operators import scale as scl
+    from panelcast.operators import score as scr
+    from panelcast.operators.smooth import ewm
+    from panelcast.operators.windows import frames
+
+    fr = frames(df, panel, frame_frac, test_frac).filter(F.col("frame").isNotNull())
+    train = fr.filter(F.col("part") == "train")
+    if expanding:
+        nfr = fr.groupBy(*panel.keys).agg(F.max("frame").alias("_fmax"))
+        train = train.join(nfr, list(panel.keys)).withColumn(
+            "frame", F.explode(F.sequence(F.col("frame"), F.col("_fmax")))
+        ).drop("_fmax")
+    coefs = linear.fit(train, panel, xcols, y, method=method, alpha=alpha, by=["frame"])
+    test = fr.filter(F.col("part") == "test")
+    pr = linear.predict(test, panel, coefs, xcols, by=["frame"])
+    fpanel = replace(panel, keys=(*panel.keys, "frame"))
+    pr = ewm(pr.select(*fpanel.keys, panel.ts, panel.t, panel.seg, y, "y_pred"), fpanel, ["y_pred"], span)
+    if stats is not None:
+        pr = scl.inverse(pr, panel, stats, {"y_pred": y, y: y})
+    sc = scr.score(pr.withColumnRenamed(y, "y"), by=[*panel.keys, "frame"], digits=None)
+    return sc, scr.mean_score(sc, by=list(panel.keys))

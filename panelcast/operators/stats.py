@@ -137,10 +137,11 @@ def lag_matrix(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int, di
         for j in range(need + 1):
             v = F.lag(c, j).over(w) if j else F.col(c)
             sel.append(F.when(F.col("_pos") >= j, v.cast("double")).otherwise(F.lit(0.0)).alias(f"_lv_{c}_{j}"))
-    d = d.select(*panel.keys, panel.t, panel.seg, "_pos", "_own", *sel).filter("_own").drop("_own")
+    base = [*panel.keys, *([panel.ts] if panel.ts in df.columns else []), panel.t, panel.seg, "_pos"]
+    d = d.select(*base, "_own", *sel).filter("_own").drop("_own")
     if not diff:
-        return d.select(*panel.keys, panel.t, panel.seg, "_pos", *[F.col(f"_lv_{c}_{j}").alias(f"{c}__{j}") for c in cols for j in range(maxlag + 1)])
-    out = [*panel.keys, panel.t, panel.seg, "_pos"]
+        return d.select(*base, *[F.col(f"_lv_{c}_{j}").alias(f"{c}__{j}") for c in cols for j in range(maxlag + 1)])
+    out = base
     exprs = []
     for c in cols:
         for j in range(maxlag + 1):
