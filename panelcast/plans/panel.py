@@ -265,3 +265,32 @@ def with_position(df: DataFrame, panel: Panel, pos: str = "_pos", n: str = "_n")
     d = row_index(df, panel, pos)
     b = df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias(n))
     return attach_series(d, panel, b)
+
+
+def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> DataFrame:
+    """Write the panel once as a table bucketed by (keys, seg) and read it back.
+
+    Every ordered operator partitions by (keys, seg) -- or a refinement of it --
+    and every per-series join is fanned out to (keys, seg), so on the bucketed
+    table they run without shuffling the panel again, and the source scan and
+    aggregation behind the panel are never recomputed by later branches.  The
+    files go to the session's ``spark.checkpoint.dir`` (a shared folder on a
+    cluster), so losing an executor does not lose them.  Rows are first
+    repartitioned with the same hash, so each task writes one file per bucket.
+    """
+    import uuid
+
+    from panelcast.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"panelcast_panel_{uuid.uuid4().hex}"
+    (
+        df.repartition(n, *panel.part)
+        .write.bucketBy(n, *panel.part)
+        .option("path", f"{root}/{name}")
+        .mode("error")
+        .saveAsTable(name)
+    )
+    return spark.table(name)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.plans.panel import Panel, period_start, regularize
+from panelcast.plans.panel import Panel, materialize, period_start, regularize
 from panelcast.sources.tables import read_table
 
 # Order priorities of the orders table, in natural order.
@@ -64,7 +64,7 @@ def orders_weekly(spark: SparkSession, data_dir: str) -> DataFrame:
 def orders_panel(spark: SparkSession, data_dir: str, seg_steps: int | None = None) -> tuple[DataFrame, Panel]:
     """Regular weekly panel per nation: gaps are NULL rows.  Returns (df, panel)."""
     panel = ORDERS_PANEL if seg_steps is None else ORDERS_PANEL.with_segments(seg_steps)
-    return regularize(orders_weekly(spark, data_dir), panel), panel
+    return materialize(regularize(orders_weekly(spark, data_dir), panel), panel), panel
 
 
 def events_hourly(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def events_hourly(spark: SparkSession, data_dir: str) -> DataFrame:
 def events_panel(spark: SparkSession, data_dir: str, seg_steps: int | None = None) -> tuple[DataFrame, Panel]:
     """Regular hourly panel per event type."""
     panel = EVENTS_PANEL if seg_steps is None else EVENTS_PANEL.with_segments(seg_steps)
-    return regularize(events_hourly(spark, data_dir), panel), panel
+    return materialize(regularize(events_hourly(spark, data_dir), panel), panel), panel
