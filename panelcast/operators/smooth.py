@@ -137,7 +137,8 @@ def ewm(
     st = st.select(*panel.keys, "_blk", *state_cols)
     # 4. state entering each block = latest earlier block with data (tiny window over blocks)
     wb = Window.partitionBy(*panel.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = d.select(*panel.keys, panel.seg, "_blk").distinct()
+    # blocks come from the summary (a block lies inside one segment: B divides seg_steps)
+    blocks = summ.select(*panel.keys, "_blk", F.floor(F.col("_blk") * B / F.lit(panel.seg_steps)).cast("long").alias(panel.seg))
     inc = blocks.join(st, [*panel.keys, "_blk"], "left").select(
         *panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(wb).alias(f"_in{i}") for i in range(len(srcs))]
     )
