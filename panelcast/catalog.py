@@ -1167,3 +1167,89 @@ def q_profile(spark, d):
 
     df, p = filled_panel(spark, d)
     return stats.profile(df, p, ["cnt", "avg_price"], 30, 25)
+
+
+# --------------------------------------------------------------------------- end-to-end jobs on the orders panel
+
+
+def _orders_job(spark, d):
+    from panelcast.plans import jobs
+
+    df, p = opanel(spark, d)
+    cfg = jobs.FeatureJob(target="cnt", composites=_COMP_SPEC, replacements={}, drop_raw=False, lags=2, month=True, test_frac=0.22)
+    rows, stats, feats = jobs.feature_job(df, p, cfg)
+    return rows, stats, feats, p
+
+
+@register("q_train_score")
+def q_train_score(spark, d):
+    """Feature job (fill, composites, split, scale, lags, calendar) then fit,
+    predict, smooth, un-scale and score three registry models and their ensemble."""
+    from panelcast.plans import jobs
+
+    rows, stats, feats, p = _orders_job(spark, d)
+    _, sc = jobs.train_and_score(rows, p, feats, "cnt", ["LinearRegression", "ridge", "DecisionTreeRegressor"], stats)
+    return sc
+
+
+@register("q_forecast_job")
+def q_forecast_job(spark, d):
+    """E4 J2 AG7 PR12: three runs of a pooled tree model (seeds differ), smoothed,
+    un-scaled, attached to a template of the test weeks, averaged over runs."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from panelcast.plans import jobs
+
+    rows, stats, feats, p = _orders_job(spark, d)
+    tr, te = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
+    tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
+    return jobs.forecast_runs(
+        tr, te, p, feats, "cnt", tmpl, ["n_name", "wk"], stats, runs=3,
+        estimator_for_run=lambda k: RandomForestRegressor(numTrees=30, maxDepth=8, seed=100 + k),
+    )
+
+
+@register("q_var_job")
+def q_var_job(spark, d):
+    """E5: step-by-step VAR(2) forecast of the weekly count, smoothed, un-scaled,
+    shifted to a zero minimum and truncated into a template."""
+    from panelcast.plans import jobs
+
+    tr, te, p, st = _train_test(spark, d)
+    tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
+    return jobs.var_forecast_job(tr.na.drop(), te.na.fill(0.0), p, ["avg_price", "p1", "cnt"], "cnt", 2, st, tmpl, ["n_name", "wk"])
+
+
+@register("q_sequence_job")
+def q_sequence_job(spark, d):
+    """Two-level (CNN-style) 4-week windows of the scaled panel."""
+    from panelcast.plans import jobs
+
+    z, p, _ = scaled_panel(spark, d)
+    s = jobs.sequence_dataset(z.na.drop(), p, ["cnt", "avg_price", "p1"], "cnt", 4, mode="CNN")
+    return s.select("n_name", "wk", "y", F.concat_ws("|", F.transform("x", _seq_text_spark)).alias("x"))
+
+
+@register("q_plot_table")
+def q_plot_table(spark, d):
+    """Train values, true test values and OLS predictions aligned by week."""
+    from panelcast.models import linear
+    from panelcast.operators import forecast
+
+    tr, te, p, _ = _train_test(spark, d)
+    tr, te = tr.na.drop(), te.na.drop()
+    c = linear.fit(tr, p, ["avg_price"], "cnt")
+    pr = linear.predict(te, p, c, ["avg_price"])
+    return forecast.plot_table(tr, te, pr, ["n_name", "wk"], "cnt")
+
+
+@register("q_extra")
+def q_extra(spark, d):
+    """Extra-trees preset re-aimed as a forest without bootstrap (lighter tree count)."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from panelcast.models import ml
+
+    tr, te, p, feats = _ml_frame(spark, d)
+    m = ml.Pooled(RandomForestRegressor(numTrees=60, bootstrap=False, featureSubsetStrategy="all", maxDepth=12, seed=42), feats, "cnt", series_col="n_name").fit(tr)
+    return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")

@@ -62,3 +62,12 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_single(df: DataFrame, path: str, order: Sequence[str], mode: str = "overwrite") -> None:
     """IO4 + SO3: one ordered CSV file (for small forecast outputs only)."""
     df.orderBy(*order).coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
+def plot_table(train: DataFrame, test: DataFrame, pred: DataFrame, on: Sequence[str], y: str, y_pred: str = "y_pred") -> DataFrame:
+    """Training values, true test values and predictions aligned by key/time,
+    as one long table (on..., series, value) ready for a chart."""
+    a = train.select(*on, F.lit("train").alias("series"), F.col(y).cast("double").alias("value"))
+    b = test.select(*on, F.lit("true").alias("series"), F.col(y).cast("double").alias("value"))
+    c = pred.select(*on, F.lit("predicted").alias("series"), F.col(y_pred).cast("double").alias("value"))
+    return a.unionByName(b).unionByName(c)

@@ -87,3 +87,29 @@ def walk_forward(
         pr = scl.inverse(pr, panel, stats, {"y_pred": y, y: y})
     sc = scr.score(pr.withColumnRenamed(y, "y"), by=[*panel.keys, "frame"], digits=None)
     return sc, scr.mean_score(sc, by=list(panel.keys))
+
+
+def save_versions(models: list, root: str) -> list[str]:
+    """IO6: save fitted pooled models as ``{root}/version={k}``."""
+    paths = []
+    for k, m in enumerate(models):
+        p = f"{root.rstrip('/')}/version={k}"
+        m.save(p)
+        paths.append(p)
+    return paths
+
+
+def average_versions(paths: list[str], df, features, label: str, by, series_col: str | None = None):
+    """Load every saved version, predict ``df`` with each, average per row key."""
+    from pyspark.sql import functions as F
+
+    from panelcast.models.ml import Pooled
+
+    parts = []
+    for k, p in enumerate(paths):
+        m = Pooled.load(p, features, label, series_col)
+        parts.append(m.transform(df).select(*by, F.lit(k).alias("version"), F.col("y_pred")))
+    allv = parts[0]
+    for x in parts[1:]:
+        allv = allv.unionByName(x)
+    return version_average(allv, by)

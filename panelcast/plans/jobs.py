@@ -152,3 +152,22 @@ def sequence_dataset(d: DataFrame, panel: Panel, feats: Sequence[str], target: s
     if path:
         s.write.mode("overwrite").parquet(path)
     return s
+
+
+def var_forecast_job(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], target: str, lag: int, stats: DataFrame | None, template: DataFrame | None = None, template_keys: Sequence[str] = (), span: float = 5) -> DataFrame:
+    """E5: step-by-step VAR (M9), EWM(span) smoothing, un-scaling, shift to a zero
+    minimum (PR14), attached to a template and truncated (J2, PR12) when given."""
+    from panelcast.models import var
+    from panelcast.operators import forecast
+    from panelcast.plans.panel import seg_of, step_of
+
+    pr = var.step_by_step(train, test, panel, cols, target, lag)
+    pr = pr.withColumn(panel.t, step_of(panel.ts, panel.freq)).withColumn(panel.seg, seg_of(panel.t, panel.seg_steps))
+    pr = materialize(pr, panel)  # the recursion runs once; later steps read its output
+    pr = smooth.ewm(pr, panel, ["y_pred"], span)
+    if stats is not None:
+        pr = scale.inverse(pr, panel, stats, {"y_pred": target, "y": target})
+    pr = clean.shift_to_zero_min(pr, panel, ["y_pred"])
+    if template is None:
+        return pr
+    return forecast.attach(template, pr, list(template_keys))

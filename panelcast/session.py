@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # size of the statistics side at runtime and broadcasts it only below this.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
+    # Wide feature sets (many lagged columns behind not-null filters) make
+    # constraint propagation grow combinatorially in the optimizer.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
