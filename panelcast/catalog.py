@@ -1253,3 +1253,30 @@ def q_extra(spark, d):
     tr, te, p, feats = _ml_frame(spark, d)
     m = ml.Pooled(RandomForestRegressor(numTrees=60, bootstrap=False, featureSubsetStrategy="all", maxDepth=12, seed=42), feats, "cnt", series_col="n_name").fit(tr)
     return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
+
+
+@register(
+    "q_knn",
+    f"""WITH {_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n
+  FROM zp WHERE cnt IS NOT NULL AND avg_price IS NOT NULL AND p1 IS NOT NULL),
+tr AS (SELECT * FROM pz WHERE pos < n - ceil(0.22 * n)),
+te AS (SELECT * FROM pz WHERE pos >= n - ceil(0.22 * n)),
+pairs AS (SELECT te.n_name, te.wk, tr.cnt AS y,
+  row_number() OVER (PARTITION BY te.n_name, te.wk ORDER BY
+    (te.avg_price - tr.avg_price) * (te.avg_price - tr.avg_price) + (te.p1 - tr.p1) * (te.p1 - tr.p1), tr.wk) AS rk
+  FROM te JOIN tr ON te.n_name = tr.n_name)
+SELECT n_name, wk, round(avg(y), 4) AS y_pred FROM pairs WHERE rk <= 20 GROUP BY 1, 2""",
+)
+def q_knn(spark, d):
+    """M3: mean of the 20 nearest training weeks (scaled price, priority-1 price), exact grid search."""
+    from panelcast.models import knn
+
+    z, p, _ = scaled_panel(spark, d)
+    z = z.na.drop(subset=["cnt", "avg_price", "p1"])
+    from panelcast.operators import windows
+
+    sp = windows.chrono_split(z, p, 0.22)
+    tr, te = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    pr = knn.knn_regress(tr, te, ["n_name"], "wk", ["avg_price", "p1"], "cnt", k=20)
+    return pr.select("n_name", "wk", r4("y_pred"))

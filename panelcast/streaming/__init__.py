@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The reference reads whole files and has no streams, watermarks or stateful
+operators, so this package holds no operator.  Panels arriving over time are
+handled by re-running the batch panel build on the new files; every operator
+here is a batch DataFrame transformation.
+"""

@@ -143,3 +143,32 @@ def test_diffreg(spark):
     c = seasonal.diffreg_fit(df, p, ["x1"], "v").collect()[0]
     dy, dx = np.diff(y), np.diff(x1)
     assert abs(c.coef[0] - (dx * dy).sum() / (dx * dx).sum()) < 1e-10 and c.intercept == 0.0
+
+
+def test_knn_exact_against_brute_force(spark):
+    from panelcast.models import knn
+
+    rng = np.random.default_rng(8)
+    rows_tr, rows_q = [], []
+    for s, n in (("a", 300), ("b", 40), ("c", 7)):
+        pts = rng.normal(size=(n, 3)) * [1.0, 3.0, 0.5]
+        pts[: n // 5] = pts[0]  # a block of exact duplicates
+        for i, p_ in enumerate(pts):
+            rows_tr.append((s, i, *map(float, p_), float(rng.integers(0, 50))))
+        for i, q_ in enumerate(rng.normal(size=(25, 3)) * [1.5, 3.0, 0.5] + [4.0 if s == "a" else 0.0, 0, 0]):
+            rows_q.append((s, 1000 + i, *map(float, q_)))
+    tr = spark.createDataFrame(rows_tr, "k string, t int, f1 double, f2 double, f3 double, y double")
+    q = spark.createDataFrame(rows_q, "k string, t int, f1 double, f2 double, f3 double")
+    for grid_dims in (2, 3):
+        got = {(r.k, r.t): r.y_pred for r in knn.knn_regress(tr, q, ["k"], "t", ["f1", "f2", "f3"], "y", k=20, grid_dims=grid_dims).collect()}
+        assert len(got) == len(rows_q)
+        for s in ("a", "b", "c"):
+            T = np.array([r[2:5] for r in rows_tr if r[0] == s])
+            Y = np.array([r[5] for r in rows_tr if r[0] == s])
+            tt = np.array([r[1] for r in rows_tr if r[0] == s])
+            for r in rows_q:
+                if r[0] != s:
+                    continue
+                d2 = ((T - np.array(r[2:5])) ** 2).sum(1)
+                order = np.lexsort((tt, d2))[:20]
+                assert abs(got[(s, r[1])] - Y[order].mean()) < 1e-9
