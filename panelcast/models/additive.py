@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.stats import cross_products
+from panelcast.operators.stats import cross_products, gram
 from panelcast.plans.panel import Panel, attach_series
 
 YEAR_DAYS = 365.25
@@ -77,7 +77,7 @@ def fit_predict(
         for pdf in it:
             rows = []
             for _, r in pdf.iterrows():
-                G = np.asarray(r["g"], dtype=float).reshape(D, D)
+                G = gram(r["g"], D)
                 A = G[:-1, :-1] + np.diag(pen)
                 b = np.linalg.lstsq(A, G[:-1, -1], rcond=None)[0]
                 rows.append((*[r[k] for k in keys], [float(v) for v in b]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.stats import cross_products
+from panelcast.operators.stats import cross_products, gram
 from panelcast.plans.panel import Panel, attach_series
 
 METHODS = ("ols", "ridge", "lasso", "enet")
@@ -101,7 +101,7 @@ def fit(
         for pdf in it:
             rows = []
             for _, r in pdf.iterrows():
-                G = np.asarray(r["g"], dtype=float).reshape(D, D)
+                G = gram(r["g"], D)
                 b, w = solve_gram(G, float(r["n"]), method, alpha, l1_ratio, intercept)
                 rows.append((*[r[k] for k in keys], float(b), [float(v) for v in w], int(r["n"])))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])

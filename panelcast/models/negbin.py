@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.stats import cross_products
+from panelcast.operators.stats import cross_products, gram
 from panelcast.plans.panel import Panel, attach_series
 from panelcast.session import ensure_checkpoint_dir
 
@@ -58,7 +58,7 @@ def fit(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, alphas: Seque
         for pdf in it:
             rows = []
             for _, r in pdf.iterrows():
-                G = np.asarray(r["g"], dtype=float).reshape(D, D)
+                G = gram(r["g"], D)
                 b = np.linalg.lstsq(G[:-1, :-1], G[:-1, -1], rcond=None)[0]
                 rows.append((*[r[k] for k in keys], float(r["alpha"]), [float(v) for v in b]))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.models.linear import solve_gram
-from panelcast.operators.stats import cross_products
+from panelcast.operators.stats import cross_products, gram
 from panelcast.plans.panel import Panel, with_position
 
 
@@ -53,7 +53,7 @@ def grid_linear(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, metho
     schema = T.StructType([*[df.schema[c] for c in keys], T.StructField("alpha", T.DoubleType()), T.StructField("mean_r2", T.DoubleType()), T.StructField("best", T.BooleanType())])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        Gf = {int(f): np.asarray(g, dtype=float).reshape(D, D) for f, g in zip(pdf["fold"], pdf["g"])}
+        Gf = {int(f): gram(g, D) for f, g in zip(pdf["fold"], pdf["g"])}
         Nf = {int(f): float(n) for f, n in zip(pdf["fold"], pdf["n"])}
         Gt, Nt = sum(Gf.values()), sum(Nf.values())
         kv = [pdf[c].iloc[0] for c in keys]

@@ -154,29 +154,40 @@ def lag_matrix(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int, di
 
 
 def cross_products(df: DataFrame, group_cols: Sequence[str], zcols: Sequence[str]) -> DataFrame:
-    """Per group: ``n`` and ``g`` = row-major ``Z'Z`` of the ``zcols`` (rows with a NULL skipped).
-
-    Partial products per Arrow batch (numpy), then an element-wise sum by a
-    ``groupBy`` with map-side combine; no group is ever gathered in one place.
+    """Per group: ``n`` and ``g`` = packed upper triangle of ``Z'Z`` over the
+    ``zcols`` (rows with a NULL skipped); unpack with :func:`gram`.
+
+    Each task accumulates its rows per group with numpy (one partial matrix per
+    group and task), the partial triangles are exploded and summed by a
+    ``groupBy`` with map-side combine, and only the summed triangle per group is
+    gathered -- a group spread over many tasks (a hot series) never lands whole
+    in one place.
     """
     group_cols = list(group_cols)
-    zc = [f"_z{i}" for i in range(len(zcols))]
+    D = len(zcols)
+    iu = np.triu_indices(D)
+    zc = [f"_z{i}" for i in range(D)]
     sel = df.select(*group_cols, *[F.col(c).cast("double").alias(z) for c, z in zip(zcols, zc)])
     schema = T.StructType([*_key_fields(sel, group_cols), T.StructField("n", T.LongType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
     def part(it):
+        acc: dict = {}
         for pdf in it:
-            if pdf.empty:
-                continue
             pdf = pdf.dropna(subset=zc)
             if pdf.empty:
                 continue
             Z = pdf[zc].to_numpy(dtype=float)
-            rows = []
             for key, idx in pdf.groupby(group_cols, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 zz = Z[idx]
-                rows.append((*key, len(idx), (zz.T @ zz).ravel().tolist()))
+                cur = acc.get(key)
+                if cur is None:
+                    acc[key] = [len(idx), zz.T @ zz]
+                else:
+                    cur[0] += len(idx)
+                    cur[1] += zz.T @ zz
+        if acc:
+            rows = [(*k, n, G[iu].tolist()) for k, (n, G) in acc.items()]
             yield pd.DataFrame(rows, columns=[*group_cols, "n", "g"])
 
     partial = sel.mapInPandas(part, schema)
@@ -188,12 +199,20 @@ def cross_products(df: DataFrame, group_cols: Sequence[str], zcols: Sequence[str
     )
 
 
+def gram(g, D: int) -> np.ndarray:
+    """Full symmetric ``D x D`` matrix from the packed upper triangle of :func:`cross_products`."""
+    G = np.zeros((D, D))
+    iu = np.triu_indices(D)
+    G[iu] = np.asarray(g, dtype=float)
+    return G + np.triu(G, 1).T
+
+
 def _stack(pdf: pd.DataFrame, D: int, maxb: int) -> np.ndarray:
     """Per-bucket matrices -> array [maxb+1, D, D] of sums over buckets >= b."""
     G = np.zeros((maxb + 2, D, D))
     N = np.zeros(maxb + 2)
     for b, g, n in zip(pdf["_b"], pdf["g"], pdf["n"]):
-        G[int(b)] += np.asarray(g, dtype=float).reshape(D, D)
+        G[int(b)] += gram(g, D)
         N[int(b)] += n
     return np.cumsum(G[::-1], axis=0)[::-1], np.cumsum(N[::-1])[::-1]
 
