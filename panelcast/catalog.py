@@ -580,7 +580,7 @@ def q_tail_split(spark, d):
     "q_frames",
     f"""WITH {_POS_SQL},
 fs AS (SELECT *, floor(n * 0.2) AS size FROM ps),
-fr AS (SELECT *, round_even(n / size, 0) AS nfr, floor(pos / size) AS f FROM fs),
+fr AS (SELECT *, round_even(n / nullif(size, 0), 0) AS nfr, floor(pos / nullif(size, 0)) AS f FROM fs),
 fa AS (SELECT *, CASE WHEN f < nfr THEN CAST(f AS BIGINT) END AS frame FROM fr),
 fb AS (SELECT *, least(size, n - frame * size) AS flen FROM fa)
 SELECT n_name, wk, frame,
@@ -606,7 +606,7 @@ c AS (SELECT fp.n_name, fp.t, fp.avg_price - m.mu AS x FROM fp JOIN m ON fp.n_na
 pr AS (SELECT a.n_name, a.t - b.t AS lag, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.n_name = b.n_name AND a.t - b.t BETWEEN 0 AND {_ACF_L}
   WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2),
 z AS (SELECT n_name, s AS s0 FROM pr WHERE lag = 0)
-SELECT pr.n_name, 'avg_price' AS "column", CAST(pr.lag AS INTEGER) AS lag, round(pr.s / z.s0, 4) AS acf FROM pr JOIN z ON pr.n_name = z.n_name""",
+SELECT pr.n_name, 'avg_price' AS "column", CAST(pr.lag AS INTEGER) AS lag, round(pr.s / nullif(z.s0, 0), 4) AS acf FROM pr JOIN z ON pr.n_name = z.n_name""",
 )
 def q_acf(spark, d):
     """Autocorrelation of the filled price, lags 0..30."""
@@ -652,7 +652,7 @@ def q_hist(spark, d):
     f"""WITH {_NAIVE_SQL},
 r AS (SELECT p.n_name, p.model, t, y - y_pred AS e FROM pred p JOIN panel ON p.n_name = panel.n_name AND p.wk = panel.wk),
 l AS (SELECT *, lag(e, 1) OVER (PARTITION BY n_name, model ORDER BY t) AS pe FROM r)
-SELECT n_name, model, round(sum((e - pe) * (e - pe)) / sum(e * e), 4) AS dw FROM l GROUP BY 1, 2""",
+SELECT n_name, model, round(sum((e - pe) * (e - pe)) / nullif(sum(e * e), 0), 4) AS dw FROM l GROUP BY 1, 2""",
 )
 def q_dw(spark, d):
     """AG9 T4: Durbin-Watson of each simple predictor's residuals per nation."""
@@ -898,16 +898,16 @@ def _linear_query(method, alpha=1.0, l1_ratio=0.5):
     return q
 
 
-register("q_ols1", _one_reg_sql("sxy / sxx"))(_linear_query("ols"))
+register("q_ols1", _one_reg_sql("CASE WHEN sxx = 0 THEN 0 ELSE sxy / sxx END"))(_linear_query("ols"))
 register("q_ridge", _one_reg_sql("sxy / (sxx + 1.0)"))(_linear_query("ridge", 1.0))
-register("q_lasso", _one_reg_sql("sign(sxy) * greatest(abs(sxy) - n * 0.1, 0) / sxx"))(_linear_query("lasso", 0.1))
+register("q_lasso", _one_reg_sql("CASE WHEN sxx = 0 THEN 0 ELSE sign(sxy) * greatest(abs(sxy) - n * 0.1, 0) / sxx END"))(_linear_query("lasso", 0.1))
 register("q_enet", _one_reg_sql("sign(sxy) * greatest(abs(sxy) - n * 0.1 * 0.5, 0) / (sxx + n * 0.1 * 0.5)"))(_linear_query("enet", 0.1, 0.5))
 
 
 @register(
     "q_ols_predict",
     f"""WITH {_SCALED_SQL},
-w AS (SELECT n_name, mx, my, sxy / sxx AS w FROM mom)
+w AS (SELECT n_name, mx, my, CASE WHEN sxx = 0 THEN 0 ELSE sxy / sxx END AS w FROM mom)
 SELECT zp.n_name, zp.wk, round(zp.cnt, 4) AS y, round((w.my - w.w * w.mx) + w.w * zp.avg_price, 4) AS y_pred
 FROM zp JOIN w ON zp.n_name = w.n_name""",
 )
@@ -924,8 +924,11 @@ def q_ols_predict(spark, d):
 @register(
     "q_var1",
     f"""WITH {_SCALED_SQL},
-l AS (SELECT n_name, cnt, lag(cnt, 1) OVER (PARTITION BY n_name ORDER BY t) AS c1 FROM zp)
-SELECT n_name, 'cnt' AS equation, round(regr_intercept(cnt, c1), 4) AS intercept, round(regr_slope(cnt, c1), 4) AS slope FROM l GROUP BY 1""",
+l AS (SELECT n_name, cnt, lag(cnt, 1) OVER (PARTITION BY n_name ORDER BY t) AS c1 FROM zp),
+l2 AS (SELECT * FROM l WHERE cnt IS NOT NULL AND c1 IS NOT NULL)
+SELECT n_name, 'cnt' AS equation,
+  round(CASE WHEN var_pop(c1) = 0 THEN avg(cnt) ELSE regr_intercept(cnt, c1) END, 4) AS intercept,
+  round(CASE WHEN var_pop(c1) = 0 THEN 0 ELSE regr_slope(cnt, c1) END, 4) AS slope FROM l2 GROUP BY 1""",
 )
 def q_var1(spark, d):
     """M6 with one variable: AR(1) with a constant per nation on the scaled target."""

@@ -102,5 +102,5 @@ def fit_predict(
 
 def recombine(df: DataFrame, additive: str | None = None) -> Column:
     """``yhat/trend + yearly + extra_regressors (+ additive)`` for the series that use it."""
-    e = F.col("yhat") / F.col("trend") + F.col("yearly") + F.col("extra_regressors")
+    e = F.try_divide(F.col("yhat"), F.col("trend")) + F.col("yearly") + F.col("extra_regressors")
     return e + F.col(additive) if additive else e

@@ -70,7 +70,7 @@ def fit(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, alphas: Seque
             cur = base.join(coefs, grp).withColumn("_mu", F.exp(_eta(xcols))).drop("_b")
         mu = F.col("_mu")
         w = mu / (1 + F.col("alpha") * mu)
-        zw = F.log(mu) + (F.col("_y") - mu) / mu
+        zw = F.log(mu) + F.try_divide(F.col("_y") - mu, mu)
         sw = F.sqrt(w)
         wz = cur.select(*grp, (sw).alias("_c0"), *[(sw * F.col(x)).alias(f"_c{i + 1}") for i, x in enumerate(xcols)], (sw * zw).alias("_cz"))
         cp = cross_products(wz, grp, ["_c0", *[f"_c{i + 1}" for i in range(len(xcols))], "_cz"])

@@ -81,7 +81,7 @@ def acf(df: DataFrame, panel: Panel, cols: Sequence[str], nlags: int = 30) -> Da
     sums = d.groupBy(*panel.keys).agg(*[F.sum(f"_p_{i}_{k}").alias(f"_s_{i}_{k}") for i in range(len(cols)) for k in range(nlags + 1)])
     entries = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), (F.col(f"_s_{i}_{k}") / F.col(f"_s_{i}_0")).alias("acf"))
+            F.struct(F.lit(c).alias("column"), F.lit(k).alias("lag"), F.try_divide(F.col(f"_s_{i}_{k}"), F.col(f"_s_{i}_0")).alias("acf"))
             for i, c in enumerate(cols)
             for k in range(nlags + 1)
         ]
@@ -115,7 +115,7 @@ def durbin_watson(df: DataFrame, panel: Panel, resid: str, by: Sequence[str] = (
         F.sum((F.col(resid) - F.col("_prev")) * (F.col(resid) - F.col("_prev"))).alias("_num"),
         F.sum(F.col(resid) * F.col(resid)).alias("_den"),
     )
-    return g.select(*sub.keys, (F.col("_num") / F.col("_den")).alias("dw"))
+    return g.select(*sub.keys, F.try_divide(F.col("_num"), F.col("_den")).alias("dw"))
 
 
 # --------------------------------------------------------------------------- cross-product core

@@ -81,8 +81,8 @@ def frames(df: DataFrame, panel: Panel, frame_frac: float, test_frac: float = 0.
     """
     d = with_position(df, panel)
     size = F.floor(F.col("_n") * F.lit(frame_frac))
-    nfr = F.bround(F.col("_n") / size, 0)
-    fr = F.floor(F.col("_pos") / size)
+    nfr = F.bround(F.try_divide(F.col("_n"), size), 0)
+    fr = F.floor(F.try_divide(F.col("_pos"), size))
     d = d.withColumn("frame", F.when(fr < nfr, fr.cast("long")))
     start = F.col("frame") * size
     flen = F.least(size, F.col("_n") - start)
