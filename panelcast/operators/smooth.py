@@ -90,7 +90,7 @@ def ewm(
 
     # 2. one summary row per block: sums decayed to the block's last step
     down = F.pow(F.lit(r), F.lit(B - 1) - F.col("_a"))
-    summ = d.groupBy(*panel.keys, "_blk").agg(
+    summ = d.groupBy(*panel.keys, panel.seg, "_blk").agg(
         *[
             x
             for i, s in enumerate(srcs)
@@ -127,7 +127,7 @@ def ewm(
         .withColumnRenamed("_tgt", "_blk")
     )
     # keep the state only where the block itself saw data for that column
-    st = summ.join(full, [*panel.keys, "_blk"], "inner")
+    st = summ.drop(panel.seg).join(full, [*panel.keys, "_blk"], "inner")
     state_cols = []
     for i in range(len(srcs)):
         ok = F.col(f"_W{i}") > 0
@@ -138,15 +138,20 @@ def ewm(
     # 4. state entering each block = latest earlier block with data (tiny window over blocks)
     wb = Window.partitionBy(*panel.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     # blocks come from the summary (a block lies inside one segment: B divides seg_steps)
-    blocks = summ.select(*panel.keys, "_blk", F.floor(F.col("_blk") * B / F.lit(panel.seg_steps)).cast("long").alias(panel.seg))
+    blocks = summ.select(*panel.keys, "_blk", panel.seg)
     inc = blocks.join(st, [*panel.keys, "_blk"], "left").select(
         *panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(wb).alias(f"_in{i}") for i in range(len(srcs))]
     )
-    out = local.join(inc, [*panel.keys, panel.seg, "_blk"], "left")
+    # one row per (series, segment) holding its blocks' states, so the join runs
+    # on exactly the panel's bucket columns and the panel side is not shuffled
+    inc_m = inc.groupBy(*panel.keys, panel.seg).agg(
+        F.map_from_entries(F.collect_list(F.struct("_blk", F.struct(*[F.col(f"_in{i}") for i in range(len(srcs))])))).alias("_incm")
+    )
+    out = local.join(inc_m, panel.part, "left").withColumn("_inb", F.element_at(F.col("_incm"), F.col("_blk"))).drop("_incm")
     res = {}
     for i, (s, o) in enumerate(mapping.items()):
         ra = F.pow(F.lit(r), F.col("_a") - F.coalesce(F.col(f"_a0{i}"), F.col("_a")))
-        st_in = F.col(f"_in{i}")
+        st_in = F.col("_inb")[f"_in{i}"]
         gap = t - (st_in["b"] * B + (B - 1))
         dec = F.coalesce(F.exp(gap * F.lit(lnr) + st_in["lw"]), F.lit(0.0))
         sv, sw = F.coalesce(F.col(f"_sv{i}"), F.lit(0.0)), F.coalesce(F.col(f"_sw{i}"), F.lit(0.0))

@@ -28,6 +28,9 @@ from panelcast.functions.distributions import adf_critical, adf_pvalue, chi2_sf,
 from panelcast.plans.panel import Panel, attach_series, with_halo, with_position
 
 
+_PARTIAL_BYTES = 64 << 20
+
+
 def _key_fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in cols]
 
@@ -170,8 +173,17 @@ def cross_products(df: DataFrame, group_cols: Sequence[str], zcols: Sequence[str
     sel = df.select(*group_cols, *[F.col(c).cast("double").alias(z) for c, z in zip(zcols, zc)])
     schema = T.StructType([*_key_fields(sel, group_cols), T.StructField("n", T.LongType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
+    # partial matrices kept per task before they are emitted (memory bound)
+    max_groups = max(1, _PARTIAL_BYTES // (8 * D * D))
+
     def part(it):
         acc: dict = {}
+
+        def flush():
+            rows = [(*k, n, G[iu].tolist()) for k, (n, G) in acc.items()]
+            acc.clear()
+            return pd.DataFrame(rows, columns=[*group_cols, "n", "g"])
+
         for pdf in it:
             pdf = pdf.dropna(subset=zc)
             if pdf.empty:
@@ -186,9 +198,10 @@ def cross_products(df: DataFrame, group_cols: Sequence[str], zcols: Sequence[str
                 else:
                     cur[0] += len(idx)
                     cur[1] += zz.T @ zz
+            if len(acc) >= max_groups:
+                yield flush()
         if acc:
-            rows = [(*k, n, G[iu].tolist()) for k, (n, G) in acc.items()]
-            yield pd.DataFrame(rows, columns=[*group_cols, "n", "g"])
+            yield flush()
 
     partial = sel.mapInPandas(part, schema)
     ex = partial.select(*group_cols, "n", F.posexplode("g").alias("i", "v"))
