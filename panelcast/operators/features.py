@@ -3,9 +3,10 @@
 E2 composites, PR4 feature groups, PR7 row mean, PR8 offset alignment, PR10
 calendar, PR11 row index, W4 lags, W5 differences, W6 inverse difference.
 
-Lags and differences look back a bounded number of steps, so they run inside
-(series, segment) windows with a halo of that many steps; running sums and row
-positions use a per-segment carry (see :mod:`panelcast.plans.panel`).
+Lags and differences look back a bounded number of steps: inside a (series,
+segment) window a ``lag``, across the border a lookup in the previous segment's
+tail; running sums and row positions use a per-segment carry (see
+:mod:`panelcast.plans.panel`).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.smooth import ewm
-from panelcast.plans.panel import Panel, attach_series, row_index, seg_carry_sum, with_halo, with_position
+from panelcast.plans.panel import Panel, attach_series, row_index, seg_carry_sum, with_lag_cols, with_position
 
 # Column names of the weekly climate feature table and its
 # feature groups, in the order the feature table lists them.
@@ -130,21 +131,16 @@ def composites(df: DataFrame, panel: Panel, spec: Sequence[Composite]) -> DataFr
 
 
 def lags(df: DataFrame, panel: Panel, cols: Sequence[str], max_lag: int, fmt: str = "{col}_{j}_week_back") -> DataFrame:
-    """``lag(c, j)`` for j in 1..max_lag as new columns (one window pass with a halo)."""
+    """``lag(c, j)`` for j in 1..max_lag as new columns (one window pass, no shuffle)."""
     if max_lag < 1:
         return df
-    d = with_halo(df, panel, max_lag)
-    w = panel.window()
-    new = [F.lag(c, j).over(w).alias(fmt.format(col=c, j=j)) for j in range(1, max_lag + 1) for c in cols]
-    return d.select(*df.columns, *new, "_own").filter("_own").drop("_own")
+    return with_lag_cols(df, panel, cols, range(1, max_lag + 1), fmt)
 
 
 def diff(df: DataFrame, panel: Panel, cols: Sequence[str], k: int = 1) -> DataFrame:
     """``c - lag(c, k)`` in place."""
-    d = with_halo(df, panel, k)
-    w = panel.window()
-    sel = [(F.col(c) - F.lag(c, k).over(w)).alias(c) if c in cols else F.col(c) for c in df.columns]
-    return d.select(*sel, "_own").filter("_own").drop("_own")
+    d = with_lag_cols(df, panel, cols, [k], fmt="_lag_{col}")
+    return d.select(*[(F.col(c) - F.col(f"_lag_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def cumsum(df: DataFrame, panel: Panel, cols: Sequence[str], suffix: str = "") -> DataFrame:

@@ -147,7 +147,7 @@ def ewm(
     inc_m = inc.groupBy(*panel.keys, panel.seg).agg(
         F.map_from_entries(F.collect_list(F.struct("_blk", F.struct(*[F.col(f"_in{i}") for i in range(len(srcs))])))).alias("_incm")
     )
-    out = local.join(inc_m, panel.part, "left").withColumn("_inb", F.element_at(F.col("_incm"), F.col("_blk"))).drop("_incm")
+    out = local.join(inc_m, panel.part, "left").withColumn("_inb", F.try_element_at(F.col("_incm"), F.col("_blk"))).drop("_incm")
     res = {}
     for i, (s, o) in enumerate(mapping.items()):
         ra = F.pow(F.lit(r), F.col("_a") - F.coalesce(F.col(f"_a0{i}"), F.col("_a")))

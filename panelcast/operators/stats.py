@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.distributions import adf_critical, adf_pvalue, chi2_sf, durbin_levinson, johansen_crit
-from panelcast.plans.panel import Panel, attach_series, with_halo, with_position
+from panelcast.plans.panel import Panel, attach_series, with_lag_cols, with_position
 
 
 _PARTIAL_BYTES = 64 << 20
@@ -73,14 +73,13 @@ def acf(df: DataFrame, panel: Panel, cols: Sequence[str], nlags: int = 30) -> Da
     st = df.groupBy(*panel.keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     d = attach_series(df, panel, st)
     d = d.select(*panel.keys, panel.t, panel.seg, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
-    d = with_halo(d, panel, nlags)
-    w = panel.window()
+    d = with_lag_cols(d, panel, cols, range(1, nlags + 1), fmt="_l_{col}_{j}")
     prods = [
-        (F.col(c) * (F.lag(c, k).over(w) if k else F.col(c))).alias(f"_p_{i}_{k}")
+        (F.col(c) * (F.col(f"_l_{c}_{k}") if k else F.col(c))).alias(f"_p_{i}_{k}")
         for i, c in enumerate(cols)
         for k in range(nlags + 1)
     ]
-    d = d.select(*panel.keys, "_own", *prods).filter("_own")
+    d = d.select(*panel.keys, *prods)
     sums = d.groupBy(*panel.keys).agg(*[F.sum(f"_p_{i}_{k}").alias(f"_s_{i}_{k}") for i in range(len(cols)) for k in range(nlags + 1)])
     entries = F.array(
         *[
@@ -112,8 +111,7 @@ def pacf(acf_df: DataFrame, panel: Panel) -> DataFrame:
 def durbin_watson(df: DataFrame, panel: Panel, resid: str, by: Sequence[str] = ()) -> DataFrame:
     """AG9: ``sum((e_t - e_{t-1})^2) / sum(e_t^2)`` per series (and ``by`` group)."""
     sub = Panel(keys=(*panel.keys, *by), ts=panel.ts, freq=panel.freq, t=panel.t, seg=panel.seg, seg_steps=panel.seg_steps)
-    d = with_halo(df.select(*sub.keys, panel.t, panel.seg, resid), sub, 1)
-    d = d.select("*", F.lag(resid, 1).over(sub.window()).alias("_prev")).filter("_own")
+    d = with_lag_cols(df.select(*sub.keys, panel.t, panel.seg, resid), sub, [resid], [1], fmt="_prev")
     g = d.groupBy(*sub.keys).agg(
         F.sum((F.col(resid) - F.col("_prev")) * (F.col(resid) - F.col("_prev"))).alias("_num"),
         F.sum(F.col(resid) * F.col(resid)).alias("_den"),
@@ -133,15 +131,14 @@ def lag_matrix(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int, di
     """
     d = with_position(df, panel)
     need = maxlag + (1 if diff else 0)
-    d = with_halo(d, panel, need)
-    w = panel.window()
+    d = with_lag_cols(d, panel, cols, range(1, need + 1), fmt="_raw_{col}_{j}")
     sel = []
     for c in cols:
         for j in range(need + 1):
-            v = F.lag(c, j).over(w) if j else F.col(c)
+            v = F.col(f"_raw_{c}_{j}") if j else F.col(c)
             sel.append(F.when(F.col("_pos") >= j, v.cast("double")).otherwise(F.lit(0.0)).alias(f"_lv_{c}_{j}"))
     base = [*panel.keys, *([panel.ts] if panel.ts in df.columns else []), panel.t, panel.seg, "_pos"]
-    d = d.select(*base, "_own", *sel).filter("_own").drop("_own")
+    d = d.select(*base, *sel)
     if not diff:
         return d.select(*base, *[F.col(f"_lv_{c}_{j}").alias(f"{c}__{j}") for c in cols for j in range(maxlag + 1)])
     out = base

@@ -3,7 +3,8 @@
 W7 sequences, W8 two-level reshape, W9 chronological split, W10 tail
 validation, W11 contiguous frames, W12 remainder frame.
 
-Sequences look back ``n - 1`` steps, so they use a halo; splits and frames
+Sequences look back ``n - 1`` steps: inside a segment a window, across the
+border the previous segment's tail (no shuffle of the panel); splits and frames
 need each row's position and its series length, both computed with per-segment
 carries and per-series counts (never a whole series in one task).
 """
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.plans.panel import Panel, with_halo, with_position
+from panelcast.plans.panel import Panel, with_position, with_tail
 
 
 def sequences(
@@ -36,11 +37,21 @@ def sequences(
     """
     if n_steps < 1:
         raise ValueError("n_steps must be >= 1")
-    d = with_halo(df, panel, n_steps - 1)
-    w = panel.window().rowsBetween(-(n_steps - 1), Window.currentRow)
+    h = n_steps - 1
     row = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    d = d.select(*panel.keys, panel.ts, panel.t, panel.seg, "_own", F.collect_list(row).over(w).alias(x), F.col(target).cast("double").alias(y))
-    return d.filter(F.col("_own") & (F.size(x) == n_steps)).drop("_own")
+    w = panel.window().rowsBetween(-h, Window.currentRow)
+    inside = F.collect_list(row).over(w)
+    if h:
+        # steps before the segment start come from the previous segment's tail
+        d = with_tail(df, panel, row, h)
+        t, start = F.col(panel.t), F.col(panel.seg) * F.lit(panel.seg_steps)
+        steps = F.when(t - h < start, F.sequence(t - h, start - 1)).otherwise(F.array().cast("array<bigint>"))
+        prefix = F.filter(F.transform(steps, lambda k: F.try_element_at(F.col("_tail"), k)), lambda e: e.isNotNull())
+        win = F.concat(prefix, inside)
+    else:
+        d, win = df, inside
+    d = d.select(*panel.keys, panel.ts, panel.t, panel.seg, win.alias(x), F.col(target).cast("double").alias(y))
+    return d.filter(F.size(x) == n_steps)
 
 
 def split_halves(df: DataFrame, x: str, n_steps: int, unit_axis: bool = False, out: str | None = None) -> DataFrame:

@@ -294,3 +294,45 @@ def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> Data
         .saveAsTable(name)
     )
     return spark.table(name)
+
+
+# --------------------------------------------------------------------------- boundary look-back without a shuffle
+
+
+def with_tail(df: DataFrame, panel: Panel, value: Column, h: int, name: str = "_tail") -> DataFrame:
+    """Attach to every row a map ``t -> value`` of the last ``h`` steps of the
+    previous segment of its series.
+
+    Only rows within ``h`` steps of a segment's end are read into the maps
+    (``h / seg_steps`` of the data); the join is on exactly (keys, seg), so on a
+    panel bucketed by those columns the panel itself is not shuffled.
+    """
+    S = panel.seg_steps
+    if h < 0 or h > S:
+        raise ValueError(f"look-back {h} must be within [0, seg_steps={S}]")
+    pos = F.pmod(F.col(panel.t), F.lit(S))
+    tail = (
+        df.filter(pos >= S - h)
+        .groupBy(*panel.keys, (F.col(panel.seg) + 1).alias(panel.seg))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col(panel.t), value))).alias(name))
+    )
+    return df.join(tail, panel.part, "left")
+
+
+def lag_col(panel: Panel, c: str, j: int, tail: str = "_tail") -> Column:
+    """Value of ``c`` exactly ``j`` steps back (regular panel): inside the segment a
+    window ``lag``, across the border a lookup in the previous segment's tail."""
+    if j == 0:
+        return F.col(c)
+    inside = F.pmod(F.col(panel.t), F.lit(panel.seg_steps)) >= j
+    return F.when(inside, F.lag(c, j).over(panel.window())).otherwise(F.try_element_at(F.col(tail), F.col(panel.t) - j)[c])
+
+
+def with_lag_cols(df: DataFrame, panel: Panel, cols, lags, fmt: str = "{col}__{j}") -> DataFrame:
+    """Add ``lag(c, j)`` columns for every c and j (j >= 1) without shuffling the panel."""
+    cols, lags = list(cols), sorted({j for j in lags if j > 0})
+    if not lags:
+        return df
+    d = with_tail(df, panel, F.struct(*[F.col(c) for c in cols]), max(lags))
+    new = [lag_col(panel, c, j).alias(fmt.format(col=c, j=j)) for j in lags for c in cols]
+    return d.select(*df.columns, *new)
