@@ -14,8 +14,9 @@ data.  Every ordered operator therefore partitions by ``(keys..., seg)`` where
 ``seg_steps`` rows, whatever the skew between series.  Work that crosses a
 segment border is handled by
 
-* a *halo*: the last ``h`` rows of a segment are copied into the next one for
-  bounded look-back (lags, differences, sliding windows), then dropped; or
+* a *tail map*: the last ``h`` steps of a segment are packed into one map per
+  (series, next segment) for bounded look-back (lags, differences, sliding
+  windows) and joined on exactly (keys, seg), so the panel is not shuffled; or
 * a *carry*: a per-segment summary (one row per segment, so ``1/seg_steps`` of
   the data) is scanned in segment order and joined back (forward/back fill,
   running sums, row positions, smoothing).
@@ -174,30 +175,6 @@ def regularize(df: DataFrame, panel: Panel) -> DataFrame:
     return out.select(*panel.keys, time_of(panel.t, panel.freq).alias(panel.ts), panel.t, panel.seg, *measures)
 
 
-# --------------------------------------------------------------------------- halo
-
-
-def with_halo(df: DataFrame, panel: Panel, h: int, own: str = "_own") -> DataFrame:
-    """Copy the last ``h`` steps of each segment into the next segment.
-
-    The copies carry ``own = false``; filter them out after the window.  One
-    pass (explode), no union, so the input is read once.
-    """
-    S = panel.seg_steps
-    if h < 0 or h > S:
-        raise ValueError(f"halo {h} must be within [0, seg_steps={S}]")
-    if h == 0:
-        return df.withColumn(own, F.lit(True))
-    pos = F.pmod(F.col(panel.t), F.lit(S))
-    shifts = F.when(pos >= S - h, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return (
-        df.withColumn("_shift", F.explode(shifts))
-        .withColumn(panel.seg, F.col(panel.seg) + F.col("_shift"))
-        .withColumn(own, F.col("_shift") == 0)
-        .drop("_shift")
-    )
-
-
 # --------------------------------------------------------------------------- carries
 
 

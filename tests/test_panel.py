@@ -47,7 +47,7 @@ def test_row_index_is_independent_of_segments(spark):
             assert list(g["rn"]) == list(range(len(GAPS[k])))
 
 
-def test_lags_diff_cumsum_with_halo(spark):
+def test_lags_diff_cumsum_across_segments(spark):
     data = {"a": [float(i * i) for i in range(15)], "b": [float(-i) for i in range(9)]}
     for seg in (4, 1 << 16):
         df, p = weekly_frame(spark, data, seg_steps=seg)
