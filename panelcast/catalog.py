@@ -765,20 +765,21 @@ def q_compare(spark, d):
 @register(
     "q_blend",
     f"""WITH {_NAIVE_SQL},
-w AS (SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 1.0 WHEN n_nationkey % 3 = 1 THEN 0.0 END AS weight FROM nation),
+w AS (SELECT n_name, CASE n_regionkey WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS weight FROM nation),
 a AS (SELECT n_name, wk, y_pred AS a FROM pred WHERE model = 'naive'),
 b AS (SELECT n_name, wk, y_pred AS b FROM pred WHERE model = 'ewm4')
 SELECT a.n_name, a.wk, CAST(trunc(coalesce(w.weight, 0.5) * a + (1 - coalesce(w.weight, 0.5)) * b) AS INTEGER) AS y_pred
 FROM a JOIN b ON a.n_name = b.n_name AND a.wk = b.wk LEFT JOIN w ON a.n_name = w.n_name""",
 )
 def q_blend(spark, d):
-    """Per-nation blend weights (1 = first source, 0 = second, else half/half), int result."""
+    """Per-nation blend weights from the nation's region (region 0: first source,
+    region 1: second, others half/half), int result."""
     from panelcast.operators import forecast
     from panelcast.sources.tables import read_table
 
     pr = naive_predictions(spark, d)
-    nat = read_table(spark, d, "nation", "n_nationkey", "n_name")
-    k = F.col("n_nationkey") % 3
+    nat = read_table(spark, d, "nation", "n_regionkey", "n_name")
+    k = F.col("n_regionkey")
     weights = nat.select("n_name", F.when(k == 0, F.lit(1.0)).when(k == 1, F.lit(0.0)).alias("weight"))
     a = pr.filter(F.col("model") == "naive")
     b = pr.filter(F.col("model") == "ewm4")
