@@ -1284,3 +1284,38 @@ def q_knn(spark, d):
     tr, te = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     pr = knn.knn_regress(tr, te, ["n_name"], "wk", ["avg_price", "p1"], "cnt", k=20)
     return pr.select("n_name", "wk", r4("y_pred"))
+
+
+@register(
+    "q_select_series",
+    f"""WITH {PANEL_CTE}
+SELECT n_name, wk, cnt AS y, 0 AS total_cases FROM panel WHERE n_name = 'NATION_7'""",
+)
+def q_select_series(spark, d):
+    """PR1 PR9 PR16: one series selected, the target renamed to y, a placeholder target added."""
+    df, p = opanel(spark, d)
+    one = df.filter(F.col("n_name") == "NATION_7")
+    r = clean.placeholder_target(clean.rename(one, {"cnt": "y"}), "total_cases", 0)
+    return r.select("n_name", "wk", "y", "total_cases")
+
+
+@register(
+    "q_events_fill_lags",
+    f"""WITH {EV_CTE},
+f AS (SELECT event_type, hr, t, {_ffill_sql(['cnt', 'avg_value'], key='event_type')} FROM epanel),
+l AS (SELECT event_type, hr, cnt, avg_value,
+  lag(cnt, 1) OVER w AS cnt_l1, lag(cnt, 24) OVER w AS cnt_l24, lag(avg_value, 24) OVER w AS avg_value_l24,
+  sum(coalesce(cnt, 0)) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_cnt
+  FROM f WINDOW w AS (PARTITION BY event_type ORDER BY t))
+SELECT event_type, hr, cnt, round(avg_value, 4) AS avg_value, cnt_l1, cnt_l24, round(avg_value_l24, 4) AS avg_value_l24, cum_cnt FROM l""",
+)
+def q_events_fill_lags(spark, d):
+    """W1 W4 and a running sum on the hourly events panel (lags of 1 hour and 1 day)."""
+    configure(spark)
+    df, p = events_panel(spark, d)
+    f = clean.ffill(df, p, ["cnt", "avg_value"])
+    lg = features.lags(f, p, ["cnt", "avg_value"], 24, fmt="{col}_l{j}")
+    lg = features.cumsum(lg, p, ["cnt"], suffix="_cum")
+    return lg.select(
+        *p.keys, p.ts, "cnt", r4("avg_value"), "cnt_l1", "cnt_l24", r4("avg_value_l24"), F.col("cnt_cum").alias("cum_cnt")
+    )

@@ -107,3 +107,18 @@ def test_round_half_even(spark):
     r = df.select(clean.round_even("x", 2).alias("a"), clean.round_even("x", 0).alias("b")).collect()
     assert [v.a for v in r] == [0.12, 0.38, 2.5]
     assert r[2].b == 2.0
+
+
+def test_row_order_does_not_matter_and_acf0_is_one(spark):
+    from panelcast.operators import smooth, stats
+
+    data = {"a": [None, 1.0, 4.0, None, 2.0, 8.0, 5.0, None, 3.0, 1.0], "b": [2.0, None, 2.5, 7.0]}
+    outs = []
+    for seed in (1, 2, 3):
+        df, p = weekly_frame(spark, data, shuffle_seed=seed, seg_steps=3)
+        outs.append(to_series(smooth.ewm(clean.ffill(df, p, ["v"]), p, ["v"], 4)))
+    for k in data:
+        assert close(outs[0][k], outs[1][k]) and close(outs[0][k], outs[2][k])
+    df, p = weekly_frame(spark, data, seg_steps=3)
+    a = stats.acf(clean.ffill(df, p, ["v"]), p, ["v"], 2).filter("lag = 0").collect()
+    assert all(abs(r.acf - 1.0) < 1e-12 for r in a)
