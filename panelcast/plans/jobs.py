@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import clean, features, scale, score, smooth, windows
-from panelcast.plans.panel import Panel, materialize, regularize
+from panelcast.plans.panel import Panel, materialize, positional_steps, regularize
 from panelcast.sources import csvfiles
 
 CLIMATE_PANEL = Panel(keys=("city",), ts="week_start_date", freq="week")
@@ -38,11 +38,17 @@ class FeatureJob:
     test_frac: float = 0.295  # W9
 
 
-def climate_panel(feat: DataFrame, labels: DataFrame | None, panel: Panel = CLIMATE_PANEL) -> DataFrame:
-    """J1 + spine: features joined to labels, regular weekly rows per city."""
+def climate_panel(feat: DataFrame, labels: DataFrame | None, panel: Panel = CLIMATE_PANEL, positional: bool = True) -> DataFrame:
+    """J1 + step index: features joined to labels, one row per week per city.
+
+    ``positional`` (default, as the reference: each row is one period) numbers
+    the rows of each city in date order; otherwise the dates are mapped to
+    calendar weeks and missing weeks become NULL rows (spine).
+    """
     d = csvfiles.join_labels(feat, labels) if labels is not None else feat.withColumn("total_cases", F.lit(None).cast("int"))
     d = d.drop("year", "weekofyear")  # PR3
-    return materialize(regularize(d, panel), panel)
+    d = positional_steps(d, panel) if positional else regularize(d, panel)
+    return materialize(d, panel)
 
 
 def feature_job(df: DataFrame, panel: Panel, cfg: FeatureJob, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, list[str]]:

@@ -313,3 +313,18 @@ def with_lag_cols(df: DataFrame, panel: Panel, cols, lags, fmt: str = "{col}__{j
     d = with_tail(df, panel, F.struct(*[F.col(c) for c in cols]), max(lags))
     new = [lag_col(panel, c, j).alias(fmt.format(col=c, j=j)) for j in lags for c in cols]
     return d.select(*df.columns, *new)
+
+
+def positional_steps(df: DataFrame, panel: Panel) -> DataFrame:
+    """Step index = row position inside the series, ordered by the time column.
+
+    For inputs whose rows *are* the periods (one row per week, dates not
+    necessarily 7 days apart), so shifts and smoothing count rows as the
+    reference does.  Positions come from a provisional segmentation by date and
+    the per-segment row-count carry, so no task sees a whole series; the result
+    is regular by construction.
+    """
+    prov = replace(panel, t="_pt", seg="_pseg")
+    d = df.withColumn("_pt", step_of(panel.ts, "day")).withColumn("_pseg", seg_of("_pt", panel.seg_steps))
+    d = row_index(d, prov, panel.t)
+    return d.drop("_pt", "_pseg").withColumn(panel.seg, seg_of(panel.t, panel.seg_steps))

@@ -122,3 +122,16 @@ def test_row_order_does_not_matter_and_acf0_is_one(spark):
     df, p = weekly_frame(spark, data, seg_steps=3)
     a = stats.acf(clean.ffill(df, p, ["v"]), p, ["v"], 2).filter("lag = 0").collect()
     assert all(abs(r.acf - 1.0) < 1e-12 for r in a)
+
+
+def test_positional_steps_number_rows_in_date_order(spark):
+    import datetime as dt
+
+    from panelcast.plans.panel import positional_steps
+
+    days = [dt.date(1993, 12, 24), dt.date(1993, 12, 31), dt.date(1994, 1, 1), dt.date(1994, 1, 8), dt.date(1994, 1, 15)]
+    rows = [("x", d, float(i)) for i, d in enumerate(days)] + [("y", dt.date(2000, 1, 3), 9.0)]
+    df = spark.createDataFrame(rows[::-1], "key string, wk date, v double")
+    p = Panel(keys=("key",), ts="wk", seg_steps=2)
+    out = positional_steps(df, p).orderBy("key", "wk").collect()
+    assert [(r.key, r.t, r.seg) for r in out] == [("x", 0, 0), ("x", 1, 0), ("x", 2, 1), ("x", 3, 1), ("x", 4, 2), ("y", 0, 0)]
