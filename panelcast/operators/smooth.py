@@ -17,7 +17,9 @@ no arrays.  Each block also leaves a one-row summary; the state entering a block
 is the summary of the latest earlier block that saw data, combined with the
 ``m`` blocks before it (older blocks weigh less than 1e-30 relative and are
 dropped).  That state is kept as (mean, log weight), so very long gaps decay
-without underflow.  The summaries are 1/B of the rows.
+without underflow.  The summaries are 1/B of the rows; the latest earlier
+state is found inside the segment first and otherwise carried over one row per
+segment, so no step sees a whole series.
 """
 
 from __future__ import annotations
@@ -127,20 +129,28 @@ def ewm(
         .withColumnRenamed("_tgt", "_blk")
     )
     # keep the state only where the block itself saw data for that column
-    st = summ.drop(panel.seg).join(full, [*panel.keys, "_blk"], "inner")
+    st = summ.join(full, [*panel.keys, "_blk"], "inner")
     state_cols = []
     for i in range(len(srcs)):
         ok = F.col(f"_W{i}") > 0
         state_cols.append(
             F.when(ok, F.struct((F.col(f"_FS{i}") / F.col(f"_FW{i}")).alias("e"), F.log(F.col(f"_FW{i}")).alias("lw"), F.col("_blk").alias("b"))).alias(f"_st{i}")
         )
-    st = st.select(*panel.keys, "_blk", *state_cols)
-    # 4. state entering each block = latest earlier block with data (tiny window over blocks)
-    wb = Window.partitionBy(*panel.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    # blocks come from the summary (a block lies inside one segment: B divides seg_steps)
-    blocks = summ.select(*panel.keys, "_blk", panel.seg)
-    inc = blocks.join(st, [*panel.keys, "_blk"], "left").select(
-        *panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(wb).alias(f"_in{i}") for i in range(len(srcs))]
+    st = st.select(*panel.keys, panel.seg, "_blk", *state_cols)
+    # 4. state entering each block = latest earlier block with data: first among the
+    #    earlier blocks of the same segment (at most seg_steps/B of them), else the
+    #    last one of the earlier segments (a carry over one row per segment), so no
+    #    window ever spans a whole series.
+    n_src = range(len(srcs))
+    w_in = Window.partitionBy(*panel.keys, panel.seg).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    loc = st.select(*panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(w_in).alias(f"_loc{i}") for i in n_src])
+    seg_last = st.groupBy(*panel.keys, panel.seg).agg(
+        *[F.max_by(F.col(f"_st{i}"), F.when(F.col(f"_st{i}").isNotNull(), F.col("_blk"))).alias(f"_sl{i}") for i in n_src]
+    )
+    w_seg = panel.seg_window().rowsBetween(Window.unboundedPreceding, -1)
+    car = seg_last.select(*panel.keys, panel.seg, *[F.last(f"_sl{i}", ignorenulls=True).over(w_seg).alias(f"_car{i}") for i in n_src])
+    inc = loc.join(car, panel.part, "left").select(
+        *panel.keys, panel.seg, "_blk", *[F.coalesce(F.col(f"_loc{i}"), F.col(f"_car{i}")).alias(f"_in{i}") for i in n_src]
     )
     # one row per (series, segment) holding its blocks' states, so the join runs
     # on exactly the panel's bucket columns and the panel side is not shuffled
