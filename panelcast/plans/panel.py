@@ -238,10 +238,23 @@ def series_bounds(df: DataFrame, panel: Panel) -> DataFrame:
 
 
 def with_position(df: DataFrame, panel: Panel, pos: str = "_pos", n: str = "_n") -> DataFrame:
-    """Add the 0-based row position and the series length to every row."""
-    d = row_index(df, panel, pos)
-    b = df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias(n))
-    return attach_series(d, panel, b)
+    """Add the 0-based row position and the series length to every row.
+
+    Both come from one per-segment row count: the offset of a segment is the
+    count of the earlier segments, the length the count of all of them.  One
+    small summary, one join on (keys, seg).
+    """
+    local = df.withColumn("_lrn", F.row_number().over(panel.window()) - 1)
+    summ = df.groupBy(*panel.part).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = panel.seg_window().rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*panel.keys)
+    summ = summ.select(
+        *panel.part,
+        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(whole).alias(n),
+    )
+    out = local.join(summ, panel.part, "left")
+    return out.withColumn(pos, (F.col("_lrn") + F.col("_off")).cast("long")).drop("_lrn", "_off")
 
 
 def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> DataFrame:
