@@ -255,7 +255,7 @@ def q_scaler_stats(spark, d):
     f"WITH {PANEL_CTE}, tr AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t) "
     f"<= count(*) OVER (PARTITION BY n_name) - ceil(0.3 * count(*) OVER (PARTITION BY n_name))), "
     f"s AS (SELECT n_name, {_ST} FROM tr GROUP BY 1) "
-    f"SELECT p.n_name, p.wk, {', '.join(f'round(p.{c}, 4) AS {c}' for c in _Z_COLS)}, "
+    f"SELECT p.n_name, p.wk, {', '.join(f'round(CAST(p.{c} AS DOUBLE), 4) AS {c}' for c in _Z_COLS)}, "
     f"round((p.avg_price - s.m_avg_price) / CASE WHEN s.s_avg_price IS NULL OR s.s_avg_price = 0 THEN 1 ELSE s.s_avg_price END, 4) AS z_price "
     f"FROM panel p JOIN s ON p.n_name = s.n_name",
 )
@@ -419,7 +419,7 @@ def q_lags(spark, d):
     df = df.select(*p.keys, p.ts, p.t, p.seg, "cnt", "avg_price")
     lg = features.lags(df, p, _LAG_COLS, 3)
     lg = clean.bfill(lg, p, _LAG_NAMES)
-    return out(lg, p, ["cnt", "avg_price", *_LAG_NAMES], ints=("cnt",))
+    return out(lg, p, ["cnt", "avg_price", *_LAG_NAMES], ints=("cnt", *[c for c in _LAG_NAMES if c.startswith("cnt_")]))
 
 
 @register(
@@ -1305,7 +1305,7 @@ def q_select_series(spark, d):
 f AS (SELECT event_type, hr, t, {_ffill_sql(['cnt', 'avg_value'], key='event_type')} FROM epanel),
 l AS (SELECT event_type, hr, cnt, avg_value,
   lag(cnt, 1) OVER w AS cnt_l1, lag(cnt, 24) OVER w AS cnt_l24, lag(avg_value, 24) OVER w AS avg_value_l24,
-  sum(coalesce(cnt, 0)) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_cnt
+  CAST(sum(coalesce(cnt, 0)) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_cnt
   FROM f WINDOW w AS (PARTITION BY event_type ORDER BY t))
 SELECT event_type, hr, cnt, round(avg_value, 4) AS avg_value, cnt_l1, cnt_l24, round(avg_value_l24, 4) AS avg_value_l24, cum_cnt FROM l""",
 )
