@@ -1319,3 +1319,37 @@ def q_events_fill_lags(spark, d):
     return lg.select(
         *p.keys, p.ts, "cnt", r4("avg_value"), "cnt_l1", "cnt_l24", r4("avg_value_l24"), F.col("cnt_cum").alias("cum_cnt")
     )
+
+
+_GRID_ALPHAS = [0.1, 1.0, 10.0, 100.0]
+
+
+@register(
+    "q_gridsearch1",
+    f"""WITH {_SCALED_SQL},
+cc AS (SELECT n_name, t, cnt AS y, avg_price AS x FROM zp WHERE cnt IS NOT NULL AND avg_price IS NOT NULL),
+ps AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM cc),
+fq AS (SELECT *, n // 3 AS q, n % 3 AS r FROM ps),
+fo AS (SELECT *, CASE WHEN pos < (q + 1) * r THEN pos // (q + 1) ELSE r + (pos - (q + 1) * r) // q END AS fold FROM fq),
+fs AS (SELECT n_name, fold, count(*) AS nf, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM fo GROUP BY 1, 2),
+tot AS (SELECT n_name, sum(nf) AS tn, sum(sx) AS tsx, sum(sy) AS tsy, sum(sxx) AS tsxx, sum(sxy) AS tsxy FROM fs GROUP BY 1),
+al AS (SELECT CAST(unnest([{', '.join(repr(a) for a in _GRID_ALPHAS)}]) AS DOUBLE) AS alpha),
+tr AS (SELECT fs.*, al.alpha, tot.tn - fs.nf AS n_tr, tot.tsx - fs.sx AS sx_tr, tot.tsy - fs.sy AS sy_tr,
+  tot.tsxx - fs.sxx AS sxx_tr, tot.tsxy - fs.sxy AS sxy_tr FROM fs JOIN tot ON fs.n_name = tot.n_name, al),
+co AS (SELECT *, sx_tr / n_tr AS mx, sy_tr / n_tr AS my FROM tr),
+wb AS (SELECT *, (sxy_tr - n_tr * mx * my) / ((sxx_tr - n_tr * mx * mx) + alpha) AS w FROM co),
+wb2 AS (SELECT *, my - w * mx AS b FROM wb),
+sc AS (SELECT n_name, alpha, fold,
+  syy - 2 * (b * sy + w * sxy) + (b * b * nf + 2 * b * w * sx + w * w * sxx) AS sse, syy - sy * sy / nf AS sst FROM wb2),
+m AS (SELECT n_name, alpha, avg(CASE WHEN sst > 0 THEN 1 - sse / sst ELSE 0 END) AS mean_r2 FROM sc GROUP BY 1, 2),
+bst AS (SELECT n_name, first(alpha ORDER BY mean_r2 DESC, alpha) AS balpha FROM m GROUP BY 1)
+SELECT m.n_name, m.alpha, round(m.mean_r2, 4) AS mean_r2, m.alpha = bst.balpha AS best FROM m JOIN bst ON m.n_name = bst.n_name""",
+)
+def q_gridsearch1(spark, d):
+    """Ridge alpha grid, 3 contiguous folds, mean validation R^2 per nation (one regressor)."""
+    from panelcast.models import search
+
+    z, p, _ = scaled_panel(spark, d)
+    z = z.na.drop(subset=["cnt", "avg_price"])
+    g = search.grid_linear(z, p, ["avg_price"], "cnt", "ridge", _GRID_ALPHAS)
+    return g.select("n_name", "alpha", r4("mean_r2"), "best")
