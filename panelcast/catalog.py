@@ -40,7 +40,8 @@ def r4(c: str):
 
 
 def round4(col):
-    return F.round(col * F.lit(10000.0), 0) / F.lit(10000.0)
+    # half away from zero on the scaled value, keeping the sign of zero (-0.0)
+    return F.signum(col) * F.floor(F.abs(col * F.lit(10000.0)) + F.lit(0.5)) / F.lit(10000.0)
 
 
 def out(df: DataFrame, panel: Panel, cols, ints=()) -> DataFrame:
@@ -884,7 +885,7 @@ mom AS (SELECT n_name, count(*) AS n, avg(avg_price) AS mx, avg(cnt) AS my,
 def _one_reg_sql(slope_expr: str) -> str:
     return f"""WITH {_SCALED_SQL},
 w AS (SELECT n_name, mx, my, {slope_expr} AS w FROM mom)
-SELECT n_name, round(my - w * mx, 4) AS intercept, round(w, 4) AS slope FROM w"""
+SELECT n_name, round(my - w * mx, 4) + 0.0 AS intercept, round(w, 4) + 0.0 AS slope FROM w"""
 
 
 def _linear_query(method, alpha=1.0, l1_ratio=0.5):
@@ -893,7 +894,8 @@ def _linear_query(method, alpha=1.0, l1_ratio=0.5):
 
         z, p, _ = scaled_panel(spark, d)
         c = linear.fit(z, p, ["avg_price"], "cnt", method=method, alpha=alpha, l1_ratio=l1_ratio)
-        return c.select("n_name", round4(F.col("intercept")).alias("intercept"), round4(F.col("coef")[0]).alias("slope"))
+        # centred fits: the intercept is a mean of ~0, its sign is rounding noise -> +0.0
+        return c.select("n_name", (round4(F.col("intercept")) + F.lit(0.0)).alias("intercept"), (round4(F.col("coef")[0]) + F.lit(0.0)).alias("slope"))
 
     q.__doc__ = f"M1 {method}: per-nation fit of the scaled target on the scaled price from cross-products."
     return q
@@ -1224,17 +1226,37 @@ def q_var_job(spark, d):
     return jobs.var_forecast_job(tr.na.drop(), te.na.fill(0.0), p, ["avg_price", "p1", "cnt"], "cnt", 2, st, tmpl, ["n_name", "wk"])
 
 
-@register("q_sequence_job")
+@register(
+    "q_sequence_job",
+    f"""WITH {_SCALED_SQL},
+nn AS (SELECT * FROM zp WHERE cnt IS NOT NULL AND avg_price IS NOT NULL AND p1 IS NOT NULL),
+lst AS (SELECT n_name, wk, cnt AS y,
+  list([cnt, avg_price, p1]) OVER (PARTITION BY n_name ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x FROM nn),
+txt AS (SELECT n_name, wk, y, list_transform(x, lambda r: array_to_string(list_transform(r, lambda v: coalesce(printf('%.4f', round(v, 4)), 'null')), ',')) AS rows_txt
+  FROM lst WHERE len(x) = 4)
+SELECT n_name, wk, round(y, 4) AS y, array_to_string(rows_txt[1:2], ';') || '|' || array_to_string(rows_txt[3:4], ';') AS x FROM txt""",
+)
 def q_sequence_job(spark, d):
     """Two-level (CNN-style) 4-week windows of the scaled panel."""
     from panelcast.plans import jobs
 
     z, p, _ = scaled_panel(spark, d)
     s = jobs.sequence_dataset(z.na.drop(), p, ["cnt", "avg_price", "p1"], "cnt", 4, mode="CNN")
-    return s.select("n_name", "wk", "y", F.concat_ws("|", F.transform("x", _seq_text_spark)).alias("x"))
+    return s.select("n_name", "wk", r4("y"), F.concat_ws("|", F.transform("x", _seq_text_spark)).alias("x"))
 
 
-@register("q_plot_table")
+@register(
+    "q_plot_table",
+    f"""WITH {_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT *, pos >= n - ceil(0.22 * n) AS is_test FROM pz WHERE cnt IS NOT NULL AND avg_price IS NOT NULL AND p1 IS NOT NULL),
+fit AS (SELECT n_name, CASE WHEN var_pop(avg_price) = 0 THEN 0 ELSE covar_pop(cnt, avg_price) / var_pop(avg_price) END AS w,
+  avg(avg_price) AS mx, avg(cnt) AS my FROM spl WHERE NOT is_test GROUP BY 1)
+SELECT n_name, wk, 'train' AS series, round(cnt, 4) AS value FROM spl WHERE NOT is_test
+UNION ALL SELECT n_name, wk, 'true', round(cnt, 4) FROM spl WHERE is_test
+UNION ALL SELECT spl.n_name, spl.wk, 'predicted', round((fit.my - fit.w * fit.mx) + fit.w * spl.avg_price, 4)
+  FROM spl JOIN fit ON spl.n_name = fit.n_name WHERE spl.is_test""",
+)
 def q_plot_table(spark, d):
     """Train values, true test values and OLS predictions aligned by week."""
     from panelcast.models import linear
@@ -1244,7 +1266,7 @@ def q_plot_table(spark, d):
     tr, te = tr.na.drop(), te.na.drop()
     c = linear.fit(tr, p, ["avg_price"], "cnt")
     pr = linear.predict(te, p, c, ["avg_price"])
-    return forecast.plot_table(tr, te, pr, ["n_name", "wk"], "cnt")
+    return forecast.plot_table(tr, te, pr, ["n_name", "wk"], "cnt").select("n_name", "wk", "series", r4("value"))
 
 
 @register("q_extra")
