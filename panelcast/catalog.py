@@ -691,16 +691,13 @@ _RUN_SPANS = (5, 8, 11)
 def _runs(spark, d):
     """Three forecast runs (EWM of the filled count with spans 5, 8, 11, one week back)."""
     df, p = filled_panel(spark, d)
-    base = df.select(*p.keys, p.ts, p.t, p.seg, "cnt")
-    parts = []
-    for k, s in enumerate(_RUN_SPANS):
-        e = smooth.ewm(base, p, {"cnt": "_e"}, s)
-        e = features.lags(e, p, ["_e"], 1, fmt="{col}_l{j}")
-        parts.append(e.select(*p.keys, p.ts, F.lit(k).alias("run_id"), F.col("_e_l1").alias("total_cases")))
-    out_df = parts[0]
-    for x in parts[1:]:
-        out_df = out_df.unionByName(x)
-    return out_df
+    names = [f"_r{k}" for k in range(len(_RUN_SPANS))]
+    base = df.select(*p.keys, p.ts, p.t, p.seg, *[F.col("cnt").alias(n) for n in names])
+    # all runs smoothed in one pass (one span per copy), lagged in one pass
+    e = smooth.ewm(base, p, names, dict(zip(names, _RUN_SPANS)))
+    e = features.lags(e, p, names, 1, fmt="{col}_l{j}")
+    runs = F.array(*[F.struct(F.lit(k).alias("run_id"), F.col(f"{n}_l1").alias("total_cases")) for k, n in enumerate(names)])
+    return e.select(*p.keys, p.ts, F.inline(runs))
 
 
 def _runs_sql():

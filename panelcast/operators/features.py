@@ -110,8 +110,8 @@ CLIMATE_REPLACEMENTS = {"ndvi_nw": {0.076225: -0.1}, "ndvi_ne": {0.04585: -0.1}}
 
 
 def composites(df: DataFrame, panel: Panel, spec: Sequence[Composite]) -> DataFrame:
-    """Add every composite of ``spec``.  Offsets are one aggregate, smoothing
-    is grouped by span so each span is one window pass."""
+    """Add every composite of ``spec``.  Offsets are one aggregate; all
+    composites are smoothed in one pass, each with its own span."""
     d = df
     deltas = {}
     aligned = [c for c in spec if c.shifted]
@@ -125,9 +125,8 @@ def composites(df: DataFrame, panel: Panel, spec: Sequence[Composite]) -> DataFr
         parts = [F.col(x) - deltas[c.name] if x in c.shifted else F.col(x) for x in c.cols]
         d = d.withColumn(c.name, row_mean(*parts))
     d = d.drop(*[f"_delta_{c.name}" for c in aligned])
-    for span in sorted({c.span for c in spec}):
-        d = ewm(d, panel, [c.name for c in spec if c.span == span], span)
-    return d
+    # every composite in one smoothing pass, each with its own span
+    return ewm(d, panel, [c.name for c in spec], {c.name: c.span for c in spec})
 
 
 def lags(df: DataFrame, panel: Panel, cols: Sequence[str], max_lag: int, fmt: str = "{col}_{j}_week_back") -> DataFrame:

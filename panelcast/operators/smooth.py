@@ -52,28 +52,35 @@ def ewm(
     df: DataFrame,
     panel: Panel,
     cols: Sequence[str] | Mapping[str, str],
-    span: float,
+    span: float | Mapping[str, float],
     block: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted mean of ``cols`` within each series.
 
-    ``cols`` is a list (replace in place) or a mapping ``{source: output}``.
+    ``cols`` is a list (replace in place) or a mapping ``{source: output}``;
+    ``span`` is one number or a mapping ``{source: span}`` -- columns with
+    different spans share one pass (same windows, one block summary).
     """
     mapping = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
-    if span < 1:
+    spans = {s: float(span[s]) if isinstance(span, Mapping) else float(span) for s in mapping}
+    if any(v < 1 for v in spans.values()):
         raise ValueError("span must be >= 1")
-    r = 1.0 - 2.0 / (span + 1.0)
-    if r <= 0.0:  # alpha = 1: the value itself, held through gaps
-        d = df.select("*", *[F.col(s).alias(f"_e_{o}") for s, o in mapping.items()])
-        d = ffill(d, panel, [f"_e_{o}" for o in mapping.values()])
-        return _finish(d, df, mapping)
-    lnr = math.log(r)
-    B = _block_size(lnr, panel.seg_steps, block)
-    m = int(math.ceil(_REL_EPS_LOG10 * math.log(10) / (-lnr * B))) + 1
+    flat = {s: o for s, o in mapping.items() if spans[s] <= 1.0}
+    if flat:  # alpha = 1: the value itself, held through gaps
+        d = df.select("*", *[F.col(s).alias(f"_e_{o}") for s, o in flat.items()])
+        d = ffill(d, panel, [f"_e_{o}" for o in flat.values()])
+        d = _finish(d, df, flat)
+        rest = {s: o for s, o in mapping.items() if s not in flat}
+        return ewm(d, panel, rest, {s: spans[s] for s in rest}, block) if rest else d
+    srcs = list(mapping)
+    rs = [1.0 - 2.0 / (spans[s] + 1.0) for s in srcs]
+    lnrs = [math.log(r) for r in rs]
+    B = min(_block_size(lnr, panel.seg_steps, block) for lnr in lnrs)
+    m = max(int(math.ceil(_REL_EPS_LOG10 * math.log(10) / (-lnr * B))) + 1 for lnr in lnrs)
     t = F.col(panel.t)
     blk = F.floor(t / F.lit(B)).cast("long")
     d = df.withColumn("_blk", blk).withColumn("_a", t - F.col("_blk") * B)
-    srcs = list(mapping)
+    n_src = range(len(srcs))
 
     # 1. running sums inside each block (one window spec, one sort).  Powers are
     #    taken relative to the block's first observation, so that one has weight
@@ -85,20 +92,19 @@ def ewm(
     local_cols = []
     for i, s in enumerate(srcs):
         v = F.col(s)
-        up = F.pow(F.lit(r), F.col(f"_a0{i}") - F.col("_a"))
+        up = F.pow(F.lit(rs[i]), F.col(f"_a0{i}") - F.col("_a"))
         local_cols.append(F.sum(F.when(v.isNotNull(), up * v)).over(w).alias(f"_sv{i}"))
         local_cols.append(F.sum(F.when(v.isNotNull(), up)).over(w).alias(f"_sw{i}"))
     local = d0.select("*", *local_cols)
 
     # 2. one summary row per block: sums decayed to the block's last step
-    down = F.pow(F.lit(r), F.lit(B - 1) - F.col("_a"))
     summ = d.groupBy(*panel.keys, panel.seg, "_blk").agg(
         *[
             x
             for i, s in enumerate(srcs)
             for x in (
-                F.sum(F.when(F.col(s).isNotNull(), down * F.col(s))).alias(f"_S{i}"),
-                F.sum(F.when(F.col(s).isNotNull(), down)).alias(f"_W{i}"),
+                F.sum(F.when(F.col(s).isNotNull(), F.pow(F.lit(rs[i]), F.lit(B - 1) - F.col("_a")) * F.col(s))).alias(f"_S{i}"),
+                F.sum(F.when(F.col(s).isNotNull(), F.pow(F.lit(rs[i]), F.lit(B - 1) - F.col("_a")))).alias(f"_W{i}"),
             )
         ]
     )
@@ -108,21 +114,20 @@ def ewm(
     fan = summ.select(
         *panel.keys,
         "_blk",
-        *[F.col(f"_S{i}") for i in range(len(srcs))],
-        *[F.col(f"_W{i}") for i in range(len(srcs))],
+        *[F.col(f"_S{i}") for i in n_src],
+        *[F.col(f"_W{i}") for i in n_src],
         F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_j"),
     )
-    decay = F.pow(F.lit(r), F.col("_j") * B)
     full = (
         fan.withColumn("_tgt", F.col("_blk") + F.col("_j"))
         .groupBy(*panel.keys, "_tgt")
         .agg(
             *[
                 x
-                for i in range(len(srcs))
+                for i in n_src
                 for x in (
-                    F.sum(decay * F.col(f"_S{i}")).alias(f"_FS{i}"),
-                    F.sum(decay * F.col(f"_W{i}")).alias(f"_FW{i}"),
+                    F.sum(F.pow(F.lit(rs[i]), F.col("_j") * B) * F.col(f"_S{i}")).alias(f"_FS{i}"),
+                    F.sum(F.pow(F.lit(rs[i]), F.col("_j") * B) * F.col(f"_W{i}")).alias(f"_FW{i}"),
                 )
             ]
         )
@@ -131,7 +136,7 @@ def ewm(
     # keep the state only where the block itself saw data for that column
     st = summ.join(full, [*panel.keys, "_blk"], "inner")
     state_cols = []
-    for i in range(len(srcs)):
+    for i in n_src:
         ok = F.col(f"_W{i}") > 0
         state_cols.append(
             F.when(ok, F.struct((F.col(f"_FS{i}") / F.col(f"_FW{i}")).alias("e"), F.log(F.col(f"_FW{i}")).alias("lw"), F.col("_blk").alias("b"))).alias(f"_st{i}")
@@ -141,7 +146,6 @@ def ewm(
     #    earlier blocks of the same segment (at most seg_steps/B of them), else the
     #    last one of the earlier segments (a carry over one row per segment), so no
     #    window ever spans a whole series.
-    n_src = range(len(srcs))
     w_in = Window.partitionBy(*panel.keys, panel.seg).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     loc = st.select(*panel.keys, panel.seg, "_blk", *[F.last(f"_st{i}", ignorenulls=True).over(w_in).alias(f"_loc{i}") for i in n_src])
     seg_last = st.groupBy(*panel.keys, panel.seg).agg(
@@ -155,15 +159,15 @@ def ewm(
     # one row per (series, segment) holding its blocks' states, so the join runs
     # on exactly the panel's bucket columns and the panel side is not shuffled
     inc_m = inc.groupBy(*panel.keys, panel.seg).agg(
-        F.map_from_entries(F.collect_list(F.struct("_blk", F.struct(*[F.col(f"_in{i}") for i in range(len(srcs))])))).alias("_incm")
+        F.map_from_entries(F.collect_list(F.struct("_blk", F.struct(*[F.col(f"_in{i}") for i in n_src])))).alias("_incm")
     )
     out = local.join(inc_m, panel.part, "left").withColumn("_inb", F.try_element_at(F.col("_incm"), F.col("_blk"))).drop("_incm")
     res = {}
     for i, (s, o) in enumerate(mapping.items()):
-        ra = F.pow(F.lit(r), F.col("_a") - F.coalesce(F.col(f"_a0{i}"), F.col("_a")))
+        ra = F.pow(F.lit(rs[i]), F.col("_a") - F.coalesce(F.col(f"_a0{i}"), F.col("_a")))
         st_in = F.col("_inb")[f"_in{i}"]
         gap = t - (st_in["b"] * B + (B - 1))
-        dec = F.coalesce(F.exp(gap * F.lit(lnr) + st_in["lw"]), F.lit(0.0))
+        dec = F.coalesce(F.exp(gap * F.lit(lnrs[i]) + st_in["lw"]), F.lit(0.0))
         sv, sw = F.coalesce(F.col(f"_sv{i}"), F.lit(0.0)), F.coalesce(F.col(f"_sw{i}"), F.lit(0.0))
         num = ra * sv + dec * F.coalesce(st_in["e"], F.lit(0.0))
         den = ra * sw + dec

@@ -31,3 +31,13 @@ def test_threshold_flag(spark):
     ref = ewm_ref(np.array([np.nan, 0.1, 0.3, -0.2, np.nan, 0.5]), 4)
     exp = [0 if np.isnan(v) else int(v < 0.195) for v in ref]
     assert list(got["v_flag"]) == exp
+
+
+def test_ewm_several_spans_in_one_pass(spark):
+    df, p = weekly_frame(spark, {"a": LONG}, seg_steps=32)
+    from pyspark.sql import functions as F
+
+    d = df.withColumn("w", F.col("v"))
+    got = smooth.ewm(d, p, {"v": "e4", "w": "e8"}, {"v": 4, "w": 8}, block=8).toPandas().sort_values("wk")
+    x = np.array([np.nan if v is None else v for v in LONG])
+    assert close(got.e4, ewm_ref(x, 4)) and close(got.e8, ewm_ref(x, 8))
