@@ -11,7 +11,6 @@ carries and per-series counts (never a whole series in one task).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -104,9 +103,3 @@ def frames(df: DataFrame, panel: Panel, frame_frac: float, test_frac: float = 0.
         .otherwise(F.lit("train"))
     )
     return d.withColumn("part", part).drop("_pos", "_n")
-
-
-def frame_count(n: int, frame_frac: float) -> tuple[int, int]:
-    """(frame_size, number of frames) for a series of ``n`` rows, as :func:`frames`."""
-    size = int(math.floor(n * frame_frac))
-    return size, round(n / size)

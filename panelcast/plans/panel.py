@@ -230,13 +230,6 @@ def attach_series(df: DataFrame, panel: Panel, stats: DataFrame, how: str = "lef
     return df.join(fan, panel.part, how)
 
 
-def series_bounds(df: DataFrame, panel: Panel) -> DataFrame:
-    """Row count and first/last step of every series."""
-    return df.groupBy(*panel.keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(panel.t).alias("_lo"), F.max(panel.t).alias("_hi")
-    )
-
-
 def with_position(df: DataFrame, panel: Panel, pos: str = "_pos", n: str = "_n") -> DataFrame:
     """Add the 0-based row position and the series length to every row.
 

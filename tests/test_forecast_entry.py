@@ -30,6 +30,12 @@ def test_runs_roundtrip_csv(spark):
     back = forecast.read_runs(spark, f"{d}/out", "city string, year int, weekofyear int, total_cases int, run_id int")
     assert sorted(r.run_id for r in back.collect()) == [0, 1, 2]
     assert forecast.average_runs(back, ["city", "year", "weekofyear"]).collect()[0].total_cases == 11
+    # SO3: one ordered file
+    forecast.write_single(runs.drop("run_id").withColumn("ord", F.lit(3) - F.col("total_cases")), f"{d}/single", ["ord"])
+    files = [f for f in os.listdir(f"{d}/single") if f.endswith(".csv")]
+    assert len(files) == 1
+    lines = open(f"{d}/single/{files[0]}").read().strip().split("\n")
+    assert lines[0].startswith("city") and [ln.split(",")[3] for ln in lines[1:]] == ["12", "11", "10"]
 
 
 def test_ensemble(spark):
