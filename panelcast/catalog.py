@@ -618,7 +618,33 @@ def q_acf(spark, d):
     return a.select(*p.keys, "column", "lag", r4("acf"))
 
 
-@register("q_pacf")
+def _acf_sql(col: str) -> str:
+    return f"""SELECT n_name, '{col}' AS col, lag, s FROM (
+  SELECT a.n_name, a.t - b.t AS lag, sum(a.x * b.x) AS s
+  FROM (SELECT fp.n_name, fp.t, fp.{col} - m.mu AS x FROM fp JOIN (SELECT n_name, avg({col}) AS mu FROM fp GROUP BY 1) m ON fp.n_name = m.n_name) a
+  JOIN (SELECT fp.n_name, fp.t, fp.{col} - m.mu AS x FROM fp JOIN (SELECT n_name, avg({col}) AS mu FROM fp GROUP BY 1) m ON fp.n_name = m.n_name) b
+    ON a.n_name = b.n_name AND a.t - b.t BETWEEN 0 AND {_ACF_L}
+  WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2)"""
+
+
+@register(
+    "q_pacf",
+    f"""WITH RECURSIVE {_FILLED},
+ac AS ({_acf_sql('avg_price')} UNION ALL {_acf_sql('cnt')}),
+rl AS (SELECT a.n_name, a.col, list(a.s / z.s ORDER BY a.lag) AS r
+  FROM ac a JOIN ac z ON a.n_name = z.n_name AND a.col = z.col AND z.lag = 0 GROUP BY 1, 2),
+dl(n_name, col, k, phi, v, r) AS (
+  SELECT n_name, col, 1, [r[2]], 1 - r[2] * r[2], r FROM rl
+  UNION ALL
+  SELECT n_name, col, k + 1,
+    list_append(list_transform(phi, lambda p, j: p - ((r[k + 2] - list_sum(list_transform(phi, lambda q, i: q * r[k + 2 - i]))) / v) * phi[k + 1 - j]),
+      (r[k + 2] - list_sum(list_transform(phi, lambda q, i: q * r[k + 2 - i]))) / v),
+    v * (1 - power((r[k + 2] - list_sum(list_transform(phi, lambda q, i: q * r[k + 2 - i]))) / v, 2)),
+    r
+  FROM dl WHERE k < {_ACF_L})
+SELECT n_name, col AS "column", CAST(k AS INTEGER) AS lag, round(phi[k], 4) AS pacf FROM dl
+UNION ALL SELECT n_name, col, 0, 1.0 FROM rl""",
+)
 def q_pacf(spark, d):
     """Partial autocorrelation by Durbin-Levinson (checked against numpy in tests)."""
     from panelcast.operators import stats
