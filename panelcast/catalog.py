@@ -627,10 +627,9 @@ def _acf_sql(col: str) -> str:
   WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2)"""
 
 
-@register(
-    "q_pacf",
-    f"""WITH RECURSIVE {_FILLED},
-ac AS ({_acf_sql('avg_price')} UNION ALL {_acf_sql('cnt')}),
+def _pacf_ctes(cols) -> str:
+    acs = " UNION ALL ".join(_acf_sql(c) for c in cols)
+    return f"""ac AS ({acs}),
 rl AS (SELECT a.n_name, a.col, list(a.s / z.s ORDER BY a.lag) AS r
   FROM ac a JOIN ac z ON a.n_name = z.n_name AND a.col = z.col AND z.lag = 0 GROUP BY 1, 2),
 dl(n_name, col, k, phi, v, r) AS (
@@ -641,9 +640,30 @@ dl(n_name, col, k, phi, v, r) AS (
       (r[k + 2] - list_sum(list_transform(phi, lambda q, i: q * r[k + 2 - i]))) / v),
     v * (1 - power((r[k + 2] - list_sum(list_transform(phi, lambda q, i: q * r[k + 2 - i]))) / v, 2)),
     r
-  FROM dl WHERE k < {_ACF_L})
-SELECT n_name, col AS "column", CAST(k AS INTEGER) AS lag, round(phi[k], 4) AS pacf FROM dl
-UNION ALL SELECT n_name, col, 0, 1.0 FROM rl""",
+  FROM dl WHERE k < {_ACF_L}),
+pacf AS (SELECT n_name, col, CAST(k AS INTEGER) AS lag, phi[k] AS pacf FROM dl
+  UNION ALL SELECT n_name, col, 0, 1.0 FROM rl),
+acf AS (SELECT a.n_name, a.col, CAST(a.lag AS INTEGER) AS lag, a.s / nullif(z.s, 0) AS acf
+  FROM ac a JOIN ac z ON a.n_name = z.n_name AND a.col = z.col AND z.lag = 0)"""
+
+
+def _hist_sql(col: str, src: str = "fp", bins: int = 25) -> str:
+    return f"""SELECT g.n_name, '{col}' AS col, g.bin, g.lo + (g.hi - g.lo) / {bins} * g.bin AS lo,
+  g.lo + (g.hi - g.lo) / {bins} * (g.bin + 1) AS hi, coalesce(b.cnt, 0) AS count
+FROM (SELECT n_name, lo, hi, CAST(unnest(generate_series(0, {bins - 1})) AS INTEGER) AS bin FROM (
+  SELECT n_name, CASE WHEN max({col}) > min({col}) THEN min({col}) ELSE min({col}) - 0.5 END AS lo,
+    CASE WHEN max({col}) > min({col}) THEN max({col}) ELSE max({col}) + 0.5 END AS hi FROM {src} GROUP BY 1)) g
+LEFT JOIN (SELECT s.n_name, CAST(least({bins - 1}, floor((s.{col} - mm.lo) / (mm.hi - mm.lo) * {bins})) AS INTEGER) AS bin, count(*) AS cnt
+  FROM {src} s JOIN (SELECT n_name, CASE WHEN max({col}) > min({col}) THEN min({col}) ELSE min({col}) - 0.5 END AS lo,
+    CASE WHEN max({col}) > min({col}) THEN max({col}) ELSE max({col}) + 0.5 END AS hi FROM {src} GROUP BY 1) mm
+  ON s.n_name = mm.n_name WHERE s.{col} IS NOT NULL GROUP BY 1, 2) b ON g.n_name = b.n_name AND g.bin = b.bin"""
+
+
+@register(
+    "q_pacf",
+    f"""WITH RECURSIVE {_FILLED},
+{_pacf_ctes(['avg_price', 'cnt'])}
+SELECT n_name, col AS "column", lag, round(pacf, 4) AS pacf FROM pacf""",
 )
 def q_pacf(spark, d):
     """Partial autocorrelation by Durbin-Levinson (checked against numpy in tests)."""
@@ -1189,13 +1209,22 @@ def q_johansen(spark, d):
     return stats.johansen(z.na.drop(), p, ["cnt", "avg_price", "p1"], 5)
 
 
-@register("q_profile")
+@register(
+    "q_profile",
+    f"""WITH RECURSIVE {_FILLED},
+{_pacf_ctes(['cnt', 'avg_price'])},
+h AS ({_hist_sql('cnt')} UNION ALL {_hist_sql('avg_price')})
+SELECT n_name, col AS "column", 'acf' AS kind, lag AS idx, round(acf, 4) AS value, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM acf
+UNION ALL SELECT n_name, col, 'pacf', lag, round(pacf, 4), NULL, NULL FROM pacf
+UNION ALL SELECT n_name, col, 'hist', bin, CAST(count AS DOUBLE), round(lo, 4), round(hi, 4) FROM h""",
+)
 def q_profile(spark, d):
     """T5: histogram, ACF and PACF of each column as one long table."""
     from panelcast.operators import stats
 
     df, p = filled_panel(spark, d)
-    return stats.profile(df, p, ["cnt", "avg_price"], 30, 25)
+    pr = stats.profile(df, p, ["cnt", "avg_price"], _ACF_L, 25)
+    return pr.select(*p.keys, "column", "kind", "idx", r4("value"), r4("lo"), r4("hi"))
 
 
 # --------------------------------------------------------------------------- end-to-end jobs on the orders panel
