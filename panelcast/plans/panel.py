@@ -250,6 +250,18 @@ def with_position(df: DataFrame, panel: Panel, pos: str = "_pos", n: str = "_n")
     return out.withColumn(pos, (F.col("_lrn") + F.col("_off")).cast("long")).drop("_lrn", "_off")
 
 
+WORK_DB = "panelcast_work"
+
+
+def _work_db(spark) -> str:
+    """Database for materialized panels, located in the shared checkpoint folder."""
+    from panelcast.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {WORK_DB} LOCATION '{root}/{WORK_DB}.db'")
+    return WORK_DB
+
+
 def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> DataFrame:
     """Write the panel once as a table bucketed by (keys, seg) and read it back.
 
@@ -257,28 +269,32 @@ def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> Data
     and every per-series join is fanned out to (keys, seg), so on the bucketed
     table they run without shuffling the panel again, and the source scan and
     aggregation behind the panel are never recomputed by later branches.  The
-    files go to the session's ``spark.checkpoint.dir`` (a shared folder on a
-    cluster), so losing an executor does not lose them.  Rows are first
-    repartitioned with the same hash, so each task writes one file per bucket.
+    table lives in a work database under the session's ``spark.checkpoint.dir``
+    (a shared folder on a cluster), so losing an executor does not lose it;
+    :func:`release_materialized` drops the tables and their files.  Rows are
+    first repartitioned with the same hash, so each task writes one file per
+    bucket.
     """
     import uuid
 
-    from panelcast.session import ensure_checkpoint_dir
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    db = _work_db(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"panelcast_panel_{uuid.uuid4().hex}"
-    (
-        df.repartition(n, *panel.part)
-        .write.bucketBy(n, *panel.part)
-        .option("path", f"{root}/{name}")
-        .mode("error")
-        .saveAsTable(name)
-    )
+    name = f"{db}.panel_{uuid.uuid4().hex}"
+    df.repartition(n, *panel.part).write.bucketBy(n, *panel.part).mode("error").saveAsTable(name)
     return spark.table(name)
 
 
+def release_materialized(spark) -> int:
+    """Drop every materialized panel of this session (managed tables: files go too)."""
+    if not spark.catalog.databaseExists(WORK_DB):
+        return 0
+    names = [t.name for t in spark.catalog.listTables(WORK_DB)]
+    for t in names:
+        spark.sql(f"DROP TABLE IF EXISTS {WORK_DB}.{t}")
+    return len(names)
+
+
 # --------------------------------------------------------------------------- boundary look-back without a shuffle
 
 

@@ -20,7 +20,7 @@ def _exchange_between_scan_and_window(df) -> bool:
     lines = _tree_lines(df)
     found = False
     for i, ln in enumerate(lines):
-        if "FileScan" in ln and "panelcast_panel_" in ln:
+        if "FileScan" in ln and "panelcast_work.panel_" in ln:
             found = True
             depth = len(ln) - len(ln.lstrip(" :+-"))
             for up in range(i - 1, -1, -1):
@@ -63,3 +63,19 @@ def test_detector_sees_a_series_only_window_shuffle(panel):
     df, p = panel
     bad = df.select("*", F.row_number().over(Window.partitionBy("key").orderBy("t")).alias("rn"))
     assert _exchange_between_scan_and_window(bad)
+
+
+def test_release_drops_tables_and_files(spark):
+    import os
+
+    from panelcast.plans.panel import WORK_DB, release_materialized
+
+    data = {"a": [1.0, 2.0, 3.0]}
+    df, p = weekly_frame(spark, data, seg_steps=8)
+    m = materialize(df, p)
+    assert m.count() == 3
+    loc = spark.sql(f"DESCRIBE DATABASE {WORK_DB}").filter("info_name = 'Location'").collect()[0].info_value
+    before = len(os.listdir(loc.replace("file:", "")))
+    n = release_materialized(spark)
+    after = len(os.listdir(loc.replace("file:", "")))
+    assert n >= 1 and after < before and spark.catalog.listTables(WORK_DB) == []
