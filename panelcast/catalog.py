@@ -131,7 +131,9 @@ FROM feat f JOIN lab l ON f.n_name = l.n_name AND f.year = l.year AND f.weekofye
 def q_join_panel(spark, d):
     """IO7 J1 PR3: weekly features joined to weekly labels on (series, year, week of year)."""
     configure(spark)
-    w = orders_weekly(spark, d)
+    # both sides come from one weekly aggregate: write it once (reliable checkpoint
+    # in spark.checkpoint.dir) instead of scanning and joining the orders twice
+    w = orders_weekly(spark, d).checkpoint(eager=True)
     keyed = w.select(
         "*",
         F.extract(F.lit("YEAROFWEEK"), F.col("wk")).cast("bigint").alias("year"),

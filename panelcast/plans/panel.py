@@ -151,14 +151,22 @@ def with_step(df: DataFrame, panel: Panel) -> DataFrame:
     return df.withColumn(panel.seg, seg_of(panel.t, panel.seg_steps))
 
 
-def regularize(df: DataFrame, panel: Panel) -> DataFrame:
+def regularize(df: DataFrame, panel: Panel, cut_lineage: bool = True) -> DataFrame:
     """Spine every series from its first to its last period; gaps become NULL rows.
 
     ``df`` must be unique on (keys, period).  The spine is generated per
     (series, segment), so one very long series fans out over many tasks.
+    The bounds and the data side both read ``df``; with ``cut_lineage`` it is
+    checkpointed first (to ``spark.checkpoint.dir``), so an aggregate over a
+    large scan is computed once, not once per branch.
     """
     S = panel.seg_steps
     d = with_step(df, panel)
+    if cut_lineage:
+        from panelcast.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
     measures = [c for c in df.columns if c not in (*panel.keys, panel.ts)]
     bounds = d.groupBy(*panel.keys).agg(F.min(panel.t).alias("_lo"), F.max(panel.t).alias("_hi"))
     segs = bounds.select(
