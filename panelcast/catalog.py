@@ -632,7 +632,7 @@ def _acf_sql(col: str) -> str:
 def _pacf_ctes(cols) -> str:
     acs = " UNION ALL ".join(_acf_sql(c) for c in cols)
     return f"""ac AS ({acs}),
-rl AS (SELECT a.n_name, a.col, list(a.s / z.s ORDER BY a.lag) AS r
+rl AS (SELECT a.n_name, a.col, list(a.s / nullif(z.s, 0) ORDER BY a.lag) AS r
   FROM ac a JOIN ac z ON a.n_name = z.n_name AND a.col = z.col AND z.lag = 0 GROUP BY 1, 2),
 dl(n_name, col, k, phi, v, r) AS (
   SELECT n_name, col, 1, [r[2]], 1 - r[2] * r[2], r FROM rl
@@ -1416,8 +1416,8 @@ co AS (SELECT *, sx_tr / n_tr AS mx, sy_tr / n_tr AS my FROM tr),
 wb AS (SELECT *, (sxy_tr - n_tr * mx * my) / ((sxx_tr - n_tr * mx * mx) + alpha) AS w FROM co),
 wb2 AS (SELECT *, my - w * mx AS b FROM wb),
 sc AS (SELECT n_name, alpha, fold,
-  syy - 2 * (b * sy + w * sxy) + (b * b * nf + 2 * b * w * sx + w * w * sxx) AS sse, syy - sy * sy / nf AS sst FROM wb2),
-m AS (SELECT n_name, alpha, avg(CASE WHEN sst > 0 THEN 1 - sse / sst ELSE 0 END) AS mean_r2 FROM sc GROUP BY 1, 2),
+  syy - 2 * (b * sy + w * sxy) + (b * b * nf + 2 * b * w * sx + w * w * sxx) AS sse, syy - sy * sy / nf AS sst, syy FROM wb2),
+m AS (SELECT n_name, alpha, avg(CASE WHEN sst > 1e-9 * syy THEN 1 - sse / sst ELSE 0 END) AS mean_r2 FROM sc GROUP BY 1, 2),
 bst AS (SELECT n_name, first(alpha ORDER BY mean_r2 DESC, alpha) AS balpha FROM m GROUP BY 1)
 SELECT m.n_name, m.alpha, round(m.mean_r2, 4) AS mean_r2, m.alpha = bst.balpha AS best FROM m JOIN bst ON m.n_name = bst.n_name""",
 )

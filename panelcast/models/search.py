@@ -66,7 +66,8 @@ def grid_linear(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, metho
                 xx, xy, yy = Gv[:-1, :-1], Gv[:-1, -1], Gv[-1, -1]
                 sse = yy - 2 * beta @ xy + beta @ xx @ beta
                 sst = yy - Gv[0, -1] ** 2 / Nf[f]
-                vals.append(1 - sse / sst if sst > 0 else 0.0)
+                # a constant fold has sst = 0 up to cancellation noise: no variance to explain
+                vals.append(1 - sse / sst if sst > 1e-9 * yy else 0.0)
             scores.append(float(np.mean(vals)))
         bi = int(np.argmax(scores))
         rows = [(*kv, float(a), s, i == bi) for i, (a, s) in enumerate(zip(alphas, scores))]
