@@ -44,10 +44,19 @@ def solve_gram(G: np.ndarray, n: float, method: str = "ols", alpha: float = 1.0,
         mx, my = np.zeros(p), 0.0
         C = G[np.ix_(xs, xs)]
         c = G[xs, yi]
+    # a constant regressor has zero centred variance; from sums it is only
+    # cancellation noise, so drop it exactly (its coefficient becomes 0)
+    dead = np.diag(C) <= 1e-12 * np.maximum(np.diag(G)[xs], 1e-300)
+    if dead.any():
+        C = C.copy()
+        c = c.copy()
+        C[dead, :] = 0.0
+        C[:, dead] = 0.0
+        c[dead] = 0.0
     if method == "ols":
         w = np.linalg.lstsq(C, c, rcond=None)[0]
     elif method == "ridge":
-        w = np.linalg.solve(C + alpha * np.eye(p), c)
+        w = np.linalg.solve(C + alpha * np.eye(p), c) if alpha > 0 else np.linalg.lstsq(C, c, rcond=None)[0]
     elif method in ("lasso", "enet"):
         l1 = 1.0 if method == "lasso" else l1_ratio
         w = _cd(C, c, n, alpha * l1, alpha * (1.0 - l1), max_iter, tol)

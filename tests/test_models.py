@@ -172,3 +172,14 @@ def test_knn_exact_against_brute_force(spark):
                 d2 = ((T - np.array(r[2:5])) ** 2).sum(1)
                 order = np.lexsort((tt, d2))[:20]
                 assert abs(got[(s, r[1])] - Y[order].mean()) < 1e-9
+
+
+def test_constant_regressor_gets_zero_coefficient():
+    rng = np.random.default_rng(1)
+    x1 = np.full(40, 123.456)
+    x2 = rng.normal(size=40)
+    y = 3.0 + 2.0 * x2 + rng.normal(size=40) * 0.1
+    Z = np.column_stack([np.ones(40), x1, x2, y])
+    b0, w = solve_gram(Z.T @ Z, 40, "ols")
+    ref = np.linalg.lstsq(np.column_stack([x1 - x1.mean(), x2 - x2.mean()]), y - y.mean(), rcond=None)[0]
+    assert w[0] == 0.0 and abs(w[1] - ref[1]) < 1e-9 and abs(b0 - (y.mean() - x2.mean() * w[1])) < 1e-9
