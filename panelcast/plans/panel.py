@@ -280,13 +280,15 @@ def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> Data
     (a shared folder on a cluster), so losing an executor does not lose it;
     :func:`release_materialized` drops the tables and their files.  Rows are
     first repartitioned with the same hash, so each task writes one file per
-    bucket.
+    bucket.  ``buckets`` defaults to ``spark.sql.shuffle.partitions`` capped at
+    the cluster's parallelism.
     """
     import uuid
 
     spark = df.sparkSession
     db = _work_db(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # default: the shuffle setting, but no more buckets than task slots (one wave)
+    n = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     name = f"{db}.panel_{uuid.uuid4().hex}"
     df.repartition(n, *panel.part).write.bucketBy(n, *panel.part).mode("error").saveAsTable(name)
     return spark.table(name)
