@@ -668,7 +668,7 @@ LEFT JOIN (SELECT s.n_name, CAST(least({bins - 1}, floor((s.{col} - mm.lo) / (mm
 SELECT n_name, col AS "column", lag, round(pacf, 4) AS pacf FROM pacf""",
 )
 def q_pacf(spark, d):
-    """Partial autocorrelation by Durbin-Levinson (checked against numpy in tests)."""
+    """Partial autocorrelation by Durbin-Levinson over the ACF (oracle: a recursive CTE; numpy in tests)."""
     from panelcast.operators import stats
 
     df, p = filled_panel(spark, d)
