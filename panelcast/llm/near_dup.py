@@ -1,16 +1,16 @@
 """MinHash near-dedup: signatures, banding, signature and exact verification, connected components.
 
 1. Each text becomes its set of distinct word n-grams (64-bit hashes) and ``BANDS * ROWS`` minima of universal
-   hashes ``(a x + b) mod (2^31 - 1)``.
+   hashes ``(a x + b) mod 2^32``, a odd.
 2. Equal sets are one class, kept by its smallest id; only class representatives go on, so thousands of
    copies cost one row.
-3. Representatives that share a band meet in a bucket.  A bucket is compared as a star around one member
-   picked by hash; a pair is a candidate when its signatures agree in enough
+3. Representatives that share a band meet in a bucket, around one member picked by hash.  Each is compared with the
+   ``LEADERS`` first of the members its buckets stand around; a pair is a candidate when its signatures agree in enough
    places, and a link only after both full sets were compared.
 4. Links become components by alternating large-star and small-star.
 5. In buckets that still hold more than one component, the members outside the largest one are compared, in blocks, with all
-   others by signature.  Candidates between components are verified in waves, best partners first (1, 2, 4, ... of a row in
-   each other component), skipping what has been joined meanwhile, until none is left.
+   others; candidates between components are compared exactly there and then, each in the first band it shares, and only
+   links that connect something leave the block.
 
 So no pair that shares a band is left unexamined unless it is already connected, and no group's pairs are
 all written out.  At the similarity threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1.3e-7.
@@ -35,24 +35,24 @@ from panelcast.llm import words as W
 from panelcast.llm.util import join_groups, prepare, stage
 
 BANDS, ROWS = 40, 5
-P31 = (1 << 31) - 1
-SLACK = 0.14
-BLOCK = 512
+LEADERS = 3
+SLACK = 0.12
+BLOCK = 256
 
 _K = BANDS * ROWS
-_A = np.array([W.splitmix(9000 + i) % (P31 - 1) + 1 for i in range(_K)], np.uint64)[:, None]
-_B = np.array([W.splitmix(19000 + i) % P31 for i in range(_K)], np.uint64)[:, None]
+_A = np.array([W.splitmix(9000 + i) & 0xFFFFFFFF | 1 for i in range(_K)], np.uint32)[:, None]
+_B = np.array([W.splitmix(19000 + i) & 0xFFFFFFFF for i in range(_K)], np.uint32)[:, None]
 
 
 def minima(x: np.ndarray) -> np.ndarray:
-    """The signature of a set of 64-bit hashes: the low 16 bits of its minima."""
-    low = (x % np.uint64(P31)).astype(np.uint64)[None, :]
-    out = np.full(_K, P31, np.uint64)
-    for at in range(0, low.shape[1], 2048):
-        v = _A * low[:, at : at + 2048] + _B
-        v = (v & np.uint64(P31)) + (v >> np.uint64(31))
-        np.minimum(out, np.where(v >= P31, v - np.uint64(P31), v).min(axis=1), out=out)
-    return (out & np.uint64(0xFFFF)).astype(np.uint16)
+    """The signature of a set of 64-bit hashes: the low 16 bits of the minima of its universal hashes."""
+    low = x.astype(np.uint32)[None, :]
+    out = np.full(_K, 0xFFFFFFFF, np.uint32)
+    for at in range(0, low.shape[1], 1024):
+        v = _A * low[:, at : at + 1024]
+        v += _B
+        np.minimum(out, v.min(axis=1), out=out)
+    return (out & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def _sign(n: int):
@@ -75,17 +75,30 @@ def _sign(n: int):
     return run
 
 
+def _keys(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of a batch (rep, sig, ...) and the row each belongs to."""
+    sig = np.stack([np.frombuffer(b, np.uint16) for b in batch.column(1).to_pylist()]).astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.zeros(sig.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return key.reshape(-1).view(np.int64), np.repeat(np.arange(len(batch)), BANDS)
+
+
 def _bands(batches):
     for batch in batches:
-        if not len(batch):
-            continue
-        sig = np.stack([np.frombuffer(b, np.uint16) for b in batch.column(1).to_pylist()]).astype(np.uint64).reshape(-1, BANDS, ROWS)
-        key = np.zeros(sig.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-        rep = np.repeat(batch.column(0).to_numpy(), BANDS)
-        for at in range(0, len(rep), 200_000):
-            yield pa.record_batch([pa.array(key.reshape(-1)[at : at + 200_000].view(np.int64)), pa.array(rep[at : at + 200_000])], names=["band", "rep"])
+        for at in range(0, len(batch), 5000):
+            part = batch.slice(at, 5000)
+            key, row = _keys(part)
+            yield pa.record_batch([pa.array(key), pa.array(part.column(0).to_numpy()[row])], names=["band", "rep"])
+
+
+def _bands_of(batches):
+    for batch in batches:
+        for at in range(0, len(batch), 5000):
+            part = batch.slice(at, 5000)
+            key, row = _keys(part)
+            no = np.tile(np.arange(BANDS, dtype=np.int32), len(part))
+            yield pa.record_batch([pa.array(key), pa.array(no), pa.array(part.column(0).to_numpy()[row]), pa.array(part.column(2).to_numpy()[row])], names=["band", "no", "rep", "comp"])
 
 
 def _agree(batches):
@@ -104,9 +117,7 @@ def _exact(n: int, percent: int):
             for i in range(len(a)):
                 if ta[i] != last:
                     last, sa = ta[i], _set(ta[i], n)
-                sb = _set(tb[i], n)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
+                keep.append(_linked(sa, _set(tb[i], n), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -118,28 +129,50 @@ def _set(text: str, n: int) -> np.ndarray:
     return np.unique(W.shingles(h, n))
 
 
-def _block_pairs(least: float):
-    """Signatures of a block of queries against a block of rows; per query and other component the partners by rank."""
+def _block_links(least: float, n: int, percent: int):
+    """A block of queries against a block of rows: every pair from different components whose first shared band
+    is this bucket's and whose signatures agree enough is compared exactly, unless links found in the block connect it."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, query = (table.column(c).to_numpy() for c in ("rep", "comp", "query"))
+        rep, comp, query, no = (table.column(c).to_numpy() for c in ("rep", "comp", "query", "no"))
         sig = np.stack([np.frombuffer(b, np.uint16) for b in table.column("sig").to_pylist()])
+        text, sets, root, out = table.column("text"), {}, {}, []
+
+        def of(i):
+            if rep[i] not in sets:
+                sets[rep[i]] = _set(text[int(i)].as_py(), n)
+            return sets[rep[i]]
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
         rows = np.flatnonzero(~query)
-        out = []
         for i in np.flatnonzero(query):
             others = rows[comp[rows] != comp[i]]
-            est = (sig[others] == sig[i]).mean(axis=1) if len(others) else np.zeros(0)
-            others, est = others[est >= least], est[est >= least]
-            seen: dict = {}
+            if not len(others):
+                continue
+            same = sig[others] == sig[i]
+            est = same.mean(axis=1)
+            ok = (est >= least) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == no[i])
+            others, est = others[ok], est[ok]
             for j in others[np.lexsort((rep[others], -est))]:
-                seen[comp[j]] = seen.get(comp[j], 0) + 1
-                out.append((min(rep[i], rep[j]), max(rep[i], rep[j]), seen[comp[j]]))
-        a, b, r = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "rank": pa.array(r, pa.int32())})
+                x, y = top(comp[i]), top(comp[j])
+                if x != y and _linked(of(i), of(j), percent):
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` of the nodes of ``edges`` (a, b): comp is the smallest node reachable.
 
@@ -178,38 +211,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     least = max(0.0, percent / 100 - SLACK)
     band = stage(sigs.mapInArrow(_bands, "band long, rep long"), "bands")
     centre = band.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stage(join_groups(band, centre, ["band"], "m", BANDS * total).where("a IS NOT NULL"), "buckets")
-    star = shared.where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    met = join_groups(band, centre, ["band"], "m", BANDS * total).where("a IS NOT NULL AND a <> rep")
+    around = F.array_sort(F.collect_set(F.struct(F.xxhash64("a").alias("h"), "a")))
+    met = stage(met.groupBy("rep").agg(around.alias("x")).select("rep", "x.a"), "met")
+    star = met.select("rep", F.explode(F.slice("a", 1, LEADERS)).alias("a")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    source = _texts_of(texts, met.select(F.explode(F.concat(F.array("rep"), "a")).alias("doc_id")))
     pairs = stage(_estimate(star, sigs, least), "pairs")
-
-    source = _texts_of(texts, pairs)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
     known = stage(_verify(best, source, n, percent), "links")
     comp = components(known)
-    rest = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
+    rest = stage(_across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp), "rest")
     more = stage(_verify(rest, source, n, percent), "links")
     if not more.isEmpty():
         known = known.unionAll(more)
         comp = components(known)
 
-    # What star comparisons cannot see: members of one bucket in different components.  Members outside the
-    # bucket's largest component are queries against all its rows.
-    placed = shared.where("m > 2").join(comp, shared["rep"] == comp["node"], "left").select("band", "rep", "m", F.coalesce("comp", "rep").alias("comp"))
-    sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main", "k")
-    open_ = stage(placed.join(mixed, "band").select("band", "rep", "comp", (F.col("comp") != F.col("main")).alias("query"), F.ceil(F.col("m") / block).alias("blocks"), F.ceil((F.col("m") - F.col("k")) / block).alias("asks")), "open")
-    if not open_.isEmpty():
-        found = stage(_crossing(open_, sigs, least), "crossing")
-        most = found.agg(F.max("rank")).first()[0] or 0
-        done, lo = pairs.select("a", "b"), 1
-        source = _texts_of(texts, found) if most else source
-        while lo <= most:
-            wave = found.where((F.col("rank") >= lo) & (F.col("rank") < 2 * lo)).select("a", "b").join(done, ["a", "b"], "left_anti")
-            more = stage(_verify(_across(wave, comp), source, n, percent), "links")
-            if not more.isEmpty():
-                known = known.unionAll(more)
-                comp = components(known)
-            lo *= 2
+    # What the stars cannot see: members of one bucket in different components.
+    of = sigs.join(comp, sigs["rep"] == comp["node"], "left").select("rep", "sig", F.coalesce("comp", "rep").alias("comp"))
+    open_ = stage(_open_buckets(of.mapInArrow(_bands_of, "band long, no int, rep long, comp long"), BANDS * total, block), "open")
+    crossing = _deal(open_).join(sigs.hint("merge"), "rep").join(source.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    more = stage(crossing.groupBy("band", "i", "j").applyInArrow(_block_links(least, n, percent), "a long, b long").distinct(), "links")
+    if not more.isEmpty():
+        comp = components(known.unionAll(more))
 
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("h1", "h2", "size", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component"))
     out = join_groups(slim, named, ["h1", "h2"], "size", max(1, total))
@@ -217,26 +240,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the rows in ``pairs``, written once; of an id that repeats, the text that sorts first."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return stage(texts.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these documents, written once; of an id that repeats, the text that sorts first."""
+    return stage(texts.where("doc_id IS NOT NULL").join(ids.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+
+def _open_buckets(placed: DataFrame, total: int, block: int) -> DataFrame:
+    """The rows (band, rep, comp) of buckets with several components.  Members outside a bucket's largest component
+    are queries against all its rows; ``blocks`` and ``asks`` say how many blocks of rows and of queries it is cut into."""
+    sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = join_groups(placed, mixed, ["band"], "m", total).where("main IS NOT NULL")
+    return rows.select("band", "no", "rep", "comp", (F.col("comp") != F.col("main")).alias("query"), F.ceil(F.col("m") / block).alias("blocks"), F.ceil((F.col("m") - F.col("k")) / block).alias("asks"))
 
 
-def _crossing(open_: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """``a, b, rank``: candidates between components, each block of a bucket's queries against each block of its rows."""
+def _deal(open_: DataFrame) -> DataFrame:
+    """Each bucket's rows and queries dealt to the cells (i, j): row block i, query block j."""
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     rows = open_.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("j", every("asks")).withColumn("query", F.lit(False))
     asks = open_.where("query").withColumn("j", F.pmod(F.xxhash64("rep"), F.col("asks"))).withColumn("i", every("blocks"))
-    cols = ["band", "i", "j", "rep", "comp", "query"]
-    dealt = rows.select(*cols).unionAll(asks.select(*cols)).join(sigs, "rep")
-    found = dealt.groupBy("band", "i", "j").applyInArrow(_block_pairs(least), "a long, b long, rank int")
-    return found.groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    cols = ["band", "no", "i", "j", "rep", "comp", "query"]
+    return rows.select(*cols).unionAll(asks.select(*cols))
 
 
 def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     x, y = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb")
+    both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
     return both.mapInArrow(_agree, "a long, b long, est double").where(F.col("est") >= least)
 
 
@@ -248,7 +277,7 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
+    both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_exact(n, percent), "a long, b long")
 
 
