@@ -31,6 +31,7 @@ from panelcast.llm.util import prepare, stage
 END = np.uint64(W.splitmix(31337))
 SHARE = 1e-6
 ORDER = 3
+BITS = 20  # a word of the automaton is a number below 2^20: at most 1 / SHARE of them
 
 
 def held_out(id_col):
@@ -58,58 +59,59 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _grams(t: np.ndarray, first: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram, history and suffix hashes of the n-grams of frequent words inside a text."""
-    m = len(t) - n + 1
+def _packed(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of numbered words inside a text, ``BITS`` bits a word, and the place of their last word."""
+    m = len(word) - n + 1
     if m <= 0:
-        z = np.zeros(0, np.uint64)
-        return z, z, z
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     ok = text[:m] == text[n - 1 :]
-    known = find(frequent, t) >= 0
+    key = np.zeros(m, np.int64)
     for j in range(n):
-        ok &= known[j : j + m]
+        w = word[j : j + m]
+        ok &= w >= 0
+        key = (key << BITS) | np.maximum(w, 0)
     at = np.flatnonzero(ok)
-    g = W.ngrams(t, n)[at]
-    low = t if n == 2 else W.ngrams(t, n - 1)
-    return g, low[at], low[at + 1]
+    return key[at], at + n - 1
 
 
 def _count(n: int, box=None):
+    """Counts of words (n = 1), or of the n-grams whose parts of order n - 1 are in the automaton."""
+
     def run(batches):
         for batch in batches:
-            rows = []
+            keys, counts = [], []
             for lo, hi in W.groups(batch.column(0)):
                 t, first = _tokens(batch.column(0).slice(lo, hi - lo))
                 if n == 1:
-                    u, c = np.unique(t, return_counts=True)
-                    rows.append((u, u, u, c))
+                    g = t
                 else:
-                    g, ctx, suf = _grams(t, first, n, box.value)
-                    u, at, c = np.unique(g, return_index=True, return_counts=True)
-                    rows.append((u, ctx[at], suf[at], c))
-            if not rows:
-                continue
-            g, ctx, suf, c = (np.concatenate(x) for x in zip(*rows))
-            u, at, inv = np.unique(g, return_index=True, return_inverse=True)
-            c = np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64) if len(u) else np.zeros(0, np.int64)
-            cols = [u.view(np.int64)] + ([] if n == 1 else [ctx[at].view(np.int64), suf[at].view(np.int64)]) + [c]
-            yield pa.record_batch([pa.array(x) for x in cols], names=["g", "c"] if n == 1 else ["g", "ctx", "suf", "c"])
+                    words, lower = box.value
+                    g, _ = _packed(find(words, t), first, n)
+                    if n > 2:
+                        g = g[(find(lower, g >> BITS) >= 0) & (find(lower, g & ((1 << BITS * (n - 1)) - 1)) >= 0)]
+                u, c = np.unique(g, return_counts=True)
+                keys.append(u)
+                counts.append(c)
+            if keys:
+                u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+                c = np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(c)], names=["g", "c"])
 
     return run
 
 
-def _sorted(df: DataFrame) -> list[np.ndarray]:
-    """The columns of a small table on the driver, sorted by the first (as unsigned)."""
-    t = df.toArrow()
-    cols = [c.to_numpy() for c in t.columns]
-    order = np.argsort(cols[0].view(np.uint64))
-    return [c.view(np.uint64)[order] if i < len(cols) - 1 else c[order] for i, c in enumerate(cols)]
+def _sorted(df: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (as ``kind``) and counts of a small table on the driver, sorted by key."""
+    t = df.select("g", "c").toArrow()
+    g, c = t.column(0).to_numpy().view(kind), t.column(1).to_numpy()
+    order = np.argsort(g)
+    return g[order], c[order]
 
 
 class Automaton:
-    """Arcs by order and states: ``arcs[n]`` = sorted n-gram hashes and log10 weights, ``bow[n]`` = sorted history hashes and log10
-    weights of their failure arcs."""
+    """Arcs by order and states: ``arcs[n]`` = sorted n-grams and log10 weights, ``bow[n]`` = sorted histories and log10 weights of
+    their failure arcs.  Words are hashes in order 1; longer n-grams are packed from the words' numbers there."""
 
     def __init__(self, total: int, types: int, discount: float):
         self.total, self.types, self.d = total, types, discount
@@ -131,31 +133,32 @@ class Automaton:
         self.counts[1] = (g, c)
         self.arcs[1] = (g, self.unigram(c))
 
-    def add(self, n: int, g, ctx, suf, c):
-        """The n-grams of order ``n``; the orders below are there already."""
-        low_g, low_c = self.counts[n - 1]
-        hist = low_c[np.searchsorted(low_g, ctx)].astype(np.float64)
-        share = (c - self.d) / hist
+    def add(self, n: int, g: np.ndarray, c: np.ndarray):
+        """The n-grams of order ``n`` (packed word numbers); the orders below are there already."""
+        ctx, suf = g >> BITS, g & ((1 << BITS * (n - 1)) - 1)
+        low, low_c = (np.arange(len(self.counts[1][0])), self.counts[1][1]) if n == 2 else self.counts[n - 1]
+        low_log = self.arcs[n - 1][1]
+        share = (c - self.d) / low_c[np.searchsorted(low, ctx)]
         states, inv = np.unique(ctx, return_inverse=True)
-        left = np.maximum(1.0 - np.bincount(inv, weights=share, minlength=len(states)), 1e-12) if len(states) else np.zeros(0)
-        lower = 10.0 ** self.arcs[n - 1][1][np.searchsorted(self.arcs[n - 1][0], suf)]
+        left = np.maximum(1.0 - np.bincount(inv, weights=share, minlength=len(states)), 1e-12)
         self.counts[n] = (g, c)
-        self.arcs[n] = (g, np.log10(share + left[inv] * lower) if len(g) else np.zeros(0))
+        self.arcs[n] = (g, np.log10(share + left[inv] * 10.0 ** low_log[np.searchsorted(low, suf)]))
         self.bow[n] = (states, np.log10(left))
 
-    def walk(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 weight of every token given its history, and which tokens are left to the unigram table."""
-        m = len(t)
-        place = np.arange(m) - np.repeat(first[:-1], np.diff(first))
-        weight, open_ = np.zeros(m), np.ones(m, bool)
-        for n in sorted(self.bow, reverse=True):
-            at = np.flatnonzero(open_ & (place >= n - 1))
-            if not len(at):
-                continue
-            hist = t[at - 1] if n == 2 else W.ngrams(t, n - 1)[at - n + 1]
+        weight, open_ = np.zeros(len(word)), np.ones(len(word), bool)
+        longest = max(self.bow, default=1)
+        for n in range(longest, 1, -1):
+            hist, last = _packed(word, first, n - 1)
+            ends = first[1:] - 1
+            inside = ~np.isin(last, ends)
+            hist, at = hist[inside], last[inside] + 1
+            hist, at = hist[open_[at]], at[open_[at]]
             state = find(self.bow[n][0], hist)
-            at, state = at[state >= 0], state[state >= 0]
-            arc = find(self.arcs[n][0], W.ngrams(t, n)[at - n + 1])
+            on = state >= 0
+            hist, at, state = hist[on], at[on], state[on]
+            arc = find(self.arcs[n][0], np.where(word[at] >= 0, (hist << BITS) | np.maximum(word[at], 0), -1))
             hit = arc >= 0
             weight[at[hit]] += self.arcs[n][1][arc[hit]]
             open_[at[hit]] = False
@@ -174,8 +177,8 @@ def _score(box):
         for batch in batches:
             for lo, hi in W.groups(batch.column(1)):
                 t, first = _tokens(batch.column(1).slice(lo, hi - lo))
-                weight, open_ = auto.walk(t, first)
                 word = find(words, t)
+                weight, open_ = auto.walk(word, first)
                 known = word >= 0
                 weight[open_ & known] += logs[word[open_ & known]]
                 base = np.where(known, bases[np.maximum(word, 0)] if len(bases) else 0.0, 0.0)
@@ -201,6 +204,8 @@ def _score(box):
 
 def train(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Automaton, DataFrame]:
     """The automaton of the training ``texts`` (one column) and the table ``g, c`` of all words."""
+    if order > 3 or share < 2.0**-BITS:
+        raise ValueError(f"n-grams of up to three words of a share of at least 2^-{BITS} fit a 64-bit key")
     spark = prepare(texts.sparkSession)
     vocab = stage(texts.mapInArrow(_count(1), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "vocabulary")
     s = vocab.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
@@ -208,11 +213,11 @@ def train(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[A
     d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     auto = Automaton(total, types, d)
     cut = max(2, share * total)
-    auto.add_words(*_sorted(vocab.where(F.col("c") >= cut)))
+    auto.add_words(*_sorted(vocab.where(F.col("c") >= cut), np.uint64))
     for n in range(2, order + 1):
-        box = spark.sparkContext.broadcast(auto.counts[1][0])
-        grams = texts.mapInArrow(_count(n, box), "g long, ctx long, suf long, c long").groupBy("g").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.sum("c").alias("c"))
-        auto.add(n, *_sorted(grams.where(F.col("c") >= cut)))
+        box = spark.sparkContext.broadcast((auto.counts[1][0], auto.counts[n - 1][0]))
+        grams = texts.mapInArrow(_count(n, box), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+        auto.add(n, *_sorted(grams.where(F.col("c") >= cut), np.int64))
     return auto, vocab
 
 
