@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +124,14 @@ def _cut(batches):
             )
 
 
+def _not_first(batches):
+    """Places of repeated spans other than the first one."""
+    for batch in batches:
+        doc, at, _, f_doc, f_at = batch.columns
+        same = pc.and_(pc.equal(doc, f_doc), pc.equal(at, f_at))
+        yield pa.RecordBatch.from_arrays([c.filter(pc.fill_null(pc.invert(same), False)) for c in batch.columns[:3]], names=["doc_id", "at", "len"])
+
+
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 12, long_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_sentences, n_removed, words_removed, text`` (what stays)."""
     prepare(docs.sparkSession)
@@ -131,6 +140,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     seen = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = stage(seen, "spans")
     total = seen.agg(F.sum("n")).first()[0] or 0
-    again = join_groups(rows, seen, ["h1", "h2"], "n", total).where("n IS NOT NULL AND (doc_id, at) <> (first.doc_id, first.at)")
+    met = join_groups(rows, seen, ["h1", "h2"], "n", total)
+    again = met.select("doc_id", "at", "len", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at")).mapInArrow(_not_first, "doc_id long, at int, len int")
     gone = again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("gone"))
     return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
