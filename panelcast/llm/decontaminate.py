@@ -5,8 +5,8 @@ weight.  A posting's weight is its BM25 contribution divided by the item's score
 whole item scores 1.  Passages are windows of ``2 * span`` words every ``span`` words, ``span`` being a quarter longer than the longest item,
 so an item lies whole in a window.  Every passage of every document is a query:
 
-* words that no item has weigh nothing; if the largest weights of the others do not add up to the threshold, no item can reach it
-  (the bound that starts WAND, taken for all passages at once);
+* the block-max bound is first taken for all passages at once: for each block of items the largest weights of the passage's words
+  there are added up; a passage for which no block reaches the threshold has no item above it;
 * the remaining passages run block-max WAND and yield all items at or above the threshold;
 * a retrieved item is a leak if its question and its answer both overlap the passage: at least ``overlap`` of
   the five-word shingles of each part occur in it.  The answer is what follows the last ``?`` or an ``Answer:`` mark, without one the
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import words as W
 from panelcast.llm.util import prepare
 
-THRESHOLD, OVERLAP, SHINGLE, BLOCK = 0.6, 0.8, 5, 16
+THRESHOLD, OVERLAP, SHINGLE, BLOCK, COARSE = 0.6, 0.8, 5, 16, 64
 K1, B = 1.2, 0.75
 _MARK = re.compile(r"(?is)^(.*(?:\?|\banswer\s*:))\s*(\S.*)$")
 
@@ -79,6 +79,10 @@ class Index:
         self.weights = [[x for _, x in lists[w]] for w in sorted(lists)]
         self.most = np.array([max(x) for x in self.weights] or [0.0])
         self.blocks = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.weights]
+        width = max(1, math.ceil(n / COARSE))
+        self.bound = np.zeros((max(1, len(self.words)), max(1, math.ceil(n / width))), np.float32)
+        for t, (ds, ws) in enumerate(zip(self.docs, self.weights)):
+            np.maximum.at(self.bound[t], np.array(ds) // width, np.array(ws, np.float32))
         self.bits = np.zeros(1 << 18, bool)
         self.bits[(self.words & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
@@ -92,6 +96,16 @@ class Index:
             out[may[ok]] = at[ok]
         return out
 
+    def bounds(self, segment: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """For each of ``n`` segments and each block of items the most its distinct words can add."""
+        out = np.zeros((n, self.bound.shape[1]), np.float32)
+        pair = np.unique(segment * len(self.words) + term)
+        seg, t = pair // max(1, len(self.words)), pair % max(1, len(self.words))
+        for at in range(0, len(pair), 1 << 16):
+            some, first = np.unique(seg[at : at + (1 << 16)], return_index=True)
+            out[some] += np.add.reduceat(self.bound[t[at : at + (1 << 16)]], first, axis=0)
+        return out
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score against the passage with these words reaches ``threshold`` (block-max WAND)."""
         cur = [[self.docs[t][0], 0, t] for t in terms]
@@ -133,7 +147,7 @@ class Index:
         return found
 
 
-EPS = 1e-9
+EPS, SLOP = 1e-9, 1e-4  # of sums in double and in single precision
 
 
 def _search_all(box, threshold: float, overlap: float):
@@ -146,19 +160,22 @@ def _search_all(box, threshold: float, overlap: float):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 h, first = W.hash_words(*W.buffers(batch.column(1).slice(lo, hi - lo)))
                 term = index.lookup(h)
-                total = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, index.most[np.maximum(term, 0)], 0.0))])
                 n = np.diff(first)
                 windows = -(-n // span)
                 doc = np.repeat(np.arange(hi - lo), windows)
-                begin = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * span
+                w_first = np.cumsum(windows) - windows
+                begin = first[doc] + (np.arange(len(doc)) - w_first[doc]) * span
                 end = np.minimum(begin + 2 * span, first[doc + 1])
+                hit = np.flatnonzero(term >= 0)
+                of = np.searchsorted(begin, hit, side="right") - 1
+                bound = index.bounds(of, term[hit].astype(np.int64), len(doc))
+                if len(doc) > 1:
+                    bound[:-1] += bound[1:] * (doc[1:] == doc[:-1])[:, None]
                 leaks: dict = {}
-                for k in np.flatnonzero(total[end] - total[begin] >= threshold - EPS):
+                for k in np.flatnonzero(bound.max(axis=1) >= threshold - SLOP) if len(doc) else ():
                     a, b = begin[k], end[k]
                     terms = np.unique(term[a:b])
                     terms = terms[terms >= 0]
-                    if index.most[terms].sum() < threshold - EPS:
-                        continue
                     own = None
                     for item, score in index.search(terms.tolist(), threshold - EPS):
                         own = np.unique(np.concatenate([W.ngrams(h[a:b], m) for m in range(1, SHINGLE + 1)])) if own is None else own
