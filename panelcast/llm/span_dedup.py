@@ -6,9 +6,9 @@ compared by a 128-bit hash of their words (A-Z as a-z, white space of any kind a
 place of a span is the one with the smallest (id, sentence); every sentence covered by a span at
 any other place is removed, with the white space behind it.
 
-Scale: one row a sentence is counted by a partial aggregation; places join the repeated spans,
-those with very many places by broadcast (their number is bounded), the others by a shuffle; texts
-are shuffled once, to meet their own removals.
+Scale: one row a sentence is counted by a partial aggregation.  Spans with more than 1 / HEAVY_SHARE of all repeated
+places are fewer than HEAVY_SHARE: they are broadcast and removed where the texts are cut, without a row a place.  Places of the
+other spans join them by a shuffle in which no key is hot; texts are shuffled once, to meet their own removals.
 
 Defined cases: a null text is empty and stays null-free (empty string out); a text without a full span loses
 nothing; rows without id stay as they are; rows that repeat an id and text are one document, each
@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import join_groups, prepare, stage
+from panelcast.llm.util import HEAVY_SHARE, prepare, stage
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?")]] = True
@@ -77,14 +76,25 @@ def spans(h, s_first, s_text, least_sentences: int, least_words: int, long_words
     return end, out[0], out[1]
 
 
-def _span_rows(least_sentences, least_words, long_words):
+def _heavy(table, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The row of each span in the table of spans with very many places, -1 if it has fewer."""
+    keys, second = table[0], table[1]
+    if not len(keys) or not len(h1):
+        return np.full(len(h1), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, h1), len(keys) - 1)
+    return np.where((keys[at] == h1) & (second[at] == h2), at, -1)
+
+
+def _span_rows(rule, box=None):
     def run(batches):
         for batch in batches:
             for lo, hi in W.groups(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 h, _, _, s_first, s_text = sentences(*W.buffers(batch.column(1).slice(lo, hi - lo)))
-                end, h1, h2 = spans(h, s_first, s_text, least_sentences, least_words, long_words)
+                end, h1, h2 = spans(h, s_first, s_text, *rule)
                 ok = end >= 0
+                if box is not None:
+                    ok &= _heavy(box.value, h1, h2) < 0
                 at = np.arange(len(s_text)) - np.searchsorted(s_text, s_text)
                 yield pa.record_batch(
                     [pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array(ids[s_text[ok]].astype(np.int64)), pa.array(at[ok].astype(np.int32)), pa.array((end - np.arange(len(s_text)))[ok].astype(np.int32))],
@@ -94,53 +104,68 @@ def _span_rows(least_sentences, least_words, long_words):
     return run
 
 
-def _cut(batches):
-    for batch in batches:
-        ids, texts, places = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        for lo, hi in W.groups(texts):
-            part = texts.slice(lo, hi - lo)
-            data, offsets = W.buffers(part)
-            _, first, starts, s_first, s_text = sentences(data, offsets)
-            n_all, n_cut, n_words, out = [], [], [], []
-            s_of = np.searchsorted(s_text, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                a, b = int(s_of[i]), int(s_of[i + 1])
-                gone = np.zeros(b - a, bool)
-                for p in places[lo + i] or ():
-                    gone[p["at"] : p["at"] + p["len"]] = True
-                n_all.append(b - a)
-                n_cut.append(int(gone.sum()))
-                n_words.append(int(np.diff(s_first[a : b + 1])[gone].sum()) if b > a else 0)
-                raw = data[offsets[i] : offsets[i + 1]]
-                if not gone.any():
-                    out.append(raw.tobytes())
-                    continue
-                bounds = np.append(starts[s_first[a:b]], offsets[i + 1]) - offsets[i]
-                bounds[0] = 0
-                out.append(b"".join(raw[bounds[j] : bounds[j + 1]].tobytes() for j in np.flatnonzero(~gone)))
-            yield pa.record_batch(
-                [ids.slice(lo, hi - lo), pa.array(n_all, pa.int64()), pa.array(n_cut, pa.int64()), pa.array(n_words, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_sentences", "n_removed", "words_removed", "text"],
-            )
-
-
-def _not_first(batches):
-    """Places of repeated spans other than the first one."""
-    for batch in batches:
-        doc, at, _, f_doc, f_at = batch.columns
-        same = pc.and_(pc.equal(doc, f_doc), pc.equal(at, f_at))
-        yield pa.RecordBatch.from_arrays([c.filter(pc.fill_null(pc.invert(same), False)) for c in batch.columns[:3]], names=["doc_id", "at", "len"])
+def _cut(rule, box):
+    """Removes the sentences of the listed places, and of places of very common spans other than the first."""
+
+    def run(batches):
+        table = box.value
+        for batch in batches:
+            ids, texts, places = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            for lo, hi in W.groups(texts):
+                part = texts.slice(lo, hi - lo)
+                data, offsets = W.buffers(part)
+                h, _, starts, s_first, s_text = sentences(data, offsets)
+                s_of = np.searchsorted(s_text, np.arange(hi - lo + 1))
+                gone = np.zeros(len(s_text) + 1, np.int32)  # +1 where a removed span begins, -1 behind it
+                end, h1, h2 = spans(h, s_first, s_text, *rule)
+                common = np.where(end >= 0, _heavy(table, h1, h2), -1)
+                for j in np.flatnonzero(common >= 0):
+                    doc = ids[lo + int(s_text[j])].as_py()
+                    if doc is not None and (doc, int(j - s_of[s_text[j]])) != table[2][common[j]]:
+                        gone[j] += 1
+                        gone[end[j]] -= 1
+                for i in range(hi - lo):
+                    a, b = int(s_of[i]), int(s_of[i + 1])
+                    for p in places[lo + i] or ():
+                        if a + p["at"] < b:
+                            gone[a + p["at"]] += 1
+                            gone[min(b, a + p["at"] + p["len"])] -= 1
+                cut = np.cumsum(gone[:-1]) > 0
+                words = np.diff(s_first)
+                n_all, n_cut, n_words, out = [], [], [], []
+                for i in range(hi - lo):
+                    a, b = int(s_of[i]), int(s_of[i + 1])
+                    mine = cut[a:b]
+                    n_all.append(b - a)
+                    n_cut.append(int(mine.sum()))
+                    n_words.append(int(words[a:b][mine].sum()))
+                    raw = data[offsets[i] : offsets[i + 1]]
+                    if not mine.any():
+                        out.append(raw.tobytes())
+                        continue
+                    bounds = np.append(starts[s_first[a:b]], offsets[i + 1]) - offsets[i]
+                    bounds[0] = 0
+                    out.append(b"".join(raw[bounds[j] : bounds[j + 1]].tobytes() for j in np.flatnonzero(~mine)))
+                yield pa.record_batch(
+                    [ids.slice(lo, hi - lo), pa.array(n_all, pa.int64()), pa.array(n_cut, pa.int64()), pa.array(n_words, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "n_sentences", "n_removed", "words_removed", "text"],
+                )
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 12, long_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_sentences, n_removed, words_removed, text`` (what stays)."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    rule = (least_sentences, least_words, long_words)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.where("doc_id IS NOT NULL").mapInArrow(_span_rows(least_sentences, least_words, long_words), "h1 long, h2 long, doc_id long, at int, len int")
-    seen = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    known, kind = texts.where("doc_id IS NOT NULL"), "h1 long, h2 long, doc_id long, at int, len int"
+    seen = known.mapInArrow(_span_rows(rule), kind).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = stage(seen, "spans")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    met = join_groups(rows, seen, ["h1", "h2"], "n", total)
-    again = met.select("doc_id", "at", "len", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at")).mapInArrow(_not_first, "doc_id long, at int, len int")
+    bar = max(1, (seen.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE)
+    heavy = sorted(((r["h1"] % (1 << 64), r["h2"] % (1 << 64), (r["first"]["doc_id"], r["first"]["at"])) for r in seen.where(F.col("n") > bar).collect()))
+    box = spark.sparkContext.broadcast((np.array([x[0] for x in heavy], np.uint64), np.array([x[1] for x in heavy], np.uint64), [x[2] for x in heavy]))
+    rare = known.mapInArrow(_span_rows(rule, box), kind)
+    again = rare.join(seen.where(F.col("n") <= bar), ["h1", "h2"]).where("(doc_id, at) <> (first.doc_id, first.at)")
     gone = again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("gone"))
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
+    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut(rule, box), "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
