@@ -174,7 +174,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` of the nodes of ``edges`` (a, b): comp is the smallest node reachable.
+    """``node, comp`` of the nodes of ``edges`` (a, b): comp is the smallest node reachable (which has no row itself).
 
     Alternates large-star and small-star; each round is written to the shared folder, and the rounds end when the set of
     edges no longer changes.

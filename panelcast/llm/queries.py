@@ -84,7 +84,7 @@ e AS (SELECT h AS key, day, 'block' AS action FROM hosts WHERE n % 3 = 0 UNION A
   UNION ALL SELECT key, CAST('0x' || substr(md5(key), 5, 4) AS BIGINT) % 300, 'block' FROM pp WHERE CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) % 5 = 0),
 o AS (SELECT key, day, max(action) AS action FROM e GROUP BY 1, 2),
 i AS (SELECT key, action, day AS since, lead(day, 1, 2932896) OVER (PARTITION BY key ORDER BY day) AS until FROM o),
-l AS (SELECT page_id, url, day, h, p, string_split(h, '.') AS ls FROM c),
+l AS (SELECT DISTINCT page_id, url, day, h, p, string_split(h, '.') AS ls FROM c),
 k AS (SELECT page_id, url, day, array_to_string(ls[j : len(ls)], '.') AS key, len(ls) - j AS rank FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS j FROM l WHERE h <> '')
   UNION ALL SELECT page_id, url, day, h || '/' || array_to_string(p[1 : j], '/'), 1000 + j FROM (SELECT *, unnest(range(1, least(len(p), 2) + 1)) AS j FROM l WHERE h <> '')),
 m AS (SELECT page_id, url, k.day, rank, k.key, action FROM k JOIN i ON k.key = i.key AND k.day >= since AND k.day < until),
