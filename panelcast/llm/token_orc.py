@@ -12,8 +12,7 @@ number of files and is broadcast.
 
 Encoding: byte-level BPE never joins a character with what stands before the single space in front of it, so
 a text is cut at single spaces between other characters and each piece is encoded once and remembered
-(at most ``2 * MEMO`` pieces a worker; the older half goes first).  A piece of letters with marks behind them is
-cut once more before the marks, where the pre-tokenizer always cuts.  The ids equal those of the whole text.
+(at most ``2 * MEMO`` pieces a worker; the older half goes first).  The ids equal those of the whole text.
 
 Defined cases: a null or empty text has the end id only; repeated ids follow each other, in the order of
 their texts, each with its own start; null ids come first; an empty table writes an empty file and reads back as no rows; other
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.util import prepare, scratch_path
 
 MEMO = 400_000
-MARKS = ".,!?;:"
 ENCODE_BYTES = 4 << 20
+JOINED = 500
 _state: dict = {}
 
 
@@ -43,7 +42,9 @@ def _load(path: str):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _state.update(path=path, tok=tok, memo={}, old={})
+        begins = np.zeros(tok.get_vocab_size(), bool)
+        begins[[i for w, i in tok.get_vocab().items() if w.startswith("\u0120")]] = True  # tokens that begin with a space
+        _state.update(path=path, tok=tok, memo={}, old={}, begins=begins)
     return _state["tok"]
 
 
@@ -52,32 +53,31 @@ def _ids(encodings) -> list[bytes]:
 
 
 def _learn(tok, words: list[str], memo: dict) -> None:
-    for at in range(0, len(words), 20_000):
-        some = words[at : at + 20_000]
-        memo.update(zip(some, _ids(tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False))))
+    """Encode new pieces, ``JOINED`` in one string: every piece begins with its only space, so do its ids."""
+    one = [p for p in words if " " in p]
+    memo.update(zip(one, _ids(tok.encode_batch_fast([" " + p for p in one], add_special_tokens=False))))
+    words = [p for p in words if " " not in p]
+    parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+    for at in range(0, len(parts), 64):
+        for some, e in zip(parts[at : at + 64], tok.encode_batch_fast([" " + " ".join(p) for p in parts[at : at + 64]], add_special_tokens=False)):
+            ids = np.asarray(e.ids, np.uint32)
+            first = np.flatnonzero(_state["begins"][ids])
+            if len(first) != len(some):
+                memo.update(zip(some, _ids(tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False))))
+                continue
+            raw, cuts = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
+            memo.update((p, raw[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
 
 
 def _remember(tok, pieces: set[str]) -> dict:
     """The memory with all of ``pieces`` in it."""
-    memo, old, whole, cut = _state["memo"], _state["old"], [], []
-    if len(memo) > MEMO:
-        _state.update(memo={}, old=memo)
-        memo, old = _state["memo"], _state["old"]
-    for p in pieces:
-        if p not in memo:
-            if p in old:
-                memo[p] = old[p]
-                continue
-            core = p.rstrip(MARKS)
-            if core and core != p and core.isalpha():
-                cut.append((p, core))
-            else:
-                whole.append(p)
-    _learn(tok, whole, memo)
-    _learn(tok, [c for c in {c for _, c in cut} if c not in memo], memo)
-    ends = list({p[len(c) :] for p, c in cut})
-    tail = dict(zip(ends, _ids(tok.encode_batch_fast(ends, add_special_tokens=False))))
-    memo.update((p, memo[c] + tail[p[len(c) :]]) for p, c in cut)
+    if len(_state["memo"]) > MEMO:
+        _state.update(memo={}, old=_state["memo"])
+    memo, old = _state["memo"], _state["old"]
+    new = pieces - memo.keys()
+    known = new & old.keys()
+    memo.update((p, old[p]) for p in known)
+    _learn(tok, list(new - known), memo)
     return memo
 
 
@@ -87,7 +87,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     split, heads, new = [], [], set()
     for t in texts:
         parts = t.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        if "" in parts or list(map(str.strip, parts)) != parts:
             parts = _rejoin(parts)
         heads.append(parts[0])
         del parts[0]
