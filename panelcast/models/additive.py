@@ -97,10 +97,10 @@ def fit_predict(
     yearly = dot(four_c, len(trend_c))
     extra = dot(reg_c, len(trend_c) + len(four_c))
     out = te.select(*test.columns, trend.alias("trend"), yearly.alias("yearly"), extra.alias("extra_regressors"))
-    return out.withColumn("yhat", F.col("trend") + F.col("yearly") + F.col("extra_regressors"))
+    out = out.withColumn("additive", F.col("yearly") + F.col("extra_regressors"))
+    return out.withColumn("yhat", F.col("trend") + F.col("additive"))
 
 
-def recombine(df: DataFrame, additive: str | None = None) -> Column:
-    """``yhat/trend + yearly + extra_regressors (+ additive)`` for the series that use it."""
-    e = F.try_divide(F.col("yhat"), F.col("trend")) + F.col("yearly") + F.col("extra_regressors")
-    return e + F.col(additive) if additive else e
+def recombine(df: DataFrame, additive: str = "additive") -> Column:
+    """``yhat/trend + yearly + extra_regressors + additive``, the last being the sum of the additive components."""
+    return F.try_divide(F.col("yhat"), F.col("trend")) + F.col("yearly") + F.col("extra_regressors") + F.col(additive)

@@ -70,23 +70,36 @@ class Pooled:
     def _stages(self):
         cols = list(self.features)
         st = []
-        if self.series_col:
+        # a linear model must not take the series number as a quantity
+        if self.series_col and not isinstance(self.estimator, LinearRegression):
             st.append(StringIndexer(inputCol=self.series_col, outputCol="_series_idx", handleInvalid="keep"))
             cols = [*cols, "_series_idx"]
-        st.append(VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="skip"))
+        st.append(VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep"))
         est = self.estimator.copy()
         est.setFeaturesCol("_features").setLabelCol(self.label).setPredictionCol(self.out)
         st.append(est)
         return st
 
+    def _complete(self) -> Column:
+        """Rows that have every feature."""
+        ok = F.lit(True)
+        for c in self.features:
+            ok = ok & F.col(c).isNotNull()
+        return ok
+
     def fit(self, df: DataFrame) -> "Pooled":
-        d = df.filter(F.col(self.label).isNotNull())
+        d = df.filter(F.col(self.label).isNotNull() & self._complete())
+        if self.series_col and self.estimator.hasParam("maxBins"):
+            # a categorical feature needs a bin per value (and one for values unseen in training)
+            n = d.agg(F.countDistinct(self.series_col)).first()[0]
+            self.estimator = self.estimator.copy({self.estimator.maxBins: max(self.estimator.getMaxBins(), n + 1)})
         self.model = Pipeline(stages=self._stages()).fit(d)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Every row of ``df``; a row with a missing feature gets a NULL prediction."""
         out = self.model.transform(df)
-        return out.drop("_features", "_series_idx")
+        return out.withColumn(self.out, F.when(self._complete(), F.col(self.out))).drop("_features", "_series_idx")
 
     def save(self, path: str) -> None:
         """IO6: one saved version."""

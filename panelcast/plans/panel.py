@@ -258,6 +258,8 @@ def with_position(df: DataFrame, panel: Panel, pos: str = "_pos", n: str = "_n")
 
 
 WORK_DB = "panelcast_work"
+# Tables this driver process wrote; only these are dropped again.
+_OWN_TABLES: list[str] = []
 
 
 def _work_db(spark) -> str:
@@ -269,6 +271,20 @@ def _work_db(spark) -> str:
     return WORK_DB
 
 
+BUCKET_BYTES = 256 << 20
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Buckets by data size: one per ``BUCKET_BYTES`` of the tables behind ``df``, and no fewer than one
+    wave of tasks (or the shuffle setting, where that is less)."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(b for b in sizes if b < 1 << 60)  # Spark's mark for an unknown size is larger
+    wave = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, wave, -(-size // BUCKET_BYTES))
+
+
 def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> DataFrame:
     """Write the panel once as a table bucketed by (keys, seg) and read it back.
 
@@ -280,28 +296,25 @@ def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> Data
     (a shared folder on a cluster), so losing an executor does not lose it;
     :func:`release_materialized` drops the tables and their files.  Rows are
     first repartitioned with the same hash, so each task writes one file per
-    bucket.  ``buckets`` defaults to ``spark.sql.shuffle.partitions`` capped at
-    the cluster's parallelism.
+    bucket.  ``buckets`` defaults to :func:`default_buckets`.
     """
     import uuid
 
     spark = df.sparkSession
     db = _work_db(spark)
-    # default: the shuffle setting, but no more buckets than task slots (one wave)
-    n = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    n = buckets or default_buckets(df)
     name = f"{db}.panel_{uuid.uuid4().hex}"
     df.repartition(n, *panel.part).write.bucketBy(n, *panel.part).mode("error").saveAsTable(name)
+    _OWN_TABLES.append(name)
     return spark.table(name)
 
 
 def release_materialized(spark) -> int:
-    """Drop every materialized panel of this session (managed tables: files go too)."""
-    if not spark.catalog.databaseExists(WORK_DB):
-        return 0
-    names = [t.name for t in spark.catalog.listTables(WORK_DB)]
-    for t in names:
-        spark.sql(f"DROP TABLE IF EXISTS {WORK_DB}.{t}")
-    return len(names)
+    """Drop the panels that this driver process materialized, by name (managed tables: files go too)."""
+    n = len(_OWN_TABLES)
+    while _OWN_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_OWN_TABLES.pop()}")
+    return n
 
 
 # --------------------------------------------------------------------------- boundary look-back without a shuffle
@@ -328,12 +341,13 @@ def with_tail(df: DataFrame, panel: Panel, value: Column, h: int, name: str = "_
 
 
 def lag_col(panel: Panel, c: str, j: int, tail: str = "_tail") -> Column:
-    """Value of ``c`` exactly ``j`` steps back (regular panel): inside the segment a
-    window ``lag``, across the border a lookup in the previous segment's tail."""
+    """Value of ``c`` exactly ``j`` steps back, NULL where that step is missing: inside the segment a window
+    ``lag`` whose step is checked, across the border a lookup in the previous segment's tail."""
     if j == 0:
         return F.col(c)
     inside = F.pmod(F.col(panel.t), F.lit(panel.seg_steps)) >= j
-    return F.when(inside, F.lag(c, j).over(panel.window())).otherwise(F.try_element_at(F.col(tail), F.col(panel.t) - j)[c])
+    there = F.lag(panel.t, j).over(panel.window()) == F.col(panel.t) - j
+    return F.when(inside, F.when(there, F.lag(c, j).over(panel.window()))).otherwise(F.try_element_at(F.col(tail), F.col(panel.t) - j)[c])
 
 
 def with_lag_cols(df: DataFrame, panel: Panel, cols, lags, fmt: str = "{col}__{j}") -> DataFrame:

@@ -75,6 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(d)
         return d
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="panelcast-ckpt-")
     sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
