@@ -110,22 +110,23 @@ def _agree(batches):
 
 def _exact(n: int, percent: int):
     def run(batches):
+        last, sa = None, None
         for batch in batches:
-            last, sa = None, None
-            ta, tb, a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for i in range(len(a)):
-                if ta[i] != last:
-                    last, sa = ta[i], _set(ta[i], n)
-                keep.append(_linked(sa, _set(tb[i], n), percent))
+            for i in range(len(batch)):  # two texts at a time
+                a = batch.column(0)[i].as_py()
+                if a != last:
+                    last, sa = a, _set(batch.column(2).slice(i, 1), n)
+                keep.append(_linked(sa, _set(batch.column(3).slice(i, 1), n), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def _set(text: str, n: int) -> np.ndarray:
-    h, _ = W.hash_words(*W.buffers(pa.array([text])))
+def _set(text: pa.Array, n: int) -> np.ndarray:
+    """The shingle set of an array of one text."""
+    h, _ = W.hash_words(*W.buffers(text))
     return np.unique(W.shingles(h, n))
 
 
@@ -140,7 +141,7 @@ def _block_links(least: float, n: int, percent: int):
 
         def of(i):
             if rep[i] not in sets:
-                sets[rep[i]] = _set(text[int(i)].as_py(), n)
+                sets[rep[i]] = _set(text.slice(int(i), 1), n)
             return sets[rep[i]]
 
         def top(c):

@@ -12,7 +12,7 @@ number of files and is broadcast.
 
 Encoding: byte-level BPE never joins a character with what stands before the single space in front of it, so
 a text is cut at single spaces between other characters and each piece is encoded once and remembered
-(at most ``2 * MEMO`` pieces a worker; the older half goes first).  The ids equal those of the whole text.
+(about ``2 * MEMO`` pieces a task; the older half goes first).  The ids equal those of the whole text.
 
 Defined cases: a null or empty text has the end id only; repeated ids follow each other, in the order of
 their texts, each with its own start; null ids come first; an empty table writes an empty file and reads back as no rows; other
@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -38,6 +39,7 @@ _state: dict = {}
 
 def _load(path: str):
     if _state.get("path") != path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -134,6 +136,8 @@ def _encoder(path: str, end_id: int):
                 )
                 before += int(bounds[-1])
                 at += len(some)
+        _state.update(memo={}, old={})  # a worker lives on after its task
+        pa.default_memory_pool().release_unused()
 
     return run
 
