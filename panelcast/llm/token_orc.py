@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.util import prepare, scratch_path
 
 MEMO = 150_000
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 JOINED = 500
 _state: dict = {}
 
