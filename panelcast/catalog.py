@@ -1011,7 +1011,7 @@ def q_varx(spark, d):
 
     tr, te, p, _ = _train_test(spark, d)
     tr = tr.na.drop()
-    return var.forecast(tr, te.na.fill(0.0), p, ["cnt", "avg_price"], 1, exog=["p1"])
+    return var.forecast(tr, te, p, ["cnt", "avg_price"], 1, exog=["p1"])
 
 
 @register("q_var_sbs")
@@ -1020,7 +1020,7 @@ def q_var_sbs(spark, d):
     from panelcast.models import var
 
     tr, te, p, _ = _train_test(spark, d)
-    return var.step_by_step(tr.na.drop(), te.na.fill(0.0), p, ["avg_price", "p1", "cnt"], "cnt", 3)
+    return var.step_by_step(tr.na.drop(), te, p, ["avg_price", "p1", "cnt"], "cnt", 3).select("n_name", "wk", "y", "y_pred", "reason")
 
 
 @register("q_var_dw")
@@ -1064,7 +1064,7 @@ def q_arsearch(spark, d):
     from panelcast.models import seasonal
 
     tr, te, p, _ = _train_test(spark, d)
-    return seasonal.seasonal_ar_search(tr.na.drop(), te.na.fill(0.0), p, "cnt", ["avg_price"], m=52, max_p=10)
+    return seasonal.seasonal_ar_search(tr.na.drop(), te, p, "cnt", ["avg_price"], m=52, max_p=10)
 
 
 @register("q_additive")
@@ -1077,6 +1077,18 @@ def q_additive(spark, d):
     return fc.select("n_name", "wk", "trend", "yearly", "extra_regressors", "yhat", additive.recombine(fc).alias("recombined"))
 
 
+@register("q_additive_job")
+def q_additive_job(spark, d):
+    """Additive model per nation on the raw weekly count, recombined and scored over the last 30 % of the weeks."""
+    from panelcast.operators import windows
+    from panelcast.plans import jobs
+
+    df, p = filled_panel(spark, d)
+    sp = windows.chrono_split(df, p, 0.3)
+    tr, te = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    return jobs.additive_job(tr, te, p, "cnt", ["avg_price"])[1]
+
+
 @register("q_negbin")
 def q_negbin(spark, d):
     """M4 M5: negative binomial IRLS per nation on the raw weekly count, dispersion chosen by test MAE."""
@@ -1277,7 +1289,7 @@ def q_var_job(spark, d):
 
     tr, te, p, st = _train_test(spark, d)
     tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
-    return jobs.var_forecast_job(tr.na.drop(), te.na.fill(0.0), p, ["avg_price", "p1", "cnt"], "cnt", 2, st, tmpl, ["n_name", "wk"])
+    return jobs.var_forecast_job(tr.na.drop(), te, p, ["avg_price", "p1", "cnt"], "cnt", 2, st, tmpl, ["n_name", "wk"])
 
 
 @register(

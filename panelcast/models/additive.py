@@ -5,8 +5,9 @@ Per series, on the training rows:
 with ``s`` the time scaled to [0, 1] over the training range, changepoints
 ``c_k`` evenly spaced over the first 80 % of it, yearly Fourier terms of the
 date, and extra regressors.  Coefficients are a ridge solve from one
-cross-product pass: hinge coefficients are shrunk with ``1/prior_scale^2``
-(changepoint prior 0.01), seasonality and regressors with ``1/10^2``.
+cross-product pass: hinge coefficients are shrunk with ``sigma^2/prior_scale^2``
+(changepoint prior 0.01), seasonality and regressors with ``sigma^2/10^2``, where
+``sigma^2`` is the residual variance of a first, nearly unshrunk solve.
 Component columns are partial dot products: ``trend``, ``yearly``,
 ``extra_regressors``, ``yhat``.
 """
@@ -78,8 +79,11 @@ def fit_predict(
             rows = []
             for _, r in pdf.iterrows():
                 G = gram(r["g"], D)
-                A = G[:-1, :-1] + np.diag(pen)
-                b = np.linalg.lstsq(A, G[:-1, -1], rcond=None)[0]
+                X, xy = G[:-1, :-1], G[:-1, -1]
+                b = np.linalg.lstsq(X + 1e-8 * np.diag(pen), xy, rcond=None)[0]
+                free = max(1.0, float(r["n"]) - len(b))
+                sigma2 = max(1e-8, float(G[-1, -1] - 2 * b @ xy + b @ X @ b) / free)
+                b = np.linalg.lstsq(X + sigma2 * np.diag(pen), xy, rcond=None)[0]
                 rows.append((*[r[k] for k in keys], [float(v) for v in b]))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 

@@ -35,7 +35,6 @@ def knn_regress(
     k: int = 20,
     grid_dims: int = 3,
     out: str = "y_pred",
-    max_rounds: int = 30,
 ) -> DataFrame:
     """Returns (keys, time_col, y_pred) for every query row with all features present."""
     keys, feats = list(keys), list(features)
@@ -65,7 +64,7 @@ def knn_regress(
     open_q = cells(qr.join(st, keys)).select(*keys, time_col, *feats, *cell_cols, "_m", "_hmin", "_keff")
     done = []
     r = 1
-    for _ in range(max_rounds):
+    while True:  # ends: r doubles until the block covers the grid
         # candidate cells of the block around each query's cell
         qx = open_q
         for j in range(G):

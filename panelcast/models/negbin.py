@@ -34,8 +34,10 @@ def _eta(xcols: Sequence[str]):
 
 
 def fit(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, alphas: Sequence[float] = (1e-8,), max_iter: int = 30, tol: float = 1e-9) -> DataFrame:
-    """Fit per (series, alpha): (keys, alpha, coef[intercept, x...], iterations).
+    """Fit per (series, alpha): (keys, alpha, coef[intercept, x...], iterations, converged).
 
+    A fit takes part in the rounds until its largest coefficient change is below ``tol``; one that diverges has
+    NULL coefficients, and one still moving after ``max_iter`` rounds has ``converged`` false.
     Rejects negative targets (Q14): counts only.
     """
     spark = df.sparkSession
@@ -59,37 +61,38 @@ def fit(df: DataFrame, panel: Panel, xcols: Sequence[str], y: str, alphas: Seque
             rows = []
             for _, r in pdf.iterrows():
                 G = gram(r["g"], D)
-                b = np.linalg.lstsq(G[:-1, :-1], G[:-1, -1], rcond=None)[0]
-                rows.append((*[r[k] for k in keys], float(r["alpha"]), [float(v) for v in b]))
+                b = np.linalg.lstsq(G[:-1, :-1], G[:-1, -1], rcond=None)[0] if np.isfinite(G).all() else None
+                rows.append((*[r[k] for k in keys], float(r["alpha"]), None if b is None else [float(v) for v in b]))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    coefs = None
-    it_done = 0
-    for it_done in range(1, max_iter + 1):
-        if coefs is not None:
-            cur = base.join(coefs, grp).withColumn("_mu", F.exp(_eta(xcols))).drop("_b")
+    state = open_ = None
+    change = F.aggregate(F.zip_with("_b", "_old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+    for it in range(1, max_iter + 1):
+        if open_ is not None:
+            cur = base.join(open_.select(*grp, "_b"), grp).withColumn("_mu", F.exp(_eta(xcols))).drop("_b")
         mu = F.col("_mu")
         w = mu / (1 + F.col("alpha") * mu)
         zw = F.log(mu) + F.try_divide(F.col("_y") - mu, mu)
         sw = F.sqrt(w)
         wz = cur.select(*grp, (sw).alias("_c0"), *[(sw * F.col(x)).alias(f"_c{i + 1}") for i, x in enumerate(xcols)], (sw * zw).alias("_cz"))
         cp = cross_products(wz, grp, ["_c0", *[f"_c{i + 1}" for i in range(len(xcols))], "_cz"])
-        new = cp.mapInPandas(solve, schema).checkpoint(eager=True)
-        if coefs is not None:
-            delta = new.join(coefs.withColumnRenamed("_b", "_old"), grp).select(
-                F.aggregate(F.zip_with("_b", "_old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, v: F.greatest(acc, v)).alias("d")
-            ).agg(F.max("d")).collect()[0][0]
-            coefs = new
-            if delta is not None and delta < tol:
-                break
+        new = cp.mapInPandas(solve, schema)
+        if state is None:
+            state = new.select(*grp, "_b", F.lit(False).alias("converged"), F.lit(it).alias("iterations"))
         else:
-            coefs = new
-    return coefs.select(*grp, F.col("_b").alias("coef"), F.lit(it_done).alias("iterations"))
+            step = open_.select(*grp, F.col("_b").alias("_old")).join(new, grp, "left")
+            step = step.select(*grp, "_b", F.coalesce(change < tol, F.lit(False)).alias("converged"), F.lit(it).alias("iterations"))
+            state = state.filter("converged OR _b IS NULL").unionByName(step)
+        state = state.checkpoint(eager=True)
+        open_ = state.filter("NOT converged AND _b IS NOT NULL")
+        if open_.isEmpty():
+            break
+    return state.select(*grp, F.col("_b").alias("coef"), "iterations", "converged")
 
 
 def predict(df: DataFrame, panel: Panel, coefs: DataFrame, xcols: Sequence[str], out: str = "y_pred") -> DataFrame:
     """``exp(intercept + x . coef)``; one row per input row and fitted alpha."""
-    c = coefs.select(*panel.keys, "alpha", F.col("coef").alias("_b"))
+    c = coefs.filter("coef IS NOT NULL").select(*panel.keys, "alpha", F.col("coef").alias("_b"))
     per = c.groupBy(*panel.keys).agg(F.collect_list(F.struct("alpha", "_b")).alias("_fits"))
     d = attach_series(df, panel, per).select("*", F.explode("_fits").alias("_f")).drop("_fits")
     d = d.select("*", F.col("_f.alpha").alias("alpha"), F.col("_f._b").alias("_b")).drop("_f")
@@ -103,5 +106,5 @@ def search(train: DataFrame, test: DataFrame, panel: Panel, xcols: Sequence[str]
 
     coefs = fit(train, panel, xcols, y, alphas)
     pr = predict(test, panel, coefs, xcols)
-    sc = pr.groupBy(*panel.keys, "alpha").agg(F.avg(F.abs(F.col("y_pred").cast("int") - F.col(y))).alias("mae"))
+    sc = pr.groupBy(*panel.keys, "alpha").agg(F.avg(F.abs(F.col("y_pred").try_cast("bigint") - F.col(y))).alias("mae"))
     return best_candidate(sc, panel.keys, "alpha", "mae")

@@ -47,7 +47,11 @@ def diffreg_forecast(train: DataFrame, test: DataFrame, panel: Panel, xcols: Seq
 
 
 def seasonal_ar_search(train: DataFrame, test: DataFrame, panel: Panel, y: str, xcols: Sequence[str] = (), m: int = 52, max_p: int = 10, out: str = "y_pred") -> DataFrame:
-    """Choose p by AIC and forecast the test rows.  Returns (keys, ts, p, y_pred)."""
+    """Choose p by AIC and forecast the test rows.
+
+    Returns one row per test row: (keys, ts, p, y_pred, reason).  A series without enough training rows for one season, the
+    chosen lags and the coefficients gets NULL forecasts (reason ``short history``); a row whose regressors are missing,
+    and those that build on it, too (``missing values``)."""
     keys = list(panel.keys)
     xcols = list(xcols)
     base = train.select(*panel.keys, panel.ts, panel.t, panel.seg, y, *xcols)
@@ -62,11 +66,19 @@ def seasonal_ar_search(train: DataFrame, test: DataFrame, panel: Panel, y: str,
     tail = last_rows(base, panel, m + max_p).select(*keys, panel.ts, panel.t, y, *xcols).withColumn("_role", F.lit(0))
     fut = test.select(*keys, panel.ts, panel.t, *xcols).withColumn(y, F.lit(None).cast("double")).withColumn("_role", F.lit(1))
     rows = tail.unionByName(fut)
-    schema = T.StructType([*[test.schema[k] for k in keys], test.schema[panel.ts], T.StructField("p", T.IntegerType()), T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*[test.schema[k] for k in keys], test.schema[panel.ts], T.StructField("p", T.IntegerType()), T.StructField(out, T.DoubleType()), T.StructField("reason", T.StringType())])
+
+    def rows_of(data, p, values, short):
+        res = data[data["_role"] == 1][[*keys, panel.ts]].copy()
+        res["p"] = pd.array([p] * len(res), dtype="Int32")
+        res[out] = values
+        res["reason"] = np.where(np.isnan(res[out].to_numpy(dtype=float)), "short history" if short else "missing values", None)
+        return res
 
     def fn(gram: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if gram.empty or data.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        data = data.sort_values(panel.t)
+        if gram.empty:
+            return rows_of(data, None, np.nan, True)
         Gs, Ns = _stack(gram, D, max_p)
         yi = D - 1
         xi_ex = list(range(1 + max_p, 1 + max_p + len(xcols)))
@@ -81,24 +93,22 @@ def seasonal_ar_search(train: DataFrame, test: DataFrame, panel: Panel, y: str,
             if best_aic is None or aic < best_aic:
                 best, best_aic = p, aic
         xi = [0, *range(1, best + 1), *xi_ex]
-        b, _, _ = _ols(Gs[best], xi, yi)
-        data = data.sort_values(panel.t)
         lv = list(data[data["_role"] == 0][y].astype(float))
         xh = data[data["_role"] == 0][xcols].to_numpy(dtype=float) if xcols else None
         xlist = [r for r in xh] if xcols else []
         w = [lv[i] - lv[i - m] for i in range(m, len(lv))]
-        res = []
-        for _, r in data[data["_role"] == 1].iterrows():
-            xr = np.array([float(r[x]) for x in xcols]) if xcols else np.zeros(0)
-            dx = xr - (xlist[-m] if xcols and len(xlist) >= m else 0)
-            feats = [1.0, *[w[-j] if len(w) >= j else 0.0 for j in range(1, best + 1)], *list(dx)]
-            wh = float(np.asarray(feats) @ b)
-            yh = wh + (lv[-m] if len(lv) >= m else 0.0)
+        if Ns[best] < len(xi) or len(w) < max(best, 1):
+            return rows_of(data, None, np.nan, True)
+        b, _, _ = _ols(Gs[best], xi, yi)
+        pred = []
+        for xr in data[data["_role"] == 1][xcols].to_numpy(dtype=float):
+            dx = xr - xlist[-m] if xcols else xr
+            wh = float(np.concatenate([[1.0], [w[-j] for j in range(1, best + 1)], dx]) @ b)
             w.append(wh)
-            lv.append(yh)
+            lv.append(wh + lv[-m])
+            pred.append(lv[-1])
             if xcols:
                 xlist.append(xr)
-            res.append((*[r[k] for k in keys], r[panel.ts], best, yh))
-        return pd.DataFrame(res, columns=[f.name for f in schema.fields])
+        return rows_of(data, best, pred, False)
 
     return cp.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fn, schema)

@@ -119,42 +119,59 @@ def order_table(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int) -
 
 
 def _tail_and_horizon(train: DataFrame, test: DataFrame, panel: Panel, cols, exog, lag):
-    keep = [*panel.keys, panel.ts, panel.t, *cols, *exog]
-    tail = last_rows(train.select(*keep, panel.seg), panel, lag).select(*keep).withColumn("_role", F.lit(0))
+    keep = [*panel.keys, panel.ts, panel.t, panel.seg, *cols, *exog]
+    tail = last_rows(train.select(*keep), panel, lag).select(*keep).withColumn("_role", F.lit(0))
     horizon = test.select(*keep).withColumn("_role", F.lit(1))
     return tail.unionByName(horizon)
 
 
+def _series_inputs(gram: pd.DataFrame, data: pd.DataFrame, panel: Panel, cols, D: int, lag: int, k: int):
+    """One series' last training rows, its horizon in time order, and the cross products of its sample (None when
+    the sample has fewer rows than the ``k`` coefficients or fewer than ``lag`` rows of history)."""
+    data = data.sort_values(panel.t)
+    hist = list(data[data["_role"] == 0][cols].to_numpy(dtype=float))
+    fut = data[data["_role"] == 1]
+    if gram.empty or len(hist) < lag:
+        return hist, fut, None
+    Gs, Ns = _stack(gram, D, lag)
+    return hist, fut, Gs[lag] if Ns[lag] >= k else None
+
+
+def _forecast_rows(fut: pd.DataFrame, keep: Sequence[str], values: dict, short: bool) -> pd.DataFrame:
+    """The horizon's rows with their forecasts and the reason why one is missing."""
+    res = fut[list(keep)].assign(**values)
+    gone = np.isnan(np.asarray(list(values.values())[-1], dtype=float))
+    res["reason"] = np.where(gone, "short history" if short else "missing values", None)
+    return res
+
+
 def forecast(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], lag: int, exog: Sequence[str] = (), suffix: str = "_fc") -> DataFrame:
     """M6/M8: multi-step forecast over the rows of ``test`` (one step per test row,
     in time order) from the last ``lag`` training rows; exogenous values come from
-    the test rows.  Returns the test keys/time with ``{c}{suffix}`` columns."""
+    the test rows.
+
+    Returns one row per test row: keys, time, ``{c}{suffix}`` columns and ``reason``.  A series with fewer training
+    rows than the model has coefficients gets NULL forecasts (reason ``short history``), and a row whose exogenous
+    values are missing, with those after it that build on it, too (``missing values``)."""
     cols, exog = list(cols), list(exog)
     keys = list(panel.keys)
     cp = _gram(train, panel, cols, exog, lag)
     rows = _tail_and_horizon(train, test, panel, cols, exog, lag)
     m, k = len(cols), 1 + len(cols) * lag + len(exog)
     D = k + m
-    schema = T.StructType([*[test.schema[c] for c in keys], test.schema[panel.ts], *[T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols]])
+    schema = T.StructType([*[test.schema[c] for c in keys], test.schema[panel.ts], *[T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols], T.StructField("reason", T.StringType())])
 
     def fn(gram: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if gram.empty or data.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        Gs, _ = _stack(gram, D, lag)
-        A, _ = _solve(Gs[lag], m, k)
-        data = data.sort_values(panel.t)
-        hist = [r for r in data[data["_role"] == 0][cols].to_numpy(dtype=float)]
-        fut = data[data["_role"] == 1]
-        out = []
-        for _, r in fut.iterrows():
-            x = [1.0]
-            for j in range(1, lag + 1):
-                x.extend(hist[-j] if len(hist) >= j else [0.0] * m)
-            x.extend(float(r[e]) for e in exog)
-            yhat = np.asarray(x) @ A
-            hist.append(yhat)
-            out.append((*[r[c] for c in keys], r[panel.ts], *[float(v) for v in yhat]))
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+        hist, fut, G = _series_inputs(gram, data, panel, cols, D, lag, k)
+        pred = np.full((len(fut), m), np.nan)
+        if G is not None:
+            A, _ = _solve(G, m, k)
+            ex = fut[exog].to_numpy(dtype=float)
+            for i in range(len(fut)):
+                x = np.concatenate([[1.0], *[hist[-j] for j in range(1, lag + 1)], ex[i]])
+                pred[i] = x @ A
+                hist.append(pred[i])
+        return _forecast_rows(fut, [*keys, panel.ts], {f"{c}{suffix}": pred[:, i] for i, c in enumerate(cols)}, G is None)
 
     return cp.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fn, schema)
 
@@ -164,7 +181,9 @@ def step_by_step(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence
     one step, keep the target forecast, append the row with its known features and
     the *predicted* target.  Refits are rank-one updates of the cross products.
 
-    ``target`` must be one of ``cols``.  Returns (keys, ts, y, y_pred).
+    ``target`` must be one of ``cols``.  Returns one row per test row: (keys, ts, t, seg, y, y_pred, reason).  A known feature that is
+    missing at a step is taken from the model's own forecast; a series with fewer training rows than the model has
+    coefficients gets NULL forecasts (reason ``short history``).
     """
     cols = list(cols)
     keys = list(panel.keys)
@@ -173,32 +192,24 @@ def step_by_step(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence
     rows = _tail_and_horizon(train, test, panel, cols, [], lag)
     m, k = len(cols), 1 + len(cols) * lag
     D = k + m
-    schema = T.StructType([*[test.schema[c] for c in keys], test.schema[panel.ts], T.StructField("y", T.DoubleType()), T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*[test.schema[c] for c in (*keys, panel.ts, panel.t, panel.seg)], T.StructField("y", T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField("reason", T.StringType())])
 
     def fn(gram: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if gram.empty or data.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        Gs, _ = _stack(gram, D, lag)
-        G = Gs[lag].copy()
-        data = data.sort_values(panel.t)
-        hist = [r for r in data[data["_role"] == 0][cols].to_numpy(dtype=float)]
-        fut = data[data["_role"] == 1]
-        res = []
-        for _, r in fut.iterrows():
-            A, _ = _solve(G, m, k)
-            x = [1.0]
-            for j in range(1, lag + 1):
-                x.extend(hist[-j])
-            x = np.asarray(x)
-            yhat = x @ A
-            new = np.array([float(r[c]) for c in cols])
-            truth = new[ti]
-            new[ti] = yhat[ti]
-            z = np.concatenate([x, new])
-            G += np.outer(z, z)
-            hist.append(new)
-            res.append((*[r[c] for c in keys], r[panel.ts], float(truth), float(yhat[ti])))
-        return pd.DataFrame(res, columns=[f.name for f in schema.fields])
+        hist, fut, G = _series_inputs(gram, data, panel, cols, D, lag, k)
+        pred = np.full(len(fut), np.nan)
+        truth = fut[cols].to_numpy(dtype=float)
+        if G is not None:
+            G = G.copy()
+            for i in range(len(fut)):
+                A, _ = _solve(G, m, k)
+                x = np.concatenate([[1.0], *[hist[-j] for j in range(1, lag + 1)]])
+                yhat = x @ A
+                new = np.where(np.isnan(truth[i]), yhat, truth[i])
+                new[ti] = pred[i] = yhat[ti]
+                z = np.concatenate([x, new])
+                G += np.outer(z, z)
+                hist.append(new)
+        return _forecast_rows(fut, [*keys, panel.ts, panel.t, panel.seg], {"y": truth[:, ti], out: pred}, G is None)
 
     return cp.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fn, schema)
 

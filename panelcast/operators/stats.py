@@ -380,18 +380,23 @@ def adf(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int | None = N
 # --------------------------------------------------------------------------- T3 Johansen
 
 
-def johansen(df: DataFrame, panel: Panel, cols: Sequence[str], k_ar_diff: int = 5, crit_table: dict | None = None) -> DataFrame:
+def johansen(df: DataFrame, panel: Panel, cols: Sequence[str], k_ar_diff: int = 5, crit_table: dict | None = None, signif: float = 0.05) -> DataFrame:
     """Johansen trace test without deterministic terms.
 
     Differences ``dx_t`` and the level ``x_{t-k}`` are each regressed on
     ``dx_{t-1..t-k}``; the residual moment matrices give the eigenvalues of
     ``Skk^-1 Sk0 S00^-1 S0k`` and the trace statistics
     ``-T sum_{j>=r} ln(1 - lambda_j)``.  Rows are labelled by hypothesis
-    ``rank <= r`` (Q12).
+    ``rank <= r`` (Q12).  ``signif`` (0.1, 0.05 or 0.01) picks the critical value, whose column is named after it
+    (``crit_95``); more columns than the table has critical values for are refused, pass ``crit_table``.
     """
     keys = list(panel.keys)
     k = k_ar_diff
     P = len(cols)
+    levels = [0.1, 0.05, 0.01]
+    if signif not in levels:
+        raise ValueError(f"signif must be one of {levels}")
+    crit = [johansen_crit(i, crit_table)[levels.index(signif)] for i in range(1, P + 1)]
     lm = lag_matrix(df, panel, cols, k, diff=True)
     zcols = [*[f"{c}__d0" for c in cols], *[f"{c}__lv{k}" for c in cols], *[f"{c}__d{j}" for j in range(1, k + 1) for c in cols]]
     lm = lm.filter(F.col("_pos") >= k + 1).withColumn("_b", F.lit(0))
@@ -403,7 +408,7 @@ def johansen(df: DataFrame, panel: Panel, cols: Sequence[str], k_ar_diff: int =
             T.StructField("rank", T.IntegerType()),
             T.StructField("eigenvalue", T.DoubleType()),
             T.StructField("trace", T.DoubleType()),
-            T.StructField("crit_95", T.DoubleType()),
+            T.StructField(f"crit_{round(100 * (1 - signif))}", T.DoubleType()),
             T.StructField("reject", T.BooleanType()),
         ]
     )
@@ -425,11 +430,8 @@ def johansen(df: DataFrame, panel: Panel, cols: Sequence[str], k_ar_diff: int =
         rows = []
         for r in range(P):
             tr = float(-n * np.sum(np.log(1 - ev[r:])))
-            try:
-                cv = johansen_crit(P - r, crit_table)[1]
-            except ValueError:
-                cv = None
-            rows.append((*kv, r, float(ev[r]), tr, cv, None if cv is None else bool(tr > cv)))
+            cv = crit[P - r - 1]
+            rows.append((*kv, r, float(ev[r]), tr, cv, bool(tr > cv)))
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return cp.groupBy(*keys).applyInPandas(fn, schema)

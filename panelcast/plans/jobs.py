@@ -132,8 +132,9 @@ def forecast_runs(
 
     outs = []
     tr = train.na.drop(subset=[*feats, target])
+    n_rows = None if estimator_for_run else tr.count()
     for run in range(runs):
-        est = estimator_for_run(run) if estimator_for_run else ml.preset(model, seed=ml.SEED + run)
+        est = estimator_for_run(run) if estimator_for_run else ml.preset(model, n_rows, seed=ml.SEED + run)
         m = ml.Pooled(est, feats, target, series_col=panel.keys[0]).fit(tr)
         pr = m.transform(test.na.drop(subset=list(feats)))
         pr = smooth.ewm(pr.select(*panel.keys, panel.ts, panel.t, panel.seg, *template_keys, "y_pred"), panel, ["y_pred"], span)
@@ -165,10 +166,8 @@ def var_forecast_job(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequ
     minimum (PR14), attached to a template and truncated (J2, PR12) when given."""
     from panelcast.models import var
     from panelcast.operators import forecast
-    from panelcast.plans.panel import seg_of, step_of
 
     pr = var.step_by_step(train, test, panel, cols, target, lag)
-    pr = pr.withColumn(panel.t, step_of(panel.ts, panel.freq)).withColumn(panel.seg, seg_of(panel.t, panel.seg_steps))
     pr = materialize(pr, panel)  # the recursion runs once; later steps read its output
     pr = smooth.ewm(pr, panel, ["y_pred"], span)
     if stats is not None:
@@ -177,3 +176,24 @@ def var_forecast_job(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequ
     if template is None:
         return pr
     return forecast.attach(template, pr, list(template_keys))
+
+
+def additive_job(train: DataFrame, test: DataFrame, panel: Panel, target: str, regressors: Sequence[str] = (), stats: DataFrame | None = None, span: float | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Additive model (M12) per series on the train rows, test rows predicted and recombined (M13), smoothed when
+    ``span`` is given, un-scaled when ``stats`` are, and scored per model (``yhat`` and ``recombined``).
+
+    Returns (long predictions (keys, ts, model, y, y_pred), scores per model)."""
+    from dataclasses import replace
+
+    from panelcast.models import additive
+
+    fc = additive.fit_predict(train.na.drop(subset=[target, *regressors]), test, panel, target, regressors, **options)
+    both = F.explode(F.create_map(F.lit("additive"), F.col("yhat"), F.lit("additive_recombined"), additive.recombine(fc))).alias("model", "y_pred")
+    pm = fc.select(*panel.keys, panel.ts, panel.t, panel.seg, target, both)
+    if span is not None:
+        mp = replace(panel, keys=(*panel.keys, "model"))
+        pm = smooth.ewm(materialize(pm, mp), mp, ["y_pred"], span)
+    if stats is not None:
+        pm = scale.inverse(pm, panel, stats, {"y_pred": target, target: target})
+    pm = pm.withColumnRenamed(target, "y")
+    return pm, score.score(pm.filter("y IS NOT NULL AND y_pred IS NOT NULL"), by=("model",))

@@ -83,15 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def _default_driver_memory() -> str:
-    """About 60 % of physical memory, at most 16 GB (local mode: the driver is the executor)."""
-    try:
-        with open("/proc/meminfo") as f:
-            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal"))
-        mb = int(kb / 1024 * 0.6)
-    except (OSError, StopIteration, ValueError):
-        mb = 4096
-    return f"{max(1024, min(mb, 16384))}m"
+DRIVER_MEMORY = "16g"  # local mode: the driver is the executor
 
 
 def get_spark(master: str | None = None, app: str = "panelcast", shuffle_partitions: int | None = None) -> SparkSession:
@@ -103,7 +95,7 @@ def get_spark(master: str | None = None, app: str = "panelcast", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", _default_driver_memory()))
+        .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", DRIVER_MEMORY))
     )
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
