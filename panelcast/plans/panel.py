@@ -275,14 +275,26 @@ BUCKET_BYTES = 256 << 20
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Buckets by data size: one per ``BUCKET_BYTES`` of the tables behind ``df``, and no fewer than one
-    wave of tasks (or the shuffle setting, where that is less)."""
+    """Buckets by data size: one per ``BUCKET_BYTES`` of the tables and checkpoints behind ``df``, each counted once, and
+    no fewer than one wave of tasks (or the shuffle setting, where that is less)."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(b for b in sizes if b < 1 << 60)  # Spark's mark for an unknown size is larger
+    sizes = {(x := leaves.apply(i)).canonicalized(): _stored_bytes(spark, x) for i in range(leaves.size())}
     wave = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(1, wave, -(-size // BUCKET_BYTES))
+    return max(1, wave, -(-sum(sizes.values()) // BUCKET_BYTES))
+
+
+def _stored_bytes(spark, leaf) -> int:
+    """Bytes of a table, or of a checkpoint's files: the optimizer's figure for a checkpoint is that of the joins
+    behind it, which can be larger than the data by many powers of ten.  0 where it is unknown."""
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        at = leaf.rdd().getCheckpointFile()
+        if at.isEmpty():
+            return 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(at.get())
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    size = int(str(leaf.stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0  # Spark's mark for an unknown size is larger
 
 
 def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> DataFrame:
