@@ -362,7 +362,7 @@ def q_flag(spark, d):
     f"""WITH {PANEL_CTE}
 SELECT n_name, wk, CASE WHEN cnt = 1 THEN 0 ELSE cnt END AS cnt_r,
   round(CASE WHEN avg_price > 400000 THEN 0 ELSE avg_price END, 4) AS price_z,
-  CAST(trunc((avg_price - 250000) / 1000) AS INTEGER) AS price_k FROM panel""",
+  CAST(trunc((avg_price - 250000) / 1000) AS BIGINT) AS price_k FROM panel""",
 )
 def q_replace_clamp(spark, d):
     """PR5 exact replacement, PR13 zero above a limit, PR12 truncation toward zero."""
@@ -762,7 +762,7 @@ def _runs_sql():
 @register(
     "q_run_average",
     f"""WITH {_runs_sql()}
-SELECT n_name, wk, CAST(trunc(avg(total_cases)) AS INTEGER) AS total_cases, count(DISTINCT run_id) AS runs
+SELECT n_name, wk, CAST(trunc(avg(total_cases)) AS BIGINT) AS total_cases, count(DISTINCT run_id) AS runs
 FROM runs GROUP BY 1, 2""",
 )
 def q_run_average(spark, d):
@@ -814,7 +814,7 @@ def q_compare(spark, d):
 w AS (SELECT n_name, CASE n_regionkey WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS weight FROM nation),
 a AS (SELECT n_name, wk, y_pred AS a FROM pred WHERE model = 'naive'),
 b AS (SELECT n_name, wk, y_pred AS b FROM pred WHERE model = 'ewm4')
-SELECT a.n_name, a.wk, CAST(trunc(coalesce(w.weight, 0.5) * a + (1 - coalesce(w.weight, 0.5)) * b) AS INTEGER) AS y_pred
+SELECT a.n_name, a.wk, CAST(trunc(coalesce(w.weight, 0.5) * a + (1 - coalesce(w.weight, 0.5)) * b) AS BIGINT) AS y_pred
 FROM a JOIN b ON a.n_name = b.n_name AND a.wk = b.wk LEFT JOIN w ON a.n_name = w.n_name""",
 )
 def q_blend(spark, d):
@@ -839,7 +839,7 @@ tmpl AS (SELECT n_name, isoyear(wk) AS year, weekofyear(wk) AS weekofyear, wk, p
 {_NAIVE_SQL.split(',', 1)[0][:0]}pr AS (SELECT n_name, wk, avg(cnt) OVER (PARTITION BY n_name ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS y_pred
   FROM ps),
 j AS (SELECT t.n_name, t.year, t.weekofyear, t.pos, pr.y_pred FROM tmpl t LEFT JOIN pr ON t.n_name = pr.n_name AND t.wk = pr.wk)
-SELECT n_name, year, weekofyear, pos, CAST(trunc(y_pred) AS INTEGER) AS total_cases FROM j""",
+SELECT n_name, year, weekofyear, pos, CAST(trunc(y_pred) AS BIGINT) AS total_cases FROM j""",
 )
 def q_attach(spark, d):
     """J2 SO1 SO3: forecasts joined into a template (last 20% of each series) by key,
@@ -1173,6 +1173,46 @@ def q_matrix(spark, d):
     return score.score(pm.withColumnRenamed("cnt", "y"), by=("model",))
 
 
+@register(
+    "q_registry",
+    f"""WITH {_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT *, pos >= n - ceil(0.22 * n) AS is_test FROM pz),
+fit AS (SELECT n_name, CASE WHEN var_pop(avg_price) = 0 THEN 0 ELSE covar_pop(cnt, avg_price) / var_pop(avg_price) END AS w,
+  avg(avg_price) AS mx, avg(cnt) AS my FROM spl WHERE NOT is_test AND cnt IS NOT NULL AND avg_price IS NOT NULL GROUP BY 1),
+dd AS (SELECT n_name, cnt - lag(cnt) OVER w AS dy, avg_price - lag(avg_price) OVER w AS dx FROM spl WHERE NOT is_test WINDOW w AS (PARTITION BY n_name ORDER BY t)),
+b AS (SELECT n_name, sum(dx * dy) / sum(dx * dx) AS beta FROM dd WHERE dx IS NOT NULL AND dy IS NOT NULL GROUP BY 1),
+la AS (SELECT n_name, cnt AS yT, avg_price AS xT FROM spl WHERE NOT is_test QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t DESC) = 1),
+m AS (SELECT spl.n_name, spl.wk, (fit.my - fit.w * fit.mx) + fit.w * spl.avg_price AS ols, la.yT + (spl.avg_price - la.xT) * b.beta AS sar
+  FROM spl LEFT JOIN fit ON spl.n_name = fit.n_name LEFT JOIN b ON spl.n_name = b.n_name LEFT JOIN la ON spl.n_name = la.n_name WHERE spl.is_test)
+SELECT n_name, wk, 'LinearRegression' AS model, round(ols, 4) AS y_pred FROM m
+UNION ALL SELECT n_name, wk, 'SARIMAX', round(sar, 4) FROM m
+UNION ALL SELECT n_name, wk, 'Ensamble', round((ols + sar) / 2, 4) FROM m""",
+)
+def q_registry(spark, d):
+    """M14 M16 AG10: prediction matrix of a per-series regression and a difference regression from the registry, with the ensemble."""
+    from panelcast.models import registry
+
+    tr, te, p, _ = _train_test(spark, d)
+    fitted = registry.fit_models(tr, p, ["LinearRegression", "SARIMAX"], ["avg_price"], "cnt")
+    return registry.prediction_matrix(fitted, te, keep=["n_name", "wk"]).select("n_name", "wk", "model", r4("y_pred"))
+
+
+@register("q_registry_steps")
+def q_registry_steps(spark, d):
+    """Nearest neighbours, negative binomial and the seasonal search on the raw weekly count, with the ensemble, scored."""
+    from panelcast.models import registry
+    from panelcast.operators import windows
+
+    df, p = filled_panel(spark, d)
+    df = scale.transform(df, p, scale.fit_scaler(df, p, ["avg_price"]), ["avg_price"]).na.drop(subset=["cnt", "avg_price"])
+    sp = windows.chrono_split(df, p, 0.22)
+    tr, te = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    fitted = registry.fit_models(tr, p, ["KNeighborsRegressor", "NegativeBinomial", "SARIMAX_auto"], ["avg_price"], "cnt")
+    pm = registry.prediction_matrix(fitted, te, keep=["n_name", "wk", "cnt"])
+    return score.score(pm.withColumnRenamed("cnt", "y").filter("y_pred IS NOT NULL"), by=("model",))
+
+
 @register("q_gridsearch")
 def q_gridsearch(spark, d):
     """3 contiguous folds, ridge alpha grid, mean validation R^2 per nation, best flagged."""

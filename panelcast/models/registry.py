@@ -8,13 +8,13 @@ series key as an indexed feature.  ``fit_models`` returns objects with a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.models import linear, ml
+from panelcast.models import knn, linear, ml, negbin, seasonal
 from panelcast.plans.panel import Panel
 
 # Registry names of the per-series linear models and their settings.
@@ -39,7 +39,14 @@ POOLED = [
     "SGDRegressor",
 ]
 ADABOOST = "AdaBoostRegressor"
-NAMES = [*LINEAR, *POOLED, ADABOOST]
+# Registry names of the models that predict whole stretches of a series, and their settings.
+STEPWISE = {
+    "KNeighborsRegressor": {"k": 20},
+    "NegativeBinomial": {"alpha": 1e-8},
+    "SARIMAX": {},
+    "SARIMAX_auto": {"m": 52, "max_p": 10},
+}
+NAMES = [*LINEAR, *POOLED, ADABOOST, *STEPWISE]
 
 
 @dataclass
@@ -52,9 +59,34 @@ class LinearFitted:
         return linear.predict(df, self.panel, self.coefs, self.features, out)
 
 
+@dataclass
+class Stepwise:
+    """A model that answers all rows asked for at once; rows it has no answer for get NULL."""
+
+    panel: Panel
+    run: Callable[[DataFrame], DataFrame]
+
+    def transform(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
+        on = [*self.panel.keys, self.panel.ts]
+        return df.drop(out).join(self.run(df).select(*on, F.col("y_pred").alias(out)), on, "left")
+
+
+def _stepwise(name: str, train: DataFrame, panel: Panel, features: Sequence[str], label: str, options: dict) -> Stepwise:
+    xs, keys = list(features), list(panel.keys)
+    if name == "KNeighborsRegressor":
+        return Stepwise(panel, lambda df: knn.knn_regress(train, df, keys, panel.ts, xs, label, **options))
+    if name == "NegativeBinomial":
+        coefs = negbin.fit(train, panel, xs, label, [options["alpha"]])
+        return Stepwise(panel, lambda df: negbin.predict(df, panel, coefs, xs))
+    if name == "SARIMAX":
+        coefs = seasonal.diffreg_fit(train, panel, xs, label)
+        return Stepwise(panel, lambda df: seasonal.diffreg_forecast(train, df, panel, xs, label, coefs))
+    return Stepwise(panel, lambda df: seasonal.seasonal_ar_search(train, df, panel, label, xs, **options))
+
+
 def fit_models(train: DataFrame, panel: Panel, names: Sequence[str], features: Sequence[str], label: str, overrides: dict | None = None) -> dict:
     """Fit every chosen model.  ``overrides`` maps a name to a ready estimator
-    (e.g. fewer trees) for pooled models."""
+    (e.g. fewer trees) for pooled models, to a dict of settings for those of ``STEPWISE``."""
     overrides = overrides or {}
     out = {}
     n_rows = None
@@ -67,6 +99,8 @@ def fit_models(train: DataFrame, panel: Panel, names: Sequence[str], features: S
                 n_rows = train.count()
             est = overrides.get(name) or ml.preset(name, n_rows)
             out[name] = ml.Pooled(est, features, label, series_col=panel.keys[0]).fit(train)
+        elif name in STEPWISE:
+            out[name] = _stepwise(name, train, panel, features, label, {**STEPWISE[name], **overrides.get(name, {})})
         elif name == ADABOOST:
             out[name] = ml.AdaBoostR2(features, label, series_col=panel.keys[0]).fit(train)
         else:

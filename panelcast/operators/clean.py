@@ -82,9 +82,9 @@ def zero_above(c: Column | str, limit: float = 10000) -> Column:
 
 
 def to_int(c: Column | str) -> Column:
-    """PR12: truncate toward zero (-1.7 -> -1), as ``astype(int)``."""
+    """PR12: truncate toward zero (-1.7 -> -1) to 64 bits, as ``astype(int)``; NULL beyond them."""
     col = F.col(c) if isinstance(c, str) else c
-    return col.cast("int")
+    return col.try_cast("bigint")
 
 
 def round_even(c: Column | str, digits: int) -> Column:

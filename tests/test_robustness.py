@@ -122,3 +122,9 @@ def test_additive_job_scores_both_forms(spark):
     tr, te, p = two_series(spark, 80, 40)
     pred, scores = jobs.additive_job(tr.withColumn("v", F.col("v") + 20), te.withColumn("v", F.col("v") + 20), p, "v", ["w"], n_changepoints=3, yearly_order=2)
     assert pred.count() == 20 and {r.model for r in scores.collect()} == {"additive", "additive_recombined"}
+
+
+def test_buckets_do_not_follow_the_estimate_of_a_checkpointed_join(spark):
+    a = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
+    joined = a.join(a.withColumnRenamed("v", "w"), "k").join(a.withColumnRenamed("v", "x"), "k").limit(100).checkpoint(eager=True)
+    assert default_buckets(joined.join(joined.select("k").distinct(), "k")) <= 8
