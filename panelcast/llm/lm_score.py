@@ -1,17 +1,15 @@
-"""LM scoring with a weighted backoff automaton of smoothed word n-grams.
+"""LM scoring with a backoff model of smoothed word n-grams.
 
 Tokens are the words of a text (A-Z as a-z) and one end.  Counts cover every training text.
 
-* Unigrams: all words, counted exactly in a distributed table; absolute discounting gives seen words ``(c - d) / N`` and
-  the unknown word ``d V / N``.
-* The automaton holds the n-grams up to ``order`` whose share of the training tokens is at least ``share``: at most
-  ``1 / share`` of each order, whatever the corpus, so it is broadcast.  An n-gram above the share has all its parts above it; each order is counted
-  exactly among the words of the order below.  States are the histories with arcs; an arc's weight is the interpolated probability
-  ``(c - d) / c(h) + bow(h) p(w | h')``, a state's failure arc leads to the history without its first word and weighs ``bow(h)``.
-* A text is traversed once from left to right.  The state before a word is the longest history of it that is a state, so
-  the traversal of a whole batch is done at once: look for the word's arc, follow failure arcs where there is none (at most ``order - 1`` times), add up.
-* Words too rare for the automaton end at the empty state; they leave as (row, word) pairs and join the distributed table. By
-  definition none of them is frequent, so that join has no hot key.
+* Unigrams: all words; absolute discounting gives seen words ``(c - d) / N`` and the unknown word ``d V / N``.
+* The model holds the n-grams up to ``order`` that occur at least ``min_count`` times.  The count is fixed, it does not depend on
+  the size of the corpus; 1 keeps all.  A kept n-gram has all its parts kept.  The weight of a word after a history is
+  ``(c - d) / c(h) + bow(h) p(w | h')``, the first term only for kept n-grams; a history without kept n-grams is left out.
+* The model is one distributed table: an n-gram's hash, its count and, as a history, ``rest``: the sum of ``c - d`` of its kept
+  n-grams, so that ``bow = 1 - rest / c``.  Nothing of it is collected or broadcast.
+* Texts are dealt to batches of some megabytes.  A batch asks for each of its distinct n-grams once, by a join with the model,
+  and gets back those that are there; then it is scored in one piece.  A hot n-gram has one row a batch in that join.
 
 Defined cases: a null or empty text is the end alone; no training text at all gives base scores of ``log10(1 / 1) = 0`` a token and
 scores of 0; repeated rows and ids get a row each; a null id counts as the empty string in the fold; an empty table
@@ -20,6 +18,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +29,9 @@ from panelcast.llm import words as W
 from panelcast.llm.util import prepare, stage
 
 END = np.uint64(W.splitmix(31337))
-SHARE = 1e-6
+MIN_COUNT = 2
 ORDER = 3
-BITS = 20  # a word of the automaton is a number below 2^20: at most 1 / SHARE of them
+BATCH_BYTES = 8 << 20
 
 
 def held_out(id_col):
@@ -59,184 +59,142 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _packed(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of numbered words inside a text, ``BITS`` bits a word, and the place of their last word."""
-    m = len(word) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _grams(t: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the n-grams inside the texts and the place of their last word."""
+    g = t if n == 1 else W.ngrams(t, n)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ok = text[:m] == text[n - 1 :]
-    key = np.zeros(m, np.int64)
-    for j in range(n):
-        w = word[j : j + m]
-        ok &= w >= 0
-        key = (key << BITS) | np.maximum(w, 0)
-    at = np.flatnonzero(ok)
-    return key[at], at + n - 1
+    at = np.flatnonzero(text[: len(g)] == text[n - 1 : n - 1 + len(g)])
+    return g[at], at + n - 1
 
 
-def _count(n: int, box=None):
-    """Counts of words (n = 1), or of the n-grams whose parts of order n - 1 are in the automaton."""
+def _count(order: int):
+    """Counts of the n-grams of a batch and their histories (null for words)."""
 
     def run(batches):
         for batch in batches:
-            keys, counts = [], []
-            for lo, hi in W.groups(batch.column(0)):
+            for lo, hi in W.groups(batch.column(0), BATCH_BYTES):
                 t, first = _tokens(batch.column(0).slice(lo, hi - lo))
-                if n == 1:
-                    g = t
-                else:
-                    words, lower = box.value
-                    g, _ = _packed(find(words, t), first, n)
-                    if n > 2:
-                        g = g[(find(lower, g >> BITS) >= 0) & (find(lower, g & ((1 << BITS * (n - 1)) - 1)) >= 0)]
-                u, c = np.unique(g, return_counts=True)
-                keys.append(u)
-                counts.append(c)
-            if keys:
-                u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-                c = np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(c)], names=["g", "c"])
+                for n in range(1, order + 1):
+                    g, last = _grams(t, first, n)
+                    u, at, c = np.unique(g, return_index=True, return_counts=True)
+                    if n == 1:
+                        history = pa.nulls(len(u), pa.int64())
+                    else:
+                        begin = last[at] - n + 1
+                        history = pa.array((t if n == 2 else W.ngrams(t, n - 1))[begin].view(np.int64))
+                    yield pa.record_batch([pa.array(u.view(np.int64)), history, pa.array(c)], names=["g", "h", "c"])
 
     return run
 
 
-def _sorted(df: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (as ``kind``) and counts of a small table on the driver, sorted by key."""
-    t = df.select("g", "c").toArrow()
-    g, c = t.column(0).to_numpy().view(kind), t.column(1).to_numpy()
-    order = np.argsort(g)
-    return g[order], c[order]
+@dataclass
+class Model:
+    """What the table of n-grams does not say: training tokens, distinct words, discount, longest n-gram."""
 
+    total: int
+    types: int
+    d: float
+    order: int
 
-class Automaton:
-    """Arcs by order and states: ``arcs[n]`` = sorted n-grams and log10 weights, ``bow[n]`` = sorted histories and log10 weights of
-    their failure arcs.  Words are hashes in order 1; longer n-grams are packed from the words' numbers there."""
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        """The probability of words counted ``c`` times."""
+        if not self.total:
+            return np.ones(len(c))
+        return np.where(c > 0, np.maximum(c - self.d, 1e-300) / self.total, max(self.d * self.types / self.total, 1e-300))
+
+    def weigh(self, t: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's count and its probability after the words before it; ``keys`` are sorted."""
+        counts, rests = np.append(counts, 0), np.append(rests, np.nan)  # what find() does not find is the last
+        place = find(keys, t)
+        c = counts[place]
+        p = self.unigram(c)
+        for n in range(2, self.order + 1):
+            g, last = _grams(t, first, n)
+            before, place = place[last - 1], np.full(len(t), -1)
+            place[last] = find(keys, g)
+            on = ~np.isnan(rests[before])
+            last, before = last[on], before[on]
+            whole = counts[before].astype(np.float64)
+            own = np.where(place[last] >= 0, (counts[place[last]] - self.d) / whole, 0.0)
+            p[last] = own + np.maximum(1.0 - rests[before] / whole, 1e-12) * p[last]
+        return c, p
+
+
+def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tuple[Model, DataFrame]:
+    """The model of the training ``texts`` (one column) and its table ``g, c, rest``."""
+    spark = prepare(texts.sparkSession)
+    grams = texts.mapInArrow(_count(order), "g long, h long, c long").groupBy("g").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
+    grams = stage(grams.where(F.col("h").isNull() | (F.col("c") >= min_count)), "n-grams")
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle of all n-grams
+    s = grams.where("h IS NULL").agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
+    total, types, ones, twos = (int(x or 0) for x in s)
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    rests = grams.where("h IS NOT NULL").groupBy(F.col("h").alias("g")).agg((F.sum("c") - F.lit(d) * F.count(F.lit(1))).alias("rest"))
+    return Model(total, types, d, order), grams.drop("h").join(rests, "g", "left")
 
-    def __init__(self, total: int, types: int, discount: float):
-        self.total, self.types, self.d = total, types, discount
-        self.arcs: dict = {}
-        self.bow: dict = {}
-        self.counts: dict = {}
 
-    def unigram(self, c):
-        """log10 of the unigram probability of words counted ``c`` times."""
-        if not self.total:
-            return np.zeros(np.shape(c))
-        c = np.asarray(c, np.float64)
-        return np.log10(np.where(c > 0, np.maximum(c - self.d, 1e-300) / self.total, max(self.d * self.types / self.total, 1e-300)))
-
-    def base(self, c):
-        return np.log10((np.asarray(c, np.float64) + 1) / (self.total + self.types + 1))
-
-    def add_words(self, g: np.ndarray, c: np.ndarray):
-        self.counts[1] = (g, c)
-        self.arcs[1] = (g, self.unigram(c))
-
-    def add(self, n: int, g: np.ndarray, c: np.ndarray):
-        """The n-grams of order ``n`` (packed word numbers); the orders below are there already."""
-        ctx, suf = g >> BITS, g & ((1 << BITS * (n - 1)) - 1)
-        low, low_c = (np.arange(len(self.counts[1][0])), self.counts[1][1]) if n == 2 else self.counts[n - 1]
-        low_log = self.arcs[n - 1][1]
-        share = (c - self.d) / low_c[np.searchsorted(low, ctx)]
-        states, inv = np.unique(ctx, return_inverse=True)
-        left = np.maximum(1.0 - np.bincount(inv, weights=share, minlength=len(states)), 1e-12)
-        self.counts[n] = (g, c)
-        self.arcs[n] = (g, np.log10(share + left[inv] * 10.0 ** low_log[np.searchsorted(low, suf)]))
-        self.bow[n] = (states, np.log10(left))
-
-    def walk(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weight of every token given its history, and which tokens are left to the unigram table."""
-        weight, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-        longest = max(self.bow, default=1)
-        for n in range(longest, 1, -1):
-            hist, last = _packed(word, first, n - 1)
-            ends = first[1:] - 1
-            inside = ~np.isin(last, ends)
-            hist, at = hist[inside], last[inside] + 1
-            hist, at = hist[open_[at]], at[open_[at]]
-            state = find(self.bow[n][0], hist)
-            on = state >= 0
-            hist, at, state = hist[on], at[on], state[on]
-            arc = find(self.arcs[n][0], np.where(word[at] >= 0, (hist << BITS) | np.maximum(word[at], 0), -1))
-            hit = arc >= 0
-            weight[at[hit]] += self.arcs[n][1][arc[hit]]
-            open_[at[hit]] = False
-            weight[at[~hit]] += self.bow[n][1][state[~hit]]
-        return weight, open_
-
-
-def _score(box):
-    def run(batches):
-        from pyspark import TaskContext
+def _deal(batches):
+    """Rows with the number of their batch."""
+    from pyspark import TaskContext
+
+    batch_no = TaskContext.get().partitionId() << 32
+    size = 0
+    for batch in batches:
+        for lo, hi in W.groups(batch.column(1), BATCH_BYTES // 8):
+            _, o = W.buffers(batch.column(1).slice(lo, hi - lo))
+            if size and size + o[-1] - o[0] > BATCH_BYTES:
+                batch_no, size = batch_no + 1, 0
+            size += int(o[-1] - o[0]) + hi - lo
+            yield pa.record_batch([pa.array(np.full(hi - lo, batch_no)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)], names=["batch", "doc_id", "text"])
+
 
-        auto: Automaton = box.value
-        words, counts = auto.counts[1]
-        logs, bases = auto.arcs[1][1], auto.base(counts)
-        row = TaskContext.get().partitionId() << 40
+def _ask(order: int):
+    """The distinct n-grams of each run of rows of a batch."""
+
+    def run(batches):
         for batch in batches:
-            for lo, hi in W.groups(batch.column(1)):
-                t, first = _tokens(batch.column(1).slice(lo, hi - lo))
-                word = find(words, t)
-                weight, open_ = auto.walk(word, first)
-                known = word >= 0
-                weight[open_ & known] += logs[word[open_ & known]]
-                base = np.where(known, bases[np.maximum(word, 0)] if len(bases) else 0.0, 0.0)
-                rare = ~known
-                r_first = np.concatenate([[0], np.cumsum(rare)])[first]
-                n = hi - lo
-                yield pa.record_batch(
-                    [
-                        pa.array(np.arange(row, row + n)),
-                        batch.column(0).slice(lo, n),
-                        pa.array(np.diff(first)),
-                        pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])),
-                        pa.array(np.add.reduceat(base, first[:-1])),
-                        pa.array(np.add.reduceat(weight, first[:-1])),
-                        pa.ListArray.from_arrays(pa.array(r_first.astype(np.int32)), pa.array(t[rare].view(np.int64))),
-                    ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
-                )
-                row += n
+            no = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(no)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(no)]):
+                for lo, hi in W.groups(batch.column(2).slice(a, b - a), BATCH_BYTES):
+                    t, first = _tokens(batch.column(2).slice(a + lo, hi - lo))
+                    for n in range(1, order + 1):
+                        u = np.unique(_grams(t, first, n)[0])
+                        yield pa.record_batch([pa.array(np.full(len(u), no[a])), pa.array(u.view(np.int64))], names=["batch", "g"])
 
     return run
 
 
-def train(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton of the training ``texts`` (one column) and the table ``g, c`` of all words."""
-    if order > 3 or share < 2.0**-BITS:
-        raise ValueError(f"n-grams of up to three words of a share of at least 2^-{BITS} fit a 64-bit key")
-    spark = prepare(texts.sparkSession)
-    vocab = stage(texts.mapInArrow(_count(1), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "vocabulary")
-    s = vocab.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    total, types, ones, twos = (int(x or 0) for x in s)
-    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    auto = Automaton(total, types, d)
-    cut = max(2, share * total)
-    auto.add_words(*_sorted(vocab.where(F.col("c") >= cut), np.uint64))
-    for n in range(2, order + 1):
-        box = spark.sparkContext.broadcast((auto.counts[1][0], auto.counts[n - 1][0]))
-        grams = texts.mapInArrow(_count(n, box), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-        auto.add(n, *_sorted(grams.where(F.col("c") >= cut), np.int64))
-    return auto, vocab
+def _score(model: Model):
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        g = known.column("g").to_numpy().view(np.uint64)
+        g, at = np.unique(g, return_index=True)
+        counts, rests = known.column("c").to_numpy()[at], known.column("rest").to_numpy()[at].astype(np.float64)
+        t, first = _tokens(rows.column("text"))
+        c, p = model.weigh(t, first, g, counts, rests)
+        sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
+        return pa.table(
+            [
+                rows.column("doc_id"),
+                pa.array(np.diff(first)),
+                sums((c > 0).astype(np.int64)),
+                sums(np.log10((c + 1.0) / (model.total + model.types + 1))),
+                sums(np.log10(p)),
+            ],
+            names=["doc_id", "n_tokens", "n_known", "base", "score"],
+        )
+
+    return run
 
 
-def score(docs: DataFrame, auto: Automaton, vocab: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    spark = prepare(docs.sparkSession)
-    box = spark.sparkContext.broadcast(auto)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(rows.mapInArrow(_score(box), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
-    words = rows.select("row", F.explode("rare").alias("g"))
-    words = words.join(vocab.where(F.col("c") < max(2, share * auto.total)), "g", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
-    n, v, d = float(auto.total), float(auto.types), auto.d
-    uni = F.when(F.col("c") > 0, F.log10((F.col("c") - d) / n)).otherwise(F.lit(float(auto.unigram(0)))) if auto.total else F.lit(0.0)
-    sums = words.groupBy("row").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10((F.col("c") + 1) / F.lit(n + v + 1))).alias("b"), F.sum(uni).alias("s")
-    )
-    out = rows.drop("rare").join(sums, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    rows = stage(rows.mapInArrow(_deal, "batch long, doc_id long, text string"), "batches")
+    known = rows.mapInArrow(_ask(model.order), "batch long, g long").join(grams, "g").select("batch", "g", "c", "rest")
+    out = rows.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_score(model), "doc_id long, n_tokens long, n_known long, base double, score double")
     return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(auto.total).cast("long").alias("train_tokens"),
-        F.round(plus("base", "b"), 6).alias("base_score"), F.round(plus("score", "s"), 6).alias("score"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        F.round("base", 6).alias("base_score"), F.round("score", 6).alias("score"),
     )

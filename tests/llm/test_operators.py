@@ -362,3 +362,39 @@ def test_null_ids_in_groups(with_odd_rows):
     n = [r for r in near_dup.near_duplicates(with_odd_rows).collect() if r.doc_id is None]
     assert sorted((r.n_shingles > 0, r.component_id, r.kept) for r in n) == [(False, None, True), (True, 13, False)]
     assert near_dup.drop_near_duplicates(with_odd_rows).columns == with_odd_rows.columns
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_model_does_not_shrink_with_the_corpus(spark, least):
+    """More than 2 million tokens more, where a share of a millionth would ask for three occurrences: the same rare n-grams stay."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijkl") + rng.choice("mnopq") for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    bulk = " ".join(["zz"] * 50_000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    big = df.select("text").unionAll(spark.range(60).selectExpr(f"repeat('zz ', 50000) AS text"))
+    model, grams = lm_score.train(big, min_count=least)
+    got = {r.doc_id: r.score for r in lm_score.score(df, model, grams).collect()}
+    c = [collections.Counter() for _ in range(4)]
+    for t, times in [(t, 1) for t in texts] + [(bulk, 60)]:
+        w = words(t) + [""]
+        for n in (1, 2, 3):
+            for g, v in collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)).items():
+                c[n][g] += v * times
+    total, types = sum(c[1].values()), len(c[1])
+    ones, twos = (sum(v == k for v in c[1].values()) for k in (1, 2))
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    assert (model.total, model.types, model.d) == (total, types, d) and total > 3_000_000
+    kept = {g: v for n in (2, 3) for g, v in c[n].items() if v >= least}
+    left = collections.defaultdict(lambda: 1.0)
+    for g, v in kept.items():
+        left[g[:-1]] -= (v - d) / c[len(g) - 1][g[:-1]]
+
+    def p(h, w):
+        if not h:
+            return (c[1][(w,)] - d) / total
+        arc = (kept[h + (w,)] - d) / c[len(h)][h] if h + (w,) in kept else 0.0
+        return arc + max(left[h], 1e-12) * p(h[1:], w) if h in left else p(h[1:], w)
+
+    for i, t in enumerate(texts):
+        w = words(t) + [""]
+        assert abs(got[i] - sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-4
