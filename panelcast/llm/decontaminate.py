@@ -1,5 +1,7 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched by every training passage.
 
+Words are compared without the ASCII punctuation before and after them (``yes.&&&`` is ``yes``); a word of nothing else is none.
+
 Items are the indexed side: each word has a posting list in item order, cut into blocks with their largest
 weight.  A posting's weight is its BM25 contribution divided by the item's score against itself, so a passage that holds a
 whole item scores 1.  Passages are windows of ``2 * span`` words every ``span`` words, ``span`` being a quarter longer than the longest item,
@@ -9,11 +11,13 @@ so an item lies whole in a window.  Every passage of every document is a query:
   there are added up; a passage for which no block reaches the threshold has no item above it;
 * the remaining passages run block-max WAND and yield all items at or above the threshold;
 * a retrieved item is a leak if its question and its answer both overlap the passage: at least ``overlap`` of
-  the five-word shingles of each part occur in it.  The answer is what follows the last ``?`` or an ``Answer:`` mark, without one the
+  the five-word shingles of each part occur in it, or, in a part of five words or more, all words before and all words after some one word
+  (a copy with one word changed, whatever its length and the word's place).  The answer is what follows the last ``?`` or an ``Answer:`` mark, without one the
   second half of the words.
 
 Scale: one scan of the documents, no shuffle.  The index is broadcast; items are dealt to shards by the hash of their id so that a shard holds about
-``shard_words`` words, and each shard is one more pass.
+``shard_words`` words, and each shard is one more pass.  Document frequencies, mean length and span are those of all items, whatever the shards; a
+shard is handed the frequencies of its own words.
 
 Defined cases: items or documents without words match nothing; items with equal texts are all reported; a part of fewer than five words is
 one shingle; rows that repeat an id are searched each and reported once a pair; null ids are reported as null; no items or no
@@ -25,6 +29,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import prepare
+from panelcast.llm.util import prepare, stage
 
 THRESHOLD, OVERLAP, SHINGLE, BLOCK, COARSE = 0.6, 0.8, 5, 16, 64
 K1, B = 1.2, 0.75
@@ -49,24 +54,54 @@ def parts(text: str) -> tuple[str, str]:
 
 
 def _hashes(text: str) -> np.ndarray:
-    return W.hash_words(*W.buffers(pa.array([text])))[0]
+    return W.hash_words(*W.bare(*W.buffers(pa.array([text]))))[0]
+
+
+def _overlap(h: np.ndarray, own: np.ndarray, least: float) -> tuple[float, bool]:
+    """The share of the shingles of a part with words ``h`` that are in ``own``, and whether that is enough."""
+    p = W.shingles(h, SHINGLE)
+    if not len(p):
+        return 1.0, True
+    hit = np.isin(p, own)
+    share = float(hit[np.unique(p, return_index=True)[1]].mean())
+    if share >= least - EPS or len(h) < SHINGLE:
+        return share, share >= least - EPS
+    miss = np.flatnonzero(~hit)
+    for j in range(miss[-1], min(len(h), miss[0] + SHINGLE)):  # the words that all missing shingles hold
+        if all(np.isin(W.shingles(x, SHINGLE), own).all() for x in (h[:j], h[j + 1 :])):
+            return share, True
+    return share, False
+
+
+@dataclass
+class Whole:
+    """Of all items: their number, mean and largest length, and in how many each word of a shard is."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict
 
 
 class Index:
-    """Posting lists of ``items`` (id, text), with block maxima; weights are shares of an item's own score."""
+    """Posting lists of ``items`` (id, text), with block maxima; weights are shares of an item's own score.  ``whole``: of all
+    items, where these are a shard."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
         items = [(i, t, _hashes(t or "")) for i, t in items]
         items = [x for x in items if len(x[2])]
         self.ids = [i for i, _, _ in items]
-        self.span = math.ceil(1.25 * max((len(h) for _, _, h in items), default=1))
-        self.parts = [[np.unique(W.shingles(_hashes(p), SHINGLE)) for p in parts(t)] for _, t, _ in items]
+        self.span = math.ceil(1.25 * (whole.longest if whole else max((len(h) for _, _, h in items), default=1)))
+        self.parts = [[_hashes(p) for p in parts(t)] for _, t, _ in items]
         df: dict = {}
         counts = [dict(zip(*map(np.ndarray.tolist, np.unique(h, return_counts=True)))) for _, _, h in items]
         for c in counts:
             for w in c:
                 df[w] = df.get(w, 0) + 1
         n, mean = len(items), (sum(len(h) for _, _, h in items) / len(items)) if items else 1
+        width = max(1, math.ceil(n / COARSE))
+        if whole:
+            n, mean, df = whole.n, whole.mean, {w: whole.df[w] for w in df}
         lists: dict = {w: [] for w in df}
         for k, c in enumerate(counts):
             norm = K1 * (1 - B + B * len(items[k][2]) / mean)
@@ -79,8 +114,7 @@ class Index:
         self.weights = [[x for _, x in lists[w]] for w in sorted(lists)]
         self.most = np.array([max(x) for x in self.weights] or [0.0])
         self.blocks = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.weights]
-        width = max(1, math.ceil(n / COARSE))
-        self.bound = np.zeros((max(1, len(self.words)), max(1, math.ceil(n / width))), np.float32)
+        self.bound = np.zeros((max(1, len(self.words)), max(1, math.ceil(len(items) / width))), np.float32)
         for t, (ds, ws) in enumerate(zip(self.docs, self.weights)):
             np.maximum.at(self.bound[t], np.array(ds) // width, np.array(ws, np.float32))
         self.bits = np.zeros(1 << 18, bool)
@@ -158,7 +192,7 @@ def _search_all(box, threshold: float, overlap: float):
             out = []
             for lo, hi in W.groups(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                h, first = W.hash_words(*W.buffers(batch.column(1).slice(lo, hi - lo)))
+                h, first = W.hash_words(*W.bare(*W.buffers(batch.column(1).slice(lo, hi - lo))))
                 term = index.lookup(h)
                 n = np.diff(first)
                 windows = -(-n // span)
@@ -179,8 +213,8 @@ def _search_all(box, threshold: float, overlap: float):
                     own = None
                     for item, score in index.search(terms.tolist(), threshold - EPS):
                         own = np.unique(np.concatenate([W.ngrams(h[a:b], m) for m in range(1, SHINGLE + 1)])) if own is None else own
-                        share = [float(np.isin(p, own).mean()) if len(p) else 1.0 for p in index.parts[item]]
-                        if min(share) >= overlap - EPS:
+                        share, enough = zip(*(_overlap(p, own, overlap) for p in index.parts[item]))
+                        if all(enough):
                             key = (int(doc[k]), item)
                             leaks[key] = max(leaks.get(key, (0.0, 0.0, 0.0, 0)), (min(1.0, score), share[0], share[1], -int(a - first[doc[k]])))
                 out += [(ids[d], index.ids[i], s, q, r, -at) for (d, i), (s, q, r, at) in leaks.items()]
@@ -192,6 +226,18 @@ def _search_all(box, threshold: float, overlap: float):
     return run
 
 
+def _item_words(batches):
+    """Each item's shard and distinct words, its length with the first."""
+    for batch in batches:
+        h, first = W.hash_words(*W.bare(*W.buffers(batch.column(1))))
+        for k, shard in enumerate(batch.column(0).to_pylist()):
+            u = np.unique(h[first[k] : first[k + 1]])
+            if len(u):
+                size = np.zeros(len(u), np.int64)
+                size[0] = first[k + 1] - first[k]
+                yield pa.record_batch([pa.array(np.full(len(u), shard)), pa.array(u.view(np.int64)), pa.array(size)], names=["shard", "h", "size"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_words: int = 2_000_000) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap, word`` of every leak (word: where the best window starts)."""
     spark = prepare(docs.sparkSession)
@@ -199,10 +245,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     bench = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     n_words = bench.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
     shards = max(1, math.ceil(n_words / shard_words))
+    bench = bench.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    if shards > 1:
+        words = stage(bench.select("shard", "text").mapInArrow(_item_words, "shard long, h long, size long"), "item-words")
+        n, mean, longest = words.where("size > 0").agg(F.count(F.lit(1)), F.avg("size"), F.max("size")).first()
+        df = words.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     out = None
     for k in range(shards):
-        mine = bench.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).orderBy("id").collect()
-        box = spark.sparkContext.broadcast(Index([(r["id"], r["text"]) for r in mine]))
+        mine = bench.where(F.col("shard") == k).orderBy("id").collect()
+        whole = None
+        if shards > 1 and n:
+            t = df.join(words.where(F.col("shard") == k).select("h").distinct(), "h", "left_semi").select("h", "df").toArrow()
+            whole = Whole(n, mean, longest, dict(zip(t.column(0).to_numpy().view(np.uint64).tolist(), t.column(1).to_pylist())))
+        box = spark.sparkContext.broadcast(Index([(r["id"], r["text"]) for r in mine], whole))
         part = rows.mapInArrow(_search_all(box, threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long")
         out = part if out is None else out.unionAll(part)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", -F.col("word"))).alias("x")

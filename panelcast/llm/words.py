@@ -68,6 +68,28 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o
 
 
+IS_MARK = np.array([i < 128 and chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
+
+
+def bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with the ASCII punctuation before and after each word blanked; a word of nothing else goes."""
+    lo = int(offsets[0])
+    d, o = data[lo : int(offsets[-1])].copy(), offsets - lo
+    at = np.arange(len(d))
+    word = IS_WORD[d]
+    solid = word & ~IS_MARK[d]
+    begins = o[:-1][o[:-1] < o[1:]]
+    gap = np.where(word, -1, at)
+    gap[begins] = np.maximum(gap[begins], begins - 1)
+    lead = np.maximum.accumulate(np.where(solid, at, -1)) <= np.maximum.accumulate(gap)
+    lasts = o[1:][o[:-1] < o[1:]] - 1
+    gap = np.where(word, len(d), at)
+    gap[lasts] = np.minimum(gap[lasts], lasts + 1)
+    trail = np.minimum.accumulate(np.where(solid, at, len(d))[::-1])[::-1] >= np.minimum.accumulate(gap[::-1])[::-1]
+    d[word & (lead | trail)] = 0x20
+    return d, o
+
+
 def _pieces(data: np.ndarray, lo: int, hi: int):
     """Byte ranges of about PIECE bytes that end where no word goes on."""
     at = lo

@@ -398,3 +398,43 @@ def test_lm_model_does_not_shrink_with_the_corpus(spark, least):
     for i, t in enumerate(texts):
         w = words(t) + [""]
         assert abs(got[i] - sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-4
+
+
+def test_leaks_with_one_word_changed(spark):
+    """Words glued to punctuation and one word changed, in short and long halves."""
+    rng = random.Random(12)
+    filler = lambda n: [f"f{rng.randrange(400)}" for _ in range(n)]
+    items, rows, want = [], [], set()
+    for i, half in enumerate([5, 6, 7, 8, 9, 12, 18]):
+        q, a = [[f"{x}{i}w{k}" for k in range(half)] for x in "qa"]
+        items.append((i, " ".join(q) + "? " + " ".join(a)))
+        glued = [*q[:-1], q[-1] + "?&&&", "--(" + a[0], *a[1:-1], a[-1] + ".&&&"]
+        copies = [glued] + [q[:k] + ["other"] + q[k + 1 :] + ["-", *a] for k in range(half)] + [[*q, *a[:k], "other", *a[k + 1 :]] for k in range(half)]
+        others = [q + filler(half), [*q, *a[: half // 2], *filler(half - half // 2)]]
+        for leak, texts in ((True, copies), (False, others)):
+            for t in texts:
+                want |= {(len(rows), i)} if leak else set()
+                rows.append((len(rows), " ".join([*filler(30), *t, *filler(30)])))
+    bench = spark.createDataFrame([*items, (98, "..."), (99, "-- &&& ?")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == want
+
+
+def test_leak_scores_do_not_depend_on_shards(docs, spark):
+    items = [(i, " ".join(words(r[1])[2 : 9 + i])) for i, r in enumerate(fixture_rows()[9:30])]
+    rows = spark.createDataFrame([(i, "common " + t.rsplit(" ", 1)[0] + " tail") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "common " + t) for i, t in items], "item_id long, text string")
+    got = [{(r.doc_id, r.item_id, r.word): round(r.score, 9) for r in decontaminate.find_leaks(rows, bench, shard_words=n).collect()} for n in (2_000_000, 150)]
+    assert got[0] == got[1] and len(got[0]) >= 15 and min(got[0].values()) < 1
+
+
+def test_bare_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelcast.llm import words as W
+
+    texts = ["a.", "", ".", "b 'c-d' e.f.&&& -- (é)!", None, "!x", "y?", "?", "  z  "]
+    h, first = W.hash_words(*W.bare(*W.buffers(pa.array(texts).slice(1))))
+    plain, f = W.hash_words(*W.buffers(pa.array(["", "", "b c-d e.f é", "", "x", "y", "", "z"])))
+    assert np.array_equal(h, plain) and np.array_equal(first, f)
