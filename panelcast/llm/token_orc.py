@@ -13,6 +13,8 @@ number of files and is broadcast.
 Encoding: byte-level BPE never joins a character with what stands before the single space in front of it, so
 a text is cut at single spaces between other characters and each piece is encoded once and remembered
 (about ``2 * MEMO`` pieces a task; the older half goes first).  The ids equal those of the whole text.
+A special token's name in a text gets that token's id, as the library's ``encode(text, add_special_tokens=False)`` gives it;
+``special_as_text`` encodes it like other text.  Where a special token takes white space along, texts are encoded whole.
 
 Defined cases: a null or empty text has the end id only; repeated ids follow each other, in the order of
 their texts, each with its own start; null ids come first; an empty table writes an empty file and reads back as no rows; other
@@ -37,16 +39,18 @@ JOINED = 500
 _state: dict = {}
 
 
-def _load(path: str):
-    if _state.get("path") != path:
+def _load(path: str, special_as_text: bool):
+    if _state.get("path") != (path, special_as_text):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = special_as_text
+        added = tok.get_added_tokens_decoder().values()
+        whole = not special_as_text and any(a.lstrip or a.rstrip or a.single_word or any(map(str.isspace, a.content)) for a in added)
         begins = np.zeros(tok.get_vocab_size(), bool)
         begins[[i for w, i in tok.get_vocab().items() if w.startswith("\u0120")]] = True  # tokens that begin with a space
-        _state.update(path=path, tok=tok, memo={}, old={}, begins=begins)
+        _state.update(path=(path, special_as_text), tok=tok, memo={}, old={}, begins=begins, whole=whole)
     return _state["tok"]
 
 
@@ -83,9 +87,12 @@ def _remember(tok, pieces: set[str]) -> dict:
     return memo
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers; the same as encoding each text whole."""
-    tok = _load(path)
+def encode(texts: list[str], path: str, special_as_text: bool = True) -> list[bytes]:
+    """Each text's ids as little-endian 32-bit integers; the same as encoding each text whole.  ``special_as_text`` is the
+    library's ``encode_special_tokens``."""
+    tok = _load(path, special_as_text)
+    if _state["whole"]:
+        return _ids(tok.encode_batch_fast(texts, add_special_tokens=False))
     split, heads, new = [], [], set()
     for t in texts:
         parts = t.split(" ")
@@ -111,7 +118,7 @@ def _rejoin(parts: list[str]) -> list[str]:
     return out
 
 
-def _encoder(path: str, end_id: int):
+def _encoder(path: str, end_id: int, special_as_text: bool):
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
@@ -126,7 +133,7 @@ def _encoder(path: str, end_id: int):
                 while at + len(some) < len(ids) and size < ENCODE_BYTES:
                     some.append(texts[at + len(some)].as_py() or "")
                     size += len(some[-1])
-                coded = [c + end for c in encode(some, path)]
+                coded = [c + end for c in encode(some, path, special_as_text)]
                 n = np.array([len(c) // 4 for c in coded], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 flat = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(coded))])
@@ -142,13 +149,13 @@ def _encoder(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_stride: int = 2000, stripe_bytes: int = 16 << 20) -> str:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_stride: int = 2000, stripe_bytes: int = 16 << 20, special_as_text: bool = False) -> str:
     """Encode ``docs`` into ORC files under ``out`` and return that path."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    coded = placed.mapInArrow(_encoder(tokenizer, end_id), "doc_id long, part int, before long, n_tokens long, ids array<int>")
+    coded = placed.mapInArrow(_encoder(tokenizer, end_id, special_as_text), "doc_id long, part int, before long, n_tokens long, ids array<int>")
     (
         coded.write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", stripe_bytes)

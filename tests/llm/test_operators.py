@@ -438,3 +438,18 @@ def test_bare_words():
     h, first = W.hash_words(*W.bare(*W.buffers(pa.array(texts).slice(1))))
     plain, f = W.hash_words(*W.buffers(pa.array(["", "", "b c-d e.f é", "", "x", "y", "", "z"])))
     assert np.array_equal(h, plain) and np.array_equal(first, f)
+
+
+def test_special_tokens_as_the_library_has_them(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    e = "<|endoftext|>"
+    texts = [f"x {e} y", e, f"{e} a", f"a {e}", f"a{e}b c", f"{e}{e}", f"a {e}{e} {e} b", f"a  {e}  b", f"a {e}b", f"b{e} {e}\n{e} c", f" {e} ", f"a {e[:-1]} {e}> b", "plain text"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    start = 0
+    for r in as_query(df, "op3_token_orc", monkeypatch, spark).orderBy("doc_id").collect():
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+        start += len(ids)
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [87, 220, 50256, 331]
