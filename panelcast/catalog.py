@@ -1112,41 +1112,22 @@ def _ml_frame(spark, d):
     return prep(tr), prep(te), p, feats
 
 
-def _pooled_query(name, override=None):
+def _pooled_query(name):
     def q(spark, d):
         from panelcast.models import ml
 
         tr, te, p, feats = _ml_frame(spark, d)
-        est = override() if override else ml.preset(name, tr.count())
-        m = ml.Pooled(est, feats, "cnt", series_col="n_name").fit(tr)
+        m = ml.Pooled(ml.preset(name, tr.count()), feats, "cnt", series_col="n_name").fit(tr)
         return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
 
     q.__doc__ = f"M2/M1: pooled {name} on lagged, scaled features; predictions on the test weeks."
     return q
 
 
-def _forest():
-    from pyspark.ml.regression import RandomForestRegressor
-
-    return RandomForestRegressor(numTrees=100, maxDepth=12, seed=42)
-
-
-def _gbt():
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(maxIter=60, stepSize=0.1, maxDepth=3, seed=42)
-
-
-def _bag():
-    from pyspark.ml.regression import RandomForestRegressor
-
-    return RandomForestRegressor(numTrees=60, bootstrap=False, subsamplingRate=0.9, featureSubsetStrategy="0.7", maxDepth=12, seed=42)
-
-
 register("q_tree")(_pooled_query("DecisionTreeRegressor"))
-register("q_forest")(_pooled_query("RandomForestRegressor", _forest))
-register("q_gbt")(_pooled_query("GradientBoostingRegressor", _gbt))
-register("q_bag")(_pooled_query("BaggingRegressor", _bag))
+register("q_forest")(_pooled_query("RandomForestRegressor"))
+register("q_gbt")(_pooled_query("GradientBoostingRegressor"))
+register("q_bag")(_pooled_query("BaggingRegressor"))
 register("q_huber")(_pooled_query("HuberRegressor"))
 register("q_sgd")(_pooled_query("SGDRegressor"))
 
@@ -1308,8 +1289,7 @@ def q_train_score(spark, d):
 def q_forecast_job(spark, d):
     """E4 J2 AG7 PR12: three runs of a pooled tree model (seeds differ), smoothed,
     un-scaled, attached to a template of the test weeks, averaged over runs."""
-    from pyspark.ml.regression import RandomForestRegressor
-
+    from panelcast.models import ml
     from panelcast.plans import jobs
 
     rows, stats, feats, p = _orders_job(spark, d)
@@ -1317,7 +1297,7 @@ def q_forecast_job(spark, d):
     tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
     return jobs.forecast_runs(
         tr, te, p, feats, "cnt", tmpl, ["n_name", "wk"], stats, runs=3,
-        estimator_for_run=lambda k: RandomForestRegressor(numTrees=30, maxDepth=8, seed=100 + k),
+        estimator_for_run=lambda k: ml.preset("RandomForestRegressor", seed=100 + k),
     )
 
 
@@ -1377,13 +1357,11 @@ def q_plot_table(spark, d):
 
 @register("q_extra")
 def q_extra(spark, d):
-    """Extra-trees preset re-aimed as a forest without bootstrap (lighter tree count)."""
-    from pyspark.ml.regression import RandomForestRegressor
-
+    """Extra-trees preset re-aimed as a forest without bootstrap."""
     from panelcast.models import ml
 
     tr, te, p, feats = _ml_frame(spark, d)
-    m = ml.Pooled(RandomForestRegressor(numTrees=60, bootstrap=False, featureSubsetStrategy="all", maxDepth=12, seed=42), feats, "cnt", series_col="n_name").fit(tr)
+    m = ml.Pooled(ml.preset("ExtraTreesRegressor", tr.count()), feats, "cnt", series_col="n_name").fit(tr)
     return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
 
 

@@ -1,0 +1,27 @@
+import pytest
+
+
+@pytest.mark.parametrize(
+    "query,want",
+    [
+        ("q_forest", {"numTrees": 1000, "maxDepth": 30}),
+        ("q_extra", {"numTrees": 1000, "maxDepth": 30, "bootstrap": False}),
+        ("q_bag", {"numTrees": 350, "maxDepth": 30, "subsamplingRate": 0.9}),
+        ("q_gbt", {"maxIter": 1000, "stepSize": 0.01, "maxDepth": 3}),
+        ("q_forecast_job", {"numTrees": 1000, "maxDepth": 30}),
+    ],
+)
+def test_registered_trees_are_the_presets(spark, monkeypatch, query, want):
+    from panelcast.catalog import QUERIES
+    from panelcast.models import ml
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, df):
+        raise Seen({p: self.estimator.getOrDefault(p) for p in want})
+
+    monkeypatch.setattr(ml.Pooled, "fit", fit)
+    with pytest.raises(Seen) as e:
+        QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == want
