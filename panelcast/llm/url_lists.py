@@ -1,7 +1,7 @@
 """URL filters: dated list entries as validity intervals, as-of joined with captures (DataFrame functions only).
 
 An entry (key, time, action) holds from its time until the key's next entry.  A key is a host,
-a parent domain or a host with a path prefix.  A capture has the keys of its URL, most
+a parent domain or a host with a path prefix, as deep as the deepest entry.  A capture has the keys of its URL, most
 specific first; the most specific key with an entry active at the fetch time decides, and a
 capture that no entry speaks of is kept.
 
@@ -61,7 +61,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     bounds = captures.agg(F.min(F.col(day_col).cast("long")).alias("lo"), F.max(F.col(day_col).cast("long")).alias("hi")).first()
     lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
 
-    asked = rows.withColumn("k", F.explode_outer(keys(F.col("url")))).select("page_id", "url", "day", "n_captures", "k.key", "k.rank", F.floor(F.col("day") / bucket_days).alias("bucket"))
+    parts = F.size(F.filter(F.split("key", "/"), lambda x: x != "")) - 1
+    deepest = entries.where("key IS NOT NULL AND day IS NOT NULL AND action IS NOT NULL").agg(F.max(parts)).first()[0] or 0
+
+    asked = rows.withColumn("k", F.explode_outer(keys(F.col("url"), deepest))).select("page_id", "url", "day", "n_captures", "k.key", "k.rank", F.floor(F.col("day") / bucket_days).alias("bucket"))
     lists = intervals(entries).where((F.col("since") <= hi) & (F.col("until") > lo))
     touched = F.sequence(F.floor(F.greatest("since", F.lit(lo)) / bucket_days), F.floor(F.least(F.col("until") - 1, F.lit(hi)) / bucket_days))
     lists = lists.withColumn("bucket", F.explode(touched))

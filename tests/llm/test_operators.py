@@ -453,3 +453,10 @@ def test_special_tokens_as_the_library_has_them(spark, monkeypatch):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         start += len(ids)
     assert tok.encode(texts[0], add_special_tokens=False).ids == [87, 220, 50256, 331]
+
+
+def test_url_entries_of_any_depth(spark):
+    lists = spark.createDataFrame([("a.b/p/q/r", 1, "block"), ("a.b/p/q/r/s/t", 2, "allow"), ("a.b", 0, "allow")], "key string, day long, action string")
+    captures = spark.createDataFrame([(k, f"http://a.b/{u}", 3) for k, u in enumerate(["p/q", "p/q/r", "p/q/r/x?y", "p/q/r/s/t/u", "p/q/rr"])], "page_id long, url string, day long")
+    got = [(r.kept, r.decided_by) for r in url_lists.evaluate(captures, lists).orderBy("page_id").collect()]
+    assert got == [(True, "a.b"), (False, "a.b/p/q/r"), (False, "a.b/p/q/r"), (True, "a.b/p/q/r/s/t"), (True, "a.b")]
