@@ -1,4 +1,4 @@
-"""The ten thin queries ``opN_<name>`` and their oracle SQL."""
+"""The thirteen thin queries ``opN_<name>`` and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, near_dup, quality_cnn, span_dedup, token_orc, url_lists
+from panelcast.llm import (
+    decontaminate, exact_dedup, hard_negatives, license_scan, lm_score, merkle, mixing, near_dup, quality_cnn, span_dedup, token_orc, url_lists,
+)
 from panelcast.llm.util import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +142,40 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 )
 def op10(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
+
+
+@register(
+    "op12_merkle_manifest",
+    """WITH RECURSIVE f AS (SELECT *, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc,
+  concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS head FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 3 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS other FROM f),
+r AS (SELECT doc_id, lang, leaf, coalesce(other, leaf) AS other, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS k, i, n, leaf AS h FROM r UNION ALL SELECT lang, k + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, k, i // 8),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, i, n, h FROM s UNION ALL SELECT k + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 8),
+tn AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM t WHERE n > 1 WINDOW w AS (PARTITION BY lang, k, i // 8 ORDER BY i)),
+un AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM u WHERE n > 1 WINDOW w AS (PARTITION BY k, i // 8 ORDER BY i)),
+x AS (SELECT lang, i AS row_no, 0 AS k, i, n, other AS h, '' AS proof FROM r UNION ALL SELECT x.lang, row_no, x.k + 1, x.i // 8, (x.n + 7) // 8, sha256(a || x.h || b), proof || a || b FROM x JOIN tn ON x.n > 1 AND x.lang IS NOT DISTINCT FROM tn.lang AND x.k = tn.k AND x.i = tn.i),
+y AS (SELECT x.lang, row_no, 0 AS k, s.i, s.n, x.h, proof FROM x JOIN s ON x.n = 1 AND x.lang IS NOT DISTINCT FROM s.lang UNION ALL SELECT lang, row_no, y.k + 1, y.i // 8, (y.n + 7) // 8, sha256(a || y.h || b), proof || a || b FROM y JOIN un ON y.n > 1 AND y.k = un.k AND y.i = un.i)
+SELECT r.doc_id, r.leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, y.h AS folded_root, y.h = u.h AS verified
+FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang JOIN u ON u.n = 1 JOIN y ON y.n = 1 AND y.lang IS NOT DISTINCT FROM r.lang AND y.row_no = r.i""",
+)
+def op12(spark, d):
+    return merkle.manifest(table(spark, d, "documents"), tamper=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+@register(
+    "op13_hard_negatives",
+    """WITH e AS (SELECT row_number() OVER () AS n, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.n AS a, a.id AS anchor_id, b.n AS b, b.id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.n <> b.n),
+g AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) <= 5)
+SELECT g.anchor_id, g.id AS positive_id, CAST(row_number() OVER (PARTITION BY g.a, g.b ORDER BY p.score DESC, p.id NULLS LAST) AS INT) AS rank, p.id AS negative_id, g.score AS positive_score, p.score AS negative_score
+FROM g JOIN p ON g.a = p.a AND NOT p.same AND 30 * g.score <= 100 * p.score AND 100 * p.score <= 90 * g.score QUALIFY rank <= 10""",
+)
+def op13(spark, d):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, d, "embeddings"), label=shifted)
