@@ -4,15 +4,15 @@ A row's leaf is the SHA-256 of its fields (``-`` for null, else byte count, ``:`
 more than one node is left, each run of eight becomes the SHA-256 of its digests as hex text.  What is left is the group's subroot; the
 subroots, ordered by group, are joined into the root by the same rule.
 
-* A digest as hex text is 64 bytes, exactly one block of SHA-256.  So the hash state before a child's slot is the eight words of the
-  chaining value: a parent keeps a copy of it for each slot (32 bytes), which can be stored and sent to other tasks.
+* A parent hashes its children one by one and keeps a copy of its hash state before each child's slot.
 * Folding a replaced row resumes its parent's state at the row's slot and hashes the replacement and the siblings right of it only; the
   siblings left of it are in the state.  So up to the root.
-* A proof is the digest of all siblings, from the leaf's level to the root's, kept as a running state too.
+* A proof is the digest of all siblings, from the leaf's level to the root's: one running state a row.
 
 Scale: the texts are read once, for the leaves.  Leaves are range-sorted by (group, id, leaf), numbered by counts per partition, and built in
 blocks of ``ARITY ** DEPTH`` = 4,096 consecutive leaves, so a group that holds most rows is many tasks.  The blocks' tops are the leaves of the next
-table, 4,096 times smaller, until one is left.  Back down, each node's path (states and siblings) goes to its block by a join on (group, block).
+table, 4,096 times smaller, until one is left.  Back down, each node's path (its siblings, level by level) goes to
+its block by a join on (group, block); there the states of the levels above are made once and resumed for every leaf.
 
 Defined cases: an empty table has no rows and no root; equal ids order by leaf, null ids come first and are never tampered with; a null group
 comes before all others; repeated rows are leaves of their own; other columns are ignored.
@@ -21,6 +21,7 @@ comes before all others; repeated rows are leaves of their own; other columns ar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,214 +33,111 @@ from panelcast.llm.util import lower_ascii, prepare, stage
 ARITY = 8
 DEPTH = 4
 BLOCK = ARITY**DEPTH
+WIDTH = 64  # a digest as hex text
+PATH = "path array<struct<left:string,right:string>>, subroot binary"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
-def _primes(n: int) -> list[int]:
-    out, k = [], 2
-    while len(out) < n:
-        if all(k % p for p in out):
-            out.append(k)
-        k += 1
-    return out
-
-
-def _root_bits(p: int, power: int) -> int:
-    """The first 32 bits after the point of the ``power``-th root of ``p``."""
-    x, lo, hi = p << (32 * power), 0, 1 << 36
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if mid**power <= x else (lo, mid)
-    return lo & 0xFFFFFFFF
-
-
-START = np.array([_root_bits(p, 2) for p in _primes(8)], np.uint32)[:, None]
-_ROUND = np.array([_root_bits(p, 3) for p in _primes(64)], np.uint32)
-_HEX = np.array([int.from_bytes(b"%04x" % i, "big") for i in range(1 << 16)], np.uint32)
-
-
-def _rot(x: np.ndarray, *by: int) -> np.ndarray:
-    out = np.zeros_like(x)
-    for n in by:
-        out ^= (x >> np.uint32(n)) | (x << np.uint32(32 - n))
-    return out
-
-
-def compress(state: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """SHA-256's step for N messages at once: states ``(8, N)`` and blocks ``(16, N)`` of 32-bit words."""
-    w = list(block)
-    for i in range(16, 64):
-        w.append(w[i - 16] + (_rot(w[i - 15], 7, 18) ^ (w[i - 15] >> np.uint32(3))) + w[i - 7] + (_rot(w[i - 2], 17, 19) ^ (w[i - 2] >> np.uint32(10))))
-    a, b, c, d, e, f, g, h = state
-    for i in range(64):
-        t = h + _rot(e, 6, 11, 25) + (g ^ (e & (f ^ g))) + _ROUND[i] + w[i]
-        h, g, f, e = g, f, e, d + t
-        d, c, b, a = c, b, a, t + _rot(a, 2, 13, 22) + ((a & b) | (c & (a | b)))
-    return state + np.stack([a, b, c, d, e, f, g, h])
-
-
-def hex_block(digest: np.ndarray) -> np.ndarray:
-    """Digests ``(8, N)`` as the blocks ``(16, N)`` of their hex text."""
-    out = np.empty((16, digest.shape[1]), np.uint32)
-    out[0::2] = _HEX[digest >> np.uint32(16)]
-    out[1::2] = _HEX[digest & np.uint32(0xFFFF)]
-    return out
-
-
-def finish(state: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """The digest of messages of which ``blocks`` whole blocks are in ``state``."""
-    pad = np.zeros((16, state.shape[1]), np.uint32)
-    pad[0] = 0x80000000
-    pad[14], pad[15] = blocks >> 23, (np.asarray(blocks, np.int64) * 512) & 0xFFFFFFFF
-    return compress(state, pad)
-
-
-def _add(state: np.ndarray, digest: np.ndarray, on: np.ndarray) -> None:
-    """Hash the digests into the states where ``on``."""
-    at = np.flatnonzero(on)
-    if len(at):
-        state[:, at] = compress(state[:, at], hex_block(digest[:, at] if digest.shape[1] > 1 else np.repeat(digest, len(at), 1)))
-
-
 @dataclass
 class Level:
-    """The nodes of one level of a block and what their parents keep: the state before each slot, and the number of children."""
+    """A level of a block: its nodes' digests as one hex text, and for each node its parent's hash state before the node's slot."""
+
+    text: bytes
+    kept: list
 
-    nodes: np.ndarray
-    kept: np.ndarray
-    width: np.ndarray
+    def siblings(self, i: int) -> tuple[bytes, bytes]:
+        """The siblings left and right of node ``i``."""
+        run = i // ARITY * ARITY * WIDTH
+        return self.text[run : i * WIDTH], self.text[(i + 1) * WIDTH : run + ARITY * WIDTH]
 
 
-def build(nodes: np.ndarray, total: int) -> tuple[list[Level], np.ndarray]:
+def build(nodes: list[bytes], total: int) -> tuple[list[Level], bytes]:
     """The levels over a block's nodes, of which the whole group has ``total``, and the block's top."""
     levels = []
     while len(levels) < DEPTH and total > 1:
-        n = nodes.shape[1]
-        m = -(-n // ARITY)
-        width = np.full(m, ARITY)
-        width[-1] = n - (m - 1) * ARITY
-        wide = np.zeros((8, m * ARITY), np.uint32)
-        wide[:, :n] = nodes
-        state = np.repeat(START, m, 1)
-        kept = np.empty((ARITY, 8, m), np.uint32)
-        for slot in range(ARITY):
-            kept[slot] = state
-            _add(state, wide[:, slot::ARITY], slot < width)
-        levels.append(Level(nodes, kept, width))
-        nodes, total = finish(state, width), -(-total // ARITY)
-    return levels, nodes
-
-
-def fold(levels: list[Level], leaves: np.ndarray) -> np.ndarray:
-    """The block's top as each leaf of ``leaves``, put in its place alone, would make it."""
-    at, cur = np.arange(leaves.shape[1]), leaves
-    for lv in levels:
-        up, slot = at // ARITY, at % ARITY
-        state = lv.kept[slot, :, up].T.copy()
-        _add(state, cur, np.ones(len(at), bool))
-        for step in range(1, ARITY):
-            on = slot + step < lv.width[up]
-            _add(state, lv.nodes[:, np.where(on, at + step, 0)], on)
-        cur, at = finish(state, lv.width[up]), up
-    return cur
-
-
-def siblings(levels: list[Level], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The running state over each leaf's siblings, level by level, and their number."""
-    at, state, count = np.arange(n), np.repeat(START, n, 1), np.zeros(n, np.int64)
+        kept, parents = [], []
+        for at in range(0, len(nodes), ARITY):
+            state = sha256()
+            for child in nodes[at : at + ARITY]:
+                kept.append(state.copy())
+                state.update(child)
+            parents.append(state.hexdigest().encode())
+        levels.append(Level(b"".join(nodes), kept))
+        nodes, total = parents, -(-total // ARITY)
+    return levels, nodes[0]
+
+
+def fold(levels: list[Level], i: int, leaf: bytes) -> bytes:
+    """The block's top with ``leaf`` in place ``i``: at each level the parent's state is resumed at the slot."""
     for lv in levels:
-        up, slot = at // ARITY, at % ARITY
-        for s in range(ARITY):
-            on = (slot != s) & (s < lv.width[up])
-            _add(state, lv.nodes[:, np.where(on, up * ARITY + s, 0)], on)
-            count += on
-        at = up
-    return state, count
+        state = lv.kept[i].copy()
+        state.update(leaf + lv.siblings(i)[1])
+        leaf, i = state.hexdigest().encode(), i // ARITY
+    return leaf
 
 
-def _words(col: pa.Array) -> np.ndarray:
-    """A column of 32-byte digests as ``(8, N)`` words."""
-    data = b"".join(col.to_pylist())
-    return np.frombuffer(data, ">u4").reshape(-1, 8).T.astype(np.uint32)
+def _hex(col) -> list[bytes]:
+    return [d.hex().encode() for d in col.to_pylist()]
 
 
-def _bytes(words: np.ndarray) -> list[bytes]:
-    flat = words.T.astype(">u4").tobytes()
-    return [flat[i : i + 32] for i in range(0, len(flat), 32)]
+def _column(table: pa.Table, name: str, order: np.ndarray):
+    return table.column(name).combine_chunks().take(pa.array(order))
 
 
-def _column(table: pa.Table, name: str, order: np.ndarray):
-    col = table.column(name).combine_chunks()
-    return col.take(pa.array(order))
+def _block(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[Level], bytes]:
+    """A block's rows in order, their digests, the levels over them and the top."""
+    order = np.argsort(t.column("rank").to_numpy(), kind="stable")
+    own = _hex(_column(t, "digest", order))
+    return order, own, *build(own, t.column("total")[0].as_py())
 
 
 def _tops(t: pa.Table) -> pa.Table:
     """A block's top, as a node of the next table."""
-    order = np.argsort(t.column("rank").to_numpy(), kind="stable")
-    total = t.column("total")[0].as_py()
-    levels, top = build(_words(_column(t, "digest", order)), total)
-    return pa.table([t.column("grp").slice(0, 1), t.column("block").slice(0, 1), pa.array([-(-total // ARITY ** len(levels))]), pa.array(_bytes(top))], names=["grp", "rank", "total", "digest"])
+    _, _, levels, top = _block(t)
+    total = -(-t.column("total")[0].as_py() // ARITY ** len(levels))
+    return pa.table([t.column("grp").slice(0, 1), t.column("block").slice(0, 1), pa.array([total]), pa.array([bytes.fromhex(top.decode())])], names=["grp", "rank", "total", "digest"])
 
 
 def _paths(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    """Each node's path: one step a level (kept state, siblings left and right), its block's own steps first."""
-    order = np.argsort(nodes.column("rank").to_numpy(), kind="stable")
-    levels, _ = build(_words(_column(nodes, "digest", order)), nodes.column("total")[0].as_py())
+    """Each node's path: its siblings left and right, level by level, its block's own levels first."""
+    order, own, levels, _ = _block(nodes)
     out = []
-    for i in range(len(order)):
-        at, steps = i, b""
+    for i in range(len(own)):
+        steps = []
         for lv in levels:
-            up, slot = divmod(at, ARITY)
-            run = _bytes(lv.nodes[:, up * ARITY : up * ARITY + int(lv.width[up])])
-            state = lv.kept[slot, :, up].astype(">u4").tobytes()
-            steps += bytes([slot, len(run) - slot - 1]) + state + b"".join(run[:slot] + run[slot + 1 :])
-            at = up
+            left, right = lv.siblings(i)
+            steps.append({"left": left.decode(), "right": right.decode()})
+            i //= ARITY
         out.append(steps + above.column("path")[0].as_py())
-    sub = above.column("subroot")[0].as_py()
-    return pa.table([_column(nodes, "grp", order), _column(nodes, "rank", order), pa.array(out, pa.binary()), pa.array([sub] * len(order), pa.binary())], names=["grp", "block", "path", "subroot"])
-
-
-def _steps(path: bytes):
-    at = 0
-    while at < len(path):
-        left, right = path[at], path[at + 1]
-        end = at + 34 + 32 * (left + right)
-        words = np.frombuffer(path[at + 2 : end], ">u4").reshape(-1, 8).T.astype(np.uint32)
-        yield words[:, :1], words[:, 1:], left
-        at = end
+    path = pa.array(out, pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
+    sub = pa.array([above.column("subroot")[0].as_py()] * len(own), pa.binary())
+    return pa.table([_column(nodes, "grp", order), _column(nodes, "rank", order), path, sub], names=["grp", "block", "path", "subroot"])
 
 
 def _prove(root: bytes):
     def run(leaves: pa.Table, above: pa.Table) -> pa.Table:
-        order = np.argsort(leaves.column("rank").to_numpy(), kind="stable")
-        own = _words(_column(leaves, "digest", order))
-        levels, _ = build(own, leaves.column("total")[0].as_py())
-        cur = fold(levels, _words(_column(leaves, "replaced", order)))
-        proof, count = siblings(levels, len(order))
-        every = np.ones(len(order), bool)
-        for state, others, left in _steps(above.column("path")[0].as_py()):
-            folded = np.repeat(state, len(order), 1)
-            _add(folded, cur, every)
-            for s in range(others.shape[1]):
-                if s >= left:
-                    _add(folded, others[:, s : s + 1], every)
-                _add(proof, others[:, s : s + 1], every)
-            cur, count = finish(folded, np.full(len(order), others.shape[1] + 1)), count + others.shape[1]
-        as_hex = lambda ds: pa.array([d.hex() for d in ds])
-        folded = _bytes(cur)
-        sub = above.column("subroot")[0].as_py()
-        return pa.table(
-            [
-                _column(leaves, "doc_id", order),
-                as_hex(_bytes(own)),
-                as_hex([sub] * len(order)),
-                as_hex([root] * len(order)),
-                as_hex(_bytes(finish(proof, count))),
-                as_hex(folded),
-                pa.array([d == root for d in folded]),
-            ],
-            names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
-        )
+        order, own, levels, _ = _block(leaves)
+        path = [(s["left"].encode(), s["right"].encode()) for s in above.column("path")[0].as_py()]
+        resumed = [(sha256(left), right) for left, right in path]
+        higher = b"".join(left + right for left, right in path)
+        top, proofs, folded = root.hex().encode(), [], []
+        for i, other in enumerate(_hex(_column(leaves, "replaced", order))):
+            cur = fold(levels, i, other)
+            for kept, right in resumed:
+                state = kept.copy()
+                state.update(cur + right)
+                cur = state.hexdigest().encode()
+            folded.append(cur)
+            proof = sha256()
+            for lv in levels:
+                left, right = lv.siblings(i)
+                proof.update(left + right)
+                i //= ARITY
+            proof.update(higher)
+            proofs.append(proof.hexdigest())
+        n, sub = len(own), above.column("subroot")[0].as_py().hex()
+        cols = [_column(leaves, "doc_id", order), pa.array(own).cast(pa.string()), pa.array([sub] * n), pa.array([top.decode()] * n), pa.array(proofs), pa.array(folded).cast(pa.string())]
+        return pa.table([*cols, pa.array([f == top for f in folded])], names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
     return run
 
@@ -283,7 +181,7 @@ def _descend(tables: list[DataFrame], above: DataFrame) -> DataFrame:
     """Paths of the nodes of the first table, from the path and subroot of each top."""
     for nodes in reversed(tables):
         cols = _blocks(nodes).select("grp", "block", "rank", "total", "digest")
-        above = stage(cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(_paths, "grp string, block long, path binary, subroot binary"), "paths")
+        above = stage(cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(_paths, f"grp string, block long, {PATH}"), "paths")
     return above
 
 
@@ -304,7 +202,7 @@ def manifest(docs: DataFrame, tamper=None, id_col: str = "doc_id", group_col: st
     tops, roots = climb(stage(one, "subroots"))
     root = roots.first()
     root = bytes(root["digest"]) if root else b""
-    above = spark.createDataFrame([("", 0, b"", b"")], "grp string, block long, path binary, subroot binary")
+    above = spark.createDataFrame([("", 0, [], b"")], f"grp string, block long, {PATH}")
     paths = _descend(tops, above).select("block", "path")
     named = tops[0].join(paths, F.col("rank") == F.col("block")).select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("block"), "path", F.col("digest").alias("subroot"))
     above = _descend(tables[1:], named)
