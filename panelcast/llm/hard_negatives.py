@@ -32,6 +32,7 @@ from panelcast.llm.util import prepare, stage
 SCALE = 256
 BOUND = 1 << 20
 GROUP = 8
+PAIRS = 1 << 22
 NO_ID = (1 << 63) - 1
 FLOOR = -(1 << 62)
 LADDER = "array<struct<list:int,low:long,high:long,rungs:array<long>>>"
@@ -118,8 +119,9 @@ def _pass(block, same: bool, wanted: int, dims: int):
         for batch in batches:
             if index is None:
                 index = Index(b["vectors"], b["least"], b["norm"])
-            for lo in range(0, batch.num_rows, 2048):
-                t = batch.slice(lo, 2048)
+            step = max(16, min(2048, PAIRS // max(1, len(b["row"]))))
+            for lo in range(0, batch.num_rows, step):
+                t = batch.slice(lo, step)
                 a, j, score = index.search(_matrix(t.column(2), dims))
                 row, label = t.column(0).to_numpy(), t.column(3).to_numpy()
                 ids = t.column(1).fill_null(NO_ID).to_numpy()
@@ -219,16 +221,17 @@ def _join(rows: DataFrame, anchors: DataFrame, same: bool, wanted: int, info: di
     return out
 
 
-def _sample(rows: DataFrame, total: int, dims: int) -> dict:
-    """About ``16 sqrt(total)`` rows by the hash of their number (up to 2^17)."""
-    size = min(total, max(2048, 16 * math.isqrt(total)), 1 << 17)
+def _sample(rows: DataFrame, total: int, dims: int, size: int) -> dict:
+    """About ``size`` rows by the hash of their number."""
     t = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(size / total * (1 << 30))).toArrow() if total else rows.toArrow()
     return {"row": t.column("row").to_numpy(), "label": t.column("label").to_numpy(), "vectors": _matrix(t.column("v"), dims)}
 
 
-def mine(vectors: DataFrame, is_anchor=None, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_anchors: int = 1 << 16, id_col: str = "vec_id", vector_col: str = "embedding", label=None) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor=None, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_anchors: int = 1 << 16, sample_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label=None) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``: the first ``negatives`` rows of another label whose score
-    is ``low`` to ``high`` percent of the positive's, for each of the first ``positives`` rows of the anchor's label."""
+    is ``low`` to ``high`` percent of the positive's, for each of the first ``positives`` rows of the anchor's label.
+
+    ``sample_rows``: rows that thresholds are estimated from; by default 16 times the root of all, 2,048 at least, 131,072 at most."""
     spark = prepare(vectors.sparkSession)
     label = F.col("label") if label is None else label
     is_anchor = F.col("id") % 100 == 0 if is_anchor is None else is_anchor
@@ -240,7 +243,7 @@ def mine(vectors: DataFrame, is_anchor=None, positives: int = 5, negatives: int
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total, dims, norm = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.sqrt(F.max(squares))).first()
     info = {"rows": total, "dims": dims or 0, "norm": norm or 0.0, "block_anchors": block_anchors}
-    info["sample"] = _sample(rows, total, info["dims"])
+    info["sample"] = _sample(rows, total, info["dims"], min(total, sample_rows or max(2048, 16 * math.isqrt(total)), 1 << 17))
     anchors = rows.where(is_anchor)
     every = F.array(F.struct(F.lit(0).alias("list"), F.lit(FLOOR).alias("low"), F.lit(-FLOOR).alias("high"), F.array().cast("array<long>").alias("rungs"))).cast(LADDER)
     good = stage(_join(rows, anchors.withColumn("lists", every), True, positives, info), "positives")

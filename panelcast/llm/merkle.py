@@ -32,7 +32,6 @@ from panelcast.llm.util import lower_ascii, prepare, stage
 
 ARITY = 8
 DEPTH = 4
-BLOCK = ARITY**DEPTH
 WIDTH = 64  # a digest as hex text
 PATH = "path array<struct<left:string,right:string>>, subroot binary"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -51,10 +50,10 @@ class Level:
         return self.text[run : i * WIDTH], self.text[(i + 1) * WIDTH : run + ARITY * WIDTH]
 
 
-def build(nodes: list[bytes], total: int) -> tuple[list[Level], bytes]:
+def build(nodes: list[bytes], total: int, depth: int = DEPTH) -> tuple[list[Level], bytes]:
     """The levels over a block's nodes, of which the whole group has ``total``, and the block's top."""
     levels = []
-    while len(levels) < DEPTH and total > 1:
+    while len(levels) < depth and total > 1:
         kept, parents = [], []
         for at in range(0, len(nodes), ARITY):
             state = sha256()
@@ -84,39 +83,47 @@ def _column(table: pa.Table, name: str, order: np.ndarray):
     return table.column(name).combine_chunks().take(pa.array(order))
 
 
-def _block(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[Level], bytes]:
+def _block(t: pa.Table, depth: int) -> tuple[np.ndarray, list[bytes], list[Level], bytes]:
     """A block's rows in order, their digests, the levels over them and the top."""
     order = np.argsort(t.column("rank").to_numpy(), kind="stable")
     own = _hex(_column(t, "digest", order))
-    return order, own, *build(own, t.column("total")[0].as_py())
+    return order, own, *build(own, t.column("total")[0].as_py(), depth)
 
 
-def _tops(t: pa.Table) -> pa.Table:
+def _tops(depth: int):
     """A block's top, as a node of the next table."""
-    _, _, levels, top = _block(t)
-    total = -(-t.column("total")[0].as_py() // ARITY ** len(levels))
-    return pa.table([t.column("grp").slice(0, 1), t.column("block").slice(0, 1), pa.array([total]), pa.array([bytes.fromhex(top.decode())])], names=["grp", "rank", "total", "digest"])
 
+    def run(t: pa.Table) -> pa.Table:
+        _, _, levels, top = _block(t, depth)
+        total = -(-t.column("total")[0].as_py() // ARITY ** len(levels))
+        return pa.table([t.column("grp").slice(0, 1), t.column("block").slice(0, 1), pa.array([total]), pa.array([bytes.fromhex(top.decode())])], names=["grp", "rank", "total", "digest"])
 
-def _paths(nodes: pa.Table, above: pa.Table) -> pa.Table:
+    return run
+
+
+def _paths(depth: int):
     """Each node's path: its siblings left and right, level by level, its block's own levels first."""
-    order, own, levels, _ = _block(nodes)
-    out = []
-    for i in range(len(own)):
-        steps = []
-        for lv in levels:
-            left, right = lv.siblings(i)
-            steps.append({"left": left.decode(), "right": right.decode()})
-            i //= ARITY
-        out.append(steps + above.column("path")[0].as_py())
-    path = pa.array(out, pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
-    sub = pa.array([above.column("subroot")[0].as_py()] * len(own), pa.binary())
-    return pa.table([_column(nodes, "grp", order), _column(nodes, "rank", order), path, sub], names=["grp", "block", "path", "subroot"])
-
-
-def _prove(root: bytes):
+
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        order, own, levels, _ = _block(nodes, depth)
+        out = []
+        for i in range(len(own)):
+            steps = []
+            for lv in levels:
+                left, right = lv.siblings(i)
+                steps.append({"left": left.decode(), "right": right.decode()})
+                i //= ARITY
+            out.append(steps + above.column("path")[0].as_py())
+        path = pa.array(out, pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
+        sub = pa.array([above.column("subroot")[0].as_py()] * len(own), pa.binary())
+        return pa.table([_column(nodes, "grp", order), _column(nodes, "rank", order), path, sub], names=["grp", "block", "path", "subroot"])
+
+    return run
+
+
+def _prove(root: bytes, depth: int):
     def run(leaves: pa.Table, above: pa.Table) -> pa.Table:
-        order, own, levels, _ = _block(leaves)
+        order, own, levels, _ = _block(leaves, depth)
         path = [(s["left"].encode(), s["right"].encode()) for s in above.column("path")[0].as_py()]
         resumed = [(sha256(left), right) for left, right in path]
         higher = b"".join(left + right for left, right in path)
@@ -162,33 +169,34 @@ def number(df: DataFrame, order: list[str]) -> DataFrame:
     return out.drop("__part", "__at", "__n", "__first", "__before")
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    return df.withColumn("block", F.expr(f"rank div {BLOCK}"))
+def _blocks(df: DataFrame, depth: int) -> DataFrame:
+    return df.withColumn("block", F.expr(f"rank div {ARITY**depth}"))
 
 
-def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def climb(nodes: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame], DataFrame]:
     """Tables of nodes, each of the tops of the one before, and the last tops: one a group."""
     tables = []
     while True:
         tables.append(nodes)
-        cols = _blocks(nodes).select("grp", "block", "rank", "total", "digest")
-        nodes = stage(cols.groupBy("grp", "block").applyInArrow(_tops, "grp string, rank long, total long, digest binary"), "tops")
+        cols = _blocks(nodes, depth).select("grp", "block", "rank", "total", "digest")
+        nodes = stage(cols.groupBy("grp", "block").applyInArrow(_tops(depth), "grp string, rank long, total long, digest binary"), "tops")
         if (nodes.agg(F.max("total")).first()[0] or 1) == 1:
             return tables, nodes
 
 
-def _descend(tables: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descend(tables: list[DataFrame], above: DataFrame, depth: int) -> DataFrame:
     """Paths of the nodes of the first table, from the path and subroot of each top."""
     for nodes in reversed(tables):
-        cols = _blocks(nodes).select("grp", "block", "rank", "total", "digest")
-        above = stage(cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(_paths, f"grp string, block long, {PATH}"), "paths")
+        cols = _blocks(nodes, depth).select("grp", "block", "rank", "total", "digest")
+        above = stage(cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(_paths(depth), f"grp string, block long, {PATH}"), "paths")
     return above
 
 
-def manifest(docs: DataFrame, tamper=None, id_col: str = "doc_id", group_col: str = "lang", fields=FIELDS, text_col: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, tamper=None, id_col: str = "doc_id", group_col: str = "lang", fields=FIELDS, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per input row: ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``.
 
-    ``tamper``: a condition; where it holds, the row is folded with its ``text_col`` in ASCII lower case in place of the original."""
+    ``tamper``: a condition; where it holds, the row is folded with its ``text_col`` in ASCII lower case in place of the original.
+    ``depth``: levels of a block."""
     spark = prepare(docs.sparkSession)
     own = [F.col(c) for c in fields]
     other = [F.when(F.col(c).isNotNull(), lower_ascii(F.col(c))) if c == text_col else F.col(c) for c in fields]
@@ -197,16 +205,16 @@ def manifest(docs: DataFrame, tamper=None, id_col: str = "doc_id", group_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), leaf(*own).alias("digest"), F.when(hit, leaf(*other)).alias("replaced"))
     rows = stage(rows.withColumn("replaced", F.coalesce("replaced", "digest")).withColumn("__row", F.monotonically_increasing_id()), "leaves")
     leaves = stage(number(rows, ["doc_id", "digest", "__row"]).drop("__row"), "numbered")
-    tables, subroots = climb(leaves)
+    tables, subroots = climb(leaves, depth)
     one = number(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest"), ["name"])
-    tops, roots = climb(stage(one, "subroots"))
+    tops, roots = climb(stage(one, "subroots"), depth)
     root = roots.first()
     root = bytes(root["digest"]) if root else b""
     above = spark.createDataFrame([("", 0, [], b"")], f"grp string, block long, {PATH}")
-    paths = _descend(tops, above).select("block", "path")
+    paths = _descend(tops, above, depth).select("block", "path")
     named = tops[0].join(paths, F.col("rank") == F.col("block")).select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("block"), "path", F.col("digest").alias("subroot"))
-    above = _descend(tables[1:], named)
-    cols = _blocks(leaves).select("grp", "block", "rank", "total", "digest", "replaced", "doc_id")
+    above = _descend(tables[1:], named, depth)
+    cols = _blocks(leaves, depth).select("grp", "block", "rank", "total", "digest", "replaced", "doc_id")
     out = cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return out.applyInArrow(_prove(root), f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return out.applyInArrow(_prove(root, depth), f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import (
-    decontaminate, exact_dedup, hard_negatives, license_scan, lm_score, merkle, mixing, near_dup, quality_cnn, span_dedup, token_orc, url_lists,
+    decontaminate, exact_dedup, hard_negatives, license_scan, lm_score, merkle, mixing, near_dup, quality_cnn, span_dedup, suffix_dedup, token_orc, url_lists,
 )
 from panelcast.llm.util import prepare
 
@@ -144,6 +144,11 @@ def op10(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+@register("op11_suffix_dedup")
+def op11(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents")).drop("kept")
+
+
 @register(
     "op12_merkle_manifest",
     """WITH RECURSIVE f AS (SELECT *, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT)),
