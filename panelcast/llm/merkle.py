@@ -208,13 +208,16 @@ def manifest(docs: DataFrame, tamper=None, id_col: str = "doc_id", group_col: st
     tables, subroots = climb(leaves, depth)
     one = number(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest"), ["name"])
     tops, roots = climb(stage(one, "subroots"), depth)
-    root = roots.first()
-    root = bytes(root["digest"]) if root else b""
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+    top = roots.first()
+    if top is None:
+        return spark.createDataFrame([], made)
+    root = bytes(top["digest"])
     above = spark.createDataFrame([("", 0, [], b"")], f"grp string, block long, {PATH}")
     paths = _descend(tops, above, depth).select("block", "path")
     named = tops[0].join(paths, F.col("rank") == F.col("block")).select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("block"), "path", F.col("digest").alias("subroot"))
     above = _descend(tables[1:], named, depth)
     cols = _blocks(leaves, depth).select("grp", "block", "rank", "total", "digest", "replaced", "doc_id")
     out = cols.groupBy("grp", "block").cogroup(above.groupBy("grp", "block"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return out.applyInArrow(_prove(root, depth), f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return out.applyInArrow(_prove(root, depth), made)
