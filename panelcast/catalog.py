@@ -1117,7 +1117,7 @@ def _pooled_query(name):
         from panelcast.models import ml
 
         tr, te, p, feats = _ml_frame(spark, d)
-        m = ml.Pooled(ml.preset(name, tr.count()), feats, "cnt", series_col="n_name").fit(tr)
+        m = ml.model(name, feats, "cnt", "n_name", ["n_name", "wk"]).fit(tr)
         return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
 
     q.__doc__ = f"M2/M1: pooled {name} on lagged, scaled features; predictions on the test weeks."
@@ -1128,10 +1128,55 @@ register("q_tree")(_pooled_query("DecisionTreeRegressor"))
 register("q_forest")(_pooled_query("RandomForestRegressor"))
 register("q_gbt")(_pooled_query("GradientBoostingRegressor"))
 register("q_bag")(_pooled_query("BaggingRegressor"))
+register("q_extra_tree")(_pooled_query("ExtraTreeRegressor"))
+register("q_extra")(_pooled_query("ExtraTreesRegressor"))
+register("q_xgb")(_pooled_query("XGBRegressor"))
+register("q_lgbm")(_pooled_query("LGBMRegressor"))
 register("q_huber")(_pooled_query("HuberRegressor"))
 register("q_sgd")(_pooled_query("SGDRegressor"))
 
 
+_STUMP_SQL = f"""{_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT n_name, wk, avg_price AS x, cnt AS y, pos >= n - ceil(0.22 * n) AS is_test FROM pz WHERE avg_price IS NOT NULL AND cnt IS NOT NULL),
+m0 AS (SELECT avg(y) AS m FROM spl WHERE NOT is_test),
+g1 AS (SELECT x, count(*) AS n, sum(y - m) AS s FROM spl, m0 WHERE NOT is_test GROUP BY x),
+p1 AS (SELECT x + (lead(x) OVER (ORDER BY x) - x) / 2 AS cut, sum(n) OVER (ORDER BY x) AS nl, sum(s) OVER (ORDER BY x) AS sl, sum(n) OVER () AS nt, sum(s) OVER () AS st FROM g1),
+b1 AS (SELECT cut, sl / nl AS vl, (st - sl) / (nt - nl) AS vr FROM p1 WHERE cut IS NOT NULL ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, cut LIMIT 1)"""
+
+
+@register(
+    "q_stump",
+    f"""WITH {_STUMP_SQL}
+SELECT n_name, wk, round(y, 4) AS y, round(m + CASE WHEN x <= cut THEN vl ELSE vr END, 4) AS y_pred FROM spl, m0, b1 WHERE is_test""",
+)
+def q_stump(spark, d):
+    """One cut of one feature over all training rows."""
+    return _small_trees(spark, d, depth=1)
+
+
+@register(
+    "q_boost2",
+    f"""WITH {_STUMP_SQL},
+r2 AS (SELECT x, y - m - 0.5 * CASE WHEN x <= cut THEN vl ELSE vr END AS r FROM spl, m0, b1 WHERE NOT is_test),
+g2 AS (SELECT x, count(*) AS n, sum(r) AS s FROM r2 GROUP BY x),
+p2 AS (SELECT x + (lead(x) OVER (ORDER BY x) - x) / 2 AS cut, sum(n) OVER (ORDER BY x) AS nl, sum(s) OVER (ORDER BY x) AS sl, sum(n) OVER () AS nt, sum(s) OVER () AS st FROM g2),
+b2 AS (SELECT cut AS cut2, sl / nl AS vl2, (st - sl) / (nt - nl) AS vr2 FROM p2 WHERE cut IS NOT NULL ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, cut LIMIT 1)
+SELECT n_name, wk, round(y, 4) AS y, round(m + 0.5 * CASE WHEN x <= cut THEN vl ELSE vr END + 0.5 * CASE WHEN x <= cut2 THEN vl2 ELSE vr2 END, 4) AS y_pred FROM spl, m0, b1, b2 WHERE is_test""",
+)
+def q_boost2(spark, d):
+    """M2e: two boosting rounds of one cut each, step size 0.5."""
+    return _small_trees(spark, d, depth=1, trees=2, boost=0.5)
+
+
+def _small_trees(spark, d, **settings):
+    from panelcast.models import trees
+
+    tr, te, p, _ = _train_test(spark, d)
+    m = trees.TreeModel(trees.Spec(**settings), ["avg_price"], "cnt", key_cols=["n_name", "wk"]).fit(tr)
+    return m.transform(te.where("cnt IS NOT NULL AND avg_price IS NOT NULL")).select("n_name", "wk", r4("cnt").alias("y"), r4("y_pred"))
+
+
 @register("q_ada")
 def q_ada(spark, d):
     """M2f: AdaBoost.R2 (7 rounds, exponential loss, rate 0.01) of weighted depth-3 trees."""
@@ -1285,20 +1330,42 @@ def q_train_score(spark, d):
     return sc
 
 
+def _ewm5_runs_sql(runs: int) -> str:
+    """Forecast jobs over per-nation regressions on the scaled price: smoothed, un-scaled, truncated, averaged over equal runs."""
+    return f"""WITH {_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT *, pos >= n - ceil(0.22 * n) AS is_test FROM pz),
+fit AS (SELECT n_name, avg_price_w AS w, my - avg_price_w * mx AS b FROM (SELECT n_name, CASE WHEN var_pop(avg_price) = 0 THEN 0 ELSE covar_pop(cnt, avg_price) / var_pop(avg_price) END AS avg_price_w,
+  avg(avg_price) AS mx, avg(cnt) AS my FROM spl WHERE NOT is_test AND cnt IS NOT NULL AND avg_price IS NOT NULL GROUP BY 1)),
+pr AS (SELECT spl.n_name, spl.wk, spl.t, b + w * avg_price AS p FROM spl JOIN fit ON spl.n_name = fit.n_name WHERE is_test),
+sm AS (SELECT a.n_name, a.wk, sum(pow(2.0 / 3, a.t - h.t) * h.p) / sum(pow(2.0 / 3, a.t - h.t)) AS p
+  FROM pr a JOIN pr h ON a.n_name = h.n_name AND h.t <= a.t WHERE h.p IS NOT NULL GROUP BY 1, 2)
+SELECT sm.n_name, sm.wk, CAST(trunc(p * CASE WHEN sc IS NULL OR sc = 0 THEN 1 ELSE sc END + mc) AS BIGINT) AS total_cases, CAST({runs} AS BIGINT) AS runs
+FROM sm JOIN zs ON sm.n_name = zs.n_name"""
+
+
+@register("q_forecast_linear", _ewm5_runs_sql(2))
+def q_forecast_linear(spark, d):
+    """E4 IO3 IO4 J2 AG7 PR12: two runs of a per-nation regression, 'Ensamble' smoothed, un-scaled, attached, written
+    a file a run, read again and averaged."""
+    from panelcast.plans import jobs
+
+    tr, te, p, st = _train_test(spark, d)
+    tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
+    return jobs.forecast_runs(tr, te, p, ["avg_price"], "cnt", tmpl, ["n_name", "wk"], st, models=["LinearRegression"], runs=2, path=jobs.run_folder(spark))
+
+
 @register("q_forecast_job")
 def q_forecast_job(spark, d):
-    """E4 J2 AG7 PR12: three runs of a pooled tree model (seeds differ), smoothed,
-    un-scaled, attached to a template of the test weeks, averaged over runs."""
-    from panelcast.models import ml
+    """E4 J2 AG7 PR12: three runs (seeds differ) of a forest, extra trees and a regression, their 'Ensamble' smoothed,
+    un-scaled, attached to a template of the test weeks, written a file a run, read again and averaged."""
     from panelcast.plans import jobs
 
     rows, stats, feats, p = _orders_job(spark, d)
     tr, te = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
     tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
-    return jobs.forecast_runs(
-        tr, te, p, feats, "cnt", tmpl, ["n_name", "wk"], stats, runs=3,
-        estimator_for_run=lambda k: ml.preset("RandomForestRegressor", seed=100 + k),
-    )
+    models = ["RandomForestRegressor", "ExtraTreesRegressor", "LinearRegression"]
+    return jobs.forecast_runs(tr, te, p, feats, "cnt", tmpl, ["n_name", "wk"], stats, models=models, runs=3, path=jobs.run_folder(spark))
 
 
 @register("q_var_job")
@@ -1355,16 +1422,6 @@ def q_plot_table(spark, d):
     return forecast.plot_table(tr, te, pr, ["n_name", "wk"], "cnt").select("n_name", "wk", "series", r4("value"))
 
 
-@register("q_extra")
-def q_extra(spark, d):
-    """Extra-trees preset re-aimed as a forest without bootstrap."""
-    from panelcast.models import ml
-
-    tr, te, p, feats = _ml_frame(spark, d)
-    m = ml.Pooled(ml.preset("ExtraTreesRegressor", tr.count()), feats, "cnt", series_col="n_name").fit(tr)
-    return m.transform(te).select("n_name", "wk", F.col("cnt").alias("y"), "y_pred")
-
-
 @register(
     "q_knn",
     f"""WITH {_SCALED_SQL},

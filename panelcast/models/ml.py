@@ -1,14 +1,10 @@
-"""Pooled ``pyspark.ml`` regressors (M1f, M1g, M2a-M2f) with the reference's presets.
+"""Pooled ``pyspark.ml`` regressors (M1f, M1g, M2f) with the reference's presets; :func:`model` also gives the tree models of :mod:`panelcast.models.trees`.
 
 These estimators fit one model per DataFrame, so they are fitted once over all
 series: the series key enters as an indexed feature (trees can split on it).
 Features are assembled JVM-side with ``VectorAssembler``; nothing is collected.
 
 Re-aimed presets (no exact Spark counterpart):
-* extra trees -> random forest without bootstrap (no random thresholds);
-* bagging (0.9 rows without replacement, 0.7 features) -> random forest with
-  ``bootstrap=False, subsamplingRate=0.9, featureSubsetStrategy='0.7'``;
-* the two outside boosted-tree libraries -> ``GBTRegressor`` presets;
 * SGD -> least squares with a small L2 term by L-BFGS;
 * AdaBoost.R2 -> a driver loop of weighted depth-3 trees (below).
 """
@@ -17,38 +13,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 42
-
+from panelcast.models import trees
 
-def _min_instances(n: int, frac: float) -> int:
-    return max(1, int(math.ceil(frac * n)))
+SEED = 42
 
 
-def preset(name: str, n_rows: int | None = None, seed: int = SEED):
+def preset(name: str):
     """Estimator for a registry name with the reference's hyper-parameters."""
-    n = n_rows or 1000
-    if name == "DecisionTreeRegressor":
-        return DecisionTreeRegressor(maxDepth=25, minInstancesPerNode=_min_instances(n, 0.007), seed=seed)
-    if name == "RandomForestRegressor":
-        return RandomForestRegressor(numTrees=1000, maxDepth=30, seed=seed)
-    if name in ("ExtraTreesRegressor", "ExtraTreeRegressor"):
-        return RandomForestRegressor(numTrees=1000 if name == "ExtraTreesRegressor" else 1, bootstrap=False, featureSubsetStrategy="all", maxDepth=30, seed=seed)
-    if name == "BaggingRegressor":
-        return RandomForestRegressor(numTrees=350, bootstrap=False, subsamplingRate=0.9, featureSubsetStrategy="0.7", maxDepth=30, seed=seed)
-    if name == "GradientBoostingRegressor":
-        return GBTRegressor(maxIter=1000, stepSize=0.01, maxDepth=3, seed=seed)
-    if name == "XGBRegressor":
-        return GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed)
-    if name == "LGBMRegressor":
-        return GBTRegressor(maxIter=1000, stepSize=0.01, maxDepth=5, seed=seed)
     if name == "HuberRegressor":
         return LinearRegression(loss="huber", epsilon=1.35, regParam=1e-4, elasticNetParam=0.0, maxIter=2000)
     if name == "SGDRegressor":
@@ -56,6 +35,15 @@ def preset(name: str, n_rows: int | None = None, seed: int = SEED):
     raise KeyError(name)
 
 
+def model(name: str, features: Sequence[str], label: str, series_col: str | None = None, key_cols: Sequence[str] = (), seed: int | None = None, estimator=None):
+    """An unfitted pooled model for a registry name.  ``key_cols`` name a row (draws of tree models hash them); ``estimator``: other settings,
+    a ``Spec`` or a ``pyspark.ml`` estimator."""
+    if name in trees.PRESETS and (estimator is None or isinstance(estimator, trees.Spec)):
+        spec = estimator or trees.PRESETS[name]
+        return trees.TreeModel(spec if seed is None else replace(spec, seed=seed), features, label, series_col, key_cols)
+    return Pooled(estimator or preset(name), features, label, series_col=series_col)
+
+
 @dataclass
 class Pooled:
     """A pooled model: ``fit`` once, ``transform`` any panel rows."""

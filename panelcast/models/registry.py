@@ -84,21 +84,17 @@ def _stepwise(name: str, train: DataFrame, panel: Panel, features: Sequence[str]
     return Stepwise(panel, lambda df: seasonal.seasonal_ar_search(train, df, panel, label, xs, **options))
 
 
-def fit_models(train: DataFrame, panel: Panel, names: Sequence[str], features: Sequence[str], label: str, overrides: dict | None = None) -> dict:
-    """Fit every chosen model.  ``overrides`` maps a name to a ready estimator
-    (e.g. fewer trees) for pooled models, to a dict of settings for those of ``STEPWISE``."""
+def fit_models(train: DataFrame, panel: Panel, names: Sequence[str], features: Sequence[str], label: str, overrides: dict | None = None, seed: int | None = None) -> dict:
+    """Fit every chosen model.  ``overrides`` maps a name to a ready estimator or a
+    ``trees.Spec`` for pooled models, to a dict of settings for those of ``STEPWISE``; ``seed`` is that of tree models."""
     overrides = overrides or {}
     out = {}
-    n_rows = None
     for name in names:
         if name in LINEAR:
             method, kw = LINEAR[name]
             out[name] = LinearFitted(panel, linear.fit(train, panel, features, label, method=method, **kw), features)
         elif name in POOLED:
-            if name not in overrides and n_rows is None and name == "DecisionTreeRegressor":
-                n_rows = train.count()
-            est = overrides.get(name) or ml.preset(name, n_rows)
-            out[name] = ml.Pooled(est, features, label, series_col=panel.keys[0]).fit(train)
+            out[name] = ml.model(name, features, label, panel.keys[0], [*panel.keys, panel.ts], seed, overrides.get(name)).fit(train)
         elif name in STEPWISE:
             out[name] = _stepwise(name, train, panel, features, label, {**STEPWISE[name], **overrides.get(name, {})})
         elif name == ADABOOST:

@@ -99,15 +99,16 @@ def save_versions(models: list, root: str) -> list[str]:
     return paths
 
 
-def average_versions(paths: list[str], df, features, label: str, by, series_col: str | None = None):
-    """Load every saved version, predict ``df`` with each, average per row key."""
+def average_versions(paths: list[str], df, features, label: str, by, series_col: str | None = None, unfitted=None):
+    """Load every saved version, predict ``df`` with each, average per row key.
+    ``unfitted`` makes a model to load a version into (tree models); by default ``pyspark.ml`` pipelines are loaded."""
     from pyspark.sql import functions as F
 
     from panelcast.models.ml import Pooled
 
     parts = []
     for k, p in enumerate(paths):
-        m = Pooled.load(p, features, label, series_col)
+        m = unfitted().load(df.sparkSession, p) if unfitted else Pooled.load(p, features, label, series_col)
         parts.append(m.transform(df).select(*by, F.lit(k).alias("version"), F.col("y_pred")))
     allv = parts[0]
     for x in parts[1:]:

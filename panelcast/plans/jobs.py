@@ -6,16 +6,20 @@ loops become partition keys and a ``run_id`` column.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import clean, features, scale, score, smooth, windows
+from panelcast.operators.predict import ENSEMBLE
 from panelcast.plans.panel import Panel, materialize, positional_steps, regularize
+from panelcast.session import ensure_checkpoint_dir
 from panelcast.sources import csvfiles
 
+SEED = 42
 CLIMATE_PANEL = Panel(keys=("city",), ts="week_start_date", freq="week")
 
 
@@ -91,22 +95,34 @@ def feature_job(df: DataFrame, panel: Panel, cfg: FeatureJob, stats: DataFrame |
 def train_and_score(d: DataFrame, panel: Panel, feats: Sequence[str], target: str, models: Sequence[str], stats: DataFrame | None, span: float = 5) -> tuple[DataFrame, DataFrame]:
     """Fit on train rows, predict test rows, EWM(span) per model, un-scale, score.
 
-    Returns (long predictions (keys, ts, model, y, y_pred), scores per model)."""
+    Returns (long predictions (keys, ts, model, y, y_pred, reason), scores per model); a test row without a prediction stays, with the
+    reason, and does not count in the scores."""
     from dataclasses import replace
 
     from panelcast.models import registry
 
     tr = d.filter(F.col("split") == "train").na.drop(subset=[*feats, target])
-    te = d.filter(F.col("split") == "test").na.drop(subset=list(feats))
+    te = d.filter(F.col("split") == "test")
     fitted = registry.fit_models(tr, panel, models, feats, target)
     pm = registry.prediction_matrix(fitted, te, keep=[*panel.keys, panel.ts, panel.t, panel.seg, target])
     mp = replace(panel, keys=(*panel.keys, "model"))
-    pm = materialize(pm, mp)
+    pm = materialize(pm.withColumn("reason", _reason("y_pred")), mp)
     pm = smooth.ewm(pm, mp, ["y_pred"], span)  # W3(5) per model
+    pm = pm.withColumn("y_pred", F.when(F.col("reason").isNull(), F.col("y_pred")))
     if stats is not None:  # SC3/SC4
         pm = scale.inverse(pm, panel, stats, {"y_pred": target, target: target})
     pm = pm.withColumnRenamed(target, "y")
-    return pm, score.score(pm, by=("model",))
+    return pm, score.score(pm.filter("y IS NOT NULL AND y_pred IS NOT NULL"), by=("model",))
+
+
+def _reason(y_pred: str) -> Column:
+    """Why a row has no prediction."""
+    return F.when(F.col(y_pred).isNull() | F.isnan(y_pred), F.lit("a feature or the series' model is missing"))
+
+
+def run_folder(spark) -> str:
+    """A new folder for forecast files below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelcast-runs-{uuid.uuid4().hex}"
 
 
 def forecast_runs(
@@ -118,34 +134,43 @@ def forecast_runs(
     template: DataFrame,
     template_keys: Sequence[str],
     stats: DataFrame | None,
+    models: Sequence[str] = ("GradientBoostingRegressor",),
     runs: int = 1,
-    model: str = "GradientBoostingRegressor",
-    estimator_for_run=None,
+    path: str | None = None,
+    overrides: dict | None = None,
     span: float = 5,
 ) -> DataFrame:
-    """Per run fit, predict the test rows, smooth, un-scale, attach to the
-    template and truncate; all runs stacked with ``run_id`` and averaged (AG7).
+    """Each run fits all ``models`` (seeds differ), predicts the test rows, smooths and un-scales every model and their mean
+    ``Ensamble``, attaches the mean to the template and truncates it.  With ``path`` each run is written as files of its own (IO4,
+    ``path/runs/run_id=k``), all are read again (IO3) and their average (AG7) is written to ``path/average``.
 
-    Returns (template keys..., total_cases, runs)."""
-    from panelcast.models import ml
+    Returns (template keys..., total_cases, runs).  A template row without a prediction stays NULL."""
+    from dataclasses import replace
+
+    from panelcast.models import registry
     from panelcast.operators import forecast
 
-    outs = []
+    spark = train.sparkSession
     tr = train.na.drop(subset=[*feats, target])
-    n_rows = None if estimator_for_run else tr.count()
+    keep = [*dict.fromkeys([*panel.keys, panel.ts, panel.t, panel.seg, *template_keys])]
+    mp = replace(panel, keys=(*panel.keys, "model"))
+    folder = path or run_folder(spark)
     for run in range(runs):
-        est = estimator_for_run(run) if estimator_for_run else ml.preset(model, n_rows, seed=ml.SEED + run)
-        m = ml.Pooled(est, feats, target, series_col=panel.keys[0]).fit(tr)
-        pr = m.transform(test.na.drop(subset=list(feats)))
-        pr = smooth.ewm(pr.select(*panel.keys, panel.ts, panel.t, panel.seg, *template_keys, "y_pred"), panel, ["y_pred"], span)
+        fitted = registry.fit_models(tr, panel, models, feats, target, overrides, seed=SEED + run)
+        pm = registry.prediction_matrix(fitted, test, keep=keep)
+        pm = materialize(pm.withColumn("_why", _reason("y_pred")), mp)
+        pm = smooth.ewm(pm, mp, ["y_pred"], span)
+        pm = pm.withColumn("y_pred", F.when(F.col("_why").isNull(), F.col("y_pred"))).drop("_why")
         if stats is not None:
-            pr = scale.inverse(pr, panel, stats, {"y_pred": target})
-        att = forecast.attach(template, pr, list(template_keys))
-        outs.append(att.withColumn("run_id", F.lit(run)))
-    allr = outs[0]
-    for o in outs[1:]:
-        allr = allr.unionByName(o)
-    return forecast.average_runs(allr, list(template_keys))
+            pm = scale.inverse(pm, panel, stats, {"y_pred": target})
+        one = forecast.attach(template, pm.filter(F.col("model") == ENSEMBLE), list(template_keys))
+        forecast.write_runs(one.withColumn("run_id", F.lit(run)), f"{folder}/runs", mode="append")
+    kinds = ", ".join(f"`{c}` {template.schema[c].dataType.simpleString()}" for c in [*template_keys])
+    back = forecast.read_runs(spark, f"{folder}/runs", f"{kinds}, total_cases long, run_id int")
+    mean = forecast.average_runs(back, list(template_keys))
+    if path:
+        forecast.write_single(mean, f"{path}/average", list(template_keys))
+    return mean
 
 
 def sequence_dataset(d: DataFrame, panel: Panel, feats: Sequence[str], target: str, n_steps: int, mode: str = "vanilla", path: str | None = None) -> DataFrame:
