@@ -573,7 +573,7 @@ def _best(spec: Spec, middle: float):
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(ok, sl * sl / (cl + spec.l2) + (s - sl) ** 2 / (c - cl + spec.l2), -np.inf)
             i = int(np.argmax(score))
-            if score[i] > best[0]:
+            if score[i] > best[0] + 1e-12 * abs(best[0] if np.isfinite(best[0]) else 0):
                 best = (float(score[i]), int(f), int(d["bin"][on][i]), int(nl[i]), sl[i] / (cl[i] + spec.l2), (s - sl[i]) / (c - cl[i] + spec.l2))
         gain = best[0] - s * s / (c + spec.l2)
         if not (np.isfinite(gain) and n >= spec.min_split and q - s * s / c > 1e-11 * q and (spec.random or gain > 1e-11 * q)):
