@@ -1,37 +1,41 @@
-"""LM scoring with a backoff model of smoothed word n-grams.
-
-Tokens are the words of a text (A-Z as a-z) and one end.  Counts cover every training text.
-
-* Unigrams: all words; absolute discounting gives seen words ``(c - d) / N`` and the unknown word ``d V / N``.
-* The model holds the n-grams up to ``order`` that occur at least ``min_count`` times.  The count is fixed, it does not depend on
-  the size of the corpus; 1 keeps all.  A kept n-gram has all its parts kept.  The weight of a word after a history is
-  ``(c - d) / c(h) + bow(h) p(w | h')``, the first term only for kept n-grams; a history without kept n-grams is left out.
-* The model is one distributed table: an n-gram's hash, its count and, as a history, ``rest``: the sum of ``c - d`` of its kept
-  n-grams, so that ``bow = 1 - rest / c``.  Nothing of it is collected or broadcast.
-* Texts are dealt to batches of some megabytes.  A batch asks for each of its distinct n-grams once, by a join with the model,
-  and gets back those that are there; then it is scored in one piece.  A hot n-gram has one row a batch in that join.
-
-Defined cases: a null or empty text is the end alone; no training text at all gives base scores of ``log10(1 / 1) = 0`` a token and
-scores of 0; repeated rows and ids get a row each; a null id counts as the empty string in the fold; an empty table
-gives an empty result; other columns are ignored.
+"""LM scoring with a weighted backoff automaton of smoothed word n-grams.
+
+Tokens are the words of a text (A-Z as a-z) and one end.  Counts cover every training text and every n-gram up to ``order``; none is left out.
+
+* **Smoothing.**  ``p(w | h) = (c(hw) + MASS p(w | h')) / (c(h) + MASS)``, ``h'`` being ``h`` without its first word; below the words, all words and one
+  unknown are alike.  So a history hands ``MASS / (c(h) + MASS)`` of its probability to ``h'``.
+* **Automaton.**  States are the histories seen in training: the empty one, words, pairs and so on up to ``order - 1`` words.  An n-gram ``hw`` is an arc
+  from ``h`` with weight ``log p(w | h)`` to the longest end of ``hw`` that is a state.  A state without an arc for the next word takes its failure arc to ``h'``, whose
+  weight is what ``h`` hands down; the empty history has an arc for every word.
+* **Traversal.**  A text is read once from left to right with one state, adding the weights of the arcs taken.  As a state depends on the last
+  ``order - 1`` words only, long texts are cut into lanes of ``LANE`` tokens, each read up to its place from ``order - 1`` tokens before; all lanes of
+  a unit take their steps together.
+
+Scale: texts are dealt to units of some megabytes.  A unit sends each of its distinct n-grams once, with its count in training texts, as packed blocks of sorted
+hashes, one a range of hashes; a range's task adds up the counts of all units and answers each block in its own order (so without hashes).  With
+the answers the unit builds the part of the automaton that its texts can reach.  A frequent n-gram has one entry a unit; nothing is
+collected but two sums.  The answers grow with the corpus, the automaton of a unit does not.
+
+Defined cases: a null or empty text is the end alone; without training text all scores are 0; repeated rows and ids get a row each; a null id
+counts as the empty string in the fold; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import prepare, stage
+from panelcast.llm.util import give_back, prepare, stage
 
 END = np.uint64(W.splitmix(31337))
-MIN_COUNT = 2
 ORDER = 3
-BATCH_BYTES = 8 << 20
+MASS = 2.0
+UNIT_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+LANE = 256
 
 
 def held_out(id_col):
@@ -51,14 +55,6 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each ``x`` in the sorted ``keys``, -1 if it is not there."""
-    if not len(keys) or not len(x):
-        return np.full(len(x), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
-
-
 def _grams(t: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the n-grams inside the texts and the place of their last word."""
     g = t if n == 1 else W.ngrams(t, n)
@@ -67,134 +63,234 @@ def _grams(t: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return g[at], at + n - 1
 
 
-def _count(order: int):
-    """Counts of the n-grams of a batch and their histories (null for words)."""
+# --- packed blocks
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi in W.groups(batch.column(0), BATCH_BYTES):
-                t, first = _tokens(batch.column(0).slice(lo, hi - lo))
-                for n in range(1, order + 1):
-                    g, last = _grams(t, first, n)
-                    u, at, c = np.unique(g, return_index=True, return_counts=True)
-                    if n == 1:
-                        history = pa.nulls(len(u), pa.int64())
-                    else:
-                        begin = last[at] - n + 1
-                        history = pa.array((t if n == 2 else W.ngrams(t, n - 1))[begin].view(np.int64))
-                    yield pa.record_batch([pa.array(u.view(np.int64)), history, pa.array(c)], names=["g", "h", "c"])
 
-    return run
+def pack(sorted_keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers: the first one, then differences of as many bytes as the largest needs."""
+    d = np.diff(sorted_keys).astype("<u8")
+    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + sorted_keys[:1].astype("<u8").tobytes() + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-@dataclass
-class Model:
-    """What the table of n-grams does not say: training tokens, distinct words, discount, longest n-gram."""
-
-    total: int
-    types: int
-    d: float
-    order: int
-
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        """The probability of words counted ``c`` times."""
-        if not self.total:
-            return np.ones(len(c))
-        return np.where(c > 0, np.maximum(c - self.d, 1e-300) / self.total, max(self.d * self.types / self.total, 1e-300))
-
-    def weigh(self, t: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's count and its probability after the words before it; ``keys`` are sorted."""
-        counts, rests = np.append(counts, 0), np.append(rests, np.nan)  # what find() does not find is the last
-        place = find(keys, t)
-        c = counts[place]
-        p = self.unigram(c)
-        for n in range(2, self.order + 1):
-            g, last = _grams(t, first, n)
-            before, place = place[last - 1], np.full(len(t), -1)
-            place[last] = find(keys, g)
-            on = ~np.isnan(rests[before])
-            last, before = last[on], before[on]
-            whole = counts[before].astype(np.float64)
-            own = np.where(place[last] >= 0, (counts[place[last]] - self.d) / whole, 0.0)
-            p[last] = own + np.maximum(1.0 - rests[before] / whole, 1e-12) * p[last]
-        return c, p
-
-
-def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tuple[Model, DataFrame]:
-    """The model of the training ``texts`` (one column) and its table ``g, c, rest``."""
-    spark = prepare(texts.sparkSession)
-    grams = texts.mapInArrow(_count(order), "g long, h long, c long").groupBy("g").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
-    grams = stage(grams.where(F.col("h").isNull() | (F.col("c") >= min_count)), "n-grams")
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle of all n-grams
-    s = grams.where("h IS NULL").agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    total, types, ones, twos = (int(x or 0) for x in s)
-    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    rests = grams.where("h IS NOT NULL").groupBy(F.col("h").alias("g")).agg((F.sum("c") - F.lit(d) * F.count(F.lit(1))).alias("rest"))
-    return Model(total, types, d, order), grams.drop("h").join(rests, "g", "left")
+def unpack(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    d = np.zeros((len(raw) + 1, 8), np.uint8)
+    d[0] = np.frombuffer(blob, np.uint8, 8, offset=1)
+    d[1:, :width] = raw
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts in one byte each; those from 255 on besides in eight."""
+    big = c >= 255
+    return np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype("<i8").tobytes()
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    c[c == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return c
+
+
+def _cut_points(u: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of hashes begins in the sorted ``u``."""
+    bounds = [min(-(-(k << 64) // ranges), (1 << 64) - 1) for k in range(ranges)]
+    return np.append(np.searchsorted(u, np.array(bounds, np.uint64)), len(u))
+
+
+# --- counting
 
 
 def _deal(batches):
-    """Rows with the number of their batch."""
+    """Rows as units of about ``UNIT_BYTES`` of text, one a row."""
     from pyspark import TaskContext
 
-    batch_no = TaskContext.get().partitionId() << 32
-    size = 0
+    unit = TaskContext.get().partitionId() << 32
+    held, size = [], 0
+
+    def row():
+        t = pa.Table.from_batches(held).combine_chunks()
+        wrap = lambda name: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t.column(name).combine_chunks())
+        return pa.record_batch([pa.array([unit]), pa.array([size]), wrap("doc_id"), wrap("train"), wrap("text")], names=["unit", "size", "doc_id", "train", "text"])
+
     for batch in batches:
-        for lo, hi in W.groups(batch.column(1), BATCH_BYTES // 8):
-            _, o = W.buffers(batch.column(1).slice(lo, hi - lo))
-            if size and size + o[-1] - o[0] > BATCH_BYTES:
-                batch_no, size = batch_no + 1, 0
-            size += int(o[-1] - o[0]) + hi - lo
-            yield pa.record_batch([pa.array(np.full(hi - lo, batch_no)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)], names=["batch", "doc_id", "text"])
+        for lo, hi in W.groups(batch.column(2), UNIT_BYTES // 8):
+            _, o = W.buffers(batch.column(2).slice(lo, hi - lo))
+            more = int(o[-1] - o[0]) + hi - lo
+            if held and size + more > UNIT_BYTES:
+                yield row()
+                unit, held, size = unit + 1, [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += more
+    if held:
+        yield row()
 
 
-def _ask(order: int):
-    """The distinct n-grams of each run of rows of a batch."""
+UNIT = "unit long, size long, doc_id array<long>, train array<boolean>, text array<string>"
+
+
+def _blocks(order: int, ranges: int):
+    """A unit's distinct n-grams and their counts in its training texts."""
 
     def run(batches):
         for batch in batches:
-            no = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(no)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(no)]):
-                for lo, hi in W.groups(batch.column(2).slice(a, b - a), BATCH_BYTES):
-                    t, first = _tokens(batch.column(2).slice(a + lo, hi - lo))
-                    for n in range(1, order + 1):
-                        u = np.unique(_grams(t, first, n)[0])
-                        yield pa.record_batch([pa.array(np.full(len(u), no[a])), pa.array(u.view(np.int64))], names=["batch", "g"])
+            for i in range(batch.num_rows):
+                unit = batch.column(0)[i].as_py()
+                t, first = _tokens(batch.column(2)[i].values)
+                train = np.repeat(batch.column(1)[i].values.to_numpy(zero_copy_only=False), np.diff(first))
+                for n in range(1, order + 1):
+                    g, last = _grams(t, first, n)
+                    u, which = np.unique(g, return_inverse=True)
+                    c = np.bincount(which, train[last], len(u)).astype(np.int64)
+                    at = _cut_points(u, ranges)
+                    for k in range(ranges):
+                        a, b = at[k], at[k + 1]
+                        if a < b:
+                            yield pa.record_batch([pa.array([(n - 1) * ranges + k], pa.int32()), pa.array([unit]), pa.array([pack(u[a:b])], pa.binary()), pa.array([pack_counts(c[a:b])], pa.binary())], names=["part", "unit", "keys", "counts"])
+                del t, first, train
+            give_back()
 
     return run
 
 
-def _score(model: Model):
-    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        g = known.column("g").to_numpy().view(np.uint64)
-        g, at = np.unique(g, return_index=True)
-        counts, rests = known.column("c").to_numpy()[at], known.column("rest").to_numpy()[at].astype(np.float64)
-        t, first = _tokens(rows.column("text"))
-        c, p = model.weigh(t, first, g, counts, rests)
+def _add_up(t: pa.Table) -> pa.Table:
+    """The totals of a range, for each block in its own order; the first row also has their sum and how many are not 0."""
+    keys = [unpack(b) for b in t.column("keys").to_pylist()]
+    counts = [unpack_counts(b, len(k)) for b, k in zip(t.column("counts").to_pylist(), keys)]
+    ends = np.cumsum([len(k) for k in keys])
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+    out = [pack_counts(totals[which[e - len(k) : e]]) for e, k in zip(ends, keys)]
+    first = np.arange(len(out)) == 0
+    mass, types = np.where(first, totals.sum(), 0), np.where(first, (totals > 0).sum(), 0)
+    got = pa.table([t.column("part"), t.column("unit"), pa.array([len(k) for k in keys]), pa.array(out, pa.binary()), pa.array(mass), pa.array(types)], names=["part", "unit", "n", "totals", "mass", "types"])
+    del keys, counts, which, totals
+    give_back()
+    return got
+
+
+# --- the automaton
+
+
+class Automaton:
+    """The states and arcs that some texts can reach.
+
+    State 0 is the empty history; then come the words, pairs, ... of the texts.  ``arcs`` are sorted numbers ``state * words + word``."""
+
+    def __init__(self, t: np.ndarray, first: np.ndarray, order: int, totals: list[np.ndarray], mass: int, types: int):
+        gram, at, place = [], [], []  # per order: which n-gram ends at each token, and one place of each
+        for n in range(1, order + 1):
+            g, last = _grams(t, first, n)
+            _, one, which = np.unique(g, return_index=True, return_inverse=True)
+            ends = np.full(len(t), -1)
+            ends[last] = which
+            gram.append(ends)
+            at.append(last[one])
+        self.word = gram[0]
+        self.words = len(at[0])
+        base = np.cumsum([1] + [len(a) for a in at])  # the first state of each order
+        c = totals[0]
+        p = [(c + MASS / (types + 1)) / (mass + MASS)]
+        self.root_weight, self.root_next = np.log10(p[0]), np.where(c > 0, base[0] + np.arange(len(c)), 0)
+        self.fail_weight, self.fail_next = [np.zeros(1)], [np.zeros(1, np.int64)]
+        keys, weights, nexts = [], [], []
+        for n in range(2, order + 1):
+            history, end = gram[n - 2][at[n - 1] - 1], gram[n - 2][at[n - 1]]
+            seen = totals[n - 2][history]
+            p.append((totals[n - 1] + MASS * p[n - 2][end]) / (seen + MASS))
+            self.fail_weight.append(np.log10(MASS / (totals[n - 2] + MASS)))
+            self.fail_next.append(np.zeros(len(at[0]), np.int64) if n == 2 else base[n - 3] + gram[n - 3][at[n - 2]])
+            on = np.flatnonzero(totals[n - 1] > 0)
+            keys.append((base[n - 2] + history[on]) * self.words + self.word[at[n - 1][on]])
+            weights.append(np.log10(p[n - 1][on]))
+            nexts.append(base[n - 1] + on if n < order else base[n - 2] + end[on])
+        self.fail_weight, self.fail_next = np.concatenate(self.fail_weight), np.concatenate(self.fail_next)
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        by_key = np.argsort(keys, kind="stable")
+        self.arcs = np.append(keys[by_key], np.iinfo(np.int64).max)
+        self.weight, self.next = (np.concatenate(x)[by_key] if x else np.zeros(0) for x in (weights, nexts))
+        self.order, self.first = order, first
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after ``word`` and the weights of the arcs taken, failure arcs included."""
+        gain, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo, now = np.arange(len(state)), state
+        while len(todo):
+            at_root = now == 0
+            done = todo[at_root]
+            gain[done] += self.root_weight[word[done]]
+            after[done] = self.root_next[word[done]]
+            todo, now = todo[~at_root], now[~at_root]
+            key = now * self.words + word[todo]
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[arc] == key
+            gain[todo[hit]] += self.weight[arc[hit]]
+            after[todo[hit]] = self.next[arc[hit]]
+            todo, now = todo[~hit], now[~hit]
+            gain[todo] += self.fail_weight[now]
+            now = self.fail_next[now]
+        return after, gain
+
+    def scores(self) -> np.ndarray:
+        """The log10 probability of each text: all lanes walk from left to right, each with its state."""
+        sizes = np.diff(self.first)
+        lanes = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(sizes)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = self.first[text] + nth * LANE
+        end = np.minimum(begin + LANE, self.first[text + 1])
+        warm = np.minimum(nth * LANE, self.order - 1)
+        by_size = np.argsort(-(end - begin + warm), kind="stable")
+        start, left, skip = (begin - warm)[by_size], (end - begin + warm)[by_size], warm[by_size]
+        state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
+        for k in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -k))  # lanes longer than k stand first
+            state[:n], gain = self.step(state[:n], self.word[start[:n] + k])
+            total[:n] += np.where(skip[:n] <= k, gain, 0.0)
+        sums = np.empty(len(total))
+        sums[by_size] = total
+        return np.add.reduceat(sums, np.cumsum(lanes) - lanes) if len(sums) else sums
+
+
+def _score(order: int, mass: int, types: int):
+    def run(unit: pa.Table, answers: pa.Table) -> pa.Table:
+        t, first = _tokens(unit.column("text").combine_chunks().flatten())
+        rows = sorted(zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("totals").to_pylist()))
+        got = np.concatenate([unpack_counts(b, n) for _, n, b in rows])
+        totals, at = [], 0
+        for n in range(1, order + 1):
+            k = len(np.unique(_grams(t, first, n)[0]))
+            totals.append(got[at : at + k])
+            at += k
+        c = totals[0]
+        auto = Automaton(t, first, order, totals, mass, types)
+        score = auto.scores() if mass else np.zeros(len(first) - 1)
+        known, base = (c > 0)[auto.word], np.log10((c + 1.0) / (mass + types + 1))[auto.word]
         sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
-        return pa.table(
-            [
-                rows.column("doc_id"),
-                pa.array(np.diff(first)),
-                sums((c > 0).astype(np.int64)),
-                sums(np.log10((c + 1.0) / (model.total + model.types + 1))),
-                sums(np.log10(p)),
-            ],
-            names=["doc_id", "n_tokens", "n_known", "base", "score"],
+        out = pa.table(
+            [unit.column("doc_id").combine_chunks().flatten(), pa.array(np.diff(first)), sums(known.astype(np.int64)), sums(base), pa.array(score)],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
+        del auto, got, totals, t, known, base
+        give_back()
+        return out
 
     return run
 
 
-def score(docs: DataFrame, model: Model, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(rows.mapInArrow(_deal, "batch long, doc_id long, text string"), "batches")
-    known = rows.mapInArrow(_ask(model.order), "batch long, g long").join(grams, "g").select("batch", "g", "c", "rest")
-    out = rows.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_score(model), "doc_id long, n_tokens long, n_known long, base double, score double")
-    return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
-        F.round("base", 6).alias("base_score"), F.round("score", 6).alias("score"),
-    )
+def score(docs: DataFrame, is_training, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``; the model learns from the rows where
+    ``is_training`` holds."""
+    spark = prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    units = stage(rows.mapInArrow(_deal, UNIT), "units")
+    ranges = max(1, -(-(units.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    blocks = units.select("unit", "train", "text").mapInArrow(_blocks(order, ranges), "part int, unit long, keys binary, counts binary")
+    blocks = blocks.repartition(order * ranges, "part")
+    answers = stage(blocks.groupBy("part").applyInArrow(_add_up, "part int, unit long, n long, totals binary, mass long, types long"), "answers")
+    mass, types = (int(x or 0) for x in answers.where(F.col("part") < ranges).agg(F.sum("mass"), F.sum("types")).first())
+    out = units.groupBy("unit").cogroup(answers.select("unit", "part", "n", "totals").groupBy("unit"))
+    out = out.applyInArrow(_score(order, mass, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(mass).cast("long").alias("train_tokens"), "base_score", "score")

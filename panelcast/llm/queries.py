@@ -123,9 +123,9 @@ def op7(spark, d):
 
 @register("op8_lm_score")
 def op8(spark, d):
-    docs = table(spark, d, "documents")
-    auto, vocab = lm_score.train(docs.where(~lm_score.held_out(F.col("doc_id"))).select("text"))
-    return lm_score.score(docs, auto, vocab)
+    held = lm_score.held_out(F.col("doc_id"))
+    got = lm_score.score(table(spark, d, "documents"), ~held)
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @register("op9_quality_cnn")

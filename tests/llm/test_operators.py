@@ -7,7 +7,10 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, near_dup, quality_cnn, queries, span_dedup, token_orc, url_lists
 
@@ -271,36 +274,87 @@ def test_wand_is_exhaustive():
         assert set(got) == {d for d, s in full.items() if s >= 0.4}
 
 
-def test_lm_brute(docs, spark, monkeypatch):
-    got = {r.doc_id: r for r in as_query(docs, "op8_lm_score", monkeypatch, spark).collect()}
-    toks = {r[0]: words(r[1]) + [""] for r in fixture_rows()}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
+def plain_automaton(toks, training):
+    """States with their arcs and failure arcs as dictionaries; every n-gram of the training texts is an arc."""
     c = [collections.Counter() for _ in range(4)]
     for i, w in toks.items():
         for n in (1, 2, 3):
-            c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1) if not out[i])
-    total, types = sum(c[1].values()), len(c[1])
-    ones, twos = (sum(v == k for v in c[1].values()) for k in (1, 2))
-    d, cut = min(0.95, max(0.1, ones / (ones + 2 * twos))), max(2, 1e-6 * total)
-    keep = [{}, *({g: v for g, v in c[n].items() if v >= cut} for n in (1, 2, 3))]
-    left = collections.defaultdict(lambda: 1.0)
-    for n in (2, 3):
-        for g, v in keep[n].items():
-            left[g[:-1]] -= (v - d) / c[n - 1][g[:-1]]
+            c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1) if i in training)
+    total, types, m = sum(c[1].values()), len(c[1]), lm_score.MASS
 
     def p(h, w):
         if not h:
-            return (c[1][(w,)] - d) / total if c[1][(w,)] else d * types / total
-        if h not in left:
-            return p(h[1:], w)
-        arc = (keep[len(h) + 1][h + (w,)] - d) / c[len(h)][h] if h + (w,) in keep[len(h) + 1] else 0.0
-        return arc + max(left[h], 1e-12) * p(h[1:], w)
+            return (c[1][(w,)] + m / (types + 1)) / (total + m)
+        return (c[len(h) + 1][h + (w,)] + m * p(h[1:], w)) / (c[len(h)][h] + m)
+
+    def state(h):
+        while h and (len(h) > 2 or h not in c[len(h)]):
+            h = h[1:]
+        return h
+
+    arcs = {g: (math.log10(p(g[:-1], g[-1])), state(g)) for n in (1, 2, 3) for g in c[n]}
+    fail = {h: (math.log10(m / (c[len(h)][h] + m)), h[1:]) for n in (1, 2) for h in c[n]}
 
+    def walk(w):
+        now, total_log = (), 0.0
+        for x in w:
+            while now and now + (x,) not in arcs:
+                weight, now = fail[now]
+                total_log += weight
+            weight, now = arcs.get(now + (x,), (math.log10(p((), x)), ()))
+            total_log += weight
+        return total_log
+
+    return c, total, types, p, walk
+
+
+def test_lm_brute(docs, spark, monkeypatch):
+    got = {r.doc_id: r for r in as_query(docs, "op8_lm_score", monkeypatch, spark).collect()}
+    toks = {r[0]: words(r[1]) + [""] for r in fixture_rows()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
+    c, total, types, p, walk = plain_automaton(toks, {i for i in toks if not out[i]})
     for i, w in toks.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w), sum(c[1][(x,)] > 0 for x in w), total)
-        assert abs(r.base_score - sum(math.log10((c[1][(x,)] + 1) / (total + types + 1)) for x in w)) < 1e-5
-        assert abs(r.score - sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-4
+        assert abs(r.base_score - sum(math.log10((c[1][(x,)] + 1) / (total + types + 1)) for x in w)) < 1e-7 * len(w)
+        assert abs(r.score - walk(w)) < 1e-7 * len(w)
+        assert abs(r.score - sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-7 * len(w)
+
+
+@pytest.mark.parametrize(("unit", "span", "lane"), [(8 << 20, 16 << 20, 256), (1500, 2000, 256), (4000, 700, 5)])
+def test_lm_units_ranges_and_lanes(docs, spark, monkeypatch, unit, span, lane):
+    """Small units, many ranges and short lanes give the same scores."""
+    want = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    for name, v in (("UNIT_BYTES", unit), ("RANGE_BYTES", span)):
+        monkeypatch.setattr(lm_score, name, v)
+    texts = pa.array([r[1] for r in fixture_rows()])
+    t, first = lm_score._tokens(texts)
+    totals = [np.unique(lm_score._grams(t, first, n)[0], return_counts=True)[1] for n in (1, 2, 3)]
+    auto = lm_score.Automaton(t, first, 3, totals, len(t), len(totals[0]))
+    whole = auto.scores()
+    monkeypatch.setattr(lm_score, "LANE", lane)
+    assert np.allclose(auto.scores(), whole)
+    got = {r.doc_id: r.score for r in lm_score.score(docs.repartition(3), F.col("doc_id") % 3 != 0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 * (1 + abs(want[i])) for i in want)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Each state's arcs and what it hands down, over all words and the unknown."""
+    toks = {i: words(r[1])[:60] + [""] for i, r in enumerate(fixture_rows())}
+    c, total, types, p, _ = plain_automaton(toks, set(toks))
+    for h in [(), *list(c[1])[:40:7], *list(c[2])[:90:17]]:
+        if h[-1:] != ("",):
+            assert abs(sum(p(h, w) for (w,) in c[1]) + p(h, "never seen") - 1) < 1e-9
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 1 << 63), (2, 3), (5000, 1 << 63), (300, 1 << 20)):
+        keys = np.unique(rng.integers(0, top, n, np.uint64))
+        assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
+        counts = rng.integers(0, 600, n)
+        assert (lm_score.unpack_counts(lm_score.pack_counts(counts), n) == counts).all()
+    assert lm_score._cut_points(np.array([0, 1 << 62, 1 << 63, (1 << 64) - 1], np.uint64), 4).tolist() == [0, 1, 2, 3, 4]
 
 
 def test_quality_held_out(spark):
@@ -340,7 +394,7 @@ OPS = {
     "tokens": lambda s, d: token_orc.token_output(d, queries.tokenizer_path()),
     "mix": lambda s, d: mixing.plan_copies(d, keep=("doc_id",)),
     "near": lambda s, d: near_dup.near_duplicates(d),
-    "lm": lambda s, d: lm_score.score(d, *lm_score.train(d.select("text"))),
+    "lm": lambda s, d: lm_score.score(d, F.lit(True)),
     "quality": lambda s, d: quality_cnn.score(d, quality_cnn.train(d, d.selectExpr("doc_id", "n % 2 AS quality"))),
     "exact": lambda s, d: exact_dedup.exact_dedup(d),
 }
@@ -364,42 +418,6 @@ def test_null_ids_in_groups(with_odd_rows):
     assert near_dup.drop_near_duplicates(with_odd_rows).columns == with_odd_rows.columns
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_lm_model_does_not_shrink_with_the_corpus(spark, least):
-    """More than 2 million tokens more, where a share of a millionth would ask for three occurrences: the same rare n-grams stay."""
-    rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdefghijkl") + rng.choice("mnopq") for _ in range(rng.randint(0, 30))) for _ in range(120)]
-    bulk = " ".join(["zz"] * 50_000)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    big = df.select("text").unionAll(spark.range(60).selectExpr(f"repeat('zz ', 50000) AS text"))
-    model, grams = lm_score.train(big, min_count=least)
-    got = {r.doc_id: r.score for r in lm_score.score(df, model, grams).collect()}
-    c = [collections.Counter() for _ in range(4)]
-    for t, times in [(t, 1) for t in texts] + [(bulk, 60)]:
-        w = words(t) + [""]
-        for n in (1, 2, 3):
-            for g, v in collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)).items():
-                c[n][g] += v * times
-    total, types = sum(c[1].values()), len(c[1])
-    ones, twos = (sum(v == k for v in c[1].values()) for k in (1, 2))
-    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    assert (model.total, model.types, model.d) == (total, types, d) and total > 3_000_000
-    kept = {g: v for n in (2, 3) for g, v in c[n].items() if v >= least}
-    left = collections.defaultdict(lambda: 1.0)
-    for g, v in kept.items():
-        left[g[:-1]] -= (v - d) / c[len(g) - 1][g[:-1]]
-
-    def p(h, w):
-        if not h:
-            return (c[1][(w,)] - d) / total
-        arc = (kept[h + (w,)] - d) / c[len(h)][h] if h + (w,) in kept else 0.0
-        return arc + max(left[h], 1e-12) * p(h[1:], w) if h in left else p(h[1:], w)
-
-    for i, t in enumerate(texts):
-        w = words(t) + [""]
-        assert abs(got[i] - sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-4
-
-
 def test_leaks_with_one_word_changed(spark):
     """Words glued to punctuation and one word changed, in short and long halves."""
     rng = random.Random(12)
