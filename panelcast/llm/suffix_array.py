@@ -5,16 +5,17 @@ Placing the LMS suffixes in their first-symbol buckets, one scan from the left s
 predecessor of each suffix met goes to the next free place of its bucket.  Run once on unsorted LMS suffixes this sorts the substrings
 between them; these get names, the string of names (a third as long, or less) is sorted recursively, and the scans are run on the now sorted LMS suffixes.
 
-The scans go bucket by bucket with whole arrays: what a bucket holds when it is met is read at once, and only predecessors with the
-same symbol take another round (as many as the longest run of one symbol).  Names that need more than ``RADIX`` buckets are written as digits, big ones first,
-which keeps their order.  Work is linear in the text.
+With few symbols (the bytes) the scans go bucket by bucket with whole arrays: what a bucket holds when it is met is read at once, and only predecessors with the
+same symbol take another round (as many as the longest run of one symbol).  With many symbols (the names) the same order is induced for all buckets at once:
+an L suffix stands by its symbol and then by the place of the suffix after it, which is L or LMS; those still level after that are told apart by the
+suffix 1, 2, 4, ... further on, up to the LMS suffix that ends their run.  S suffixes go likewise, by the L suffixes that end theirs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-RADIX = 1024  # symbols fit 16 bits, which numpy sorts by radix
+FEW = 256  # buckets are scanned one by one if they hold so many suffixes on average
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -106,40 +107,99 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return name, int(name[-1]) + 1
 
 
+def _level(rank: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Puts the elements ``at``, whole groups of equal rank, in order of ``key`` within their groups; returns those still level.
+    A rank is the number of elements before its group."""
+    group = rank[at]
+    order = np.lexsort([key, group])
+    g, k = group[order], key[order]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new = new_group | np.concatenate([[True], k[1:] != k[:-1]])
+    i = np.arange(len(g))
+    first = np.maximum.accumulate(np.where(new, i, 0))
+    rank[at[order]] = g + first - np.maximum.accumulate(np.where(new_group, i, 0))
+    alone = new & np.append(new[1:], True)
+    return at[order[~alone]]
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by ``key`` and the elements that share theirs."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    rank = np.empty(len(k), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    return rank, order[~(new & np.append(new[1:], True))]
+
+
+def _names_of_many(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the substrings between LMS places, in the order of the text: sorted symbol by symbol, those still level only."""
+    typed = t.astype(np.int64) * 2 + small
+    rank, level = _ranked(typed[lms])
+    ends = np.append(lms[1:], lms[-1])
+    k = 1
+    while len(level):
+        level = level[lms[level] + k <= ends[level]]
+        if len(level):
+            level = _level(rank, level, typed[lms[level] + k])
+        k += 1
+    kinds, name = np.unique(rank, return_inverse=True)
+    return name, len(kinds)
+
+
+def _induce_many(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the given order of the LMS suffixes induces, for many symbols."""
+    n, t = len(t), t.astype(np.int64)
+    large = np.flatnonzero(~small)
+    some = np.concatenate([large, lms])
+    place = np.zeros(len(some), np.int64)
+    place[len(large) :] = np.arange(1, len(lms) + 1)
+    rank = np.zeros(n, np.int64)
+    got, level = _ranked(t[some] * (len(lms) + 2) + place)
+    rank[some] = got
+    level, h = some[level], 1
+    while len(level):  # L suffixes; LMS ones are never level
+        level = _level(rank, level, rank[level + h])
+        h *= 2
+    key = t * (n + 2) + n + 1
+    key[large] = t[large] * (n + 2) + rank[large]
+    rank, level = _ranked(key)
+    h = 1
+    while len(level):
+        level = _level(rank, level, rank[level + h])
+        h *= 2
+    sa = np.empty(n, np.int64)
+    sa[rank] = np.arange(n)
+    return sa
+
+
 def _sort(t: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of symbols below ``k``, whose last is the only 0."""
     n = len(t)
     if n <= 2:
-        return np.arange(n - 1, -1, -1, dtype=np.int32)
+        return np.arange(n - 1, -1, -1)
     small = _smaller(t)
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    by_symbol = lms[np.argsort(t[lms], kind="stable")]
-    order = _induce(t, small, by_symbol, k)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = order[is_lms[order]]
-    name, kinds = _names(t, lms, order)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    few = n > FEW * k
+    if few:
+        t = t.astype(np.uint16) if k <= 1 << 16 else t  # numpy sorts 16 bits by radix
+        order = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], k)
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        order = order[is_lms[order]]
+        sorted_names, kinds = _names(t, lms, order)
+        place = np.empty(n, np.int64)
+        place[order] = sorted_names
+        name = place[lms]
+    else:
+        name, kinds = _names_of_many(t, small, lms)
     if kinds < len(lms):
-        place = np.empty(n, np.int32)
-        place[order] = name
-        order = lms[_sort_names(place[lms], kinds)]
-    return _induce(t, small, order, k)
-
-
-def _sort_names(names: np.ndarray, kinds: int) -> np.ndarray:
-    """The suffix array of a string of names; the last is the only 0."""
-    if kinds <= RADIX:
-        return _sort(names.astype(np.uint16), kinds)
-    digits = 2 if kinds < (RADIX - 2) ** 2 else 3
-    base = int(np.ceil(kinds ** (1 / digits))) + 1
-    wide = np.empty(len(names) * digits + 1, np.uint16)
-    rest = names
-    for d in range(digits - 1, -1, -1):
-        wide[d:-1:digits] = rest % base + 1
-        rest = rest // base
-    wide[-1] = 0
-    sa = _sort(wide, base + 1)
-    return sa[(sa % digits == 0) & (sa < len(wide) - 1)] // digits
+        order = place = None
+        order = lms[_sort(name, kinds)]
+    else:
+        order = np.empty(len(lms), np.int64)
+        order[name] = lms
+    return _induce(t, small, order, k) if few else _induce_many(t, small, order)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:

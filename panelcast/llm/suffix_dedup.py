@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
 from panelcast.llm.suffix_array import common_prefixes, suffix_array
-from panelcast.llm.util import join_groups, prepare, stage
+from panelcast.llm.util import give_back, join_groups, prepare, stage
 
 SIZE = 400
 GRAM = 100
 PIECE = 1 << 19
-SHARD = 2 << 20
+SHARD = 1 << 19
 HOT = 1000
 SEPARATOR = 0xFF  # no byte of UTF-8
 _BASE = W.splitmix(4242) | 1
@@ -162,6 +162,8 @@ def _search_shard(size: int):
             out.append(_runs(np.ones(len(on), bool) if c > 1 else on))
         keep = pa.array([bool(o) for o in out])
         got = pa.table([t.column("same"), t.column("copies"), pa.array(out, pa.binary())], names=["same", "copies", "runs"])
+        del text, left, length, other, hit, repeated
+        give_back()
         return got.filter(keep)
 
     return run

@@ -10,13 +10,17 @@ import pytest
 from test_operators import as_query, docs, empty, fixture_rows, got_rows, sql_rows, with_odd_rows  # noqa: F401
 
 from panelcast.llm import hard_negatives, merkle, queries, suffix_dedup
+from panelcast.llm import suffix_array as suffix_arrays
 from panelcast.llm.suffix_array import common_prefixes, suffix_array
 
 # --- suffix arrays
 
 
+@pytest.mark.parametrize("few", [0, 256])
 @pytest.mark.parametrize("seed", range(8))
-def test_suffix_array_and_prefixes(seed):
+def test_suffix_array_and_prefixes(seed, few, monkeypatch):
+    """Bucket by bucket (0) and all buckets at once."""
+    monkeypatch.setattr(suffix_arrays, "FEW", few)
     rng = random.Random(seed)
     for _ in range(40):
         n, k = rng.randrange(1, 260), rng.choice([1, 2, 3, 26, 256])
@@ -65,7 +69,7 @@ def brute_repeats(rows, size):
 COLS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-@pytest.mark.parametrize(("size", "gram", "hot", "shard", "piece"), [(400, 100, 1000, 2 << 20, 1 << 19), (40, 10, 1000, 3000, 1 << 19), (40, 10, 1, 3000, 700), (60, 50, 3, 1 << 20, 999)])
+@pytest.mark.parametrize(("size", "gram", "hot", "shard", "piece"), [(400, 100, 1000, 1 << 19, 1 << 19), (40, 10, 1000, 3000, 1 << 19), (40, 10, 1, 3000, 700), (60, 50, 3, 1 << 20, 999)])
 def test_suffix_dedup(spark, with_odd_rows, monkeypatch, size, gram, hot, shard, piece):  # noqa: F811
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
