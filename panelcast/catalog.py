@@ -1014,6 +1014,52 @@ def q_varx(spark, d):
     return var.forecast(tr, te, p, ["cnt", "avg_price"], 1, exog=["p1"])
 
 
+_AR_SQL = f"""{_SCALED_SQL},
+pz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM zp),
+spl AS (SELECT *, pos >= n - ceil(0.22 * n) AS is_test FROM pz),
+lg AS (SELECT n_name, cnt AS y, avg_price AS e, lag(cnt) OVER (PARTITION BY n_name ORDER BY t) AS x FROM spl WHERE NOT is_test),
+hz AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) AS h FROM spl WHERE is_test),
+la AS (SELECT n_name, cnt AS y0 FROM spl WHERE NOT is_test QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY t DESC) = 1),
+ar AS (SELECT n_name, covar_pop(x, y) / var_pop(x) AS b, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS a FROM lg WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+fc AS (SELECT hz.n_name, hz.wk, hz.cnt, a * (1 - pow(b, h)) / (1 - b) + pow(b, h) * y0 AS f FROM hz JOIN ar ON hz.n_name = ar.n_name JOIN la ON hz.n_name = la.n_name)"""
+
+
+@register("q_ar1_forecast", f"WITH {_AR_SQL}\nSELECT n_name, wk, round(f, 4) AS cnt_fc FROM fc")
+def q_ar1_forecast(spark, d):
+    """M6 M8: multi-step forecast of a one-variable VAR(1) over blocks of 16 test weeks."""
+    from panelcast.models import var
+
+    tr, te, p, _ = _train_test(spark, d)
+    return var.forecast(tr, te, p, ["cnt"], 1, block_steps=16).select("n_name", "wk", r4("cnt_fc"))
+
+
+@register("q_sbs1", f"WITH {_AR_SQL}\nSELECT n_name, wk, round(cnt, 4) AS y, round(f, 4) AS y_pred FROM fc")
+def q_sbs1(spark, d):
+    """M9: step-by-step VAR(1) of one variable; a row put on the fitted line does not move it, so the refits give the multi-step forecast."""
+    from panelcast.models import var
+
+    tr, te, p, _ = _train_test(spark, d)
+    return var.step_by_step(tr, te, p, ["cnt"], "cnt", 1, block_steps=40).select("n_name", "wk", r4("y"), r4("y_pred"))
+
+
+@register(
+    "q_varx1",
+    f"""WITH {_AR_SQL},
+mo AS (SELECT n_name, var_pop(x) AS xx, var_pop(e) AS ee, covar_pop(x, e) AS xe, covar_pop(x, y) AS xy, covar_pop(e, y) AS ey, avg(x) AS mx, avg(e) AS me, avg(y) AS my
+  FROM lg WHERE x IS NOT NULL AND y IS NOT NULL AND e IS NOT NULL GROUP BY 1),
+co AS (SELECT *, (xy * ee - ey * xe) / (xx * ee - xe * xe) AS b, (ey * xx - xy * xe) / (xx * ee - xe * xe) AS g FROM mo),
+sm AS (SELECT i.n_name, i.wk, i.h, b, sum(pow(b, i.h - j.h) * (my - b * mx - g * me + g * j.avg_price)) AS s
+  FROM hz i JOIN hz j ON i.n_name = j.n_name AND j.h <= i.h JOIN co ON co.n_name = i.n_name GROUP BY 1, 2, 3, 4)
+SELECT sm.n_name, wk, round(s + pow(b, h) * y0, 4) AS cnt_fc FROM sm JOIN la ON sm.n_name = la.n_name""",
+)
+def q_varx1(spark, d):
+    """M8: VARX(1) of the count with the price as exogenous, forecast over blocks of 16 test weeks."""
+    from panelcast.models import var
+
+    tr, te, p, _ = _train_test(spark, d)
+    return var.forecast(tr, te, p, ["cnt"], 1, exog=["avg_price"], block_steps=16).select("n_name", "wk", r4("cnt_fc"))
+
+
 @register("q_var_sbs")
 def q_var_sbs(spark, d):
     """M9 SO2: step-by-step VAR(3) forecast of the target with a refit after every step."""

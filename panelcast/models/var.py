@@ -4,14 +4,11 @@ M9 step-by-step forecast with refit).
 The data pass is :func:`panelcast.operators.stats.cross_products` over the lag
 matrix, bucketed by row position so every lag order uses its own sample (rows
 with position >= p), as a per-order least-squares fit does.  Everything after
-that -- solves, information criteria, the forecast recursion -- runs per series
-on ``D x D`` matrices and the last ``p`` rows, in pandas steps over groups that
-never hold a series' history.
-
-Step-by-step forecasting (M9) refits after every step on the history plus the
-appended rows.  The refit is a rank-one update of the cross-product matrix, so
-no step rescans the history; the recursion itself is serial within a series
-(each step feeds the next) and parallel across series.
+that -- solves, information criteria -- runs per series on ``D x D`` matrices.
+Forecasts walk blocks of the horizon: multi-step ones all at once, from starting
+states composed out of the blocks' affine maps; step-by-step ones (M9, a refit
+after every step) in rounds of blocks, with an updated inverse in place of a
+new solution.  No group holds a series' history or its whole horizon.
 """
 
 from __future__ import annotations
@@ -27,7 +24,8 @@ from pyspark.sql import types as T
 
 from panelcast.operators.clean import last_rows
 from panelcast.operators.stats import _stack, cross_products, lag_matrix
-from panelcast.plans.panel import Panel, attach_series
+from panelcast.plans.panel import Panel, attach_series, with_position
+from panelcast.session import ensure_checkpoint_dir
 
 
 def _zcols(cols, exog, p):
@@ -118,23 +116,36 @@ def order_table(df: DataFrame, panel: Panel, cols: Sequence[str], maxlag: int) -
     return cp.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def _tail_and_horizon(train: DataFrame, test: DataFrame, panel: Panel, cols, exog, lag):
-    keep = [*panel.keys, panel.ts, panel.t, panel.seg, *cols, *exog]
-    tail = last_rows(train.select(*keep), panel, lag).select(*keep).withColumn("_role", F.lit(0))
-    horizon = test.select(*keep).withColumn("_role", F.lit(1))
-    return tail.unionByName(horizon)
+def _starts(cp: DataFrame, train: DataFrame, panel: Panel, cols, lag: int, D: int, k: int, schema) -> DataFrame:
+    """One row a series: the cross products of its sample and its last ``lag`` rows (latest first), both NULL when the sample has fewer rows
+    than the ``k`` coefficients or fewer than ``lag`` rows of history."""
+    keys = list(panel.keys)
+    tail = last_rows(train.select(*keys, panel.ts, panel.t, panel.seg, *cols), panel, lag).select(*keys, panel.t, *cols)
+
+    def fn(gram: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
+        g = hist = None
+        if not gram.empty and len(last) >= lag:
+            Gs, Ns = _stack(gram, D, lag)
+            if Ns[lag] >= k:
+                g = [float(x) for x in Gs[lag].ravel()]
+                hist = [float(x) for x in last.sort_values(panel.t, ascending=False)[cols].to_numpy(dtype=float).ravel()]
+        some = gram if not gram.empty else last
+        return pd.DataFrame([(*[some[c].iloc[0] for c in keys], g, hist)], columns=[*keys, "_g", "_h"])
+
+    out = T.StructType([*[schema[c] for c in keys], T.StructField("_g", T.ArrayType(T.DoubleType())), T.StructField("_h", T.ArrayType(T.DoubleType()))])
+    return cp.groupBy(*keys).cogroup(tail.groupBy(*keys)).applyInPandas(fn, out)
+
 
+def _blocks(test: DataFrame, panel: Panel, cols, block_steps: int) -> DataFrame:
+    """The test rows with their number in the horizon cut into blocks of ``block_steps``, checkpointed."""
+    ensure_checkpoint_dir(test.sparkSession)
+    rows = with_position(test.select(*dict.fromkeys([*panel.keys, panel.ts, panel.t, panel.seg, *cols])), panel)
+    return rows.withColumn("_blk", F.expr(f"_pos div {block_steps}")).drop("_pos", "_n").checkpoint()
 
-def _series_inputs(gram: pd.DataFrame, data: pd.DataFrame, panel: Panel, cols, D: int, lag: int, k: int):
-    """One series' last training rows, its horizon in time order, and the cross products of its sample (None when
-    the sample has fewer rows than the ``k`` coefficients or fewer than ``lag`` rows of history)."""
-    data = data.sort_values(panel.t)
-    hist = list(data[data["_role"] == 0][cols].to_numpy(dtype=float))
-    fut = data[data["_role"] == 1]
-    if gram.empty or len(hist) < lag:
-        return hist, fut, None
-    Gs, Ns = _stack(gram, D, lag)
-    return hist, fut, Gs[lag] if Ns[lag] >= k else None
+
+def _filled(values) -> bool:
+    """Whether an array cell holds an array."""
+    return isinstance(values, (list, np.ndarray))
 
 
 def _forecast_rows(fut: pd.DataFrame, keep: Sequence[str], values: dict, short: bool) -> pd.DataFrame:
@@ -145,41 +156,119 @@ def _forecast_rows(fut: pd.DataFrame, keep: Sequence[str], values: dict, short:
     return res
 
 
-def forecast(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], lag: int, exog: Sequence[str] = (), suffix: str = "_fc") -> DataFrame:
+def _walk(A: np.ndarray, ex: np.ndarray, state: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion over the rows of ``ex`` from ``state`` (last values, latest first): all forecasts and the state after them."""
+    n, kx = len(ex), len(state)
+    drive = A[0] + ex @ A[1 + kx :]
+    step = A[1 : 1 + kx]
+    out = np.empty((n, m))
+    for i in range(n):
+        out[i] = drive[i] + state @ step
+        state = np.concatenate([out[i], state[: kx - m]])
+    return out, state
+
+
+def forecast(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], lag: int, exog: Sequence[str] = (), suffix: str = "_fc", block_steps: int = 4096) -> DataFrame:
     """M6/M8: multi-step forecast over the rows of ``test`` (one step per test row,
     in time order) from the last ``lag`` training rows; exogenous values come from
     the test rows.
 
+    The recursion is an affine map of the state (the last ``lag`` rows).  Each block of ``block_steps`` rows is walked once from a zero state,
+    which gives its map (a matrix power and an offset); the maps of a series, one row a block, are composed in order to each block's
+    starting state, and the blocks are walked again from there, all at once.
+
     Returns one row per test row: keys, time, ``{c}{suffix}`` columns and ``reason``.  A series with fewer training
     rows than the model has coefficients gets NULL forecasts (reason ``short history``), and a row whose exogenous
     values are missing, with those after it that build on it, too (``missing values``)."""
     cols, exog = list(cols), list(exog)
     keys = list(panel.keys)
     cp = _gram(train, panel, cols, exog, lag)
-    rows = _tail_and_horizon(train, test, panel, cols, exog, lag)
     m, k = len(cols), 1 + len(cols) * lag + len(exog)
     D = k + m
-    schema = T.StructType([*[test.schema[c] for c in keys], test.schema[panel.ts], *[T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols], T.StructField("reason", T.StringType())])
-
-    def fn(gram: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        hist, fut, G = _series_inputs(gram, data, panel, cols, D, lag, k)
+    kf = [test.schema[c] for c in keys]
+    arr = T.ArrayType(T.DoubleType())
+    rows = _blocks(test, panel, exog, block_steps)
+    model = _starts(cp, train, panel, cols, lag, D, k, test.schema).checkpoint()
+    block = [*keys, "_blk"]
+    own = rows.select(*[F.col(c).alias(f"_{c}") for c in block]).distinct()
+    with_model = own.select(*[F.col(f"_{c}").alias(c) for c in block]).join(model, keys, "left")
+
+    def offset(fut: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        w, g = None, one["_g"].iloc[0]
+        if _filled(g):
+            A, _ = _solve(np.reshape(g, (D, D)), m, k)
+            ex = fut.sort_values(panel.t)[exog].to_numpy(dtype=float)
+            w = [float(x) for x in _walk(A, ex, np.zeros(m * lag), m)[1]]
+        return pd.DataFrame([(*[one[c].iloc[0] for c in block], len(fut), w)], columns=[*block, "_n", "_w"])
+
+    maps = rows.groupBy(*block).cogroup(with_model.groupBy(*block)).applyInPandas(offset, T.StructType([*kf, T.StructField("_blk", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_w", arr)]))
+
+    def compose(blocks: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("_blk")
+        g = one["_g"].iloc[0] if len(one) else None
+        starts: list = [None] * len(blocks)
+        if _filled(g):
+            A, _ = _solve(np.reshape(g, (D, D)), m, k)
+            M = np.zeros((m * lag, m * lag))
+            M[:, :m] = A[1 : 1 + m * lag]
+            M[: m * (lag - 1), m:] = np.eye(m * (lag - 1))
+            state = np.asarray(one["_h"].iloc[0], dtype=float)
+            for i, (n, w) in enumerate(zip(blocks["_n"], blocks["_w"])):
+                starts[i] = [float(x) for x in state]
+                state = state @ np.linalg.matrix_power(M, int(n)) + np.asarray(w, dtype=float)
+        return blocks[block].assign(_g=[g if _filled(g) else None] * len(blocks), _s=starts)
+
+    begun = maps.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(compose, T.StructType([*kf, T.StructField("_blk", T.LongType()), T.StructField("_g", arr), T.StructField("_s", arr)]))
+    schema = T.StructType([*kf, test.schema[panel.ts], *[T.StructField(f"{c}{suffix}", T.DoubleType()) for c in cols], T.StructField("reason", T.StringType())])
+
+    def walk(fut: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        fut, g = fut.sort_values(panel.t), one["_g"].iloc[0]
         pred = np.full((len(fut), m), np.nan)
-        if G is not None:
-            A, _ = _solve(G, m, k)
-            ex = fut[exog].to_numpy(dtype=float)
-            for i in range(len(fut)):
-                x = np.concatenate([[1.0], *[hist[-j] for j in range(1, lag + 1)], ex[i]])
-                pred[i] = x @ A
-                hist.append(pred[i])
-        return _forecast_rows(fut, [*keys, panel.ts], {f"{c}{suffix}": pred[:, i] for i, c in enumerate(cols)}, G is None)
+        if _filled(g):
+            A, _ = _solve(np.reshape(g, (D, D)), m, k)
+            pred, _ = _walk(A, fut[exog].to_numpy(dtype=float), np.asarray(one["_s"].iloc[0], dtype=float), m)
+        return _forecast_rows(fut, [*keys, panel.ts], {f"{c}{suffix}": pred[:, i] for i, c in enumerate(cols)}, not _filled(g))
+
+    return rows.groupBy(*block).cogroup(begun.groupBy(*block)).applyInPandas(walk, schema)
+
 
-    return cp.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fn, schema)
+REFRESH = 256
 
 
-def step_by_step(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], target: str, lag: int, out: str = "y_pred") -> DataFrame:
+def _refit_walk(G: np.ndarray, hist: np.ndarray, truth: np.ndarray, m: int, k: int, ti: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predict a row, append it with the predicted target, refit: the forecasts and the cross products and history after them.
+
+    The refit updates the inverse of the cross products and the coefficients by the new row (computed afresh every ``REFRESH``
+    rows); a singular matrix is solved anew at each row."""
+    pred = np.full(len(truth), np.nan)
+    G, whole = G.copy(), False
+    for i, row in enumerate(truth):
+        if i % REFRESH == 0 or not whole:
+            A, _ = _solve(G, m, k)
+            whole = np.linalg.matrix_rank(G[:k, :k]) == k
+            P = np.linalg.inv(G[:k, :k]) if whole else None
+        x = np.concatenate([[1.0], hist])
+        yhat = x @ A
+        new = np.where(np.isnan(row), yhat, row)
+        new[ti] = pred[i] = yhat[ti]
+        if whole:
+            px = P @ x
+            gain = px / (1.0 + x @ px)
+            A = A + np.outer(gain, new - yhat)
+            P = P - np.outer(gain, px)
+        z = np.concatenate([x, new])
+        G += np.outer(z, z)
+        hist = np.concatenate([new, hist[: len(hist) - m]])
+    return pred, G, hist
+
+
+def step_by_step(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence[str], target: str, lag: int, out: str = "y_pred", block_steps: int = 1 << 16) -> DataFrame:
     """M9: for each test row in time order -- refit VAR(lag) on the history, predict
     one step, keep the target forecast, append the row with its known features and
-    the *predicted* target.  Refits are rank-one updates of the cross products.
+    the *predicted* target.  Refits are rank-one updates of the inverse cross products.
+
+    Each step needs the one before, so a horizon is walked in rounds of ``block_steps`` rows, all series at once; between rounds a series
+    is its cross products and its last ``lag`` rows.
 
     ``target`` must be one of ``cols``.  Returns one row per test row: (keys, ts, t, seg, y, y_pred, reason).  A known feature that is
     missing at a step is taken from the model's own forecast; a series with fewer training rows than the model has
@@ -189,29 +278,42 @@ def step_by_step(train: DataFrame, test: DataFrame, panel: Panel, cols: Sequence
     keys = list(panel.keys)
     ti = cols.index(target)
     cp = _gram(train, panel, cols, [], lag)
-    rows = _tail_and_horizon(train, test, panel, cols, [], lag)
     m, k = len(cols), 1 + len(cols) * lag
     D = k + m
-    schema = T.StructType([*[test.schema[c] for c in (*keys, panel.ts, panel.t, panel.seg)], T.StructField("y", T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField("reason", T.StringType())])
-
-    def fn(gram: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        hist, fut, G = _series_inputs(gram, data, panel, cols, D, lag, k)
-        pred = np.full(len(fut), np.nan)
+    rows = _blocks(test, panel, cols, block_steps)
+    state = _starts(cp, train, panel, cols, lag, D, k, test.schema).checkpoint()
+    kept = [*keys, panel.ts, panel.t, panel.seg]
+    arr = T.ArrayType(T.DoubleType())
+    found = [T.StructField("y", T.DoubleType()), T.StructField(out, T.DoubleType()), T.StructField("reason", T.StringType())]
+    carried = [T.StructField("_g", arr), T.StructField("_h", arr), T.StructField("_carry", T.BooleanType())]
+    schema = T.StructType([*[test.schema[c] for c in kept], *found, *carried])
+    names = [f.name for f in schema.fields]
+
+    def fn(fut: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        fut = fut.sort_values(panel.t)
         truth = fut[cols].to_numpy(dtype=float)
-        if G is not None:
-            G = G.copy()
-            for i in range(len(fut)):
-                A, _ = _solve(G, m, k)
-                x = np.concatenate([[1.0], *[hist[-j] for j in range(1, lag + 1)]])
-                yhat = x @ A
-                new = np.where(np.isnan(truth[i]), yhat, truth[i])
-                new[ti] = pred[i] = yhat[ti]
-                z = np.concatenate([x, new])
-                G += np.outer(z, z)
-                hist.append(new)
-        return _forecast_rows(fut, [*keys, panel.ts, panel.t, panel.seg], {"y": truth[:, ti], out: pred}, G is None)
-
-    return cp.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fn, schema)
+        g = one["_g"].iloc[0] if len(one) else None
+        pred, parts = np.full(len(fut), np.nan), []
+        if _filled(g):
+            pred, G, hist = _refit_walk(np.reshape(g, (D, D)).astype(float), np.asarray(one["_h"].iloc[0], dtype=float), truth, m, k, ti)
+            if len(fut):
+                carry = fut.iloc[:1][kept].assign(y=np.nan, **{out: np.nan}, reason=None, _g=[[float(x) for x in G.ravel()]], _h=[[float(x) for x in hist]], _carry=True)
+                parts = [carry[names]]
+        res = _forecast_rows(fut, kept, {"y": truth[:, ti], out: pred}, not _filled(g))
+        res = res.assign(_g=None, _h=None, _carry=False)[names]
+        return pd.concat([p for p in (res, *parts) if len(p)] or [res])
+
+    last = rows.agg(F.max("_blk")).first()[0] or 0
+    done = []
+    for b in range(last + 1):
+        got = rows.filter(F.col("_blk") == b).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(fn, schema)
+        if last:
+            got = got.checkpoint()
+            state = got.filter("_carry").select(*keys, "_g", "_h")
+        done.append(got.filter("NOT _carry").select(*kept, *[f.name for f in found]))
+    for d in done[1:]:
+        done[0] = done[0].unionByName(d)
+    return done[0]
 
 
 def residuals(df: DataFrame, panel: Panel, coefs: DataFrame, cols: Sequence[str], lag: int, exog: Sequence[str] = ()) -> DataFrame:

@@ -183,3 +183,60 @@ def test_constant_regressor_gets_zero_coefficient():
     b0, w = solve_gram(Z.T @ Z, 40, "ols")
     ref = np.linalg.lstsq(np.column_stack([x1 - x1.mean(), x2 - x2.mean()]), y - y.mean(), rcond=None)[0]
     assert w[0] == 0.0 and abs(w[1] - ref[1]) < 1e-9 and abs(b0 - (y.mean() - x2.mean() * w[1])) < 1e-9
+
+
+def test_var_blocks_equal_one_walk(spark):
+    """Any block size gives the multi-step and the step-by-step forecast of one long walk, missing values included."""
+    import pandas as pd
+
+    from panelcast.models import var
+    from panelcast.plans.panel import Panel, regularize
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in ("a", "b"):
+        v = np.zeros((150, 2))
+        for i in range(2, 150):
+            v[i] = 0.5 * v[i - 1] + [[0.1, -0.2], [0.3, 0.1]] @ v[i - 2] + rng.normal(size=2)
+        rows += [(key, pd.Timestamp("2020-01-06") + pd.Timedelta(weeks=i), *map(float, v[i]), float(rng.normal())) for i in range(150)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["key", "wk", "v", "w", "x"]))
+    df = regularize(df.withColumn("wk", F.to_date("wk")), Panel(keys=("key",), ts="wk", freq="week"))
+    p = Panel(keys=("key",), ts="wk", freq="week")
+    tr, te = df.filter("wk < '2022-01-03'"), df.filter("wk >= '2022-01-03'")
+    te = te.withColumn("x", F.when(~((F.col("key") == "b") & (F.col("wk") == F.lit("2022-03-07").cast("date"))), F.col("x")))
+    te = te.withColumn("w", F.when(F.col("wk") != F.lit("2022-02-07").cast("date"), F.col("w")))
+
+    def multi(n):
+        return var.forecast(tr, te, p, ["v", "w"], 2, exog=["x"], block_steps=n).toPandas().sort_values(["key", "wk"])
+
+    def steps(n):
+        return var.step_by_step(tr, te, p, ["w", "v"], "v", 2, block_steps=n).toPandas().sort_values(["key", "wk"])
+
+    for run, col in ((multi, "v_fc"), (steps, "y_pred")):
+        whole = run(1000)
+        for n in (1, 7):
+            got = run(n)
+            assert np.allclose(got[col].to_numpy(float), whole[col].to_numpy(float), atol=1e-9, equal_nan=True)
+            assert list(got["reason"].fillna("")) == list(whole["reason"].fillna(""))
+    assert multi(7)["v_fc"].isna().sum() > 3  # after the missing exogenous value
+
+
+def test_refit_walk_equals_new_solutions():
+    from panelcast.models.var import _refit_walk, _solve
+
+    rng = np.random.default_rng(2)
+    m, k = 2, 5
+    z = np.concatenate([np.ones((60, 1)), rng.normal(size=(60, 6))], 1)
+    G, hist, truth = z.T @ z, rng.normal(size=4), rng.normal(size=(600, 2))
+    pred, after, _ = _refit_walk(G, hist, truth, m, k, 1)
+    g, h = G.copy(), hist.copy()
+    for i, row in enumerate(truth):
+        x = np.concatenate([[1.0], h])
+        yhat = x @ _solve(g, m, k)[0]
+        assert abs(pred[i] - yhat[1]) < 1e-9
+        new = row.copy()
+        new[1] = yhat[1]
+        z1 = np.concatenate([x, new])
+        g += np.outer(z1, z1)
+        h = np.concatenate([new, h[:2]])
+    assert np.allclose(after, g)
