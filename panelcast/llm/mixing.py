@@ -2,7 +2,7 @@
 
 A source's target divided by its size is the number of copies expected of each of its
 documents.  The documents of a source stand in a fixed order (size class, then a hash of id
-and seed, then the id); the running sum of expected copies plus one random offset per source
+and seed, then the id, the size and a hash of the text); the running sum of expected copies plus one random offset per source
 gives a copy each time it passes an integer.  A document therefore gets the whole part of its
 expectation or one more, and because neighbours are alike in size, the words taken stay
 within about one size class step of the target.  Copies are counted in whole 2^-24ths, so
@@ -19,7 +19,7 @@ row per source goes to the driver; more than ``max_sources`` sources is an error
 
 Defined cases: a null or empty text has size 0 and takes nothing (it may still be emitted); a
 null source is a source of its own, last in order; a source of size 0 has target 0; repeated rows
-are documents of their own; rows with null ids come last in their cell; an empty table gives an empty
+are documents of their own; rows with null ids stand by a hash of their text; an empty table gives an empty
 result; other columns are carried along untouched.
 """
 
@@ -48,8 +48,10 @@ def size_class(size: Column) -> Column:
     return (F.length(s) * 100 + F.substring(s, 1, 2).cast("int")).cast("int")
 
 
-def shuffle_hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def shuffle_hash(key: Column, seed: int, text: Column | None = None) -> Column:
+    """Where a row stands among its like; rows without a key are told apart by their text."""
+    other = F.lit("") if text is None else F.concat(F.lit("?"), F.xxhash64(text).cast("string"))
+    return F.md5(F.concat(F.coalesce(key.cast("string"), other), F.lit(f":{seed}")))
 
 
 def offset_units(source: Column, seed: int) -> Column:
@@ -90,8 +92,9 @@ def plan_copies(
     """The rows of ``docs`` (columns ``keep``, all by default) with ``__size, __source_size, __target, __copies``."""
     spark = prepare(docs.sparkSession)
     cols = docs.columns if keep is None else list(keep)
-    rows = docs.select(*[F.col(c) for c in cols], n_words(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), F.col(id_col).alias("__id"))
-    rows = rows.withColumn("__class", size_class(F.col("__size"))).withColumn("__hash", shuffle_hash(F.col("__id"), seed))
+    rows = docs.select(*[F.col(c) for c in cols], n_words(F.col(text_col)).alias("__size"), F.col(source_col).alias("__source"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = rows.withColumn("__tie", F.xxhash64("__text")).withColumn("__class", size_class(F.col("__size"))).withColumn("__hash", shuffle_hash(F.col("__id"), seed, F.col("__text")))
+    rows = rows.drop("__text")
     slim = rows.select("__source", "__class", "__hash", "__size")
 
     per_class = slim.groupBy("__source", "__class").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -114,7 +117,7 @@ def plan_copies(
     cells = cells.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     cells = cells.join(rates, same(cells, rates)).select(cells["__source"].alias("__cs"), cells["__class"].alias("__cc"), cells["__cut"].alias("__ck"), "__before", "__source_size", "__target", "__rate")
 
-    within = Window.partitionBy(*cell).orderBy("__hash", F.col("__id").asc_nulls_last())
+    within = Window.partitionBy(*cell).orderBy("__hash", F.col("__id").asc_nulls_last(), "__size", "__tie")
     placed = rows.withColumn("__cut", cut).withColumn("__place", F.row_number().over(within))
     on = placed["__source"].eqNullSafe(cells["__cs"]) & (placed["__class"] == cells["__cc"]) & (placed["__cut"] == cells["__ck"])
     full = placed.join(cells, on)

@@ -3,7 +3,7 @@
 A sentence ends behind a word that ends in ``.``, ``!`` or ``?`` and before a line break.  From every sentence
 a span runs on until it has ``sentences`` sentences and ``words`` words, or ``long_words`` words.  Spans are
 compared by a 128-bit hash of their words (A-Z as a-z, white space of any kind alike).  The first
-place of a span is the one with the smallest (id, sentence); every sentence covered by a span at
+place of a span is the one with the smallest (id, hash of the text, sentence); every sentence covered by a span at
 any other place is removed, with the white space behind it.
 
 Scale: one row a sentence is counted by a partial aggregation.  Spans with more than 1 / HEAVY_SHARE of all repeated
@@ -12,7 +12,7 @@ other spans join them by a shuffle in which no key is hot; texts are shuffled on
 
 Defined cases: a null text is empty and stays null-free (empty string out); a text without a full span loses
 nothing; rows without id stay as they are; rows that repeat an id and text are one document, each
-row cut alike; an empty table gives an empty result; other columns are ignored.
+row cut alike; rows that share an id but not a text are documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _span_rows(rule, box=None):
     def run(batches):
         for batch in batches:
             for lo, hi in W.groups(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                ids, same = (batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in (0, 2))
                 h, _, _, s_first, s_text = sentences(*W.buffers(batch.column(1).slice(lo, hi - lo)))
                 end, h1, h2 = spans(h, s_first, s_text, *rule)
                 ok = end >= 0
@@ -97,8 +97,8 @@ def _span_rows(rule, box=None):
                     ok &= _heavy(box.value, h1, h2) < 0
                 at = np.arange(len(s_text)) - np.searchsorted(s_text, s_text)
                 yield pa.record_batch(
-                    [pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array(ids[s_text[ok]].astype(np.int64)), pa.array(at[ok].astype(np.int32)), pa.array((end - np.arange(len(s_text)))[ok].astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "at", "len"],
+                    [pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array(ids[s_text[ok]].astype(np.int64)), pa.array(same[s_text[ok]].astype(np.int64)), pa.array(at[ok].astype(np.int32)), pa.array((end - np.arange(len(s_text)))[ok].astype(np.int32))],
+                    names=["h1", "h2", "doc_id", "same", "at", "len"],
                 )
 
     return run
@@ -110,7 +110,7 @@ def _cut(rule, box):
     def run(batches):
         table = box.value
         for batch in batches:
-            ids, texts, places = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            ids, texts, places, same = batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
             for lo, hi in W.groups(texts):
                 part = texts.slice(lo, hi - lo)
                 data, offsets = W.buffers(part)
@@ -120,8 +120,9 @@ def _cut(rule, box):
                 end, h1, h2 = spans(h, s_first, s_text, *rule)
                 common = np.where(end >= 0, _heavy(table, h1, h2), -1)
                 for j in np.flatnonzero(common >= 0):
-                    doc = ids[lo + int(s_text[j])].as_py()
-                    if doc is not None and (doc, int(j - s_of[s_text[j]])) != table[2][common[j]]:
+                    i = lo + int(s_text[j])
+                    doc = ids[i].as_py()
+                    if doc is not None and (doc, same[i].as_py(), int(j - s_of[s_text[j]])) != table[2][common[j]]:
                         gone[j] += 1
                         gone[end[j]] -= 1
                 for i in range(hi - lo):
@@ -159,13 +160,15 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     spark = prepare(docs.sparkSession)
     rule = (least_sentences, least_words, long_words)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known, kind = texts.where("doc_id IS NOT NULL"), "h1 long, h2 long, doc_id long, at int, len int"
-    seen = known.mapInArrow(_span_rows(rule), kind).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = texts.withColumn("same", F.xxhash64("text"))  # with the id, the document
+    known, kind, place = texts.where("doc_id IS NOT NULL"), "h1 long, h2 long, doc_id long, same long, at int, len int", ["doc_id", "same", "at"]
+    seen = known.mapInArrow(_span_rows(rule), kind).groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = stage(seen, "spans")
     bar = max(1, (seen.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE)
-    heavy = sorted(((r["h1"] % (1 << 64), r["h2"] % (1 << 64), (r["first"]["doc_id"], r["first"]["at"])) for r in seen.where(F.col("n") > bar).collect()))
+    heavy = sorted(((r["h1"] % (1 << 64), r["h2"] % (1 << 64), tuple(r["first"])) for r in seen.where(F.col("n") > bar).collect()))
     box = spark.sparkContext.broadcast((np.array([x[0] for x in heavy], np.uint64), np.array([x[1] for x in heavy], np.uint64), [x[2] for x in heavy]))
     rare = known.mapInArrow(_span_rows(rule, box), kind)
-    again = rare.join(seen.where(F.col("n") <= bar), ["h1", "h2"]).where("(doc_id, at) <> (first.doc_id, first.at)")
-    gone = again.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("gone"))
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut(rule, box), "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
+    again = rare.join(seen.where(F.col("n") <= bar), ["h1", "h2"]).where("(doc_id, same, at) <> (first.doc_id, first.same, first.at)")
+    gone = again.groupBy("doc_id", "same").agg(F.collect_set(F.struct("at", "len")).alias("gone"))
+    cut = texts.join(gone, ["doc_id", "same"], "left").select("doc_id", "text", "gone", "same")
+    return cut.mapInArrow(_cut(rule, box), "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
