@@ -2,19 +2,19 @@
 
 Tokens are the words of a text (A-Z as a-z) and one end.  Counts cover every training text and every n-gram up to ``order``; none is left out.
 
-* **Smoothing.**  ``p(w | h) = (c(hw) + MASS p(w | h')) / (c(h) + MASS)``, ``h'`` being ``h`` without its first word; below the words, all words and one
-  unknown are alike.  So a history hands ``MASS / (c(h) + MASS)`` of its probability to ``h'``.
+* **Smoothing.**  ``p(w | h) = (1 - b) c(hw) / c(h) + b p(w | h')``, ``h'`` being ``h`` without its first word and ``b`` the share that a history of its length hands
+  down (``BACK``).  Words have ``(1 - u) c(w) / N``, any unknown word ``u``: the share of training tokens that occur once.
 * **Automaton.**  States are the histories seen in training: the empty one, words, pairs and so on up to ``order - 1`` words.  An n-gram ``hw`` is an arc
-  from ``h`` with weight ``log p(w | h)`` to the longest end of ``hw`` that is a state.  A state without an arc for the next word takes its failure arc to ``h'``, whose
-  weight is what ``h`` hands down; the empty history has an arc for every word.
+  from ``h`` with weight ``log p(w | h)`` to the longest end of ``hw`` that is a state.  A state without an arc for the next word takes its failure arc to ``h'`` of
+  weight ``log b``; the empty history has an arc for every word.
 * **Traversal.**  A text is read once from left to right with one state, adding the weights of the arcs taken.  As a state depends on the last
   ``order - 1`` words only, long texts are cut into lanes of ``LANE`` tokens, each read up to its place from ``order - 1`` tokens before; all lanes of
   a unit take their steps together.
 
-Scale: texts are dealt to units of some megabytes.  A unit sends each of its distinct n-grams once, with its count in training texts, as packed blocks of sorted
+Scale: texts are dealt to units of some megabytes, written in buckets by unit, so that they never shuffle.  A unit sends each of its distinct n-grams once, with its count in training texts, as packed blocks of sorted
 hashes, one a range of hashes; a range's task adds up the counts of all units and answers each block in its own order (so without hashes).  With
 the answers the unit builds the part of the automaton that its texts can reach.  A frequent n-gram has one entry a unit; nothing is
-collected but two sums.  The answers grow with the corpus, the automaton of a unit does not.
+collected but three sums.  The answers grow with the corpus, the automaton of a unit does not.
 
 Defined cases: a null or empty text is the end alone; without training text all scores are 0; repeated rows and ids get a row each; a null id
 counts as the empty string in the fold; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +22,8 @@ counts as the empty string in the fold; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
 from panelcast.llm.util import give_back, prepare, stage
+from panelcast.plans.panel import _work_db as work_database
 
 END = np.uint64(W.splitmix(31337))
 ORDER = 3
-MASS = 2.0
-UNIT_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20
+BACK = (0.6, 0.45)  # handed down by histories of one word, of two words (and longer)
+UNIT_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
+MOST_BUCKETS = 8192
 LANE = 256
 
 
@@ -156,7 +160,7 @@ def _blocks(order: int, ranges: int):
 
 
 def _add_up(t: pa.Table) -> pa.Table:
-    """The totals of a range, for each block in its own order; the first row also has their sum and how many are not 0."""
+    """The totals of a range, for each block in its own order; the first row also has their sum, how many are not 0 and how many are 1."""
     keys = [unpack(b) for b in t.column("keys").to_pylist()]
     counts = [unpack_counts(b, len(k)) for b, k in zip(t.column("counts").to_pylist(), keys)]
     ends = np.cumsum([len(k) for k in keys])
@@ -164,8 +168,8 @@ def _add_up(t: pa.Table) -> pa.Table:
     totals = np.bincount(which, np.concatenate(counts)).astype(np.int64)
     out = [pack_counts(totals[which[e - len(k) : e]]) for e, k in zip(ends, keys)]
     first = np.arange(len(out)) == 0
-    mass, types = np.where(first, totals.sum(), 0), np.where(first, (totals > 0).sum(), 0)
-    got = pa.table([t.column("part"), t.column("unit"), pa.array([len(k) for k in keys]), pa.array(out, pa.binary()), pa.array(mass), pa.array(types)], names=["part", "unit", "n", "totals", "mass", "types"])
+    facts = {"mass": totals.sum(), "types": (totals > 0).sum(), "ones": (totals == 1).sum()}
+    got = pa.table([t.column("part"), t.column("unit"), pa.array([len(k) for k in keys]), pa.array(out, pa.binary()), *[pa.array(np.where(first, v, 0)) for v in facts.values()]], names=["part", "unit", "n", "totals", *facts])
     del keys, counts, which, totals
     give_back()
     return got
@@ -177,33 +181,40 @@ def _add_up(t: pa.Table) -> pa.Table:
 class Automaton:
     """The states and arcs that some texts can reach.
 
-    State 0 is the empty history; then come the words, pairs, ... of the texts.  ``arcs`` are sorted numbers ``state * words + word``."""
+    State 0 is the empty history; then come the words, pairs, ... of the texts.  ``arcs`` are sorted numbers ``state * words + word``.
+    ``totals``: the counts of the texts' distinct words, then of their pairs, ..., each in the order of their hashes."""
 
-    def __init__(self, t: np.ndarray, first: np.ndarray, order: int, totals: list[np.ndarray], mass: int, types: int):
-        gram, at, place = [], [], []  # per order: which n-gram ends at each token, and one place of each
+    def __init__(self, t: np.ndarray, first: np.ndarray, order: int, totals: np.ndarray, mass: int, ones: int):
+        gram, at = [], []  # per order: which n-gram ends at each token, and one place of each
         for n in range(1, order + 1):
             g, last = _grams(t, first, n)
             _, one, which = np.unique(g, return_index=True, return_inverse=True)
-            ends = np.full(len(t), -1)
+            ends = np.full(len(t), -1, np.int32)
             ends[last] = which
             gram.append(ends)
-            at.append(last[one])
+            at.append(last[one].astype(np.int32))
+        counts, totals = totals, []
+        for a in at:
+            totals.append(counts[: len(a)])
+            counts = counts[len(a) :]
         self.word = gram[0]
         self.words = len(at[0])
         base = np.cumsum([1] + [len(a) for a in at])  # the first state of each order
         c = totals[0]
-        p = [(c + MASS / (types + 1)) / (mass + MASS)]
+        unknown = (ones + 1) / (mass + 2)
+        p = [np.where(c > 0, (1 - unknown) * c / max(mass, 1), unknown)]
         self.root_weight, self.root_next = np.log10(p[0]), np.where(c > 0, base[0] + np.arange(len(c)), 0)
         self.fail_weight, self.fail_next = [np.zeros(1)], [np.zeros(1, np.int64)]
         keys, weights, nexts = [], [], []
         for n in range(2, order + 1):
             history, end = gram[n - 2][at[n - 1] - 1], gram[n - 2][at[n - 1]]
             seen = totals[n - 2][history]
-            p.append((totals[n - 1] + MASS * p[n - 2][end]) / (seen + MASS))
-            self.fail_weight.append(np.log10(MASS / (totals[n - 2] + MASS)))
+            back = BACK[min(n - 2, len(BACK) - 1)]
+            p.append((1 - back) * totals[n - 1] / np.maximum(seen, 1) + back * p[n - 2][end])
+            self.fail_weight.append(np.full(len(at[n - 2]), np.log10(back)))
             self.fail_next.append(np.zeros(len(at[0]), np.int64) if n == 2 else base[n - 3] + gram[n - 3][at[n - 2]])
             on = np.flatnonzero(totals[n - 1] > 0)
-            keys.append((base[n - 2] + history[on]) * self.words + self.word[at[n - 1][on]])
+            keys.append((base[n - 2] + history[on].astype(np.int64)) * self.words + self.word[at[n - 1][on]])
             weights.append(np.log10(p[n - 1][on]))
             nexts.append(base[n - 1] + on if n < order else base[n - 2] + end[on])
         self.fail_weight, self.fail_next = np.concatenate(self.fail_weight), np.concatenate(self.fail_next)
@@ -211,7 +222,7 @@ class Automaton:
         by_key = np.argsort(keys, kind="stable")
         self.arcs = np.append(keys[by_key], np.iinfo(np.int64).max)
         self.weight, self.next = (np.concatenate(x)[by_key] if x else np.zeros(0) for x in (weights, nexts))
-        self.order, self.first = order, first
+        self.order, self.first, self.counts = order, first, c
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after ``word`` and the weights of the arcs taken, failure arcs included."""
@@ -254,18 +265,13 @@ class Automaton:
         return np.add.reduceat(sums, np.cumsum(lanes) - lanes) if len(sums) else sums
 
 
-def _score(order: int, mass: int, types: int):
+def _score(order: int, mass: int, types: int, ones: int):
     def run(unit: pa.Table, answers: pa.Table) -> pa.Table:
         t, first = _tokens(unit.column("text").combine_chunks().flatten())
         rows = sorted(zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("totals").to_pylist()))
         got = np.concatenate([unpack_counts(b, n) for _, n, b in rows])
-        totals, at = [], 0
-        for n in range(1, order + 1):
-            k = len(np.unique(_grams(t, first, n)[0]))
-            totals.append(got[at : at + k])
-            at += k
-        c = totals[0]
-        auto = Automaton(t, first, order, totals, mass, types)
+        auto = Automaton(t, first, order, got, mass, ones)
+        c = auto.counts
         score = auto.scores() if mass else np.zeros(len(first) - 1)
         known, base = (c > 0)[auto.word], np.log10((c + 1.0) / (mass + types + 1))[auto.word]
         sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
@@ -273,24 +279,33 @@ def _score(order: int, mass: int, types: int):
             [unit.column("doc_id").combine_chunks().flatten(), pa.array(np.diff(first)), sums(known.astype(np.int64)), sums(base), pa.array(score)],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
-        del auto, got, totals, t, known, base
+        del auto, got, t, known, base, c
         give_back()
         return out
 
     return run
 
 
+def _bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
+    """``df`` written as a table in ``n`` buckets: what is keyed alike meets it without a shuffle of its rows."""
+    spark = df.sparkSession
+    name = f"{work_database(spark)}.units_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, is_training, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``; the model learns from the rows where
     ``is_training`` holds."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    units = stage(rows.mapInArrow(_deal, UNIT), "units")
-    ranges = max(1, -(-(units.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units = _bucketed(rows.mapInArrow(_deal, UNIT), "unit", min(MOST_BUCKETS, max(1, -(-size // UNIT_BYTES))))
+    ranges = max(1, -(-size // RANGE_BYTES))
     blocks = units.select("unit", "train", "text").mapInArrow(_blocks(order, ranges), "part int, unit long, keys binary, counts binary")
     blocks = blocks.repartition(order * ranges, "part")
-    answers = stage(blocks.groupBy("part").applyInArrow(_add_up, "part int, unit long, n long, totals binary, mass long, types long"), "answers")
-    mass, types = (int(x or 0) for x in answers.where(F.col("part") < ranges).agg(F.sum("mass"), F.sum("types")).first())
+    answers = stage(blocks.groupBy("part").applyInArrow(_add_up, "part int, unit long, n long, totals binary, mass long, types long, ones long"), "answers")
+    mass, types, ones = (int(x or 0) for x in answers.where(F.col("part") < ranges).agg(F.sum("mass"), F.sum("types"), F.sum("ones")).first())
     out = units.groupBy("unit").cogroup(answers.select("unit", "part", "n", "totals").groupBy("unit"))
-    out = out.applyInArrow(_score(order, mass, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = out.applyInArrow(_score(order, mass, types, ones), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(mass).cast("long").alias("train_tokens"), "base_score", "score")

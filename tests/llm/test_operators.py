@@ -168,6 +168,27 @@ def test_encode_pieces():
         assert [int.from_bytes(coded[i : i + 4], "little") for i in range(0, len(coded), 4)] == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_span_dedup_same_in_a_padded_corpus(spark, docs):
+    """Rows that share an id but not a text lose the same alone and among many others."""
+    rng = random.Random(11)
+    a, b, c = (" ".join(sentence(rng, 12) for _ in range(4)) for _ in range(3))
+    few = spark.createDataFrame([(2, a), (2, b), (1, a + " " + c)], "doc_id long, text string")
+    pad = spark.createDataFrame([(i + 10, " ".join(sentence(rng, 9) for _ in range(3))) for i in range(3000)], "doc_id long, text string")
+    cols = ["doc_id", "n_sentences", "n_removed", "text"]
+    alone = got_rows(span_dedup.remove_repeats(few), cols)
+    assert sorted(r[2] for r in alone) == [0, 0, 4] and (2, 4, 0, b) in alone
+    among = got_rows(span_dedup.remove_repeats(few.unionAll(pad).repartition(5)).where("doc_id < 10"), cols)
+    assert among == alone
+
+
+def test_mixing_ties(spark):
+    """Null and equal ids: the same rows, dealt otherwise, get the same copies."""
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (5 + i % 3)) + f" x{i}", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted((r.text, r["__copies"]) for r in mixing.plan_copies(df.repartition(n), cell_rows=c).collect()) for n, c in ((1, 1_000_000), (3, 1_000_000), (7, 1_000_000), (5, 20))]
+    assert got[0] == got[1] == got[2] == got[3] and len({c for _, c in got[0]}) == 2
+
+
 def test_mixing_near_targets_and_stable(docs, with_odd_rows):
     cells = [sorted((r.doc_id, r["__copies"]) for r in mixing.plan_copies(docs, keep=("doc_id",), cell_rows=c).collect()) for c in (1_000_000, 2)]
     assert cells[0] == cells[1]
@@ -280,12 +301,14 @@ def plain_automaton(toks, training):
     for i, w in toks.items():
         for n in (1, 2, 3):
             c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1) if i in training)
-    total, types, m = sum(c[1].values()), len(c[1]), lm_score.MASS
+    total, types = sum(c[1].values()), len(c[1])
+    unknown = (sum(v == 1 for v in c[1].values()) + 1) / (total + 2)
 
     def p(h, w):
         if not h:
-            return (c[1][(w,)] + m / (types + 1)) / (total + m)
-        return (c[len(h) + 1][h + (w,)] + m * p(h[1:], w)) / (c[len(h)][h] + m)
+            return (1 - unknown) * c[1][(w,)] / total if c[1][(w,)] else unknown
+        back = lm_score.BACK[len(h) - 1]
+        return (1 - back) * c[len(h) + 1][h + (w,)] / c[len(h)][h] + back * p(h[1:], w) if c[len(h)][h] else p(h[1:], w)
 
     def state(h):
         while h and (len(h) > 2 or h not in c[len(h)]):
@@ -293,7 +316,7 @@ def plain_automaton(toks, training):
         return h
 
     arcs = {g: (math.log10(p(g[:-1], g[-1])), state(g)) for n in (1, 2, 3) for g in c[n]}
-    fail = {h: (math.log10(m / (c[len(h)][h] + m)), h[1:]) for n in (1, 2) for h in c[n]}
+    fail = {h: (math.log10(lm_score.BACK[n - 1]), h[1:]) for n in (1, 2) for h in c[n]}
 
     def walk(w):
         now, total_log = (), 0.0
@@ -330,7 +353,7 @@ def test_lm_units_ranges_and_lanes(docs, spark, monkeypatch, unit, span, lane):
     texts = pa.array([r[1] for r in fixture_rows()])
     t, first = lm_score._tokens(texts)
     totals = [np.unique(lm_score._grams(t, first, n)[0], return_counts=True)[1] for n in (1, 2, 3)]
-    auto = lm_score.Automaton(t, first, 3, totals, len(t), len(totals[0]))
+    auto = lm_score.Automaton(t, first, 3, np.concatenate(totals), len(t), len(totals[0]))
     whole = auto.scores()
     monkeypatch.setattr(lm_score, "LANE", lane)
     assert np.allclose(auto.scores(), whole)
