@@ -1564,9 +1564,7 @@ def q_gridsearch1(spark, d):
     return g.select("n_name", "alpha", r4("mean_r2"), "best")
 
 
-@register(
-    "q_walkforward1",
-    f"""WITH {_SCALED_SQL},
+_WALK_SQL = f"""WITH {_SCALED_SQL},
 cc AS (SELECT n_name, wk, t, cnt AS y, avg_price AS x FROM zp WHERE cnt IS NOT NULL AND avg_price IS NOT NULL),
 ps AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY n_name) AS n FROM cc),
 fz AS (SELECT *, floor(n * 0.2) AS size FROM ps),
@@ -1574,7 +1572,7 @@ fr AS (SELECT *, round_even(n / nullif(size, 0), 0) AS nfr, floor(pos / nullif(s
 fa AS (SELECT *, CAST(f AS BIGINT) AS frame, least(size, n - f * size) AS flen FROM fr WHERE f < nfr),
 pt AS (SELECT *, CASE WHEN pos - frame * size >= flen - ceil(flen * 0.3) THEN 'test' ELSE 'train' END AS part FROM fa),
 fit AS (SELECT n_name, frame, CASE WHEN var_pop(x) = 0 THEN 0 ELSE covar_pop(y, x) / var_pop(x) END AS w, avg(x) AS mx, avg(y) AS my
-  FROM pt WHERE part = 'train' GROUP BY 1, 2),
+  FROM (%s) WHERE part = 'train' GROUP BY 1, 2),
 pr AS (SELECT pt.n_name, pt.frame, pt.t, pt.y, (fit.my - fit.w * fit.mx) + fit.w * pt.x AS yp
   FROM pt JOIN fit ON pt.n_name = fit.n_name AND pt.frame = fit.frame WHERE pt.part = 'test'),
 sm AS (SELECT a.n_name, a.frame, a.t, a.y,
@@ -1584,8 +1582,10 @@ us AS (SELECT sm.n_name, sm.frame,
   sm.y * CASE WHEN zs.sc IS NULL OR zs.sc = 0 THEN 1 ELSE zs.sc END + zs.mc AS y,
   sm.yp * CASE WHEN zs.sc IS NULL OR zs.sc = 0 THEN 1 ELSE zs.sc END + zs.mc AS yp FROM sm JOIN zs ON sm.n_name = zs.n_name),
 mae AS (SELECT n_name, frame, avg(abs(y - yp)) AS mae FROM us GROUP BY 1, 2)
-SELECT n_name, round(avg(mae), 4) AS mean_mae FROM mae GROUP BY 1""",
-)
+SELECT n_name, round(avg(mae), 4) AS mean_mae FROM mae GROUP BY 1"""
+
+
+@register("q_walkforward1", _WALK_SQL.replace("%s", "SELECT * FROM pt"))
 def q_walkforward1(spark, d):
     """M18 AG3: walk-forward frames (20 %), per-frame OLS on the scaled price, EWM(5) of the
     validation predictions, un-scaled, MAE per frame averaged per nation."""
@@ -1595,3 +1595,25 @@ def q_walkforward1(spark, d):
     z = z.na.drop(subset=["cnt", "avg_price"])
     _, mean = predict.walk_forward(z, p, ["avg_price"], "cnt", stats=st)
     return mean.select("n_name", r4("mean_mae"))
+
+
+@register("q_walkforward2", _WALK_SQL.replace("%s", "SELECT f.n_name, f.frame, pt.x, pt.y, pt.part FROM (SELECT DISTINCT n_name, frame FROM pt) f JOIN pt ON pt.n_name = f.n_name AND pt.frame <= f.frame"))
+def q_walkforward2(spark, d):
+    """M18 AG3: the same with frames that train on all training rows so far, by running sums of cross products."""
+    from panelcast.operators import predict
+
+    z, p, st = scaled_panel(spark, d)
+    z = z.na.drop(subset=["cnt", "avg_price"])
+    _, mean = predict.walk_forward(z, p, ["avg_price"], "cnt", stats=st, expanding=True)
+    return mean.select("n_name", r4("mean_mae"))
+
+
+@register("q_walkforward_models")
+def q_walkforward_models(spark, d):
+    """M18 for models of the registry: boosting that goes on from frame to frame, a tree and a regression fitted anew, scores per model."""
+    from panelcast.operators import predict
+
+    z, p, st = scaled_panel(spark, d)
+    z = features.lags(z, p, ["cnt"], 1, fmt="{col}_l{j}").na.drop()
+    _, mean = predict.walk_forward_models(z, p, ["XGBRegressor", "DecisionTreeRegressor", "LinearRegression"], ["avg_price", "cnt_l1"], "cnt", carry=True, stats=st)
+    return mean

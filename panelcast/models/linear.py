@@ -95,12 +95,18 @@ def fit(
     l1_ratio: float = 0.5,
     intercept: bool = True,
     by: Sequence[str] = (),
+    running: bool = False,
 ) -> DataFrame:
-    """Fit one linear model per series (and ``by`` group): (keys..., intercept, coef, n)."""
+    """Fit one linear model per series (and ``by`` group): (keys..., intercept, coef, n).
+
+    ``running``: a group's model is that of its rows and of all rows in groups before it (in order of the one ``by`` column), read off
+    the running sum of the groups' cross products; no row is copied into later groups."""
     keys = [*panel.keys, *by]
     z = ["_one", *xcols, y]
     d = df.withColumn("_one", F.lit(1.0))
     cp = cross_products(d, keys, z)
+    if running:
+        cp = _running(cp, list(panel.keys), by[0])
     D = len(z)
     schema = T.StructType(
         [*[df.schema[k] for k in keys], T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]
@@ -118,6 +124,17 @@ def fit(
     return cp.mapInPandas(fn, schema)
 
 
+def _running(cp: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Cross products per (series, group) as sums over the groups up to each."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        g = np.cumsum(np.stack(pdf["g"].to_numpy()), axis=0)
+        return pdf.assign(n=pdf["n"].cumsum(), g=[row.tolist() for row in g])
+
+    return cp.groupBy(*keys).applyInPandas(fn, cp.schema)
+
+
 def predict(df: DataFrame, panel: Panel, coefs: DataFrame, xcols: Sequence[str], out: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
     """Attach each series' coefficients and evaluate ``intercept + x . coef`` JVM-side."""
     c = coefs.select(*panel.keys, *by, F.col("intercept").alias("_b0"), F.col("coef").alias("_w"))

@@ -799,3 +799,25 @@ class TreeModel:
         self.trees = spark.read.parquet(f"{path}/trees")
         self.ranks = spark.read.parquet(f"{path}/ranks") if self.series_col else None
         return self
+
+
+class Chain:
+    """Boosted models fitted one after the other, each to what those before it leave of the label; their sum predicts.  ``unfitted`` makes the next one."""
+
+    def __init__(self, unfitted):
+        self.unfitted, self.models = unfitted, []
+
+    def fit(self, df: DataFrame) -> "Chain":
+        m = self.unfitted()
+        if self.models:
+            m.spec = replace(m.spec, base=0.0)
+            df = self.transform(df, "__sofar").withColumn(m.label, F.col(m.label) - F.col("__sofar")).drop("__sofar")
+        self.models.append(m.fit(df))
+        return self
+
+    def transform(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
+        total = F.lit(0.0)
+        for i, m in enumerate(self.models):
+            df = m.transform(df).withColumnRenamed(m.out, f"__p{i}")
+            total = total + F.col(f"__p{i}")
+        return df.withColumn(out, total).drop(*[f"__p{i}" for i in range(len(self.models))])

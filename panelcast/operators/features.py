@@ -20,18 +20,17 @@ from pyspark.sql import functions as F
 from panelcast.operators.smooth import ewm
 from panelcast.plans.panel import Panel, attach_series, row_index, seg_carry_sum, with_lag_cols, with_position
 
-# Column names of the weekly climate feature table and its
-# feature groups, in the order the feature table lists them.
+# Column names of the weekly climate feature table by feature group.
 FEATURE_GROUPS = {
     "temperature": [
         "station_min_temp_c",
-        "station_max_temp_c",
-        "station_avg_temp_c",
-        "station_diur_temp_rng_c",
         "reanalysis_min_air_temp_k",
         "reanalysis_max_air_temp_k",
+        "station_max_temp_c",
+        "station_avg_temp_c",
         "reanalysis_avg_temp_k",
         "reanalysis_air_temp_k",
+        "station_diur_temp_rng_c",
         "reanalysis_tdtr_k",
     ],
     "vegetation": ["ndvi_ne", "ndvi_nw", "ndvi_sw", "ndvi_se"],

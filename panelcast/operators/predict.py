@@ -58,8 +58,8 @@ def walk_forward(
     with EWM(span) inside each frame's validation rows, optionally un-scaled with
     scaler statistics, scored per frame (AG2) and averaged (AG3).
 
-    ``expanding`` trains frame f on the training rows of frames <= f (Spark
-    estimators do not resume), else on frame f alone.  Returns (scores, mean).
+    ``expanding`` trains frame f on the training rows of frames <= f, else on frame f alone; the
+    model of a frame is read off the running sum of the frames' cross products.  Returns (scores, mean).
     """
     from dataclasses import replace
 
@@ -73,12 +73,7 @@ def walk_forward(
 
     fr = frames(df, panel, frame_frac, test_frac).filter(F.col("frame").isNotNull())
     train = fr.filter(F.col("part") == "train")
-    if expanding:
-        nfr = fr.groupBy(*panel.keys).agg(F.max("frame").alias("_fmax"))
-        train = train.join(nfr, list(panel.keys)).withColumn(
-            "frame", F.explode(F.sequence(F.col("frame"), F.col("_fmax")))
-        ).drop("_fmax")
-    coefs = linear.fit(train, panel, xcols, y, method=method, alpha=alpha, by=["frame"])
+    coefs = linear.fit(train, panel, xcols, y, method=method, alpha=alpha, by=["frame"], running=expanding)
     test = fr.filter(F.col("part") == "test")
     pr = linear.predict(test, panel, coefs, xcols, by=["frame"])
     fpanel = replace(panel, keys=(*panel.keys, "frame"))
@@ -89,6 +84,67 @@ def walk_forward(
     return sc, scr.mean_score(sc, by=list(panel.keys))
 
 
+def walk_forward_models(
+    df,
+    panel,
+    names: Sequence[str],
+    xcols: Sequence[str],
+    y: str,
+    frame_frac: float = 0.2,
+    test_frac: float = 0.3,
+    expanding: bool = False,
+    carry: bool = False,
+    span: float = 5,
+    stats=None,
+    overrides: dict | None = None,
+):
+    """M18 for any model of the registry: frame by frame, every model is fitted on the frame's training rows (``expanding``: on those of all frames
+    so far) and predicts its test rows; predictions are smoothed inside a frame, optionally un-scaled, and scored per frame and model.
+
+    ``carry``: boosted models go on from frame to frame - the next frame's trees are fitted to what the trees so far leave of its
+    labels, and all of them predict.  Other models hold no state to go on from and are fitted anew.
+    Returns (scores, mean per model)."""
+    from dataclasses import replace
+
+    from panelcast.models import registry
+    from panelcast.models.ml import model as pooled
+    from panelcast.models.trees import PRESETS, Chain, Spec
+    from panelcast.operators import scale as scl
+    from panelcast.operators import score as scr
+    from panelcast.operators.smooth import ewm
+    from panelcast.operators.windows import frames
+    from panelcast.plans.panel import materialize
+
+    fr = materialize(frames(df, panel, frame_frac, test_frac).filter(F.col("frame").isNotNull()), panel)
+    last = fr.agg(F.max("frame")).first()[0]
+    keep = [*panel.keys, panel.ts, panel.t, panel.seg, y, "frame"]
+    chains = {}
+    if carry:
+        for name in names:
+            spec = (overrides or {}).get(name) or PRESETS.get(name)
+            if isinstance(spec, Spec) and spec.boost:
+                chains[name] = Chain(lambda name=name, spec=spec: pooled(name, xcols, y, panel.keys[0], [*panel.keys, panel.ts], estimator=spec))
+    parts = []
+    for k in range((last if last is not None else -1) + 1):
+        seen = (F.col("frame") <= k) if expanding else (F.col("frame") == k)
+        train = fr.filter((F.col("part") == "train") & seen)
+        test = fr.filter((F.col("part") == "test") & (F.col("frame") == k))
+        fitted = registry.fit_models(train, panel, [n for n in names if n not in chains], xcols, y, overrides)
+        fitted.update({n: c.fit(fr.filter((F.col("part") == "train") & (F.col("frame") == k))) for n, c in chains.items()})
+        parts.append(registry.prediction_matrix({n: fitted[n] for n in names}, test, keep=keep))
+    pr = parts[0]
+    for p in parts[1:]:
+        pr = pr.unionByName(p)
+    fpanel = replace(panel, keys=(*panel.keys, "frame", "model"))
+    pr = materialize(pr, fpanel)
+    gone = F.col("y_pred").isNull() | F.isnan("y_pred")
+    pr = ewm(pr.filter(~gone), fpanel, ["y_pred"], span)
+    if stats is not None:
+        pr = scl.inverse(pr, panel, stats, {"y_pred": y, y: y})
+    sc = scr.score(pr.withColumnRenamed(y, "y").filter("y IS NOT NULL"), by=["model", "frame"], digits=None)
+    return sc, scr.mean_score(sc, by=["model"])
+
+
 def save_versions(models: list, root: str) -> list[str]:
     """IO6: save fitted pooled models as ``{root}/version={k}``."""
     paths = []
