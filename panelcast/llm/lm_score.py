@@ -36,7 +36,7 @@ from panelcast.plans.panel import _work_db as work_database
 END = np.uint64(W.splitmix(31337))
 ORDER = 3
 BACK = (0.6, 0.45)  # handed down by histories of one word, of two words (and longer)
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 6 << 20
 RANGE_BYTES = 8 << 20
 MOST_BUCKETS = 8192
 LANE = 256
@@ -71,30 +71,43 @@ def _grams(t: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers: the first one, then differences of as many bytes as the largest needs."""
+    """Ascending 64-bit numbers: the first one, then the differences, each as some low bytes and one byte above them; differences whose upper part
+    is 255 or more stand whole at the end.  The number of low bytes is the one that takes least."""
     d = np.diff(sorted_keys).astype("<u8")
-    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + sorted_keys[:1].astype("<u8").tobytes() + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = min(range(8), key=lambda k: (k + 1) * len(d) + 8 * int(((d >> np.uint64(8 * k)) >= 255).sum()))
+    high = d >> np.uint64(8 * low)
+    big = high >= 255
+    parts = [np.where(big, 255, high).astype(np.uint8).tobytes(), d[~big].view(np.uint8).reshape(-1, 8)[:, :low].tobytes(), d[big].tobytes()]
+    return bytes([low]) + sorted_keys[:1].astype("<u8").tobytes() + np.int64(len(d)).tobytes() + b"".join(parts)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    d = np.zeros((len(raw) + 1, 8), np.uint8)
-    d[0] = np.frombuffer(blob, np.uint8, 8, offset=1)
-    d[1:, :width] = raw
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+    low, n = blob[0], int.from_bytes(blob[9:17], "little")
+    high = np.frombuffer(blob, np.uint8, n, offset=17)
+    big = high == 255
+    small = n - int(big.sum())
+    d = np.zeros((n, 8), np.uint8)
+    d[:, low] = high
+    d[np.flatnonzero(~big), :low] = np.frombuffer(blob, np.uint8, small * low, offset=17 + n).reshape(small, low)
+    d[big] = np.frombuffer(blob, np.uint8, offset=17 + n + small * low).reshape(-1, 8)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, offset=1), d.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    """Counts in one byte each; those from 255 on besides in eight."""
+    """Counts: a bit for each that is 1, one byte for each other; those from 255 on besides in eight."""
+    one = c == 1
+    c = c[~one]
     big = c >= 255
-    return np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype("<i8").tobytes()
+    return np.packbits(one).tobytes() + np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype("<i8").tobytes()
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    c = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    c[c == 255] = np.frombuffer(blob, "<i8", offset=n)
+    bits = -(-n // 8)
+    c = np.unpackbits(np.frombuffer(blob, np.uint8, bits), count=n).astype(np.int64)
+    other = np.flatnonzero(c == 0)
+    v = np.frombuffer(blob, np.uint8, len(other), offset=bits).astype(np.int64)
+    v[v == 255] = np.frombuffer(blob, "<i8", offset=bits + len(other))
+    c[other] = v
     return c
 
 
@@ -290,7 +303,7 @@ def _bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
     """``df`` written as a table in ``n`` buckets: what is keyed alike meets it without a shuffle of its rows."""
     spark = df.sparkSession
     name = f"{work_database(spark)}.units_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, by).saveAsTable(name)
+    df.write.option("compression", "zstd").bucketBy(n, by).saveAsTable(name)
     return spark.table(name)
 
 
