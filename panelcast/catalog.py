@@ -1403,14 +1403,14 @@ def q_forecast_linear(spark, d):
 
 @register("q_forecast_job")
 def q_forecast_job(spark, d):
-    """E4 J2 AG7 PR12: three runs (seeds differ) of a forest, extra trees and a regression, their 'Ensamble' smoothed,
+    """E4 J2 AG7 PR12: three runs (seeds differ) of an extra tree, a tree and a regression, their 'Ensamble' smoothed,
     un-scaled, attached to a template of the test weeks, written a file a run, read again and averaged."""
     from panelcast.plans import jobs
 
     rows, stats, feats, p = _orders_job(spark, d)
     tr, te = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
     tmpl = te.select("n_name", "wk", F.lit(0).alias("total_cases"))
-    models = ["RandomForestRegressor", "ExtraTreesRegressor", "LinearRegression"]
+    models = ["ExtraTreeRegressor", "DecisionTreeRegressor", "LinearRegression"]
     return jobs.forecast_runs(tr, te, p, feats, "cnt", tmpl, ["n_name", "wk"], stats, models=models, runs=3, path=jobs.run_folder(spark))
 
 
