@@ -9,6 +9,7 @@ so an item lies whole in a window.  Every passage of every document is a query:
 
 * the block-max bound is first taken for all passages at once: for each block of items the largest weights of the passage's words
   there are added up; a passage for which no block reaches the threshold has no item above it;
+* passages that are left take the bound again with their own distinct words (the first one adds up two neighbouring stretches);
 * the remaining passages run block-max WAND and yield all items at or above the threshold;
 * a retrieved item is a leak if its question and its answer both overlap the passage: at least ``overlap`` of
   the five-word shingles of each part occur in it, or, in a part of five words or more, all words before and all words after some one word
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import prepare, stage
+from panelcast.llm.util import give_back, prepare, stage
 
 THRESHOLD, OVERLAP, SHINGLE, BLOCK, COARSE = 0.6, 0.8, 5, 16, 64
 K1, B = 1.2, 0.75
@@ -184,6 +185,16 @@ class Index:
 EPS, SLOP = 1e-9, 1e-4  # of sums in double and in single precision
 
 
+def _reach(index: Index, term: np.ndarray, begin: np.ndarray, end: np.ndarray, windows: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the ``windows`` for which a block of items reaches the threshold with the window's own distinct words."""
+    size = end[windows] - begin[windows]
+    of = np.repeat(np.arange(len(windows)), size)
+    words = term[np.arange(len(of)) - np.repeat(np.cumsum(size) - size - begin[windows], size)]
+    hit = words >= 0
+    bound = index.bounds(of[hit], words[hit].astype(np.int64), len(windows))
+    return windows[bound.max(axis=1) >= threshold - SLOP] if len(windows) else windows
+
+
 def _search_all(box, threshold: float, overlap: float):
     def run(batches):
         index: Index = box.value
@@ -206,7 +217,8 @@ def _search_all(box, threshold: float, overlap: float):
                 if len(doc) > 1:
                     bound[:-1] += bound[1:] * (doc[1:] == doc[:-1])[:, None]
                 leaks: dict = {}
-                for k in np.flatnonzero(bound.max(axis=1) >= threshold - SLOP) if len(doc) else ():
+                may = np.flatnonzero(bound.max(axis=1) >= threshold - SLOP) if len(doc) else np.zeros(0, np.int64)
+                for k in _reach(index, term, begin, end, may, threshold):
                     a, b = begin[k], end[k]
                     terms = np.unique(term[a:b])
                     terms = terms[terms >= 0]
@@ -222,6 +234,7 @@ def _search_all(box, threshold: float, overlap: float):
                 cols = list(zip(*out))
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
+        give_back()
 
     return run
 
