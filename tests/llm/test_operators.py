@@ -401,6 +401,23 @@ def test_network_pieces():
     assert all(abs(net.score(*W.buffers(pa.array([t])))[0] - s) < 1e-9 for t, s in zip(texts, whole))
 
 
+def test_network_is_a_plain_convolution():
+    """Every filter at every byte of the whole text, the largest of each overlapping chunk of 256 bytes, the mean over chunks, one logistic unit."""
+    from panelcast.llm import words as W
+
+    rng = random.Random(2)
+    texts = ["", "z", "é à", "x" * 128, "ab!" * 43, "q" * 129] + ["".join(rng.choice("abc !%.\né") for _ in range(rng.choice([5, 250, 256, 257, 1000]))) for _ in range(25)]
+    net = quality_cnn.fit([t.encode() for t in texts], [i % 2 for i in range(len(texts))], epochs=2)
+    table, half = net.table.astype(np.float64), quality_cnn.HALF
+    for t, got in zip(texts, net.score(*W.buffers(pa.array(texts)))):
+        b = t.encode()
+        padded = b + bytes(quality_cnn.WIDTH)
+        at_place = np.array([sum(table[j, padded[k + j]] for j in range(quality_cnn.WIDTH)) for k in range(max(1, len(b)))])
+        pooled = [np.maximum(at_place[k : k + half].max(0) + net.bias, 0) for k in range(0, max(1, len(b)), half)]
+        chunks = [np.maximum(x, y) for x, y in zip(pooled, pooled[1:])] or pooled
+        assert abs(got - 1 / (1 + math.exp(-(np.mean(chunks, 0) @ net.out + net.out_bias)))) < 1e-5
+
+
 def test_collided_chunks(docs, monkeypatch):
     """A chunk hash that stands for two contents is told apart by SHA-256."""
     want = got_rows(exact_dedup.exact_dedup(docs), ["doc_id", "keep_id", "group_size", "kept"])
