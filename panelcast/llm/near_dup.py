@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import join_groups, prepare, stage
+from panelcast.llm.util import join_groups, prepare, stage, tidy
 
 BANDS, ROWS = 40, 5
 LEADERS = 3
@@ -203,14 +203,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Links documents whose sets have ``100 * |A & B| >= percent * |A | B|``."""
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(texts.mapInArrow(_sign(n), "doc_id long, n long, h1 long, h2 long, sig binary"), "signatures")
+    signed = stage(texts.mapInArrow(tidy(_sign(n)), "doc_id long, n long, h1 long, h2 long, sig binary"), "signatures")
     slim = signed.select("doc_id", "n", "h1", "h2")
     total = slim.count()
     classes = stage(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count(F.lit(1)).alias("size")).select("h1", "h2", "size", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "classes")
     sigs = classes.select("rep", "sig")
 
     least = max(0.0, percent / 100 - SLACK)
-    band = stage(sigs.mapInArrow(_bands, "band long, rep long"), "bands")
+    band = stage(sigs.mapInArrow(tidy(_bands), "band long, rep long"), "bands")
     centre = band.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = join_groups(band, centre, ["band"], "m", BANDS * total).where("a IS NOT NULL AND a <> rep")
     around = F.array_sort(F.collect_set(F.struct(F.xxhash64("a").alias("h"), "a")))
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     # What the stars cannot see: members of one bucket in different components.
     of = sigs.join(comp, sigs["rep"] == comp["node"], "left").select("rep", "sig", F.coalesce("comp", "rep").alias("comp"))
-    open_ = stage(_open_buckets(of.mapInArrow(_bands_of, "band long, no int, rep long, comp long"), BANDS * total, block), "open")
+    open_ = stage(_open_buckets(of.mapInArrow(tidy(_bands_of), "band long, no int, rep long, comp long"), BANDS * total, block), "open")
     crossing = _deal(open_).join(sigs.hint("merge"), "rep").join(source.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
     more = stage(crossing.groupBy("band", "i", "j").applyInArrow(_block_links(least, n, percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
@@ -267,7 +267,7 @@ def _deal(open_: DataFrame) -> DataFrame:
 def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     x, y = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_agree, "a long, b long, est double").where(F.col("est") >= least)
+    return both.mapInArrow(tidy(_agree), "a long, b long, est double").where(F.col("est") >= least)
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_exact(n, percent), "a long, b long")
+    return both.mapInArrow(tidy(_exact(n, percent)), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

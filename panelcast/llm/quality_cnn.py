@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
-from panelcast.llm.util import prepare
+from panelcast.llm.util import prepare, tidy
 
 WIDTH, FILTERS, HALF = 4, 16, 128
 PIECE = 512 * HALF
@@ -190,7 +190,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """One row per input row: ``doc_id, held_out, score, predicted``."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_scorer(net), "doc_id long, score double")
+    out = rows.mapInArrow(tidy(_scorer(net)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(net.score(*W.buffers(part.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

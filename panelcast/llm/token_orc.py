@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import prepare, scratch_path
+from panelcast.llm.util import give_back, prepare, scratch_path
 
 MEMO = 150_000
 ENCODE_BYTES = 1 << 20
@@ -144,7 +144,7 @@ def _encoder(path: str, end_id: int, special_as_text: bool):
                 before += int(bounds[-1])
                 at += len(some)
         _state.update(memo={}, old={})  # a worker lives on after its task
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

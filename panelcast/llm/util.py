@@ -68,6 +68,16 @@ def give_back() -> None:
         pass
 
 
+def tidy(run):
+    """A ``mapInArrow`` step whose worker gives its memory back at the end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def lower_ascii(col):
     """A-Z to a-z, nothing else; null as empty."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
