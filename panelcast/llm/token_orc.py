@@ -10,9 +10,10 @@ A document's ``start`` (ids of all documents before it) is its place within its
 the parts before; parts are the partitions that wrote, so the table of their sums is as long as the
 number of files and is broadcast.
 
-Encoding: byte-level BPE never joins a character with what stands before the single space in front of it, so
-a text is cut at single spaces between other characters and each piece is encoded once and remembered
-(about ``2 * MEMO`` pieces a task; the older half goes first).  The ids equal those of the whole text.
+Encoding: byte-level BPE never joins a character with what stands before the single space in front of it, and its pattern takes letters, digits, marks
+and line ends apart, so a text is cut there (only where a character is surely of its kind), each different piece is encoded once by the library and
+remembered (about ``2 * MEMO`` pieces a worker, over its tasks; the older half goes first).  The ids equal those of the whole text.  For tokenizers with
+another pattern texts are cut at single spaces only.
 A special token's name in a text gets that token's id, as the library's ``encode(text, add_special_tokens=False)`` gives it;
 ``special_as_text`` encodes it like other text.  Where a special token takes white space along, texts are encoded whole.
 
@@ -23,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -31,13 +33,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm import words as W
 from panelcast.llm.util import give_back, prepare, scratch_path
 
 MEMO = 150_000
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 4 << 20
 JOINED = 500
 _state: dict = {}
 
+# Classes of characters, by their first byte.  What may be white space is WHITE, what is surely none is OTHER; LETTER and so on are surely of their kind.
+WHITE, SPACE, LINE, OTHER, LETTER, DIGIT, MARK = range(7)
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: 's, 're, ... are words of their own
+
+
+def _classes(marks: str) -> np.ndarray:
+    of = np.full(256, OTHER, np.uint8)
+    of[:33] = of[127] = of[[0xC2, 0xE1, 0xE2, 0xE3]] = WHITE
+    of[ord(" ")], of[ord("\n")] = SPACE, LINE
+    of[ord("0") : ord("9") + 1] = DIGIT
+    of[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+    of[[*range(0xC3, 0xCA), 0xD0, 0xD1, *range(0xE5, 0xE9), 0xEB, 0xEC]] = LETTER  # Latin but for two signs, Cyrillic, Han, Hangul
+    of[list(marks.encode())] = MARK
+    return of
+
+
+def _cuts(runs: bool) -> np.ndarray:
+    """By the classes of two neighbours: 1 to cut between them, 2 to cut if no white space follows, 3 if none stands before them."""
+    of = np.zeros((8, 8), np.uint8)
+    of[OTHER:, SPACE] = 2
+    if runs:
+        of[OTHER:, LINE] = 1
+        of[LINE, OTHER:] = 3
+        of[LETTER:, LETTER:] = 1 - np.eye(8 - LETTER, dtype=np.uint8)
+    return np.resize(of, 256)
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, classes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts begin."""
+    kind = np.zeros(len(data) + 2, np.uint8)  # two of WHITE at the end
+    kind[:-2] = np.frombuffer(data.tobytes().translate(classes.tobytes()), np.uint8)
+    sign = np.flatnonzero(data[:-1] == 0xC3)
+    kind[sign[(data[sign + 1] | 0x20) == 0xB7]] = OTHER  # the signs for times and by
+    later = np.flatnonzero((data & 0xC0) == 0x80)
+    for _ in range(3):
+        kind[later] = kind[later - 1]
+    begin = np.zeros(len(data) + 2, bool)
+    begin[off] = True
+    pair = (kind[:-2] << 3) | kind[1:-1]
+    cut = np.frombuffer(pair.tobytes().translate(cuts.tobytes()), np.uint8)  # between i and i + 1
+    at = np.flatnonzero(cut == 1) + 1
+    space = np.flatnonzero(cut == 2) + 1
+    space = space[(kind[space + 1] >= OTHER) & ~begin[space + 1]]
+    line = np.flatnonzero(cut == 3) + 1
+    line = line[(line > 1) & (kind[line - 2] >= OTHER) & ~begin[line - 1]]
+    for some in (at, space, line):
+        begin[some] = True
+    return np.flatnonzero(begin[: len(data)])
+
+
+def _cutting(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """How to cut for a tokenizer: at its runs if it is a byte-level BPE that encodes letters, digits, marks and line ends apart, else at spaces."""
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    pre, model, added = conf.get("pre_tokenizer") or {}, conf["model"], conf.get("added_tokens", [])
+    runs = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not conf.get("normalizer") and model.get("type") == "BPE"
+    runs = runs and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and not any(a.get(k) for a in added for k in ("lstrip", "rstrip", "single_word"))
+    classes, cuts = _classes("".join(c for c in MARKS if not any(c in a["content"] for a in added))), _cuts(runs)
+    for name in [np.frombuffer(a["content"].encode(), np.uint8) for a in added]:  # found by the library before it cuts
+        if len(name) and (len(_pieces(name, np.array([0, len(name)]), classes, cuts)) > 1 or min(classes[name[[0, -1]]]) < OTHER):
+            return classes, _cuts(False)
+    return classes, cuts
+
 
 def _load(path: str, special_as_text: bool):
     if _state.get("path") != (path, special_as_text):
@@ -50,7 +116,7 @@ def _load(path: str, special_as_text: bool):
         whole = not special_as_text and any(a.lstrip or a.rstrip or a.single_word or any(map(str.isspace, a.content)) for a in added)
         begins = np.zeros(tok.get_vocab_size(), bool)
         begins[[i for w, i in tok.get_vocab().items() if w.startswith("\u0120")]] = True  # tokens that begin with a space
-        _state.update(path=(path, special_as_text), tok=tok, memo={}, old={}, begins=begins, whole=whole)
+        _state.update(path=(path, special_as_text), tok=tok, memo={}, old={}, begins=begins, whole=whole, cutting=_cutting(path))
     return _state["tok"]
 
 
@@ -58,93 +124,83 @@ def _ids(encodings) -> list[bytes]:
     return [np.asarray(e.ids, np.uint32).tobytes() for e in encodings]
 
 
-def _learn(tok, words: list[str], memo: dict) -> None:
-    """Encode new pieces, ``JOINED`` in one string: every piece begins with its only space, so do its ids."""
-    one = [p for p in words if " " in p]
-    memo.update(zip(one, _ids(tok.encode_batch_fast([" " + p for p in one], add_special_tokens=False))))
-    words = [p for p in words if " " not in p]
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and how many each string has."""
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _learn(tok, pieces: list[str], memo: dict) -> None:
+    """Encode new pieces; those that begin with their only space, ``JOINED`` in one string: so do their ids."""
+    one = [p for p in pieces if p[0] != " " or " " in p[1:]]
+    memo.update(zip(one, _ids(tok.encode_batch_fast(one, add_special_tokens=False))))
+    words = [p for p in pieces if p not in memo]
     parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
     for at in range(0, len(parts), 64):
-        for some, e in zip(parts[at : at + 64], tok.encode_batch_fast([" " + " ".join(p) for p in parts[at : at + 64]], add_special_tokens=False)):
+        for some, e in zip(parts[at : at + 64], tok.encode_batch_fast(["".join(p) for p in parts[at : at + 64]], add_special_tokens=False)):
             ids = np.asarray(e.ids, np.uint32)
             first = np.flatnonzero(_state["begins"][ids])
             if len(first) != len(some):
-                memo.update(zip(some, _ids(tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False))))
+                memo.update(zip(some, _ids(tok.encode_batch_fast(some, add_special_tokens=False))))
                 continue
             raw, cuts = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
             memo.update((p, raw[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
 
 
-def _remember(tok, pieces: set[str]) -> dict:
-    """The memory with all of ``pieces`` in it."""
+def _piece_ids(tok, pieces: list[str]) -> list[bytes]:
+    """The ids of different pieces, from the memory as far as it has them."""
     if len(_state["memo"]) > MEMO:
         _state.update(memo={}, old=_state["memo"])
     memo, old = _state["memo"], _state["old"]
-    new = pieces - memo.keys()
-    known = new & old.keys()
-    memo.update((p, old[p]) for p in known)
-    _learn(tok, list(new - known), memo)
-    return memo
+    memo.update((p, old[p]) for p in pieces if p in old)
+    _learn(tok, [p for p in pieces if p not in memo], memo)
+    return list(map(memo.__getitem__, pieces))
 
 
-def encode(texts: list[str], path: str, special_as_text: bool = True) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers; the same as encoding each text whole.  ``special_as_text`` is the
+def encode_column(col: pa.Array, path: str, special_as_text: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and how many each text has; the same as encoding each text whole.  ``special_as_text`` is the
     library's ``encode_special_tokens``."""
     tok = _load(path, special_as_text)
-    if _state["whole"]:
-        return _ids(tok.encode_batch_fast(texts, add_special_tokens=False))
-    split, heads, new = [], [], set()
-    for t in texts:
-        parts = t.split(" ")
-        if "" in parts or list(map(str.strip, parts)) != parts:
-            parts = _rejoin(parts)
-        heads.append(parts[0])
-        del parts[0]
-        split.append(parts)
-        new.update(parts)
-    memo = _remember(tok, new)
-    first = _ids(tok.encode_batch_fast(heads, add_special_tokens=False))
-    return [h + b"".join(map(memo.__getitem__, parts)) for h, parts in zip(first, split)]
-
-
-def _rejoin(parts: list[str]) -> list[str]:
-    """Undo the cuts that do not stand between two characters other than white space."""
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
+    data, off = W.buffers(col)
+    data, off = data[off[0] : off[-1]], off - off[0]
+    if _state["whole"] or not len(data):
+        return _joined(_ids(tok.encode_batch_fast([t or "" for t in col.to_pylist()], add_special_tokens=False)))
+    begin = _pieces(data, off, *_state["cutting"])
+    ends = pa.py_buffer(np.append(begin, len(data)).astype(np.int32))
+    coded = pa.StringArray.from_buffers(len(begin), ends, pa.py_buffer(data)).dictionary_encode()
+    blob, n = _joined(_piece_ids(tok, coded.dictionary.to_pylist()))
+    which = coded.indices.to_numpy()
+    start, n = (np.cumsum(n) - n)[which], n[which]
+    before = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((start - before[:-1]).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return blob[at], np.diff(before[np.searchsorted(begin, off)])
+
+
+def encode(texts: list[str], path: str, special_as_text: bool = True) -> list[bytes]:
+    """Each text's ids as little-endian 32-bit integers."""
+    ids, n = encode_column(pa.array(texts, pa.string()), path, special_as_text)
+    ends = np.cumsum(n)
+    return [ids[a:b].tobytes() for a, b in zip(ends - n, ends)]
 
 
 def _encoder(path: str, end_id: int, special_as_text: bool):
-    end = np.uint32(end_id).tobytes()
+    end = np.uint32(end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(ids):
-                some, size = [], 0
-                while at + len(some) < len(ids) and size < ENCODE_BYTES:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1])
-                coded = [c + end for c in encode(some, path, special_as_text)]
-                n = np.array([len(c) // 4 for c in coded], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                flat = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(coded))])
+            for lo, hi in W.groups(batch.column(1), ENCODE_BYTES):
+                ids, n = encode_column(batch.column(1).slice(lo, hi - lo), path, special_as_text)
+                flat = pa.array(np.insert(ids, np.cumsum(n), end).astype(np.int32))
+                bounds = np.concatenate([[0], np.cumsum(n + 1)])
                 yield pa.record_batch(
-                    [ids.slice(at, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(before + bounds[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + bounds[:-1]), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)],
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
                 before += int(bounds[-1])
-                at += len(some)
-        _state.update(memo={}, old={})  # a worker lives on after its task
-        give_back()
+        give_back()  # a worker lives on after its task; its pieces stay for the next one
 
     return run
 

@@ -168,6 +168,30 @@ def test_encode_pieces():
         assert [int.from_bytes(coded[i : i + 4], "little") for i in range(0, len(coded), 4)] == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encode_shares_runs(monkeypatch):
+    """A word is encoded once, whatever marks stand around it, and the ids are those of the whole text, whatever characters meet."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    some = ["a", "B", "\u00e9", "\u00df", "1", "22", "\u00b2", "\u00aa", "'s", "'", "\n", "\n\n", "\t", " ", "  ", ".", ",", "(", "<|endoftext|>", "<|", "\u4e2d", "\u9fa5", "\ud55c", "\u044f", "\u3000", "\U0001f600", "\u0301", "_", "\r\n", "\u00d7", "\u00f7", "\x85", "\u00a0", "\u200b", "\u0663"]
+    texts = ["".join(rng.choice(some) + " " * (rng.random() < 0.3) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for as_text in (False, True):
+        tok.encode_special_tokens = as_text
+        got = token_orc.encode(texts, path, as_text)
+        assert got == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    token_orc._load(path, False)
+    learnt = []
+    monkeypatch.setitem(token_orc._state, "memo", {})
+    monkeypatch.setitem(token_orc._state, "old", {})
+    learn = token_orc._learn
+    monkeypatch.setattr(token_orc, "_learn", lambda tok, pieces, memo: (learnt.extend(pieces), learn(tok, pieces, memo)))
+    words = ["quark", "charm", "strange"]
+    token_orc.encode(["x " + " ".join(f"{a}{w}{b}" for w in words for a in ("", "(", "7") for b in ("", ".", "!!", ";\nz"))], path, False)
+    assert len(learnt) < 20
+
+
 def test_span_dedup_same_in_a_padded_corpus(spark, docs):
     """Rows that share an id but not a text lose the same alone and among many others."""
     rng = random.Random(11)
