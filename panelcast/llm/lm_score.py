@@ -71,37 +71,55 @@ def _grams(t: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers: the first one, then the differences, each as some low bytes and one byte above them; differences whose upper part
-    is 255 or more stand whole at the end.  The number of low bytes is the one that takes least."""
+    """Ascending 64-bit numbers: the first one, then the differences, each as its ``k`` low bits (whole bytes, then the bits over) and the rest in
+    unary.  ``k`` is the number that takes least, about the bits of the mean difference, so the unary parts have about two bits each."""
     d = np.diff(sorted_keys).astype("<u8")
-    low = min(range(8), key=lambda k: (k + 1) * len(d) + 8 * int(((d >> np.uint64(8 * k)) >= 255).sum()))
-    high = d >> np.uint64(8 * low)
-    big = high >= 255
-    parts = [np.where(big, 255, high).astype(np.uint8).tobytes(), d[~big].view(np.uint8).reshape(-1, 8)[:, :low].tobytes(), d[big].tobytes()]
-    return bytes([low]) + sorted_keys[:1].astype("<u8").tobytes() + np.int64(len(d)).tobytes() + b"".join(parts)
+    n = len(d)
+    if not n:
+        return bytes([0]) + sorted_keys[:1].astype("<u8").tobytes() + np.int64(0).tobytes()
+    near = max(1, int(d.sum() // np.uint64(n))).bit_length()
+    k = min(range(max(0, near - 2), min(63, near + 1) + 1), key=lambda j: n * j + int((d >> np.uint64(j)).sum()))
+    whole, over = divmod(k, 8)
+    low = d.view(np.uint8).reshape(-1, 8)
+    bits = np.unpackbits(low[:, whole : whole + 1], axis=1)[:, 8 - over :]
+    ends = np.cumsum((d >> np.uint64(k)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]), bool)
+    unary[ends - 1] = True
+    parts = [low[:, :whole].tobytes(), np.packbits(bits).tobytes(), np.packbits(unary).tobytes()]
+    return bytes([k]) + sorted_keys[:1].astype("<u8").tobytes() + np.int64(n).tobytes() + b"".join(parts)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    low, n = blob[0], int.from_bytes(blob[9:17], "little")
-    high = np.frombuffer(blob, np.uint8, n, offset=17)
-    big = high == 255
-    small = n - int(big.sum())
-    d = np.zeros((n, 8), np.uint8)
-    d[:, low] = high
-    d[np.flatnonzero(~big), :low] = np.frombuffer(blob, np.uint8, small * low, offset=17 + n).reshape(small, low)
-    d[big] = np.frombuffer(blob, np.uint8, offset=17 + n + small * low).reshape(-1, 8)
-    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, offset=1), d.view("<u8").ravel()]), dtype=np.uint64)
+    k, n = blob[0], int.from_bytes(blob[9:17], "little")
+    first = np.frombuffer(blob, "<u8", 1, offset=1)
+    if not n:
+        return first.copy()
+    whole, over = divmod(k, 8)
+    at = 17 + n * whole
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, offset=17).reshape(n, whole)
+    if over:
+        bits = np.zeros((n, 8), np.uint8)
+        size = -(-n * over // 8)
+        bits[:, 8 - over :] = np.unpackbits(np.frombuffer(blob, np.uint8, size, offset=at), count=n * over).reshape(n, over)
+        low[:, whole] = np.packbits(bits, axis=1).ravel()
+        at += size
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at)))
+    high = np.diff(ends, prepend=-1).astype(np.uint64) - np.uint64(1)
+    return np.cumsum(np.concatenate([first, (high << np.uint64(k)) | low.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    """Counts: a bit for each that is 1, one byte for each other; those from 255 on besides in eight."""
+    """Counts: a bit for each that is 1, one byte for each other; those from 255 on besides in eight; all that compressed."""
     one = c == 1
     c = c[~one]
     big = c >= 255
-    return np.packbits(one).tobytes() + np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype("<i8").tobytes()
+    raw = np.packbits(one).tobytes() + np.where(big, 255, c).astype(np.uint8).tobytes() + c[big].astype("<i8").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     bits = -(-n // 8)
     c = np.unpackbits(np.frombuffer(blob, np.uint8, bits), count=n).astype(np.int64)
     other = np.flatnonzero(c == 0)

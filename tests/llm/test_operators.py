@@ -394,6 +394,21 @@ def test_lm_probabilities_sum_to_one():
             assert abs(sum(p(h, w) for (w,) in c[1]) + p(h, "never seen") - 1) < 1e-9
 
 
+def test_packed_blocks_are_small():
+    """Hashes take about the bits that telling them apart needs, counts that are mostly alike little."""
+    rng = np.random.default_rng(5)
+    for n in (1000, 300_000):
+        keys = np.unique(rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True))
+        blob = lm_score.pack(keys)
+        assert (lm_score.unpack(blob) == keys).all() and 8 * len(blob) < n * (64 - math.log2(n) + 1.6) + 8 * 32
+    for keys in ([7], [0, (1 << 64) - 1], [3, 4, 5, 1 << 63], range(1000)):
+        keys = np.array(keys, np.uint64)
+        assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
+    counts = rng.geometric(0.9, 100_000)
+    blob = lm_score.pack_counts(counts)
+    assert (lm_score.unpack_counts(blob, len(counts)) == counts).all() and 8 * len(blob) < 0.75 * len(counts)
+
+
 def test_packed_blocks():
     rng = np.random.default_rng(1)
     for n, top in ((1, 1 << 63), (2, 3), (5000, 1 << 63), (300, 1 << 20)):
