@@ -22,8 +22,6 @@ counts as the empty string in the fold; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
 from panelcast.llm.util import give_back, prepare, stage
-from panelcast.plans.panel import _work_db as work_database
+from panelcast.plans.panel import work_table
 
 END = np.uint64(W.splitmix(31337))
 ORDER = 3
@@ -320,7 +318,7 @@ def _score(order: int, mass: int, types: int, ones: int):
 def _bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
     """``df`` written as a table in ``n`` buckets: what is keyed alike meets it without a shuffle of its rows."""
     spark = df.sparkSession
-    name = f"{work_database(spark)}.units_{uuid.uuid4().hex}"
+    name = work_table(spark, "units")
     df.write.option("compression", "zstd").bucketBy(n, by).saveAsTable(name)
     return spark.table(name)
 

@@ -7,7 +7,7 @@ loops become partition keys and a ``run_id`` column.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -139,10 +139,12 @@ def forecast_runs(
     path: str | None = None,
     overrides: dict | None = None,
     span: float = 5,
+    estimator_for_run: Callable[[int], object] | None = None,
 ) -> DataFrame:
     """Each run fits all ``models`` (seeds differ), predicts the test rows, smooths and un-scales every model and their mean
     ``Ensamble``, attaches the mean to the template and truncates it.  With ``path`` each run is written as files of its own (IO4,
-    ``path/runs/run_id=k``), all are read again (IO3) and their average (AG7) is written to ``path/average``.
+    ``path/runs/run_id=k``), all are read again (IO3) and their average (AG7) is written to ``path/average``.  ``estimator_for_run``
+    gives each run's estimator (or ``trees.Spec``) for the pooled models among ``models``.
 
     Returns (template keys..., total_cases, runs).  A template row without a prediction stays NULL."""
     from dataclasses import replace
@@ -156,7 +158,10 @@ def forecast_runs(
     mp = replace(panel, keys=(*panel.keys, "model"))
     folder = path or run_folder(spark)
     for run in range(runs):
-        fitted = registry.fit_models(tr, panel, models, feats, target, overrides, seed=SEED + run)
+        settings = dict(overrides or {})
+        if estimator_for_run:
+            settings |= {name: estimator_for_run(run) for name in models if name in registry.POOLED}
+        fitted = registry.fit_models(tr, panel, models, feats, target, settings, seed=SEED + run)
         pm = registry.prediction_matrix(fitted, test, keep=keep)
         pm = materialize(pm.withColumn("_why", _reason("y_pred")), mp)
         pm = smooth.ewm(pm, mp, ["y_pred"], span)

@@ -271,6 +271,14 @@ def _work_db(spark) -> str:
     return WORK_DB
 
 
+def work_table(spark, kind: str) -> str:
+    """A new table name in the work database; :func:`release_materialized` drops it."""
+    import uuid
+
+    _OWN_TABLES.append(name := f"{_work_db(spark)}.{kind}_{uuid.uuid4().hex}")
+    return name
+
+
 BUCKET_BYTES = 256 << 20
 
 
@@ -310,19 +318,15 @@ def materialize(df: DataFrame, panel: Panel, buckets: int | None = None) -> Data
     first repartitioned with the same hash, so each task writes one file per
     bucket.  ``buckets`` defaults to :func:`default_buckets`.
     """
-    import uuid
-
     spark = df.sparkSession
-    db = _work_db(spark)
     n = buckets or default_buckets(df)
-    name = f"{db}.panel_{uuid.uuid4().hex}"
+    name = work_table(spark, "panel")
     df.repartition(n, *panel.part).write.bucketBy(n, *panel.part).mode("error").saveAsTable(name)
-    _OWN_TABLES.append(name)
     return spark.table(name)
 
 
 def release_materialized(spark) -> int:
-    """Drop the panels that this driver process materialized, by name (managed tables: files go too)."""
+    """Drop the tables that this driver process wrote to the work database, by name (managed tables: files go too)."""
     n = len(_OWN_TABLES)
     while _OWN_TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_OWN_TABLES.pop()}")
